@@ -12,6 +12,22 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its source's target and what the mix takes of it."""
+    from .mixing import mix
+
+    return mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's toxicity, learnt from the labels outside the held-out fold."""
+    from .toxicity import fit_toxicity, held_out, score_texts
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = score_texts(docs, fit_toxicity(docs, _table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", held_out().alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text encoded and decoded by byte-level BPE."""
     import public_tokenizers
@@ -49,5 +65,36 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
 
 
+MIXING_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
+         ('0x' || substr(md5('20240|' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT AS h
+  FROM documents),
+s AS (
+  SELECT source, sum(size)::BIGINT AS source_size,
+         [5.0, 2.0, 1.0][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS weight
+  FROM d GROUP BY source),
+c AS (SELECT *, source_size * 2.0::DOUBLE AS clamp FROM s),
+l AS (
+  SELECT *, (sum(source_size) OVER () * 1.5::DOUBLE
+             - coalesce(sum(clamp) OVER (ORDER BY clamp / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0::DOUBLE))
+            / sum(weight) OVER (ORDER BY clamp / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+  FROM c),
+g AS (
+  SELECT source, source_size, least(clamp, weight * coalesce((SELECT arg_min(level, clamp / weight) FROM l WHERE weight * level <= clamp), 'inf'::DOUBLE)) AS target
+  FROM l),
+r AS (
+  SELECT d.*, g.source_size, g.target, h % 4096 AS bucket,
+         CASE WHEN g.source_size > 0 THEN floor(g.target / g.source_size) ELSE 0 END::BIGINT AS whole
+  FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source),
+o AS (
+  SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY bucket, h, doc_id NULLS LAST, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM r)
+SELECT doc_id, size, source_size, target,
+       (size * (whole + CASE WHEN before + size / 2.0::DOUBLE <= target - whole * source_size THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM o
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_mixing": MIXING_SQL}
