@@ -28,6 +28,13 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out().alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
 
 
+def op3_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's near-duplicate links and component."""
+    from .forest import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text encoded and decoded by byte-level BPE."""
     import public_tokenizers
@@ -38,6 +45,20 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"), ids_digest().alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License templates that documents hold."""
+    from .licenses import license_scan
+
+    return license_scan(_table(spark, sf_dir, "documents")).select("doc_id", "license", "matched", "total", "containment")
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's perplexity under the trusted text, and whether it is kept."""
+    from .quality import quality_filter
+
+    return quality_filter(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text as a PNG column, read back and hashed."""
     from .media import media_columns
@@ -96,5 +117,27 @@ FROM o
 """
 
 
+def _license_sql() -> str:
+    """Every shingle of every document against all shingles of all templates."""
+    from .licenses import _BLANK, _DROPPED, _LOWER, _UPPER, CONTAINED, SHINGLE, TEMPLATES
+
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    control = "".join(f" || chr({ord(c)})" for c in _BLANK)
+    plain = f"regexp_replace(translate(coalesce(text, ''), {quoted(_UPPER)} || ' '{control} || {quoted(_DROPPED)}, {quoted(_LOWER)} || '{' ' * (len(_BLANK) + 1)}'), ' +', ' ', 'g')"
+    words = lambda: f"string_split(trim({plain}), ' ')"
+    shingle = " || ' ' || ".join(f"w[i + {j}]" for j in range(SHINGLE))
+    rows = ", ".join(f"({quoted(k)}, {quoted(' '.join(v))})" for k, v in TEMPLATES.items())
+    return f"""
+WITH t AS (SELECT license, {words()} AS w FROM (VALUES {rows}) AS v(license, text)),
+ts AS (SELECT DISTINCT license, {shingle} AS shingle FROM (SELECT license, w, unnest(range(1, len(w) - {SHINGLE - 2})) AS i FROM t)),
+n AS (SELECT license, count(*) AS total FROM ts GROUP BY license),
+d AS (SELECT doc_id, {words()} AS w FROM documents),
+ds AS (SELECT DISTINCT doc_id, {shingle} AS shingle FROM (SELECT doc_id, w, unnest(range(1, len(w) - {SHINGLE - 2})) AS i FROM d))
+SELECT doc_id, license, count(*) AS matched, any_value(total) AS total, count(*) / any_value(total)::DOUBLE AS containment
+FROM ds JOIN ts USING (shingle) JOIN n USING (license)
+GROUP BY doc_id, license HAVING count(*) >= {CONTAINED} * any_value(total)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": MIXING_SQL}
+    return {"op1_mixing": MIXING_SQL, "op5_license_scan": _license_sql()}
