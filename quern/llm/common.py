@@ -30,6 +30,8 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
+    # shuffle files of what is now written go when the driver's JVM next collects its garbage; on a long job that is late
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(schema).parquet(path)
 
 
@@ -42,6 +44,46 @@ def texts(batch, name: str) -> list[bytes]:
     return [x or b"" for x in column.cast(kind).to_pylist()]
 
 
+class Hashes(dict):
+    """64-bit hash by word, the same on every machine."""
+
+    def __missing__(self, word: bytes) -> int:
+        import xxhash
+
+        if len(self) > 600_000:
+            self.clear()
+        value = self[word] = xxhash.xxh3_64_intdigest(word)
+        return value
+
+
+hashes = Hashes()
+
+
+def word_hashes(words: list[bytes]):
+    import numpy as np
+
+    return np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
+
+
+def window_hashes(codes, size: int):
+    """A 64-bit hash of each run of size codes, by the place where it starts."""
+    import numpy as np
+
+    n = len(codes) - size + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    odd = np.uint64(0x9E3779B97F4A7C15)
+    h = codes[:n] * odd
+    for k in range(1, size):
+        h ^= h >> np.uint64(29)
+        h *= odd
+        h += codes[k : k + n]
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    h ^= h >> np.uint64(32)
+    return h
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 64) -> DataFrame:
     """(node, component) for each node of the edges; component is the smallest node that links reach.
 

@@ -52,6 +52,13 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(_table(spark, sf_dir, "documents")).select("doc_id", "license", "matched", "total", "containment")
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's near-duplicate component by its word shingles."""
+    from .ngram_join import jaccard_components
+
+    return jaccard_components(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's perplexity under the trusted text, and whether it is kept."""
     from .quality import quality_filter
