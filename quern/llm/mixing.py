@@ -19,6 +19,11 @@ def word_count(text):
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def _key(source):
+    """A source as a key that is never null."""
+    return F.coalesce(F.concat(F.lit("="), source), F.lit(""))
+
+
 def water_fill(sources: DataFrame, share: float = 1.5, epochs: float = 2.0, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
     """(source, source_size) -> with weight and target.
 
@@ -52,8 +57,6 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     A null text has size 0; a null source is a source of its own, weighed last; null ids hash alike; repeated rows are
     taken each on its own; an empty table gives an empty result.
     """
-    from functools import reduce
-
     number = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col(id_col).cast("string"), F.lit("")))), 1, 13), 16, 10).cast("long")
     d = docs.select(
         F.col(id_col).alias("__id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), number.alias("__hash"),
@@ -63,14 +66,13 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     order = Window.partitionBy("source").orderBy("__bucket")
     parts = parts.withColumn("__before", F.sum("__part").over(order) - F.col("__part"))
     goals = water_fill(parts.groupBy("source").agg(F.sum("__part").alias("source_size")), share, epochs, weights)
-    same = lambda a, b: a["source"].eqNullSafe(b["source"])
-    p, g = parts.alias("p"), goals.alias("g")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    parts = p.join(g, same(parts, goals)).select("p.source", "__bucket", "__before", "source_size", "target", rate.alias("__rate"))
+    goals = goals.select(_key(F.col("source")).alias("__s"), "source_size", "target", rate.alias("__rate"))
+    parts = parts.select(_key(F.col("source")).alias("__s"), F.col("__bucket").alias("__b"), "__before").join(goals, "__s")
     parts = parts.withColumn("__whole", F.floor("__rate").cast("long"))
     parts = parts.withColumn("__more", F.col("target") - F.col("__whole") * F.col("source_size") - F.col("__before"))
-    both = d.join(parts.withColumnRenamed("source", "__s").withColumnRenamed("__bucket", "__b"), d["source"].eqNullSafe(F.col("__s")) & (d["__bucket"] == F.col("__b")))
-    within = Window.partitionBy("source", "__bucket").orderBy("__hash", F.col("__id").asc_nulls_last(), "size").rowsBetween(Window.unboundedPreceding, -1)
+    both = d.withColumn("__s", _key(F.col("source"))).join(parts.withColumnRenamed("__b", "__bucket"), ["__s", "__bucket"])
+    within = Window.partitionBy("__s", "__bucket").orderBy("__hash", F.col("__id").asc_nulls_last(), "size").rowsBetween(Window.unboundedPreceding, -1)
     first = F.coalesce(F.sum("size").over(within), F.lit(0)) + F.col("size") / F.lit(2.0) <= F.col("__more")
     repeats = (F.col("__whole") + F.when(first, 1).otherwise(0)).cast("long")
     out = both.withColumn("repeats", repeats)

@@ -152,14 +152,14 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     return _fit(rows, counts, penalty, ridge, rounds)
 
 
-def score_texts(docs: DataFrame, model: tuple[dict[bytes, float], float], id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+def score_texts(docs: DataFrame, model: tuple[dict[bytes, float], float], id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), score: str = "score") -> DataFrame:
     """(id, *keep, score) for each row: the probability that the whole text is toxic.
 
     A null text counts as empty and gets the model's score without words. Only the text enters a score. A narrow map.
     """
     weights, base = model
     names = [id_col, *keep]
-    out = T.StructType([docs.schema[c] for c in names]).add("score", "double")
+    out = T.StructType([docs.schema[c] for c in names]).add(score, "double")
 
     def run(batches):
         import pyarrow as pa
