@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -108,20 +109,20 @@ def _fit(rows, counts: dict[int, int], penalty: float, ridge: float, rounds: int
             if z >= 4:
                 scored.append((-z, w))
     words = [w for _, w in sorted(scored)[:MAX_WORDS]]
-    words += sorted(w for w in KIN if w in found and w not in words)
+    words += sorted({w for t in KIN for w in features(t) if w in found} - set(words))
     index = {w: k for k, w in enumerate(words)}
     x = np.zeros((n, len(words)))
     for w, k in index.items():
         x[found[w], k] = 1
-    swaps = [(index.get(t), index.get(u)) for r in rows for t in r["terms"] for u in KIN[t]]
-    swaps = [s for s in swaps if s != (None, None)]
+    # a swap takes the term's features and gives those of another: its word and beginnings alike
+    parts = {t: features(t) for t in KIN}
+    swaps = Counter((t, u) for r in rows for t in r["terms"] for u in KIN[t])
     d = np.zeros((len(swaps), len(words)))
-    for k, (a, b) in enumerate(swaps):
-        if a is not None:
-            d[k, a] -= 1
-        if b is not None:
-            d[k, b] += 1
-    gram = d.T @ d / max(1, len(swaps)) * penalty
+    for k, ((t, u), times) in enumerate(sorted(swaps.items())):
+        share = math.sqrt(times / swaps.total())
+        d[k, [index[w] for w in parts[t] - parts[u] if w in index]] -= share
+        d[k, [index[w] for w in parts[u] - parts[t] if w in index]] += share
+    gram = d.T @ d * penalty
     # each class weighs as much as it does among all labels to learn from
     share = counts[1] / (counts[0] + counts[1])
     weight = np.where(y == 1, share / n1, (1 - share) / (n - n1))
