@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,9 +32,25 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
-    # shuffle files of what is now written go when the driver's JVM next collects its garbage; on a long job that is late
+    release(spark)
+    out = spark.read.schema(schema).parquet(path)
+    out.stashed_at = path
+    return out
+
+
+def release(spark: SparkSession) -> None:
+    """Have shuffle files of finished jobs deleted now: that waits for the driver's JVM to collect its garbage, which on a long job is late. What the listeners hold goes with the second collection."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    time.sleep(0.1)
     spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(schema).parquet(path)
+
+
+def drop(df: DataFrame) -> None:
+    """Delete the files of a stashed table that nothing reads any more."""
+    spark = df.sparkSession
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.stashed_at)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def texts(batch, name: str) -> list[bytes]:
@@ -84,6 +102,18 @@ def window_hashes(codes, size: int):
     return h
 
 
+def lowest(link, ids):
+    """For each row the smallest id of its component, by the links within one square table."""
+    import numpy as np
+
+    label = ids.copy()
+    while True:
+        new = np.minimum(label, np.where(link, label[None, :], np.iinfo(np.int64).max).min(1))
+        if (new == label).all():
+            return label
+        label = new
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 64) -> DataFrame:
     """(node, component) for each node of the edges; component is the smallest node that links reach.
 
@@ -97,6 +127,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
     )
     before = None
     for _ in range(most_rounds):
+        last = star
         both = star.select("u", "v").unionAll(star.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -105,6 +136,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         rest = large.join(low, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         star = stash(low.select("u", F.col("m").alias("v")).unionAll(rest).distinct(), "stars")
+        drop(last)
         now = star.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first()
         if tuple(now) == before:
             break

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stash, texts, window_hashes, word_hashes
+from .common import drop, stash, texts, window_hashes, word_hashes
 
 WINDOW = 20
 #: Stands for a null id: it comes after every other.
@@ -82,17 +82,19 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 f1, f2, again, half = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(again), _lists(half)], ["id", "f1", "f2", "again", "half"])
 
-    looked = d.mapInArrow(look, "id long, f1 long, f2 long, again boolean, half array<long>").where((F.size("half") > 0))
+    looked = stash(d.mapInArrow(look, "id long, f1 long, f2 long, again boolean, half array<long>").where(F.size("half") > 0), "looked")
+    texts_of = stash(looked.select("id", "f1", "f2"), "digests")
     first = stash(looked.groupBy("f1", "f2").agg(F.min("id").alias("first"), F.count("*").alias("c"), F.max("again").alias("again")), "texts")
 
     # Level 1: halves that occur in several texts.
-    halves = d.mapInArrow(look, "id long, f1 long, f2 long, again boolean, half array<long>").where(F.size("half") > 0).select("id", "half")
-    halves = halves.join(first.select(F.col("first").alias("id")).distinct(), "id", "left_semi").select("id", F.explode("half").alias("h"))
+    halves = looked.select("id", "half").join(first.select(F.col("first").alias("id")).distinct(), "id", "left_semi").select("id", F.explode("half").alias("h"))
     halves = stash(halves, "halves")
-    several = halves.groupBy("h").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where(F.col("lo") != F.col("hi")).select("h")
+    drop(looked)
+    several = stash(halves.groupBy("h").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where(F.col("lo") != F.col("hi")).select("h"), "several")
     seeds = halves.join(several, "h").groupBy("id").agg(F.collect_set("h").alias("seeds"))
     again = first.where("again").groupBy(F.col("first").alias("id")).agg(F.lit(True).alias("again"))
     found = stash(seeds.join(again, "id", "full_outer"), "seeds")
+    drop(halves)
 
     # Level 2: twice the length, where the half is repeated.
     def extend(batches):
@@ -113,9 +115,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     later = whole.join(origin, "w").where(F.col("id") != F.col("lo")).groupBy("id").agg(F.collect_set("w").alias("later"))
 
     # Removal from whole texts: of copies everything, else what later windows and those repeated within the text cover.
-    copies = looked.select("id", "f1", "f2").join(first.where(F.col("c") > 1).select("f1", "f2", "first"), ["f1", "f2"]).where(F.col("id") != F.col("first")).groupBy("id").agg(F.collect_set("f1").alias("copy"))
+    copies = texts_of.join(first.where(F.col("c") > 1).select("f1", "f2", "first"), ["f1", "f2"]).where(F.col("id") != F.col("first")).groupBy("id").agg(F.collect_set("f1").alias("copy"))
     marks = later.join(found.where("again").select("id", "again"), "id", "full_outer").join(copies, "id", "full_outer")
     marks = stash(marks.select("id", "later", "copy"), "marks")
+    drop(whole)
     names = [id_col, *keep]
     span = "array<struct<start: int, end: int>>"
     schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names]) + f", n_words long, n_removed long, removed {span}, kept_text string"
