@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, stash
+from .common import components, lowest, stash
 
 #: Vectors that the trees are fitted to, at most: those whose hash comes first. Every vector is routed.
 SAMPLE = 16_384
@@ -124,18 +124,6 @@ def _earlier(sets: list, leaf: int, mine, other):
     return a @ b.T > 0
 
 
-def _lowest(link, ids):
-    """For each row the smallest id of its component, by the links within one square table."""
-    import numpy as np
-
-    label = ids.copy()
-    while True:
-        new = np.minimum(label, np.where(link, label[None, :], np.iinfo(np.int64).max).min(1))
-        if (new == label).all():
-            return label
-        label = new
-
-
 def compare(leaf: int, ids, weights, vectors, sets: list, side, threshold: float):
     """Links of a leaf's rows, or of one block (side 0) against another (side 1): (ids, links counted here, lowest id reached here)."""
     import numpy as np
@@ -157,7 +145,7 @@ def compare(leaf: int, ids, weights, vectors, sets: list, side, threshold: float
         link = near
         found = (near & ~_earlier(sets, leaf, np.arange(n), np.arange(n))) @ weights
     linked = link.any(1)
-    return ids[linked], found[linked], _lowest(link, ids)[linked]
+    return ids[linked], found[linked], lowest(link, ids)[linked]
 
 
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = THRESHOLD, trees: int = TREES, leaf: int = LEAF,
