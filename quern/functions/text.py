@@ -163,3 +163,16 @@ def module_of_path(path: Column, root: str) -> Column:
 
 def slug(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(F.trim(F.coalesce(c, F.lit("")))), r"[^a-z0-9]+", "-"), r"^-+|-+$", "")
+
+
+def plain_goal(goal: Column) -> Column:
+    """A goal as a policy reads it: space collapsed, qualifiers before a dot dropped, the word not as a sign."""
+    short = F.regexp_replace(collapse_space(goal), r"\b(?:[A-Z]\w*\.)+(?=\w)", "")
+    return F.regexp_replace(short, r"\bnot\b", "¬")
+
+
+def unsolved_positions(output: Column) -> Column:
+    """array<struct<line, col>> of path:line,col or path:line.col marks in a checker's output, in order."""
+    mark = r":(\d+)[,.](\d+)"
+    line, col = F.regexp_extract_all(output, F.lit(mark), F.lit(1)), F.regexp_extract_all(output, F.lit(mark), F.lit(2))
+    return F.zip_with(line, col, lambda a, b: F.struct(a.try_cast("int").alias("line"), b.try_cast("int").alias("col")))
