@@ -1,13 +1,16 @@
 """N-gram Jaccard join by token-combination prefixes.
 
 A document is the set of its distinct shingles. Under any one order of all shingles, two sets that are similar enough
-share at least two of the first p = n - ceil(t n) + 2 of each. Shingles of many documents come last in the order, so a
-prefix reaches on past them to rarer ones and holds them only where a set has little else. Shingles that few prefixes
-hold are indexed alone; those that many hold are indexed by combinations of two. Candidates are verified on whole sets.
-
-Equal sets are joined first, and only one of them goes on. Each shingle's documents are then verified against the first
-of them, which joins groups of near copies by as many pairs as members; only where this leaves different components
-under one shingle are more pairs made, between those components. So every link between different components is found.
+share at least k of the first p = n - ceil(t n) + k of each, so prefixes are extended to ask for k common shingles instead
+of one. Shingles of many documents come last in the order; a prefix reaches on past them to rarer ones and holds them
+only where a set has little else. Rare shingles are indexed alone, and pairs that share enough of them are candidates.
+Frequent ones are indexed by combinations of two that follow one another in a prefix. Candidates are verified on whole
+sets.
+
+Equal sets are joined first, and only one of them goes on. The documents of a combination are verified against the first
+of them, which joins large groups of near copies by as many pairs as members. Where that leaves different components
+under a frequent shingle, the sets that such shingles tie together are compared block by block without listing pairs. So
+every link between different components is found.
 """
 
 from __future__ import annotations
@@ -15,15 +18,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, stash, texts, window_hashes, word_hashes
+from .common import components, drop, lowest, stash, texts, window_hashes, word_hashes
 
 SHINGLE = 4
 #: Links have 100 * intersection >= PERCENT * union.
 PERCENT = 85
 #: Shingles in more sets than this come last in the order, if no more than MOST_FREQUENT do; else the limit is doubled.
 FREQUENT, MOST_FREQUENT = 8, 2_000_000
-#: Shingles in more prefixes than this are indexed by combinations of two.
-SINGLE = 256
+#: How far such shingles are looked for, in quarters of a prefix: a set that holds more of them also indexes some that others of its kind didn't reach.
+REACH = 5
+#: Shingles in more prefixes than this are frequent; rarer ones are indexed alone.
+SINGLE = 64
+#: Sets of a group in a block; two blocks are compared by a task.
+BLOCK = 512
+#: Common shingles asked for beyond the first two, per hundred of a set.
+EXTENDED = 5
 
 
 def shingle_set(raw: bytes, size: int = SHINGLE):
@@ -38,8 +47,13 @@ def shingle_set(raw: bytes, size: int = SHINGLE):
     return np.unique(found.view(np.int64))
 
 
+def common(n: int) -> int:
+    """How many shingles the prefixes of similar sets share: the smaller of two sets' numbers holds for the pair."""
+    return min(n, n * EXTENDED // 100 + 2)
+
+
 def prefix_length(n: int, percent: int = PERCENT) -> int:
-    return min(n, n - -(-percent * n // 100) + 2)
+    return min(n, n - -(-percent * n // 100) + common(n))
 
 
 def _sets(docs: DataFrame, make, schema: str, id_col: str, text_col: str) -> DataFrame:
@@ -77,12 +91,14 @@ def _fingerprint(found) -> tuple[int, int, int]:
     return len(found), int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
 
 
-def _similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that link, by their whole sets."""
+def _verified(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that link, by their whole sets; only the texts of these pairs are read."""
+    nodes = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    sets = stash(_sets(docs.join(nodes, "id", "left_semi"), lambda s: (s,) if len(s) else None, "set array<long>", "id", "text"), "whole")
     left = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a")
     both = left.join(sets.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b")
-    common = F.size(F.array_intersect("sa", "sb"))
-    return both.where(100 * common >= percent * (F.size("sa") + F.size("sb") - common)).select("a", "b")
+    same = F.size(F.array_intersect("sa", "sb"))
+    return both.where(100 * same >= percent * (F.size("sa") + F.size("sb") - same)).select("a", "b")
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -92,10 +108,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     with nothing and has a null component. Extra columns are ignored; an empty table gives an empty result.
     """
     d = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    base = stash(_sets(d, _fingerprint, "n long, f1 long, f2 long", "id", "text"), "sets")
+    head = lambda s: (*_fingerprint(s), s[: REACH * prefix_length(len(s), percent) // 4])
+    heads = stash(_sets(d, head, "n long, f1 long, f2 long, head array<long>", "id", "text"), "heads")
+    base = stash(heads.select("id", "n", "f1", "f2"), "sets")
     reps = base.where((F.col("n") > 0) & F.col("id").isNotNull()).groupBy("f1", "f2").agg(F.min("id").alias("rep"), F.first("n").alias("n"))
     reps = stash(reps, "distinct")
-    links = _links(d, reps.select(F.col("rep").alias("id")).distinct(), percent)
+    links = _links(d, heads, reps.select(F.col("rep").alias("id")).distinct(), percent)
     comps = components(links).select(F.col("node").alias("rep"), "component")
     named = reps.join(comps, "rep", "left").select("f1", "f2", F.coalesce("component", "rep").alias("root"))
     # a hot class has many rows on the left and one on the right: Spark splits it
@@ -104,14 +122,14 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return rows.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("root", "id")).otherwise(F.col("id")).alias("component_id"))
 
 
-def _links(docs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+def _links(docs: DataFrame, heads: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     """(a, b): enough of the links between different sets that their components are those of all links."""
     spark = docs.sparkSession
 
     # 1. Shingles of many sets, counted where a prefix might reach; the order puts them last.
-    reach = _sets(docs, lambda s: (s[: 3 * prefix_length(len(s), percent)],) if len(s) else None, "head array<long>", "id", "text")
-    counts = reach.join(reps, "id", "left_semi").select(F.explode("head").alias("token")).groupBy("token").count()
+    counts = heads.where(F.size("head") > 0).join(reps, "id", "left_semi").select(F.explode("head").alias("token")).groupBy("token").count()
     counts = stash(counts.where(F.col("count") > FREQUENT), "frequent")
+    drop(heads)
     limit = FREQUENT
     while counts.where(F.col("count") > limit).count() > MOST_FREQUENT:
         limit *= 2
@@ -132,32 +150,84 @@ def _links(docs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
         return len(s), np.concatenate([s[~last][:p], s[last][: max(0, p - int((~last).sum()))]])
 
     index = _sets(docs, prefix, "n long, tokens array<long>", "id", "text").join(reps, "id", "left_semi")
-    index = stash(index.select("id", "n", F.explode("tokens").alias("token")), "prefixes")
+    packed = stash(index, "prefixes")
+    index = packed.select("id", "n", F.explode("tokens").alias("token"))
     several = index.groupBy("token").agg(F.count("*").alias("c"), F.min("id").alias("first")).where(F.col("c") > 1)
+    several = stash(several, "several")
     index = stash(index.join(several, "token"), "index")
+    drop(packed)
 
     # 3. Each shingle's documents against the first of them.
     fits = lambda x, y: (100 * F.least(x, y) >= percent * F.greatest(x, y))
-    star = stash(index.where(F.col("id") != F.col("first")).select(F.col("first").alias("a"), F.col("id").alias("b")).distinct(), "stars")
-    nodes = index.select("id").distinct()
-    wanted = docs.join(nodes, "id", "left_semi")
-    sets = stash(_sets(wanted, lambda s: (s,) if len(s) else None, "set array<long>", "id", "text").dropDuplicates(["id"]), "whole")
-    linked = stash(_similar(star, sets, percent), "linked")
-    comps = components(linked)
-
-    # 4. What is left: shingles that still hold different components.
-    placed = index.join(comps.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed = placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where(F.col("lo") != F.col("hi")).select("token")
-    placed = stash(placed.join(mixed, "token").select("token", "id", "n", "c", "component"), "mixed")
-    single = placed.where(F.col("c") <= SINGLE)
-    many = placed.where(F.col("c") > SINGLE).groupBy("id", "n", "component").agg(F.array_sort(F.collect_set("token")).alias("t"))
-    pair = F.expr("flatten(transform(t, (x, i) -> transform(slice(t, i + 2, size(t)), y -> xxhash64(x, y))))")
-    combined = many.where(F.size("t") > 1).select(F.explode(pair).alias("token"), "id", "n", "component")
-    rest = None
-    for rows in (single.select("token", "id", "n", "component"), combined):
-        x = rows.select("token", F.col("id").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
-        y = rows.select("token", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
-        got = x.join(y, "token").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & fits(F.col("na"), F.col("nb"))).select("a", "b")
-        rest = got if rest is None else rest.unionAll(got)
-    rest = stash(rest.distinct().join(star, ["a", "b"], "left_anti"), "rest")
-    return linked.unionAll(_similar(rest, sets, percent))
+    k = F.least("n", F.floor(F.col("n") * EXTENDED / 100) + 2)
+    often = F.col("c") > SINGLE
+    many = index.where(often)
+    index = index.join(many.groupBy("id").agg(F.count("*").alias("f")), "id", "left").withColumn("k", k).withColumn("f", F.coalesce("f", F.lit(0)))
+
+    # 3. Candidates: pairs with enough rare shingles in common, and the documents of two frequent ones with the first of them.
+    fits = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
+    rare = index.where(~often)
+    x = rare.select("token", F.col("id").alias("a"), F.col("n").alias("na"), F.col("k").alias("ka"), F.col("f").alias("fa"))
+    y = rare.select("token", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("k").alias("kb"), F.col("f").alias("fb"))
+    least = F.greatest(F.lit(1), F.least("ka", "kb") - F.least("fa", "fb"))
+    near = x.join(y, "token").where((F.col("a") < F.col("b")) & fits).groupBy("a", "b").agg(F.count("*").alias("s"), F.first(least).alias("least"))
+    two = F.expr("transform(slice(t, 2, size(t)), (y, i) -> xxhash64(t[i], y))")
+    joint = many.groupBy("id").agg(F.array_sort(F.collect_set("token")).alias("t")).where(F.size("t") > 1).select("id", F.explode(two).alias("two"))
+    joint = stash(joint, "combinations")
+    star = joint.join(joint.groupBy("two").agg(F.min("id").alias("a")), "two").where(F.col("id") != F.col("a")).select("a", F.col("id").alias("b"))
+    pairs = stash(near.where(F.col("s") >= F.col("least")).select("a", "b").unionAll(star).distinct(), "pairs")
+    linked = stash(_verified(docs, pairs, percent), "linked")
+
+    # 4. Sets of many frequent shingles that still lie in different components under one of them.
+    heavy = many.withColumn("k", k).join(index.select("id", "f").distinct(), "id").where(F.col("f") >= (F.col("k") - 2) / 1.2 - 1)
+    if heavy.isEmpty():
+        return linked
+    placed = heavy.join(components(linked).withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    placed = stash(placed.select("token", "id", "component"), "heavy")
+    mixed = placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("id").alias("first")).where(F.col("lo") != F.col("hi")).select("token", "first")
+    placed = stash(placed.join(mixed, "token").select("id", "first").distinct(), "mixed")
+    if placed.isEmpty():
+        return linked
+    # sets that such shingles tie together, compared with one another block by block
+    tied = components(placed.select(F.col("id").alias("a"), F.col("first").alias("b"))).select(F.col("node").alias("id"), F.col("component").alias("group"))
+    return linked.unionAll(_blocks(docs, tied, percent))
+
+
+def _blocks(docs: DataFrame, tied: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of links that join all sets of a group that links join; each task compares one block of a group with another, and hands on one row for a set."""
+    tied = stash(tied, "tied")
+    parts = tied.groupBy("group").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
+    own = F.pmod(F.xxhash64("id"), F.col("parts"))
+    dealt = tied.join(parts, "group").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    dealt = dealt.select("group", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"), "id")
+    sets = stash(_sets(docs.join(tied.select("id"), "id", "left_semi"), lambda s: (s,) if len(s) else None, "set array<long>", "id", "text"), "whole")
+
+    def judge(table):
+        import numpy as np
+        import pyarrow as pa
+
+        ids, column = table.column("id").to_numpy(), table.column("set").combine_chunks()
+        values, ends = column.values.to_numpy(), column.offsets.to_numpy()
+        sizes = np.diff(ends)
+        rows = np.repeat(np.arange(len(ids)), sizes)
+        token, code, times = np.unique(values[ends[0] : ends[-1]], return_inverse=True, return_counts=True)
+        shared = times > 1
+        place = np.cumsum(shared) - 1
+        use = shared[code]
+        rows, code = rows[use], place[code[use]]
+        order = np.argsort(code, kind="stable")
+        rows, code = rows[order], code[order]
+        inter = np.zeros((len(ids), len(ids)), np.float32)
+        for at in range(0, int(shared.sum()), 4096):  # exact: whole numbers below 2 ** 24
+            lo, hi = np.searchsorted(code, (at, at + 4096))
+            m = np.zeros((len(ids), 4096), np.float32)
+            m[rows[lo:hi], code[lo:hi] - at] = 1
+            inter += m @ m.T
+        inter = inter.astype(np.int64)
+        link = 100 * inter >= percent * (sizes[:, None] + sizes[None, :] - inter)
+        np.fill_diagonal(link, False)
+        root = lowest(link, ids)
+        far = root != ids
+        return pa.table({"a": pa.array(root[far], pa.int64()), "b": pa.array(ids[far], pa.int64())})
+
+    return dealt.join(sets, "id").groupBy("group", "one", "two").applyInArrow(judge, "a long, b long")
