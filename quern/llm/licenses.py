@@ -8,11 +8,13 @@ one of its windows with a chance of over 1/3 a band, so 20 bands miss it with le
 
 from __future__ import annotations
 
-from functools import reduce
+from collections import Counter
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import stash
+
 SHINGLE, WINDOW, BANDS = 5, 8, 20
 #: A template is found if at least this share of its shingles occurs.
 CONTAINED = 0.8
@@ -48,31 +50,41 @@ def normal_words(text):
     return F.split(plain, " +")
 
 
-def _windows(df: DataFrame, keep: list[str]) -> DataFrame:
-    """A row for each word: the window that starts there as w0.., null past the end."""
-    size = F.size("words")
-    shifted = [F.when(size > k, F.slice("words", k + 1, size)).otherwise(F.array().cast("array<string>")).alias(f"w{k}") for k in range(WINDOW)]
-    return df.select(*keep, F.inline(F.arrays_zip(*shifted)))
+#: Words beside a shingle that its windows reach to.
+BESIDE = WINDOW - SHINGLE
+
+
+def _around(df: DataFrame, key: str) -> DataFrame:
+    """A row for each shingle: its words as c3.. with as many before and after as its windows reach to, null past the text's ends."""
+    padded = F.concat(F.array_repeat(F.lit(None).cast("string"), BESIDE), F.col("words"))
+    size = F.size("words") + BESIDE
+    shifted = [F.when(size > k, F.slice(padded, k + 1, size)).otherwise(F.array().cast("array<string>")).alias(f"c{k}") for k in range(SHINGLE + 2 * BESIDE)]
+    return df.select(key, F.inline(F.arrays_zip(*shifted))).where(F.col(f"c{BESIDE}").isNotNull() & F.col(f"c{BESIDE + SHINGLE - 1}").isNotNull())
 
 
-def _shingles() -> list:
-    """The window's shingles as hashes; null where it ends before."""
-    cols = [[F.col(f"w{k + j}") for j in range(SHINGLE)] for k in range(WINDOW - SHINGLE + 1)]
-    return [F.when(c[-1].isNotNull(), F.xxhash64(*c)) for c in cols]
+def _hash(start: int):
+    """The shingle that starts at this column, as a hash; null where the text doesn't hold it whole."""
+    cols = [F.col(f"c{start + j}") for j in range(SHINGLE)]
+    return F.when(cols[0].isNotNull() & cols[-1].isNotNull(), F.xxhash64(*cols))
 
 
-def _hashed(df: DataFrame, key: str) -> DataFrame:
-    shingles = [h.alias(f"h{i}") for i, h in enumerate(_shingles())]
-    return _windows(df, [key]).select(key, *[f"w{k}" for k in range(WINDOW)], *shingles).where(F.col("h0").isNotNull())
+def _windows(around: DataFrame, key: str) -> DataFrame:
+    """A row for each window that holds the shingle: its shingles' hashes h0.. (null past the end) and the shingles as text."""
+    text = lambda k: F.when(F.col(f"c{k}").isNotNull() & F.col(f"c{k + SHINGLE - 1}").isNotNull(), F.concat_ws(" ", *[F.col(f"c{k + j}") for j in range(SHINGLE)]))
+    one = lambda k: F.struct(_hash(k).alias("h"), text(k).alias("s"))
+    starts = range(BESIDE + 1)
+    windows = F.array(*[F.when(F.col(f"c{k}").isNotNull(), F.array(*[one(k + i) for i in range(BESIDE + 1)])) for k in starts])
+    d = around.select(key, F.explode(windows).alias("w")).where(F.col("w").isNotNull())
+    return d.select(key, "w", *[F.col("w")[i]["h"].alias(f"h{i}") for i in starts])
 
 
-def _bands(n: int) -> list:
+def _bands() -> list:
     """BANDS MinHash values of the window from its shingles h0..: each seed flips other bits before they are hashed again."""
     out = []
     for b in range(BANDS):
         factor = (0x9E3779B97F4A7C15 * (2 * b + 1) + 2 * b * 0xD1B54A32D192ED03) & (2**64 - 1) | 1
         factor = factor - 2**64 if factor >= 2**63 else factor
-        out.append(F.least(*[F.when(F.col(f"h{i}").isNotNull(), F.xxhash64(F.col(f"h{i}").bitwiseXOR(F.lit(factor)))) for i in range(n)]))
+        out.append(F.least(*[F.when(F.col(f"h{i}").isNotNull(), F.xxhash64(F.col(f"h{i}").bitwiseXOR(F.lit(factor)))) for i in range(BESIDE + 1)]))
     return out
 
 
@@ -87,22 +99,18 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Only the fixed list of templates is broadcast. Null and empty texts and those of fewer than 5 words hold nothing;
     rows that repeat an id count as one document; a null id is an id of its own; an empty table gives none.
     """
-    spark, n = docs.sparkSession, WINDOW - SHINGLE + 1
-    whole = template_table(spark, templates)
-    known = _hashed(whole, "license").select("license", *[h.alias(f"b{b}") for b, h in enumerate(_bands(n))]).collect()  # of the fixed templates
-    sets = [sorted({r[f"b{b}"] for r in known}) for b in range(BANDS)]
+    spark = docs.sparkSession
+    whole = _around(template_table(spark, templates), "license")
+    known = _windows(whole, "license").select("license", F.array(*_bands()).alias("bands")).distinct().collect()  # of the fixed templates
+    shingles = whole.select("license", _hash(BESIDE).alias("h"), F.concat_ws(" ", *[F.col(f"c{BESIDE + j}") for j in range(SHINGLE)]).alias("shingle")).distinct().collect()
     d = docs.select(F.col(id_col).alias("id"), normal_words(F.col(text_col)).alias("words"))
-    windows = _hashed(d, "id")
-    hit = reduce(lambda a, c: a | c, [band.isin(values) for band, values in zip(_bands(n), sets, strict=True)])
-    near = windows.where(hit)
-    # which templates: the bands that collide, by a table of the fixed templates
-    table = spark.createDataFrame(sorted({(b, r[f"b{b}"], r["license"]) for r in known for b in range(BANDS)}), "band int, value long, license string")
-    bands = F.posexplode(F.array(*_bands(n))).alias("band", "value")
-    named = [F.when(F.col(f"h{k}").isNotNull(), F.concat_ws(" ", *[F.col(f"w{k + j}") for j in range(SHINGLE)])) for k in range(n)]
-    found = near.select("id", F.array(*named).alias("shingles"), bands).join(F.broadcast(table), ["band", "value"])
-    found = found.select("id", "license", F.explode("shingles").alias("shingle")).where(F.col("shingle").isNotNull()).distinct()
-    exact = _hashed(whole, "license").select("license", named[0].alias("shingle")).distinct()
-    total = exact.groupBy("license").agg(F.count("*").alias("total"))
-    matched = found.join(F.broadcast(exact.join(F.broadcast(total), "license")), ["license", "shingle"]).groupBy("id", "license").agg(F.count("*").alias("matched"), F.first("total").alias("total"))
+    # A window can collide in a band only if its smallest shingle is one of a template's, so windows without any needn't be hashed again.
+    near = stash(_around(d, "id").where(_hash(BESIDE).isin(sorted({r["h"] for r in shingles}))), "near")
+    table = spark.createDataFrame(sorted({(b, v, r["license"]) for r in known for b, v in enumerate(r["bands"])}), "band int, value long, license string")
+    bands = _windows(near, "id").select("id", "w", F.posexplode(F.array(*_bands())).alias("band", "value"))
+    found = bands.join(F.broadcast(table), ["band", "value"]).select("id", "license", F.explode("w.s").alias("shingle")).where(F.col("shingle").isNotNull()).distinct()
+    sizes = Counter(r["license"] for r in shingles)
+    exact = spark.createDataFrame([(r["license"], r["shingle"], sizes[r["license"]]) for r in shingles], "license string, shingle string, total long")
+    matched = found.join(F.broadcast(exact), ["license", "shingle"]).groupBy("id", "license").agg(F.count("*").alias("matched"), F.first("total").alias("total"))
     out = matched.withColumn("containment", F.col("matched") / F.col("total")).where(F.col("containment") >= contained)
     return out.select(F.col("id").alias(id_col), "license", "matched", "total", "containment")
