@@ -172,3 +172,22 @@ def test_quality_model(spark):
     got = {x["doc_id"]: x["kept"] for x in quality.quality_filter(docs, labels).collect()}
     assert all(got[i] for i in range(60)) and sum(got[i] for i in range(60, 80)) >= 17 and not any(got[100 + i] for i in range(10))
     assert got[200] is False and got[201] is False
+
+
+def test_quality_counts_all_trusted_text(spark):
+    """Every trusted document is counted, also past any fixed number of them and in pieces of long texts."""
+    n = 12_500
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.lit("ab").alias("text")).unionAll(spark.createDataFrame([(n, "abcd" * 50_000), (n + 1, None), (n + 2, ""), (n + 3, "zz")], "doc_id long, text string"))
+    labels = docs.select("doc_id", F.when(F.col("doc_id") == n + 3, 0).otherwise(1).alias("quality"))
+    trusted = docs.join(labels.where("quality = 1"), "doc_id").select("text")
+    got = {r["gram"]: r["c"] for r in quality.count_grams(trusted).collect()}
+    once, again = np.unique(quality.gram_ids("abcd" * 50_000), return_counts=True)
+    short = quality.gram_ids("ab").tolist()
+    assert got == {g: c + n * short.count(g) for g, c in zip(once.tolist(), again.tolist(), strict=True)}
+    seen = []
+    plain, quality.kneser_ney = quality.kneser_ney, lambda counts: seen.append(counts.agg(F.sum("c")).first()[0]) or plain(counts)
+    try:
+        quality.fit_quality(docs, labels)
+    finally:
+        quality.kneser_ney = plain
+    assert seen == [2 * n + 200_000]
