@@ -191,3 +191,14 @@ def test_quality_counts_all_trusted_text(spark):
     finally:
         quality.kneser_ney = plain
     assert seen == [2 * n + 200_000]
+
+
+def test_quality_threshold_with_an_odd_trusted_text(spark):
+    """One trusted text that is junk doesn't let junk like it through."""
+    r = random.Random(8)
+    junk = lambda: "".join(r.choice("qxz#$%& |") for _ in range(150))
+    clean = [" ".join(r.choice(["the", "house", "of", "tree", "was", "green", "and"]) for _ in range(40)) + "." for _ in range(200)]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(clean + [junk() for _ in range(11)])], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1) for i in range(201)] + [(i, 0) for i in range(201, 211)], "doc_id long, quality int")
+    got = {x["doc_id"]: x["kept"] for x in quality.quality_filter(docs, labels).collect()}
+    assert not any(got[i] for i in range(201, 211)) and sum(got[i] for i in range(200)) >= 195
