@@ -27,8 +27,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of similar documents the one with the smallest id stays; null ids stay."""
-    found = jaccard_components(docs)
+    """Of each component of documents that share 80 percent of their 5-word shingles the one with the smallest id stays; null ids stay."""
+    found = jaccard_components(docs, percent=80, size=5)
     copies = found.where(F.col("component_id") != F.col(DOC_ID)).select(DOC_ID).distinct()
     return docs.join(copies, DOC_ID, "left_anti").select(docs.columns)
 

@@ -56,7 +56,7 @@ def prefix_length(n: int, percent: int = PERCENT) -> int:
     return min(n, n - -(-percent * n // 100) + common(n))
 
 
-def _sets(docs: DataFrame, make, schema: str, id_col: str, text_col: str) -> DataFrame:
+def _sets(docs: DataFrame, make, schema: str, id_col: str, text_col: str, size: int) -> DataFrame:
     """make(set) gives the columns after the id; rows for which it gives None are left out."""
     key = docs.schema[id_col].dataType.simpleString()
 
@@ -65,7 +65,7 @@ def _sets(docs: DataFrame, make, schema: str, id_col: str, text_col: str) -> Dat
 
         names = None
         for batch in batches:
-            made = [make(shingle_set(raw)) for raw in texts(batch, "__text")]
+            made = [make(shingle_set(raw, size)) for raw in texts(batch, "__text")]
             at = [k for k, m in enumerate(made) if m is not None]
             if at:
                 cols = list(zip(*(made[k] for k in at), strict=True))
@@ -91,17 +91,17 @@ def _fingerprint(found) -> tuple[int, int, int]:
     return len(found), int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+def _verified(docs: DataFrame, pairs: DataFrame, percent: int, size: int) -> DataFrame:
     """The pairs (a, b) that link, by their whole sets; only the texts of these pairs are read."""
     nodes = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    sets = stash(_sets(docs.join(nodes, "id", "left_semi"), lambda s: (s,) if len(s) else None, "set array<long>", "id", "text"), "whole")
+    sets = stash(_sets(docs.join(nodes, "id", "left_semi"), lambda s: (s,) if len(s) else None, "set array<long>", "id", "text", size), "whole")
     left = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a")
     both = left.join(sets.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b")
     same = F.size(F.array_intersect("sa", "sb"))
     return both.where(100 * same >= percent * (F.size("sa") + F.size("sb") - same)).select("a", "b")
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
     """(id, n_shingles, component_id) for each row.
 
     Null and empty texts have empty sets and link with nothing. Rows that repeat an id are one node. A null id links
@@ -109,11 +109,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     d = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     head = lambda s: (*_fingerprint(s), s[: REACH * prefix_length(len(s), percent) // 4])
-    heads = stash(_sets(d, head, "n long, f1 long, f2 long, head array<long>", "id", "text"), "heads")
+    heads = stash(_sets(d, head, "n long, f1 long, f2 long, head array<long>", "id", "text", size), "heads")
     base = stash(heads.select("id", "n", "f1", "f2"), "sets")
     reps = base.where((F.col("n") > 0) & F.col("id").isNotNull()).groupBy("f1", "f2").agg(F.min("id").alias("rep"), F.first("n").alias("n"))
     reps = stash(reps, "distinct")
-    links = _links(d, heads, reps.select(F.col("rep").alias("id")).distinct(), percent)
+    links = _links(d, heads, reps.select(F.col("rep").alias("id")).distinct(), percent, size)
     comps = components(links).select(F.col("node").alias("rep"), "component")
     named = reps.join(comps, "rep", "left").select("f1", "f2", F.coalesce("component", "rep").alias("root"))
     # a hot class has many rows on the left and one on the right: Spark splits it
@@ -122,7 +122,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return rows.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("root", "id")).otherwise(F.col("id")).alias("component_id"))
 
 
-def _links(docs: DataFrame, heads: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+def _links(docs: DataFrame, heads: DataFrame, reps: DataFrame, percent: int, size: int) -> DataFrame:
     """(a, b): enough of the links between different sets that their components are those of all links."""
     spark = docs.sparkSession
 
@@ -149,7 +149,7 @@ def _links(docs: DataFrame, heads: DataFrame, reps: DataFrame, percent: int) ->
             last = often[at] == s
         return len(s), np.concatenate([s[~last][:p], s[last][: max(0, p - int((~last).sum()))]])
 
-    index = _sets(docs, prefix, "n long, tokens array<long>", "id", "text").join(reps, "id", "left_semi")
+    index = _sets(docs, prefix, "n long, tokens array<long>", "id", "text", size).join(reps, "id", "left_semi")
     packed = stash(index, "prefixes")
     index = packed.select("id", "n", F.explode("tokens").alias("token"))
     several = index.groupBy("token").agg(F.count("*").alias("c"), F.min("id").alias("first")).where(F.col("c") > 1)
@@ -176,10 +176,10 @@ def _links(docs: DataFrame, heads: DataFrame, reps: DataFrame, percent: int) ->
     joint = stash(joint, "combinations")
     star = joint.join(joint.groupBy("two").agg(F.min("id").alias("a")), "two").where(F.col("id") != F.col("a")).select("a", F.col("id").alias("b"))
     pairs = stash(near.where(F.col("s") >= F.col("least")).select("a", "b").unionAll(star).distinct(), "pairs")
-    linked = stash(_verified(docs, pairs, percent), "linked")
+    linked = stash(_verified(docs, pairs, percent, size), "linked")
 
-    # 4. Sets of many frequent shingles that still lie in different components under one of them.
-    heavy = many.withColumn("k", k).join(index.select("id", "f").distinct(), "id").where(F.col("f") >= (F.col("k") - 2) / 1.2 - 1)
+    # 4. Sets of many frequent shingles that still lie in different components under one of them. A link's sets differ in n, and so in k - 2, by 100 / percent at most.
+    heavy = many.withColumn("k", k).join(index.select("id", "f").distinct(), "id").where(F.col("f") >= (F.col("k") - 2) / max(1.2, 100 / percent) - 1)
     if heavy.isEmpty():
         return linked
     placed = heavy.join(components(linked).withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
@@ -190,17 +190,17 @@ def _links(docs: DataFrame, heads: DataFrame, reps: DataFrame, percent: int) ->
         return linked
     # sets that such shingles tie together, compared with one another block by block
     tied = components(placed.select(F.col("id").alias("a"), F.col("first").alias("b"))).select(F.col("node").alias("id"), F.col("component").alias("group"))
-    return linked.unionAll(_blocks(docs, tied, percent))
+    return linked.unionAll(_blocks(docs, tied, percent, size))
 
 
-def _blocks(docs: DataFrame, tied: DataFrame, percent: int) -> DataFrame:
+def _blocks(docs: DataFrame, tied: DataFrame, percent: int, size: int) -> DataFrame:
     """(a, b) of links that join all sets of a group that links join; each task compares one block of a group with another, and hands on one row for a set."""
     tied = stash(tied, "tied")
     parts = tied.groupBy("group").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
     own = F.pmod(F.xxhash64("id"), F.col("parts"))
     dealt = tied.join(parts, "group").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     dealt = dealt.select("group", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"), "id")
-    sets = stash(_sets(docs.join(tied.select("id"), "id", "left_semi"), lambda s: (s,) if len(s) else None, "set array<long>", "id", "text"), "whole")
+    sets = stash(_sets(docs.join(tied.select("id"), "id", "left_semi"), lambda s: (s,) if len(s) else None, "set array<long>", "id", "text", size), "whole")
 
     def judge(table):
         import numpy as np

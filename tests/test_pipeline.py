@@ -1,0 +1,30 @@
+"""The stages of the pipeline on small tables."""
+
+import random
+
+import pytest
+
+from quern.llm.ngram_join import jaccard_components
+
+from .llm.brute import corpus, link_components, shingles
+
+corpus_pipeline = pytest.importorskip("corpus_pipeline")
+
+
+def five_word_components(docs):
+    sets = {i: shingles(t, 5) for i, t in docs}
+    linked = [(a, b) for a in sets for b in sets if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    return link_components(sets, linked)
+
+
+def test_near_copies(spark):
+    """Five words and 80 percent: also a copy with an added block, which 4 words and 85 percent don't link."""
+    r = random.Random(9)
+    base = [f"w{r.randrange(10_000)}" for _ in range(104)]
+    docs = corpus(seed=5)
+    docs += [(1000, " ".join(base)), (1001, " ".join(base + [f"x{k}" for k in range(24)])), (1002, " ".join(base + [f"y{k}" for k in range(40)]))]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    comps = five_word_components(docs)
+    assert comps[1001] == 1000 and comps[1002] == 1002
+    assert {x["doc_id"]: x["component_id"] for x in jaccard_components(d, percent=80, size=5).collect()} == comps
+    assert sorted(x["doc_id"] for x in corpus_pipeline.near_copies(spark, d, "").collect()) == sorted(i for i, c in comps.items() if i == c)
