@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: A word is a run of anything but space, tab, line feed, vertical tab, form feed and carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Bytes of an Arrow batch, about.
+BATCH = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -26,13 +28,14 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
-def stash(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts the lineage, and survives lost executors."""
+def stash(df: DataFrame, name: str, tidy: bool = False) -> DataFrame:
+    """Write df to the shared folder and read it back: cuts the lineage, and survives lost executors. tidy: what was shuffled for it is large, so free it now."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
-    release(spark)
+    if tidy:
+        release(spark)
     out = spark.read.schema(schema).parquet(path)
     out.stashed_at = path
     return out
@@ -53,6 +56,11 @@ def drop(df: DataFrame) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Have Spark cut Arrow batches by bytes as well as by rows: a Python worker then holds BATCH bytes of input, or one row, and what it makes of them. Holds for the session."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH))
+
+
 def texts(batch, name: str) -> list[bytes]:
     """A text column of an Arrow batch as UTF-8 bytes; null counts as empty."""
     import pyarrow as pa
@@ -62,25 +70,103 @@ def texts(batch, name: str) -> list[bytes]:
     return [x or b"" for x in column.cast(kind).to_pylist()]
 
 
-class Hashes(dict):
-    """64-bit hash by word, the same on every machine."""
+def text_bytes(batch, name: str):
+    """(bytes of all texts on end, where each begins and the last ends) of a text column, without a Python object a row; null counts as empty."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    column = batch.column(name).cast(pa.large_string()).cast(pa.large_binary())
+    if column.null_count:
+        column = pc.fill_null(column, b"")
+    _, at, data = column.buffers()
+    offsets = np.frombuffer(at, np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
+    raw = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None else np.zeros(0, np.uint8)
+    return raw, offsets - offsets[0]
+
+
+def word_table(raw, offsets, lower: bool = False):
+    """(words as an Arrow array, number of each text's first word and the last one's end): runs of bytes that aren't white space; A-Z lower-cased on demand."""
+    import numpy as np
+    import pyarrow as pa
+
+    blank = np.zeros(256, bool)
+    blank[[0x20, *range(0x09, 0x0E)]] = True
+    kept = ~blank[raw]
+    begins = kept.copy()
+    begins[1:] &= ~kept[:-1]
+    edges = offsets[:-1][offsets[:-1] < len(raw)]
+    begins[edges] = kept[edges]
+    places = np.flatnonzero(begins)
+    before = np.cumsum(kept, dtype=np.int64)
+    at = np.append(before[places] - 1, before[-1] if len(before) else 0)
+    bare = raw[kept]
+    if lower:
+        case = np.arange(256, dtype=np.uint8)
+        case[ord("A") : ord("Z") + 1] += 32
+        bare = case[bare]
+    words = pa.Array.from_buffers(pa.large_binary(), len(places), [None, pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(bare))])
+    return words, np.searchsorted(places, offsets)
+
+
+def word_hashes(words):
+    """A 64-bit hash of each word of an Arrow array, the same on every machine; each distinct word is hashed once."""
+    import numpy as np
+    import xxhash
+
+    coded = words.dictionary_encode()
+    distinct = np.fromiter(map(xxhash.xxh3_64_intdigest, coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary))
+    return distinct[coded.indices.to_numpy()] if len(distinct) else np.zeros(0, np.uint64)
+
+
+def lists(arrays, dtype="int64"):
+    """Numpy arrays as an Arrow column of lists."""
+    import numpy as np
+    import pyarrow as pa
+
+    ends = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, dtype), *arrays])))
+
 
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
+class Lookup:
+    """Numbers by 64-bit key, for whole arrays: a table of marks by the key's top bits rules most others out."""
 
-        if len(self) > 300_000:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
+    def __init__(self, keys, values, bits: int):
+        import numpy as np
 
+        order = np.argsort(keys)
+        self.keys, self.values, self.shift = keys[order], values[order], np.uint64(64 - bits)
+        self.marks = np.zeros(1 << bits, bool)
+        self.marks[self.keys >> self.shift] = True
 
-hashes = Hashes()
+    def __call__(self, keys):
+        """The value of each key, -1 for others."""
+        import numpy as np
 
+        out = np.full(len(keys), -1, np.int64)
+        at = np.flatnonzero(self.marks[keys >> self.shift])
+        place = np.minimum(np.searchsorted(self.keys, keys[at]), len(self.keys) - 1)
+        same = self.keys[place] == keys[at]
+        out[at[same]] = self.values[place[same]]
+        return out
 
-def word_hashes(words: list[bytes]):
+
+def scatter(x):
+    """A bijection of 64-bit numbers that spreads them over the top bits."""
+    import numpy as np
+
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(32))
+
+
+def take_lists(values, ends, which):
+    """Of lists on end (ends: where each begins and the last ends), the chosen ones on end, and where each of these begins and the last ends."""
     import numpy as np
 
-    return np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
+    sizes = np.diff(ends)[which]
+    out = np.cumsum(np.r_[0, sizes])
+    return values[np.repeat(ends[:-1][which] - out[:-1], sizes) + np.arange(out[-1])], out
 
 
 def window_hashes(codes, size: int):
@@ -125,8 +211,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
         edges.where(x.isNotNull() & y.isNotNull() & (x != y)).select(F.greatest(x, y).alias("u"), F.least(x, y).alias("v")).distinct(),
         "edges",
     )
-    before = None
+    before = (0, 0) if star.isEmpty() else None
     for _ in range(most_rounds):
+        if before == (0, 0):
+            break
         last = star
         both = star.select("u", "v").unionAll(star.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))

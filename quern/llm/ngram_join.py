@@ -1,16 +1,20 @@
 """N-gram Jaccard join by token-combination prefixes.
 
-A document is the set of its distinct shingles. Under any one order of all shingles, two sets that are similar enough
-share at least k of the first p = n - ceil(t n) + k of each, so prefixes are extended to ask for k common shingles instead
-of one. Shingles of many documents come last in the order; a prefix reaches on past them to rarer ones and holds them
-only where a set has little else. Rare shingles are indexed alone, and pairs that share enough of them are candidates.
-Frequent ones are indexed by combinations of two that follow one another in a prefix. Candidates are verified on whole
-sets.
-
-Equal sets are joined first, and only one of them goes on. The documents of a combination are verified against the first
-of them, which joins large groups of near copies by as many pairs as members. Where that leaves different components
-under a frequent shingle, the sets that such shingles tie together are compared block by block without listing pairs. So
-every link between different components is found.
+A document is the set of its distinct shingles. All shingles are put in one order: rare ones first, then the frequent
+ones by classes of growing frequency. A set a that links has at most t = n - ceil(percent n) shingles that its partner
+lacks. Its prefix is extended until its signatures survive the loss of any t shingles: a rare shingle is a signature of
+its own, and loses one of them; frequent shingles are dealt over bins, and the combinations of two within a bin are
+signatures, so a bin of s shingles still holds a common combination after the loss of s - 2. Therefore a prefix of r rare
+and s[i] frequent shingles of bin i is long enough as soon as r + sum(max(0, s[i] - 1)) > t. The prefix of one of two linked
+sets that ends first in the order is, but for at most t shingles, part of the other's, so both hold a common signature.
+The number of bins follows the size of the smaller set of a pair (in powers of two, so a set near the next power has the
+signatures of two numbers of bins); it keeps a prefix's combinations within about twice its shingles.
+
+Signatures of few sets give candidates, which positions filter: common rare shingles, and the rare ones that no other
+prefix holds, bound the intersection. Signatures of many sets are resolved in rounds, each with some of a signature's
+sets as centres that the others are held against; sets that links have joined by then aren't compared any more. Rounds go
+on until the sets of every signature lie in one component, or all of their pairs were looked at, so no link between
+components is missed and no group is ever in one place. Equal sets are joined first, and only one of them goes on.
 """
 
 from __future__ import annotations
@@ -18,216 +22,277 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, drop, lowest, stash, texts, window_hashes, word_hashes
+from .common import bound_batches, components, drop, lists, stash, text_bytes, window_hashes, word_hashes, word_table
 
 SHINGLE = 4
 #: Links have 100 * intersection >= PERCENT * union.
 PERCENT = 85
-#: Shingles in more sets than this come last in the order, if no more than MOST_FREQUENT do; else the limit is doubled.
-FREQUENT, MOST_FREQUENT = 8, 2_000_000
-#: How far such shingles are looked for, in quarters of a prefix: a set that holds more of them also indexes some that others of its kind didn't reach.
+#: Shingles in more sets than this are frequent, if no more than MOST_FREQUENT are; else the limit is doubled.
+FREQUENT, MOST_FREQUENT = 32, 2_000_000
+#: How far shingles are counted to find the frequent ones, in quarters of a prefix; sets that hold so many of these that a prefix goes on are counted whole.
 REACH = 5
-#: Shingles in more prefixes than this are frequent; rarer ones are indexed alone.
-SINGLE = 64
-#: Sets of a group in a block; two blocks are compared by a task.
-BLOCK = 512
-#: Common shingles asked for beyond the first two, per hundred of a set.
-EXTENDED = 5
+#: Of signatures in more sets than this not all pairs are candidates; rounds of centres resolve them.
+SINGLE = 32
+#: Centres of a signature, by round; the last number goes on.
+CENTRES = (4, 16, 64)
 
 
-def shingle_set(raw: bytes, size: int = SHINGLE):
-    """Sorted distinct 64-bit hashes of a text's shingles; a shorter text is one shingle, one without words none."""
+def shingle_sets(batch, name: str, size: int = SHINGLE) -> list:
+    """For each text sorted distinct 64-bit hashes of its shingles; a shorter text is one shingle, one without words none."""
     import numpy as np
 
-    words = raw.lower().split()
-    if not words:
-        return np.zeros(0, np.int64)
+    words, first = word_table(*text_bytes(batch, name), lower=True)
     codes = word_hashes(words)
-    found = window_hashes(codes, size) if len(words) >= size else window_hashes(codes, len(words)) + np.uint64(len(words))
-    return np.unique(found.view(np.int64))
+    windows = window_hashes(codes, size)
+    out = []
+    for lo, hi in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+        if hi - lo >= size:
+            found = windows[lo : hi - size + 1]
+        else:
+            found = window_hashes(codes[lo:hi], hi - lo) + np.uint64(hi - lo) if hi > lo else codes[:0]
+        out.append(np.unique(found.view(np.int64)))
+    return out
 
 
-def common(n: int) -> int:
-    """How many shingles the prefixes of similar sets share: the smaller of two sets' numbers holds for the pair."""
-    return min(n, n * EXTENDED // 100 + 2)
+def missing(n: int, percent: int) -> int:
+    """How many shingles of a set its partner may lack."""
+    return n - -(-percent * n // 100)
 
 
-def prefix_length(n: int, percent: int = PERCENT) -> int:
-    return min(n, n - -(-percent * n // 100) + common(n))
+def reach(n: int, percent: int) -> int:
+    return min(n, REACH * (missing(n, percent) + 1) // 4 + 1)
 
 
-def _sets(docs: DataFrame, make, schema: str, id_col: str, text_col: str, size: int) -> DataFrame:
-    """make(set) gives the columns after the id; rows for which it gives None are left out."""
-    key = docs.schema[id_col].dataType.simpleString()
+def schemes(n: int, percent: int) -> list[int]:
+    """Exponents of the powers of two up to the size of this set and of the smallest that it may link with."""
+    own, least = n.bit_length() - 1, (-(-percent * n // 100)).bit_length() - 1
+    return list(range(own, least - 1, -1))
 
-    def run(batches):
-        import pyarrow as pa
 
-        names = None
-        for batch in batches:
-            made = [make(shingle_set(raw, size)) for raw in texts(batch, "__text")]
-            at = [k for k, m in enumerate(made) if m is not None]
-            if at:
-                cols = list(zip(*(made[k] for k in at), strict=True))
-                names = names or ["id", *(c.split()[0] for c in schema.split(", "))]
-                arrays = [pa.array(c) if not hasattr(c[0], "dtype") else _lists(c) for c in cols]
-                yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(at)), *arrays], names)
-
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("__text")).mapInArrow(run, f"id {key}, {schema}")
+def bins(scheme: int) -> int:
+    return max(1, 2**scheme // 8)
 
 
-def _lists(arrays):
+def _mix(x):
     import numpy as np
-    import pyarrow as pa
 
-    ends = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(arrays)))
+    x = x ^ (x >> np.uint64(29))
+    x = x * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(32))
 
 
-def _fingerprint(found) -> tuple[int, int, int]:
+def combinations(often, scheme: int, need: int):
+    """(how many of these shingles, in order, the prefix takes to cover need losses; a hash of each combination of two in a bin)."""
+    import numpy as np
+
+    h = _mix(often.view(np.uint64))
+    own = (h % np.uint64(bins(scheme))).astype(np.int64)
+    order = np.argsort(own, kind="stable")
+    sorted_bins = own[order]
+    starts = np.flatnonzero(np.r_[True, sorted_bins[1:] != sorted_bins[:-1]])
+    rank = np.empty(len(own), np.int64)
+    rank[order] = np.arange(len(own)) - np.repeat(starts, np.diff(np.r_[starts, len(own)]))
+    covered = np.cumsum(rank > 0)
+    p = int(np.searchsorted(covered, need)) + 1  # the first place where need are covered; beyond the end only for sets that link with equal ones alone
+    p = min(p, len(own))
+    order = order[order < p]  # still by bin, and in order within
+    key, b = h[order], own[order]
+    found, step = [], 1
+    while step < p and (same := b[step:] == b[:-step]).any():
+        found.append(_mix(key[:-step][same] * np.uint64(0x9E3779B97F4A7C15) + _mix(key[step:][same] + np.uint64(scheme))))
+        step += 1
+    return p, np.concatenate(found).view(np.int64) if found else np.zeros(0, np.int64)
+
+
+def signatures(found, known, grade, percent: int):
+    """(length of the prefix, rare shingles in it, combinations of the frequent ones in it) of a set; known: the frequent shingles, sorted, and their classes."""
+    import numpy as np
+
+    n = len(found)
+    if len(known):
+        at = np.minimum(np.searchsorted(known, found), len(known) - 1)
+        last = known[at] == found
+    else:
+        last = np.zeros(n, bool)
+    rare = found[~last]
+    need = missing(n, percent) + 1 - len(rare)
+    if need <= 0:
+        rare = rare[: missing(n, percent) + 1]
+        return len(rare), rare, found[:0]
+    often = found[last]
+    often = often[np.lexsort((often, grade[at[last]]))]
+    made = [combinations(often, z, need) for z in schemes(n, percent)]
+    return len(rare) + made[0][0], rare, np.concatenate([c for _, c in made])
+
+
+def _fingerprint(found) -> tuple[int, int]:
     import hashlib
 
     digest = hashlib.blake2b(found.tobytes(), digest_size=16).digest()
-    return len(found), int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
+    return int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
+
+
+def _mapped(docs: DataFrame, make, schema: str, size: int) -> DataFrame:
+    """A row for each text, of the id and what make(set) gives; rows for which it gives None are left out."""
+    key = docs.schema["id"].dataType.simpleString()
+    names = ["id", *(c.split()[0] for c in schema.split(", "))]
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            made = [make(s) for s in shingle_sets(batch, "text", size)]
+            at = [k for k, m in enumerate(made) if m is not None]
+            if at:
+                cols = zip(*(made[k] for k in at), strict=True)
+                arrays = [lists(c) if hasattr(c[0], "dtype") else pa.array(c, pa.int64()) for c in cols]
+                yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(at)), *arrays], names)
+
+    return docs.select("id", "text").mapInArrow(run, f"id {key}, {schema}")
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, percent: int, size: int) -> DataFrame:
     """The pairs (a, b) that link, by their whole sets; only the texts of these pairs are read."""
     nodes = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    sets = stash(_sets(docs.join(nodes, "id", "left_semi"), lambda s: (s,) if len(s) else None, "set array<long>", "id", "text", size), "whole")
+    sets = stash(_mapped(docs.join(nodes, "id", "left_semi"), lambda s: (s,) if len(s) else None, "set array<long>", size), "whole", tidy=True)
     left = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a")
     both = left.join(sets.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b")
     same = F.size(F.array_intersect("sa", "sb"))
-    return both.where(100 * same >= percent * (F.size("sa") + F.size("sb") - same)).select("a", "b")
+    out = stash(both.where(100 * same >= percent * (F.size("sa") + F.size("sb") - same)).select("a", "b").distinct(), "linked", tidy=True)
+    drop(sets)
+    return out
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
     """(id, n_shingles, component_id) for each row.
 
-    Null and empty texts have empty sets and link with nothing. Rows that repeat an id are one node. A null id links
-    with nothing and has a null component. Extra columns are ignored; an empty table gives an empty result.
+    Null and empty texts have empty sets and link with nothing. Rows that repeat an id are one node, whatever their
+    texts. A null id links with nothing and has a null component. Ids are of any type that Spark orders. Extra columns
+    are ignored; an empty table gives an empty result. percent is over 50.
     """
+    if not 50 < percent <= 100:
+        raise ValueError("percent is over 50 and at most 100")
+    bound_batches(docs.sparkSession)
     d = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    head = lambda s: (*_fingerprint(s), s[: REACH * prefix_length(len(s), percent) // 4])
-    heads = stash(_sets(d, head, "n long, f1 long, f2 long, head array<long>", "id", "text", size), "heads")
+    heads = stash(_mapped(d, lambda s: (len(s), *_fingerprint(s), s[: reach(len(s), percent)]), "n long, f1 long, f2 long, head array<long>", size), "heads")
     base = stash(heads.select("id", "n", "f1", "f2"), "sets")
-    reps = base.where((F.col("n") > 0) & F.col("id").isNotNull()).groupBy("f1", "f2").agg(F.min("id").alias("rep"), F.first("n").alias("n"))
-    reps = stash(reps, "distinct")
-    links = _links(d, heads, reps.select(F.col("rep").alias("id")).distinct(), percent, size)
-    comps = components(links).select(F.col("node").alias("rep"), "component")
-    named = reps.join(comps, "rep", "left").select("f1", "f2", F.coalesce("component", "rep").alias("root"))
+    some = base.where((F.col("n") > 0) & F.col("id").isNotNull())
+    reps = stash(some.groupBy("f1", "f2").agg(F.min("id").alias("rep")), "distinct")
+    links = _links(d, heads, reps.select(F.col("rep").alias("id"), "f1", "f2"), percent, size)
+    # an id of several sets ties their classes
+    several = some.groupBy("id").agg(F.min("f1").alias("lo"), F.max("f1").alias("hi")).where(F.col("lo") != F.col("hi")).select("id")
+    ties = some.join(several, "id", "left_semi").join(reps, ["f1", "f2"]).select(F.col("rep").alias("a"), F.col("id").alias("b"))
+    comps = components(links.unionAll(ties)).select(F.col("node").alias("rep"), "component")
+    named = reps.join(comps, "rep", "left").select(F.col("f1").alias("g1"), F.col("f2").alias("g2"), F.coalesce("component", "rep").alias("root"))
     # a hot class has many rows on the left and one on the right: Spark splits it
-    rows = base.join(named.withColumnsRenamed({"f1": "g1", "f2": "g2"}), (F.col("f1") == F.col("g1")) & (F.col("f2") == F.col("g2")) & F.col("id").isNotNull(), "left")
-    # rows that repeat an id with other texts join the components of these
-    return rows.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("root", "id")).otherwise(F.col("id")).alias("component_id"))
+    rows = base.join(named, (F.col("f1") == F.col("g1")) & (F.col("f2") == F.col("g2")) & F.col("id").isNotNull(), "left")
+    return rows.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("root", "id")).otherwise(F.col("id")).alias("component_id"))
+
+
+def _frequent(docs: DataFrame, heads: DataFrame, reps: DataFrame, percent: int, size: int):
+    """(frequent shingles, sorted; the class of each): broadcast, MOST_FREQUENT at most."""
+    import numpy as np
+
+    spark, key = docs.sparkSession, ["id", "f1", "f2"]
+    counted = lambda rows: rows.groupBy("token").agg(F.count("*").alias("c")).where(F.col("c") > FREQUENT)
+    tallies = [stash(counted(heads.where(F.size("head") > 0).join(reps, key, "left_semi").select(F.explode("head").alias("token"))), "frequent", tidy=True)]
+
+    def listed():
+        every = tallies[0]
+        for t in tallies[1:]:
+            every = every.unionAll(t)
+        every = every.groupBy("token").agg(F.max("c").alias("c"))
+        limit = FREQUENT
+        while every.where(F.col("c") > limit).count() > MOST_FREQUENT:
+            limit *= 2
+        table = every.where(F.col("c") > limit).toArrow()
+        token, c = table.column("token").to_numpy(), table.column("c").to_numpy()
+        order = np.argsort(token)
+        return spark.sparkContext.broadcast((token[order], np.frexp(c[order])[1].astype(np.uint8)))
+
+    first = listed()
+
+    def rest(s):
+        """A set whose prefix passes what was counted, whole."""
+        known, n = first.value[0], len(s)
+        if not n or not len(known):
+            return None
+        h = reach(n, percent)
+        at = np.minimum(np.searchsorted(known, s[:h]), len(known) - 1)
+        return (*_fingerprint(s), s) if h < n and h - int((known[at] == s[:h]).sum()) <= missing(n, percent) else None
+
+    if not len(first.value[0]):
+        return first
+    heavy = _mapped(docs, rest, "f1 long, f2 long, set array<long>", size).join(reps, key, "left_semi")
+    tallies.append(stash(counted(heavy.select(F.explode("set").alias("token"))), "frequent", tidy=True))
+    return listed()
 
 
 def _links(docs: DataFrame, heads: DataFrame, reps: DataFrame, percent: int, size: int) -> DataFrame:
     """(a, b): enough of the links between different sets that their components are those of all links."""
-    spark = docs.sparkSession
-
-    # 1. Shingles of many sets, counted where a prefix might reach; the order puts them last.
-    counts = heads.where(F.size("head") > 0).join(reps, "id", "left_semi").select(F.explode("head").alias("token")).groupBy("token").count()
-    counts = stash(counts.where(F.col("count") > FREQUENT), "frequent")
+    frequent = _frequent(docs, heads, reps, percent, size)
     drop(heads)
-    limit = FREQUENT
-    while counts.where(F.col("count") > limit).count() > MOST_FREQUENT:
-        limit *= 2
-    import numpy as np
-
-    known = counts.where(F.col("count") > limit).select("token").toArrow().column("token").to_numpy()
-    frequent = spark.sparkContext.broadcast(np.sort(known))  # 8 * MOST_FREQUENT bytes at most
 
-    # 2. Prefixes in that order.
     def prefix(s):
         if not len(s):
             return None
-        p, often = prefix_length(len(s), percent), frequent.value
-        last = np.zeros(len(s), bool)
-        if len(often):
-            at = np.minimum(np.searchsorted(often, s), len(often) - 1)
-            last = often[at] == s
-        return len(s), np.concatenate([s[~last][:p], s[last][: max(0, p - int((~last).sum()))]])
-
-    index = _sets(docs, prefix, "n long, tokens array<long>", "id", "text", size).join(reps, "id", "left_semi")
-    packed = stash(index, "prefixes")
-    index = packed.select("id", "n", F.explode("tokens").alias("token"))
-    several = index.groupBy("token").agg(F.count("*").alias("c"), F.min("id").alias("first")).where(F.col("c") > 1)
-    several = stash(several, "several")
-    index = stash(index.join(several, "token"), "index")
-    drop(packed)
-
-    # 3. Each shingle's documents against the first of them.
-    fits = lambda x, y: (100 * F.least(x, y) >= percent * F.greatest(x, y))
-    k = F.least("n", F.floor(F.col("n") * EXTENDED / 100) + 2)
-    often = F.col("c") > SINGLE
-    many = index.where(often)
-    index = index.join(many.groupBy("id").agg(F.count("*").alias("f")), "id", "left").withColumn("k", k).withColumn("f", F.coalesce("f", F.lit(0)))
-
-    # 3. Candidates: pairs with enough rare shingles in common, and the documents of two frequent ones with the first of them.
-    fits = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
-    rare = index.where(~often)
-    x = rare.select("token", F.col("id").alias("a"), F.col("n").alias("na"), F.col("k").alias("ka"), F.col("f").alias("fa"))
-    y = rare.select("token", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("k").alias("kb"), F.col("f").alias("fb"))
-    least = F.greatest(F.lit(1), F.least("ka", "kb") - F.least("fa", "fb"))
-    near = x.join(y, "token").where((F.col("a") < F.col("b")) & fits).groupBy("a", "b").agg(F.count("*").alias("s"), F.first(least).alias("least"))
-    two = F.expr("transform(slice(t, 2, size(t)), (y, i) -> xxhash64(t[i], y))")
-    joint = many.groupBy("id").agg(F.array_sort(F.collect_set("token")).alias("t")).where(F.size("t") > 1).select("id", F.explode(two).alias("two"))
-    joint = stash(joint, "combinations")
-    star = joint.join(joint.groupBy("two").agg(F.min("id").alias("a")), "two").where(F.col("id") != F.col("a")).select("a", F.col("id").alias("b"))
-    pairs = stash(near.where(F.col("s") >= F.col("least")).select("a", "b").unionAll(star).distinct(), "pairs")
-    linked = stash(_verified(docs, pairs, percent, size), "linked")
-
-    # 4. Sets of many frequent shingles that still lie in different components under one of them. A link's sets differ in n, and so in k - 2, by 100 / percent at most.
-    heavy = many.withColumn("k", k).join(index.select("id", "f").distinct(), "id").where(F.col("f") >= (F.col("k") - 2) / max(1.2, 100 / percent) - 1)
-    if heavy.isEmpty():
-        return linked
-    placed = heavy.join(components(linked).withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    placed = stash(placed.select("token", "id", "component"), "heavy")
-    mixed = placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("id").alias("first")).where(F.col("lo") != F.col("hi")).select("token", "first")
-    placed = stash(placed.join(mixed, "token").select("id", "first").distinct(), "mixed")
-    if placed.isEmpty():
-        return linked
-    # sets that such shingles tie together, compared with one another block by block
-    tied = components(placed.select(F.col("id").alias("a"), F.col("first").alias("b"))).select(F.col("node").alias("id"), F.col("component").alias("group"))
-    return linked.unionAll(_blocks(docs, tied, percent, size))
-
-
-def _blocks(docs: DataFrame, tied: DataFrame, percent: int, size: int) -> DataFrame:
-    """(a, b) of links that join all sets of a group that links join; each task compares one block of a group with another, and hands on one row for a set."""
-    tied = stash(tied, "tied")
-    parts = tied.groupBy("group").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
-    own = F.pmod(F.xxhash64("id"), F.col("parts"))
-    dealt = tied.join(parts, "group").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    dealt = dealt.select("group", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"), "id")
-    sets = stash(_sets(docs.join(tied.select("id"), "id", "left_semi"), lambda s: (s,) if len(s) else None, "set array<long>", "id", "text", size), "whole")
-
-    def judge(table):
-        import numpy as np
-        import pyarrow as pa
-
-        ids, column = table.column("id").to_numpy(), table.column("set").combine_chunks()
-        values, ends = column.values.to_numpy(), column.offsets.to_numpy()
-        sizes = np.diff(ends)
-        rows = np.repeat(np.arange(len(ids)), sizes)
-        token, code, times = np.unique(values[ends[0] : ends[-1]], return_inverse=True, return_counts=True)
-        shared = times > 1
-        place = np.cumsum(shared) - 1
-        use = shared[code]
-        rows, code = rows[use], place[code[use]]
-        order = np.argsort(code, kind="stable")
-        rows, code = rows[order], code[order]
-        inter = np.zeros((len(ids), len(ids)), np.float32)
-        for at in range(0, int(shared.sum()), 4096):  # exact: whole numbers below 2 ** 24
-            lo, hi = np.searchsorted(code, (at, at + 4096))
-            m = np.zeros((len(ids), 4096), np.float32)
-            m[rows[lo:hi], code[lo:hi] - at] = 1
-            inter += m @ m.T
-        inter = inter.astype(np.int64)
-        link = 100 * inter >= percent * (sizes[:, None] + sizes[None, :] - inter)
-        np.fill_diagonal(link, False)
-        root = lowest(link, ids)
-        far = root != ids
-        return pa.table({"a": pa.array(root[far], pa.int64()), "b": pa.array(ids[far], pa.int64())})
-
-    return dealt.join(sets, "id").groupBy("group", "one", "two").applyInArrow(judge, "a long, b long")
+        p, rare, two = signatures(s, *frequent.value, percent)
+        return (*_fingerprint(s), len(s), p, rare, two)
+
+    made = _mapped(docs, prefix, "f1 long, f2 long, n long, p long, rare array<long>, two array<long>", size)
+    made = stash(made.join(reps, ["id", "f1", "f2"], "left_semi").select("id", "n", "p", F.size("rare").alias("r"), "rare", "two"), "prefixes", tidy=True)
+    each = lambda c, two: made.select("id", "n", "p", "r", F.explode(c).alias("key"), F.lit(two).alias("two"))
+    index = each("rare", False).unionAll(each("two", True))
+    # a signature's first centre has the fewest rare shingles for its size
+    centre = F.min(F.struct(F.floor(1000 * F.col("r") / F.col("n")), F.col("id"), F.col("n"))).alias("centre")
+    shared = stash(index.groupBy("key").agg(F.count("*").alias("c"), centre).where(F.col("c") > 1), "shared", tidy=True)
+    index = kept = stash(index.join(shared, "key"), "index", tidy=True)
+    drop(made)
+    drop(shared)
+
+    # u: rare shingles that no other prefix holds; f: shingles of the prefix that candidates' common ones aren't counted by
+    of = index.where(~F.col("two")).groupBy("id").agg(F.count("*").alias("held"), F.count_if(F.col("c") > SINGLE).alias("many"))
+    index = index.join(of, "id", "left")
+    index = index.withColumn("u", F.col("r") - F.coalesce("held", F.lit(0))).withColumn("f", F.col("p") - F.col("r") + F.coalesce("many", F.lit(0)))
+    small, large = index.where(F.col("c") <= SINGLE), index.where(F.col("c") > SINGLE)
+    large = stash(large.select("key", "two", "id", "n", "u", F.col("centre")["id"].alias("first"), F.col("centre")["n"].alias("fn")), "large")
+
+    # 1. Candidates of signatures of few sets.
+    side = lambda which, x: small.where(F.col("two") == which).select("key", *[F.col(c).alias(c + x) for c in ("id", "n", "p", "u", "f")])
+    fits = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
+    both = lambda which: side(which, "a").join(side(which, "b"), "key").where((F.col("ida") < F.col("idb")) & fits(F.col("na"), F.col("nb")))
+    least = F.ceil(percent * (F.col("na") + F.col("nb")) / (100 + percent) - 1e-9)  # the smallest intersection of linked sets
+    wanted = F.greatest(F.lit(1), least - F.greatest(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) - F.least("fa", "fb"))
+    alone = both(False).groupBy("ida", "idb").agg(F.count("*").alias("s"), F.min(wanted).alias("wanted")).where(F.col("s") >= F.col("wanted"))
+    # sets with combinations have all their rare shingles in their prefixes
+    reachable = lambda: F.least(F.col("na") - F.col("ua"), F.col("nb") - F.col("ub")) >= least
+    pairs = alone.select("ida", "idb").unionAll(both(True).where(reachable()).select("ida", "idb"))
+    star = large.where((F.col("id") != F.col("first")) & fits(F.col("n"), F.col("fn"))).select(F.least("id", "first").alias("ida"), F.greatest("id", "first").alias("idb"))
+    pairs = stash(pairs.unionAll(star).distinct().select(F.col("ida").alias("a"), F.col("idb").alias("b")), "pairs", tidy=True)
+    linked = _verified(docs, pairs, percent, size)
+    drop(pairs)
+    drop(kept)
+
+    # 2. Signatures of many sets whose components still differ.
+    large, turn = large.where(F.col("id") != F.col("first")).select("key", "two", "id", "n", "u"), 0
+    while not large.isEmpty():
+        comps = components(linked).withColumnRenamed("node", "id")
+        placed = large.join(comps, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where(F.col("lo") != F.col("hi")).select("key")
+        large = stash(placed.join(mixed, "key", "left_semi"), "mixed")
+        if large.isEmpty():
+            break
+        parts = CENTRES[min(turn, len(CENTRES) - 1)]
+        turn += 1
+        spread = large.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)))
+        first = F.min(F.struct(F.floor(1000 * F.col("u") / F.col("n")), F.col("id"), F.col("n"), F.col("u"), F.col("component"))).alias("centre")
+        centres = stash(spread.groupBy("key", "part").agg(first).select("key", "part", *[F.col("centre")[c].alias(c + "b") for c in ("id", "n", "u", "component")]), "centres")
+        held = large.select("key", "two", *[F.col(c).alias(c + "a") for c in ("id", "n", "u", "component")]).join(centres.drop("part"), "key")
+        held = held.where((F.col("componenta") != F.col("componentb")) & fits(F.col("na"), F.col("nb")) & (~F.col("two") | reachable()))
+        pairs = stash(held.select(F.least("ida", "idb").alias("a"), F.greatest("ida", "idb").alias("b")).distinct(), "pairs")
+        linked = stash(linked.unionAll(_verified(docs, pairs, percent, size)), "linked")
+        done, before = centres.select("key", F.col("idb").alias("id"), F.col("nb").alias("n")), large
+        large = stash(large.select("key", "two", "id", "n", "u").join(done, ["key", "id", "n"], "left_anti"), "large")
+        for table in (pairs, centres, before):
+            drop(table)
+    return linked

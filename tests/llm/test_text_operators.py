@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quern.llm.byte_bpe import codec, encode_decode, ids_digest
 from quern.llm.ngram_join import jaccard_components
 from quern.llm.repeats import remove_repeats
-from quern.llm.token_counts import counter, token_counts
+from quern.llm.token_counts import budget, counter, fit, token_counts
 
 from .brute import corpus, ngram_components, removed_words
 
@@ -61,18 +61,33 @@ def test_counts_at_every_prefix():
 
     library, c = sentencepiece.SentencePieceProcessor(model_file=P.path("piece_bpe_32k.model")), counter(P.path("piece_bpe_32k.model"))
     for text in strange():
-        assert c.total(text) == len(library.encode(text))
-        text = text[:60]
         table = c.table(text)
-        assert table == [len(library.encode(text[:i])) for i in range(len(text) + 1)]
+        assert table[-1] == len(library.encode(text)) and len(table) == len(text) + 1
+        assert table[:61] == [len(library.encode(text[:i])) for i in range(min(60, len(text)) + 1)]
         for limit in (0, 1, 5):
-            assert c.fits(text, limit) == max(i for i, n in enumerate(table) if n <= limit)
+            assert fit(table[1:], limit) == max(i for i, n in enumerate(table) if n <= limit)
+
+
+def test_counts_of_units_long_and_short():
+    """Units that arrays hold together and units that are walked alone count alike."""
+    c, r = counter(P.path("piece_bpe_32k.model")), random.Random(8)
+    for letters in ("the ing", "▁", "aab", "日本語x", "0123 "):
+        unit = "▁" + "".join(r.choice(letters) for _ in range(120)).replace(" ", "")
+        assert c.walk(unit, {}) == c.prefixes([unit])[0].tolist()
 
 
 def test_count_rows(spark):
-    d = spark.createDataFrame([(1, "a b"), (1, "a b"), (2, None), (3, "")], DOCS).withColumn("n_tokens", F.lit("x"))
-    got = sorted(map(tuple, token_counts(d, P.path("piece_bpe_32k.model"), prefixes=True).collect()))
-    assert got == [(1, 3, 2, 3, [0, 1, 2, 2]), (1, 3, 2, 3, [0, 1, 2, 2]), (2, 0, 0, 0, [0]), (3, 0, 0, 0, [0])] or got[2:] == [(2, 0, 0, 0, [0]), (3, 0, 0, 0, [0])]
+    long = "日本語テキスト" * 3000
+    rows = [(1, "a b"), (1, "a b"), (2, None), (3, ""), (None, "x"), (4, long)]
+    d = spark.createDataFrame(rows, DOCS).withColumn("n_tokens", F.lit("x")).withColumn("prefix_counts", F.lit(1))
+    counted = token_counts(d, P.path("piece_bpe_32k.model"), limit=100, prefixes=True)
+    got = counted.collect()
+    short = sorted((tuple(x) for x in got if x["doc_id"] in (1, 2, 3)))
+    assert short == [(1, 3, 2, 3, [0, 1, 2, 2]), (1, 3, 2, 3, [0, 1, 2, 2]), (2, 0, 0, 0, [0]), (3, 0, 0, 0, [0])] or short[2:] == [(2, 0, 0, 0, [0]), (3, 0, 0, 0, [0])]
+    one = next(x for x in got if x["doc_id"] == 4)
+    assert one["n_bytes"] == len(long.encode()) and one["fit_chars"] == fit(one["prefix_counts"][1:], 100) and one["n_tokens"] == one["prefix_counts"][-1] > 100
+    for limit in (0, 1, 7, 100):
+        assert {x["m"] for x in budget(counted.where("doc_id = 4"), limit, "m").collect()} == {fit(one["prefix_counts"][1:], limit)}
     assert token_counts(d.limit(0), P.path("piece_bpe_32k.model")).count() == 0
 
 
