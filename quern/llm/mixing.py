@@ -54,8 +54,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     A document is taken floor(target / source size) times, and once more if it comes first in its source's seeded order,
     as long as the words of these first ones don't pass what is left of the target by more than half a document. The
     order is by hash bucket and then by hash, so a hot source is spread over buckets and no task orders it whole.
-    A null text has size 0; a null source is a source of its own, weighed last; null ids hash alike; repeated rows are
-    taken each on its own; an empty table gives an empty result.
+    A null text has size 0; texts without words are taken as often as all of their source are; a null source is a source
+    of its own, weighed last; null ids hash alike; repeated rows are taken each on its own; an empty table gives an empty
+    result. Columns that keep doesn't name are ignored, whatever their names.
     """
     number = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col(id_col).cast("string"), F.lit("")))), 1, 13), 16, 10).cast("long")
     d = docs.select(
@@ -74,7 +75,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     both = d.withColumn("__s", _key(F.col("source"))).join(parts.withColumnRenamed("__b", "__bucket"), ["__s", "__bucket"])
     within = Window.partitionBy("__s", "__bucket").orderBy("__hash", F.col("__id").asc_nulls_last(), "size").rowsBetween(Window.unboundedPreceding, -1)
     first = F.coalesce(F.sum("size").over(within), F.lit(0)) + F.col("size") / F.lit(2.0) <= F.col("__more")
-    repeats = (F.col("__whole") + F.when(first, 1).otherwise(0)).cast("long")
+    repeats = (F.col("__whole") + F.when(first & (F.col("size") > 0), 1).otherwise(0)).cast("long")
     out = both.withColumn("repeats", repeats)
     named = [F.col("__id").alias(id_col), "source", "size", "source_size", "target", "repeats", (F.col("size") * F.col("repeats")).alias("taken")]
     return out.select(*named, *[F.col(f"__k{i}").alias(c) for i, c in enumerate(keep)])

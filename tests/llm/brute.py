@@ -36,7 +36,7 @@ def ngram_components(docs):
     return {i: len(s) for i, s in sets.items()}, link_components(sets, linked)
 
 
-def removed_words(docs, size=20):
+def removed_words(docs, size=20, texts=False):
     seen, out = set(), {}
     for i, t in sorted(docs):
         w = words(t)
@@ -47,7 +47,7 @@ def removed_words(docs, size=20):
                 gone[s : s + size] = [True] * size
             seen.add(key)
         kept = b" ".join(x for x, g in zip(w, gone) if not g)
-        out[i] = (len(w), sum(gone), hashlib.sha256(kept).hexdigest())
+        out[i] = (len(w), sum(gone), hashlib.sha256(kept).hexdigest(), *([kept.decode()] if texts else []))
     return out
 
 
@@ -77,3 +77,40 @@ def corpus(n=120, seed=1):
     docs += [(n, ""), (n + 1, None), (n + 2, " \t\n"), (n + 3, "one two"), (n + 4, "ONE two"), (n + 5, "x" * 50_000), (n + 6, " ".join(make(20_000)))]
     r.shuffle(docs)
     return docs
+
+
+def level(sizes, share=1.5, epochs=2.0, weights=(5, 2, 1)):
+    """Target of each source by clamping and sharing anew until none is above its clamp."""
+    order = sorted(k for k in sizes if k is not None) + [k for k in sizes if k is None]
+    weight = {s: weights[k % len(weights)] for k, s in enumerate(order)}
+    target, free, left = dict.fromkeys(order, 0.0), set(order), share * sum(sizes.values())
+    while free:
+        unit = left / sum(weight[s] for s in free)
+        over = {s for s in free if weight[s] * unit > epochs * sizes[s]}
+        if not over:
+            for s in free:
+                target[s] = weight[s] * unit
+            break
+        for s in over:
+            target[s] = epochs * sizes[s]
+        left -= sum(target[s] for s in over)
+        free -= over
+    return target
+
+
+def mixed(docs, seed=20240, buckets=4096):
+    """How often each of (id, text, source) is taken."""
+    size = [len(words(t)) for _, t, _ in docs]
+    sizes = {}
+    for n, (_, _, s) in zip(size, docs):
+        sizes[s] = sizes.get(s, 0) + n
+    target, out = level(sizes), [0] * len(docs)
+    for s in sizes:
+        h = lambda i: int(hashlib.md5(f"{seed}|{'' if i is None else i}".encode()).hexdigest()[:13], 16)
+        own = sorted((k for k, d in enumerate(docs) if d[2] == s), key=lambda k: (h(docs[k][0]) % buckets, h(docs[k][0]), docs[k][0] is None, docs[k][0], size[k]))
+        whole = int(target[s] // sizes[s]) if sizes[s] else 0
+        before = 0
+        for k in own:
+            out[k] = whole + (size[k] > 0 and before + size[k] / 2 <= target[s] - whole * sizes[s])
+            before += size[k]
+    return out

@@ -82,10 +82,51 @@ def test_toxicity_counterfactuals(spark):
     assert {x[0] for x in d.where(toxicity.held_out()).select("doc_id").collect()} == {i for i, _ in docs if zlib.crc32(str(i).encode()) % 5 == 0}
 
 
-def test_toxicity_without_labels(spark):
-    d = spark.createDataFrame([(1, "a")], "doc_id long, text string")
-    model = toxicity.fit_toxicity(d, spark.createDataFrame([], "doc_id long, toxic int"))
-    assert 0 <= toxicity.score_texts(d, model).first()["score"] <= 1
+def test_toxicity_odd_rows(spark):
+    """No labels, an empty table, repeated rows, a long text, ties, clashing columns, capitals beyond ASCII."""
+    rows = [(1, "a"), (1, "a"), (None, "b"), (2, None), (3, ""), (4, "word " * 100_000), (5, "ÉTRANGERS"), (6, "étrangers")]
+    d = spark.createDataFrame(rows, "doc_id long, text string").withColumn("score", F.lit("x")).withColumn("words", F.lit(1)).withColumn("i", F.lit(2))
+    none = spark.createDataFrame([], "doc_id long, toxic int")
+    assert {x["score"] for x in toxicity.score_texts(d, toxicity.fit_toxicity(d, none)).collect()} == {0.5}
+    assert toxicity.score_texts(d.limit(0), toxicity.fit_toxicity(d.limit(0), none)).count() == 0
+    got = {}
+    for x in toxicity.score_texts(d, ({"étrangers": 2.0, "word": -1.0}, 0.0), keep=("words",), score="s").collect():
+        got.setdefault(x["doc_id"], set()).add(x["s"])
+    assert got[5] == got[6] != got[1] == got[2] == got[3] and len(got[1]) == 1 and min(got[4]) < min(got[1])
+
+
+def test_toxicity_swaps():
+    """A swap's row is the features of the swapped sentence less those of the sentence, whatever else it holds."""
+    own = toxicity.features(["the", "women", "and", "men"])
+    for gone, come in toxicity.swapped(["the", "women", "and", "men"]):
+        assert gone <= own and not come & own
+    changes = toxicity.swapped(["women", "men"])
+    assert ({"women", "wome*"}, set()) in changes and ({"men"}, set()) in changes  # swapped for one another
+
+
+def test_toxicity_gradient():
+    """The loss from plain loops over sentences, and its gradient by differences."""
+    r = random.Random(3)
+    vocab = ["women", "men", "girls", "stone", "river", "awful", "womenfolk"]
+    rows = []
+    for i in range(40):
+        sentences = [[r.choice(vocab) for _ in range(r.randint(1, 5))] for _ in range(3)]
+        rows.append({"i": i, "y": i % 2, "words": sorted({w for s in sentences for w in s} | ({"awful"} if i % 2 else set())), "sentences": [s for s in sentences if set(s) & toxicity.KIN.keys()]})
+    names, x, d = toxicity.design(rows, deviations=0.0)
+    y, weight = np.array([q["y"] for q in rows], float), np.full(40, 1 / 40)
+    rng = np.random.default_rng(1)
+    w, b = rng.standard_normal(len(names)), 0.3
+    value, gw, gb = toxicity.loss(w, b, x, d, y, weight, 10.0, 0.1)
+    of = dict(zip(names, w))
+    score = lambda s: sum(of.get(f, 0.0) for f in toxicity.features(s))
+    plain = sum(np.log1p(np.exp(-(2 * q["y"] - 1) * (score(q["words"]) + b))) / 40 for q in rows) + 0.05 * (w @ w)
+    squares = [(score([u if v == t else v for v in s]) - score(s)) ** 2 for q in rows for s in q["sentences"] for t in sorted(set(s) & toxicity.KIN.keys()) for u in toxicity.KIN[t]]
+    assert value == pytest.approx(plain + 5 * np.mean(squares))
+    for k in range(len(names)):
+        step = np.zeros(len(names))
+        step[k] = 1e-6
+        assert gw[k] == pytest.approx((toxicity.loss(w + step, b, x, d, y, weight, 10.0, 0.1)[0] - toxicity.loss(w - step, b, x, d, y, weight, 10.0, 0.1)[0]) / 2e-6, abs=1e-5)
+    assert gb == pytest.approx((toxicity.loss(w, b + 1e-6, x, d, y, weight, 10.0, 0.1)[0] - toxicity.loss(w, b - 1e-6, x, d, y, weight, 10.0, 0.1)[0]) / 2e-6, abs=1e-5)
 
 
 def test_near_vectors(spark, monkeypatch):
