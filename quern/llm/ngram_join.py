@@ -12,7 +12,7 @@ signatures of two numbers of bins); it keeps a prefix's combinations within abou
 
 Signatures of few sets give candidates, which positions filter: common rare shingles, and the rare ones that no other
 prefix holds, bound the intersection. Signatures of many sets are resolved in rounds, each with some of a signature's
-sets as centres that the others are held against; sets that links have joined by then aren't compared any more. Rounds go
+sets outside the largest component as centres that the others are held against; sets that links have joined by then aren't compared any more. Rounds go
 on until the sets of every signature lie in one component, or all of their pairs were looked at, so no link between
 components is missed and no group is ever in one place. Equal sets are joined first, and only one of them goes on.
 """
@@ -41,8 +41,8 @@ def shingle_sets(batch, name: str, size: int = SHINGLE) -> list:
     """For each text sorted distinct 64-bit hashes of its shingles; a shorter text is one shingle, one without words none."""
     import numpy as np
 
-    words, first = word_table(*text_bytes(batch, name), lower=True)
-    codes = word_hashes(words)
+    bare, at, first = word_table(*text_bytes(batch, name), lower=True)
+    codes = word_hashes(bare, at)
     windows = window_hashes(codes, size)
     out = []
     for lo, hi in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
@@ -50,7 +50,8 @@ def shingle_sets(batch, name: str, size: int = SHINGLE) -> list:
             found = windows[lo : hi - size + 1]
         else:
             found = window_hashes(codes[lo:hi], hi - lo) + np.uint64(hi - lo) if hi > lo else codes[:0]
-        out.append(np.unique(found.view(np.int64)))
+        found = np.sort(found.view(np.int64))
+        out.append(found[np.r_[True, found[1:] != found[:-1]]] if len(found) else found)
     return out
 
 
@@ -273,24 +274,30 @@ def _links(docs: DataFrame, heads: DataFrame, reps: DataFrame, percent: int, siz
     drop(pairs)
     drop(kept)
 
-    # 2. Signatures of many sets whose components still differ.
+    # 2. Signatures of many sets whose components still differ. A pair lies in two components, so one of its sets lies outside the
+    # largest: those sets are the centres, and when all of them have been, all pairs have been looked at.
     large, turn = large.where(F.col("id") != F.col("first")).select("key", "two", "id", "n", "u"), 0
     while not large.isEmpty():
         comps = components(linked).withColumnRenamed("node", "id")
         placed = large.join(comps, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where(F.col("lo") != F.col("hi")).select("key")
-        large = stash(placed.join(mixed, "key", "left_semi"), "mixed")
-        if large.isEmpty():
-            break
+        counted = placed.groupBy("key", "component").agg(F.count("*").alias("c"), F.min("n").alias("n"))
+        of = counted.groupBy("key").agg(F.count("*").alias("parts"), F.max_by("component", "c").alias("main"), F.min("n").alias("least_n")).where(F.col("parts") > 1).drop("parts")
+        # the most that a set can share with the smallest of the others, or with one that holds nothing else
+        smallest = F.greatest("least_n", F.col("n") - F.col("u"))
+        able = ~F.col("two") | (100 * (F.col("n") - F.col("u")) >= percent * (smallest + F.col("u")))
+        large = stash(placed.join(of, "key").where(able), "mixed")
         parts = CENTRES[min(turn, len(CENTRES) - 1)]
         turn += 1
-        spread = large.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)))
+        others = large.where(F.col("component") != F.col("main")).withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)))
         first = F.min(F.struct(F.floor(1000 * F.col("u") / F.col("n")), F.col("id"), F.col("n"), F.col("u"), F.col("component"))).alias("centre")
-        centres = stash(spread.groupBy("key", "part").agg(first).select("key", "part", *[F.col("centre")[c].alias(c + "b") for c in ("id", "n", "u", "component")]), "centres")
-        held = large.select("key", "two", *[F.col(c).alias(c + "a") for c in ("id", "n", "u", "component")]).join(centres.drop("part"), "key")
+        centres = stash(others.groupBy("key", "part").agg(first).select("key", *[F.col("centre")[c].alias(c + "b") for c in ("id", "n", "u", "component")]), "centres")
+        if centres.isEmpty():
+            break
+        held = large.select("key", "two", *[F.col(c).alias(c + "a") for c in ("id", "n", "u", "component")]).join(centres, "key")
         held = held.where((F.col("componenta") != F.col("componentb")) & fits(F.col("na"), F.col("nb")) & (~F.col("two") | reachable()))
         pairs = stash(held.select(F.least("ida", "idb").alias("a"), F.greatest("ida", "idb").alias("b")).distinct(), "pairs")
-        linked = stash(linked.unionAll(_verified(docs, pairs, percent, size)), "linked")
+        if not pairs.isEmpty():
+            linked = stash(linked.unionAll(_verified(docs, pairs, percent, size)), "linked")
         done, before = centres.select("key", F.col("idb").alias("id"), F.col("nb").alias("n")), large
         large = stash(large.select("key", "two", "id", "n", "u").join(done, ["key", "id", "n"], "left_anti"), "large")
         for table in (pairs, centres, before):

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, drop, lists, stash, text_bytes, window_hashes, word_hashes, word_table
+from .common import arrow_words, bound_batches, drop, lists, stash, text_bytes, window_hashes, word_hashes, word_table
 
 WINDOW = 20
 #: Stands for a null id where ids are whole numbers: it comes after every other.
@@ -44,16 +44,13 @@ def _key(id_col: str, docs: DataFrame):
     return F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"))
 
 
-def _digests(words, first) -> list[tuple[int, int]]:
-    """For each text 128 bits that tell word sequences apart."""
+def _digests(codes, first) -> list[tuple[int, int]]:
+    """For each text 128 bits that tell sequences of word hashes apart."""
     import hashlib
 
-    import pyarrow as pa
-    import pyarrow.compute as pc
-
     out = []
-    for x in pc.binary_join(pa.LargeListArray.from_arrays(pa.array(first), words), pa.scalar(b" ", words.type)):
-        d = hashlib.blake2b(x.as_buffer(), digest_size=16).digest()
+    for lo, hi in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+        d = hashlib.blake2b(codes[lo:hi].tobytes(), digest_size=16).digest()
         out.append((int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)))
     return out
 
@@ -84,10 +81,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         import pyarrow as pa
 
         for batch in batches:
-            words, first = word_table(*text_bytes(batch, "text"))
-            codes = word_hashes(words)
+            bare, at, first = word_table(*text_bytes(batch, "text"))
+            codes = word_hashes(bare, at)
             whole, short = representatives(codes, size, size), representatives(codes, size, first_length)
-            digests, again, found = _digests(words, first), [], []
+            digests, again, found = _digests(codes, first), [], []
             for lo, hi in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
                 end = max(lo, hi - size + 1)
                 again.append(len(np.unique(whole[lo:end])) < end - lo)
@@ -117,8 +114,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             import pyarrow as pa
 
             for batch in batches:
-                words, first = word_table(*text_bytes(batch, "text"))
-                codes = word_hashes(words)
+                bare, at, first = word_table(*text_bytes(batch, "text"))
+                codes = word_hashes(bare, at)
                 short, twice = representatives(codes, size, length), representatives(codes, size, 2 * length)
                 column, found = batch.column("seeds"), []
                 values, ends = column.flatten().to_numpy(), np.cumsum([0, *column.value_lengths().to_pylist()])
@@ -150,12 +147,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         import pyarrow.compute as pc
 
         for batch in batches:
-            words, first = word_table(*text_bytes(batch, "text"))
+            bare, at, first = word_table(*text_bytes(batch, "text"))
+            words = arrow_words(bare, at)
             known = np.flatnonzero(batch.column("known").is_valid().to_numpy(zero_copy_only=False)).tolist()
             cover = np.zeros(len(words) + 1, np.int64)
             if known:
-                hashed = window_hashes(word_hashes(words), size).view(np.int64)
-                digests = _digests(words, first) if batch.column("copy").null_count < batch.num_rows else None
+                codes = word_hashes(bare, at)
+                hashed = window_hashes(codes, size).view(np.int64)
+                digests = _digests(codes, first) if batch.column("copy").null_count < batch.num_rows else None
             for k in known:
                 lo, hi = int(first[k]), int(first[k + 1])
                 own = hashed[lo : max(lo, hi - size + 1)]
@@ -178,10 +177,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             edge[first] = True
             opens = gone & (edge[:-1] | ~np.r_[False, gone[:-1]]) if len(gone) else gone
             closes = gone & (edge[1:] | ~np.r_[gone[1:], False]) if len(gone) else gone
-            at, to = np.flatnonzero(opens), np.flatnonzero(closes) + 1
-            text_no = np.searchsorted(first, at, "right") - 1
-            spans = pa.StructArray.from_arrays([pa.array((at - first[text_no]).astype(np.int32)), pa.array((to - first[text_no]).astype(np.int32))], ["start", "end"])
-            spans = pa.ListArray.from_arrays(pa.array(np.searchsorted(at, first).astype(np.int32)), spans)
+            start, end = np.flatnonzero(opens), np.flatnonzero(closes) + 1
+            text_no = np.searchsorted(first, start, "right") - 1
+            spans = pa.StructArray.from_arrays([pa.array((start - first[text_no]).astype(np.int32)), pa.array((end - first[text_no]).astype(np.int32))], ["start", "end"])
+            spans = pa.ListArray.from_arrays(pa.array(np.searchsorted(start, first).astype(np.int32)), spans)
             rest = words.filter(pa.array(~gone)) if gone.any() else words
             ends = first - np.r_[0, np.cumsum(removed)]
             kept = pc.binary_join(pa.LargeListArray.from_arrays(pa.array(ends), rest), pa.scalar(b" ", rest.type)).cast(pa.large_string()).cast(pa.string())
