@@ -5,15 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Nested binders looked for, at most.
-DEPTH = 64
-
-
 def _get(node: Column, path: str) -> Column:
     return F.get_json_object(node, path)
 
 
-def pi_binders(ast: Column, depth: int = DEPTH) -> Column:
+def _steps(ast: Column) -> Column:
+    """As many steps as the tree's text mentions function types, which no chain of binders is longer than; one for odd trees."""
+    tag = '"Pi"'
+    mentions = ((F.length(ast) - F.length(F.replace(ast, F.lit(tag), F.lit("")))) / len(tag)).cast("int")
+    return F.sequence(F.lit(1), F.greatest(F.coalesce(mentions, F.lit(1)), F.lit(1)))
+
+
+def pi_binders(ast: Column) -> Column:
     """array<struct<hiding, hint>> of the leading function types, outermost first; a fold that steps into the codomain."""
     root = F.coalesce(_get(ast, "$.term"), ast)
     start = F.struct(root.alias("node"), F.array().cast("array<struct<hiding:string,hint:string>>").alias("found"))
@@ -25,10 +28,10 @@ def pi_binders(ast: Column, depth: int = DEPTH) -> Column:
         pi = _get(node, "$.tag") == "Pi"
         return F.struct(F.when(pi, after).alias("node"), F.when(pi, F.concat(s["found"], F.array(binder))).otherwise(s["found"]).alias("found"))
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(depth)), start, step, lambda s: s["found"])
+    return F.aggregate(_steps(ast), start, step, lambda s: s["found"])
 
 
-def pi_arity(ast: Column, depth: int = DEPTH) -> Column:
+def pi_arity(ast: Column) -> Column:
     """Number of leading function types; 0 for null and odd trees."""
     inner = lambda n: F.when(_get(n, "$.tag") == "Type", _get(n, "$.term")).otherwise(n)
     start = F.struct(inner(ast).alias("node"), F.lit(0).alias("n"))
@@ -37,7 +40,7 @@ def pi_arity(ast: Column, depth: int = DEPTH) -> Column:
         pi = F.coalesce(_get(s["node"], "$.tag") == "Pi", F.lit(False))
         return F.struct(F.when(pi, inner(_get(s["node"], "$.cod"))).alias("node"), (s["n"] + pi.cast("int")).alias("n"))
 
-    return F.coalesce(F.aggregate(F.sequence(F.lit(1), F.lit(depth)), start, step, lambda s: s["n"]), F.lit(0))
+    return F.coalesce(F.aggregate(_steps(ast), start, step, lambda s: s["n"]), F.lit(0))
 
 
 def binder_names(binders: Column) -> Column:
@@ -55,3 +58,9 @@ def resolve_index(body: Column, names: Column) -> Column:
 
 def sort_tag(ast: Column) -> Column:
     return _get(ast, "$.sort.tag")
+
+
+def shape(ast: Column) -> Column:
+    """A type tree without names and hints, as text: trees of one shape have one text, so types are matched by structure."""
+    bare = F.regexp_replace(ast, r"\s+(?=(?:[^\"]*\"[^\"]*\")*[^\"]*$)", "")
+    return F.regexp_replace(F.regexp_replace(bare, r'"(nameHint|name|hint)":"(?:[^"\\\\]|\\\\.)*",?', ""), r",(?=})", "")

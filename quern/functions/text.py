@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Keywords that are no dependencies.
-STOP_TOKENS = ("Set", "Prop", "Type", "forall", "let", "in", "where", "with", "do", "of")
+#: Words of types that are no dependencies.
+STOP_TOKENS = ("Set", "Prop", "Type", "∀", "forall")
+#: White space beyond ASCII, and the signs that make tokens of their own, for retrieval.
+WIDE_SPACE = r"\s\x0B\x1C-\x1F\x{85}\p{Z}"
+SIGNS = "¬∧∨→≡≈≤≥⊔⊓×λ∀∃ΣΠ"
 
 
 def first_line(text: Column) -> Column:
@@ -71,11 +74,17 @@ def dependency_tokens(text: Column) -> Column:
 
 
 def retrieval_tokens(text: Column) -> Column:
-    """Names with underscores as they are, arrows, ASCII words in lower case, numbers, and runs of other signs."""
-    pattern = r"_[^\s_()]+_|→|->|[A-Za-z][A-Za-z0-9_']*|[0-9]+|[^\sA-Za-z0-9_]+"
+    """Names between underscores as they are, two-sign arrows, ASCII words in lower case, numbers, and runs of SIGNS; the first of these that fits at a place."""
+    pattern = f"_[^{WIDE_SPACE}]+_|->|=>|[A-Za-z][A-Za-z0-9_']*|[0-9]+|[{SIGNS}]+"
     return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda t: F.when(t.rlike(r"^[A-Za-z][A-Za-z0-9_']*$"), F.lower(t)).otherwise(t))
 
 
+def query_text(goal: Column, context: Column) -> Column:
+    """What a goal and its context, array<struct<name, type>>, are searched by; entries without a name or a type go."""
+    lines = F.transform(F.filter(context, lambda e: e["name"].isNotNull() & e["type"].isNotNull()), lambda e: F.concat(e["name"], F.lit(" : "), e["type"]))
+    return F.array_join(F.concat(F.array(F.lit("GOAL:"), goal, F.lit("CTX:")), F.coalesce(lines, F.array().cast("array<string>"))), "\n")
+
+
 def letter_tokens(text: Column) -> Column:
     """Lower-cased runs of letters and ASCII digits."""
     return F.filter(F.split(F.regexp_replace(F.lower(text), r"[^\p{L}0-9]+", " "), " "), lambda t: t != "")
@@ -93,8 +102,10 @@ def clean_premise(p: Column) -> Column:
 
 
 def clean_premises(premises: Column, file: Column, module: Column, name: Column) -> Column:
-    """Cleaned, distinct, sorted, without empty ones and without the row's own names."""
-    own = F.array(*[clean_premise(x) for x in (F.concat(file, F.lit("."), name), F.concat(F.coalesce(module, F.lit("")), F.lit("."), name), name)])
+    """Cleaned, distinct, sorted, without empty ones and without the row's own names: after its file's base name, after its module, and bare."""
+    folders = F.regexp_replace(file, "/+$", "")
+    base = F.replace(F.when(folders == "", file).otherwise(F.substring_index(folders, "/", -1)), F.lit(".agda"), F.lit(""))
+    own = F.array(*[clean_premise(x) for x in (F.concat(base, F.lit("."), name), F.concat(F.coalesce(module, F.lit("")), F.lit("."), name), name)])
     return F.array_sort(F.array_distinct(F.array_except(F.filter(F.transform(premises, clean_premise), lambda p: p != ""), own)))
 
 
@@ -135,17 +146,19 @@ def fnv1a32(s: Column) -> Column:
 def split_arrows(type_: Column) -> Column:
     """Parts of a type string between its top-level arrows, trimmed, without empty ones.
 
-    One fold over the characters keeps the bracket depth (never below 0) and the open part.
+    One fold over the characters keeps the depth of each of the three kinds of brackets (none below 0) and the open part.
     """
     chars = F.split(F.coalesce(type_, F.lit("")), "")
-    start = F.struct(F.lit(0).alias("depth"), F.lit("").alias("part"), F.array().cast("array<string>").alias("parts"))
+    kinds = ("()", "{}", "[]")
+    start = F.struct(*[F.lit(0).alias(f"d{k}") for k in range(3)], F.lit("").alias("part"), F.array().cast("array<string>").alias("parts"))
 
     def step(s, c):
-        depth = F.greatest(F.lit(0), s["depth"] + F.when(c.isin("(", "{", "["), 1).when(c.isin(")", "}", "]"), -1).otherwise(0))
-        long, short = (c == "→") & (depth == 0), (c == ">") & (depth == 0) & F.endswith(s["part"], F.lit("-"))
+        depths = [F.greatest(F.lit(0), s[f"d{k}"] + F.when(c == pair[0], 1).when(c == pair[1], -1).otherwise(0)) for k, pair in enumerate(kinds)]
+        top = (depths[0] == 0) & (depths[1] == 0) & (depths[2] == 0)
+        long, short = (c == "→") & top, (c == ">") & top & F.endswith(s["part"], F.lit("-"))
         whole = F.when(short, F.substr(s["part"], F.lit(1), F.length(s["part"]) - 1)).otherwise(s["part"])
         part = F.when(long | short, "").otherwise(F.concat(s["part"], c))
-        return F.struct(depth.alias("depth"), part.alias("part"), F.when(long | short, F.concat(s["parts"], F.array(whole))).otherwise(s["parts"]).alias("parts"))
+        return F.struct(*[d.alias(f"d{k}") for k, d in enumerate(depths)], part.alias("part"), F.when(long | short, F.concat(s["parts"], F.array(whole))).otherwise(s["parts"]).alias("parts"))
 
     return F.filter(F.aggregate(chars, start, step, lambda s: F.transform(F.concat(s["parts"], F.array(s["part"])), lambda x: F.trim(x))), lambda p: p != "")
 
@@ -166,13 +179,105 @@ def slug(c: Column) -> Column:
 
 
 def plain_goal(goal: Column) -> Column:
-    """A goal as a policy reads it: space collapsed, qualifiers before a dot dropped, the word not as a sign."""
-    short = F.regexp_replace(collapse_space(goal), r"\b(?:[A-Z]\w*\.)+(?=\w)", "")
-    return F.regexp_replace(short, r"\bnot\b", "¬")
+    """A goal as a policy reads it: space collapsed, qualifiers before any sign or word dropped, the word not as a sign."""
+    short = F.regexp_replace(F.trim(F.regexp_replace(goal, r"(?U)\s+", " ")), r"(?U)\b(?:[A-Za-z_][\w']*\.)+(?=[^\s])", "")
+    return F.regexp_replace(short, r"(?U)\bnot\b", "¬")
+
+
+#: Fixed value: what a checker prints before the places of what it left open.
+UNSOLVED = r"Unsolved(?:\s+interaction)?\s+metas\s+at\s+the\s+following\s+locations:"
 
 
 def unsolved_positions(output: Column) -> Column:
-    """array<struct<line, col>> of path:line,col or path:line.col marks in a checker's output, in order."""
+    """array<struct<line, col>> of the :line,col or :line.col marks after the header of unsolved places, in order; empty without the header."""
+    tail = F.regexp_extract(output, f"(?is){UNSOLVED}(.*)", 1)
     mark = r":(\d+)[,.](\d+)"
-    line, col = F.regexp_extract_all(output, F.lit(mark), F.lit(1)), F.regexp_extract_all(output, F.lit(mark), F.lit(2))
+    line, col = F.regexp_extract_all(tail, F.lit(mark), F.lit(1)), F.regexp_extract_all(tail, F.lit(mark), F.lit(2))
     return F.zip_with(line, col, lambda a, b: F.struct(a.try_cast("int").alias("line"), b.try_cast("int").alias("col")))
+
+
+def fnv1a64(s: Column) -> Column:
+    """The 64-bit FNV-1a hash of the UTF-8 bytes, as 16 hex digits; the product modulo 2^64 is put together from two halves."""
+    h = F.hex(F.encode(s, "utf-8"))
+    codes = F.transform(F.filter(F.sequence(F.lit(1), F.greatest(F.length(h) / 2, F.lit(1)).cast("int")), lambda i: i * 2 <= F.length(h)), lambda i: F.conv(F.substr(h, i * 2 - 1, F.lit(2)), 16, 10).cast("long"))
+    start = F.struct(F.lit(0xCBF29CE4).cast("long").alias("hi"), F.lit(0x84222325).cast("long").alias("lo"))
+    half = 0xFFFFFFFF
+
+    def step(a, b):  # the prime is 2^40 + 0x1B3
+        lo = a["lo"].bitwiseXOR(b)
+        low = lo * 0x1B3
+        high = a["hi"] * 0x1B3 + F.shiftright(low, 32) + F.shiftleft(lo, 8)
+        return F.struct(high.bitwiseAND(F.lit(half).cast("long")).alias("hi"), low.bitwiseAND(F.lit(half).cast("long")).alias("lo"))
+
+    return F.aggregate(codes, start, step, lambda a: F.lower(F.concat(F.lpad(F.hex(a["hi"]), 8, "0"), F.lpad(F.hex(a["lo"]), 8, "0"))))
+
+
+def module_name_ok(name: Column) -> Column:
+    """Dotted segments that begin with a letter or underscore and go on with letters, digits, underscores, primes and hyphens, all ASCII."""
+    part = r"[A-Za-z_][A-Za-z0-9_'\-]*"
+    return name.rlike(rf"\A{part}(?:\.{part})*\z")
+
+
+#: What three readers take for a module's name in its header line, and what may follow it.
+MODULE_HEADERS = {
+    "strict": r"(?m)^\s*module\s+([A-Za-z_][A-Za-z0-9_\.]*)\s+where\s*$",
+    "primed": r"(?m)^\s*module\s+([A-Za-z0-9_'.]+)\s+where\b",
+    "hyphened": r"(?m)^\s*module\s+([A-Za-z0-9_.\-]+)\s+where\b",
+}
+
+
+def module_header(source: Column, kind: str = "strict") -> Column:
+    """The module that a source's first header line names, by one of three readers; null without one."""
+    return F.nullif(F.regexp_extract(source, MODULE_HEADERS[kind], 1), F.lit(""))
+
+
+def in_module(name: Column, module: str) -> Column:
+    """Whether a name is the module or lies in it."""
+    return (name == module) | F.startswith(name, F.lit(module + "."))
+
+
+def csv_items(text: Column) -> Column:
+    """Items between commas, trimmed, without empty ones."""
+    return F.filter(F.transform(F.split(text, ","), lambda x: F.trim(x)), lambda x: x != "")
+
+
+def doc_slug(text: Column) -> Column:
+    """A heading's anchor: lower case, only word characters, spaces and hyphens, runs of the latter as one hyphen; section if nothing is left."""
+    kept = F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"(?U)[^\w\s-]", ""))
+    return F.coalesce(F.nullif(F.regexp_replace(kept, r"(?U)[-\s]+", "-"), F.lit("")), F.lit("section"))
+
+
+def flat_filename(path: Column) -> Column:
+    """The page of a source file: its folders and stem joined by dots; an index file stands for its folder."""
+    name = F.substring_index(path, "/", -1)
+    stem = F.when(name.rlike(r"\.lagda\.md$"), F.regexp_replace(name, r"\.lagda\.md$", "")).when(name.rlike(r"\.lagda$"), F.regexp_replace(name, r"\.lagda$", "")).otherwise(F.regexp_replace(name, r"(?<=.)\.[^.]+$", ""))
+    folders = F.filter(F.split(F.regexp_replace(path, r"/?[^/]*$", ""), "/"), lambda x: ~x.isin("", "."))
+    index = F.lower(stem) == "index"
+    flat = F.when(F.size(folders) == 0, F.when(index, "index").otherwise(stem)).otherwise(F.array_join(F.when(index, folders).otherwise(F.concat(folders, F.array(stem))), "."))
+    return F.concat(flat, F.lit(".md"))
+
+
+def splice(source: Column, line: Column, col: Column, candidate: Column, hole: str = "{!!}") -> Column:
+    """struct(text, error): the source with the hole at line and col, from 1, filled in; without that very hole there, the error."""
+    lines = F.split(source, "\n", -1)
+    own = F.get(lines, (line - 1).cast("int"))
+    there = F.substr(own, F.greatest(col, F.lit(1)).cast("int"), F.lit(len(hole))) == hole
+    patched = F.concat(F.substr(own, F.lit(1), (col - 1).cast("int")), candidate, F.substr(own, (col + len(hole)).cast("int")))
+    error = (
+        F.when((line < 1) | (line > F.size(lines)), F.concat(F.lit("line "), line.cast("string"), F.lit(" is out of range, there are "), F.size(lines).cast("string")))
+        .when((col < 1) | ~F.coalesce(there, F.lit(False)), F.concat(F.lit(f"no {hole} at line "), line.cast("string"), F.lit(", column "), col.cast("string")))
+    )
+    filled = F.array_join(F.transform(lines, lambda x, i: F.when(i == line - 1, patched).otherwise(x)), "\n")
+    return F.struct(F.when(error.isNull(), filled).alias("text"), error.alias("error"))
+
+
+def remaining_binders(binders: Column, supplied: Column) -> Column:
+    """Of array<struct<hiding, ...>> those left once so many visible ones, the first, have arguments; the hidden ones stay, in order."""
+    seen = lambda i: F.size(F.filter(F.slice(binders, F.lit(1), i), lambda b: b["hiding"] == "explicit"))
+    return F.filter(binders, lambda b, i: (b["hiding"] != "explicit") | (seen(i) >= supplied))
+
+
+def application(lemma: Column, binders: Column, args: Column, hole: str = "{!!}") -> Column:
+    """The lemma applied to the arguments, with a hole for each visible binder that these leave."""
+    left = F.filter(remaining_binders(binders, F.size(args)), lambda b: b["hiding"] == "explicit")
+    return F.array_join(F.concat(F.array(lemma), args, F.transform(left, lambda b: F.lit(hole))), " ")

@@ -64,9 +64,15 @@ def hash_sample_capped(df: DataFrame, key: str, group: str, k: int, cap: int, sa
     return some.withColumn("place", place).where(F.col("place") <= cap).orderBy("score", key).limit(k).drop("place")
 
 
-def fixture_filter(df: DataFrame, max_ast_size: int | None = None, max_row_bytes: int | None = None, simple_only: bool = False) -> DataFrame:
-    """Rows with a body and all name fields, within the limits."""
+def fixture_filter(df: DataFrame, max_ast_size: int | None = None, max_row_bytes: int | None = None, simple_only: bool = False, fields: tuple[str, ...] = (), max_tree_bytes: int | None = None, at_index: bool = False) -> DataFrame:
+    """Rows with a body and all the fields, within the limits; at_index: only bodies that count to a binder. A limit on the tree lets rows without one go."""
     keep = (F.col("has_body") == F.lit(True)) & (F.length(F.trim("body")) > 0)
+    for c in fields:
+        keep &= F.coalesce(F.length(F.trim(F.col(c).cast("string"))), F.lit(0)) > 0
+    if at_index:
+        keep &= F.trim("body").rlike(r"^@\d+$")
+    if max_tree_bytes is not None:
+        keep &= F.coalesce(F.octet_length("type_ast"), F.lit(max_tree_bytes + 1)) <= max_tree_bytes
     if simple_only:
         keep &= ~F.col("body").rlike(r"\s")
     if max_ast_size is not None:
@@ -78,3 +84,66 @@ def fixture_filter(df: DataFrame, max_ast_size: int | None = None, max_row_bytes
 
 def largest_rows(df: DataFrame, key: str, text: str, n: int) -> DataFrame:
     return df.select(key, F.octet_length(text).cast("long").alias("bytes")).orderBy(F.col("bytes").desc(), key).limit(n)
+
+
+def labelled(df: DataFrame, label: str = "label") -> DataFrame:
+    """Rows with a label."""
+    return df.where(F.col(label).isNotNull())
+
+
+def only_ids(df: DataFrame, key: str, ids: DataFrame | None) -> DataFrame:
+    """Rows of these ids; without ids, all."""
+    return df if ids is None else df.join(ids.select(F.col(ids.columns[0]).alias(key)).distinct(), key, "left_semi")
+
+
+def available(df: DataFrame, source: str, ready: tuple[str, ...], path: str, files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows, the others): a row is available if its source is ready and its path is one of files (path). The two parts are all rows, once."""
+    there = files.select(F.col("path").alias("__path")).distinct().withColumn("__there", F.lit(True))
+    d = df.join(there, df[path] == there["__path"], "left")
+    ok = F.coalesce(F.col(source).isin(*ready) & F.col("__there"), F.lit(False))
+    return d.where(ok).select(df.columns), d.where(~ok).select(df.columns)
+
+
+def first_emitted(df: DataFrame, order: str, n: int = 200) -> DataFrame:
+    """The first n rows in input order, after all filters: a bounded heap a task."""
+    return df.orderBy(order).limit(n)
+
+
+def in_document_order(df: DataFrame, keys: tuple[str, ...] = ("pretty_qname", "module", "name", "goal", "target"), cap: int | None = None) -> DataFrame:
+    """Rows by these keys, null like empty text, and at most cap of them."""
+    ordered = df.orderBy(*[F.coalesce(F.col(k), F.lit("")) for k in keys])
+    return ordered if cap is None else ordered.limit(cap)
+
+
+def first_of_shards(lines: DataFrame, shard: str, order: str, shards: int, rows: int) -> DataFrame:
+    """The first rows lines of the first shards by name: the names are few, the lines come by a bounded heap."""
+    names = lines.select(shard).distinct().orderBy(shard).limit(shards)
+    return lines.join(F.broadcast(names), shard, "left_semi").orderBy(shard, order).limit(rows)
+
+
+def never_empty_test(train: DataFrame, test: DataFrame, order: str) -> tuple[DataFrame, DataFrame]:
+    """(train, test): if test has no rows, train's last one moves there."""
+    if train.isEmpty() or not test.isEmpty():
+        return train, test
+    last = train.agg(F.max(order).alias("__last"))
+    joined = train.join(F.broadcast(last), F.lit(True))  # one row
+    at = F.col(order) == F.col("__last")
+    return joined.where(~F.coalesce(at, F.lit(False))).select(train.columns), test.unionByName(joined.where(at).select(train.columns))
+
+
+def unseeded_split(df: DataFrame, weights: tuple[float, float] = (0.8, 0.2)) -> list[DataFrame]:
+    """Spark's split without a seed: other rows on every run."""
+    return df.randomSplit(list(weights))
+
+
+def fingerprint(content: Column) -> Column:
+    """SHA-1 of a text, in hex: the key that a result is remembered by."""
+    return F.sha1(content)
+
+
+def memo_join(asked: DataFrame, known: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """What was asked with what is known of it, and whether it is (cached): a lookup by the hash of the keys. Rows that repeat a key of known count once."""
+    key = F.sha1(F.concat_ws("\x1f", *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys]))
+    memo = known.groupBy(key.alias("__key")).agg(F.min(value).alias(value))
+    d = asked.withColumn("__key", key).join(memo, "__key", "left")
+    return d.withColumn("cached", F.col(value).isNotNull()).drop("__key")

@@ -74,3 +74,43 @@ def tier_stats(df: DataFrame, tier: str, solved: Column, iterations: Column, ela
 
 def gold_report(df: DataFrame, passed: Column) -> DataFrame:
     return df.agg(F.count("*").alias("total"), F.count_if(passed).alias("passed"), F.count_if(~passed).alias("failed"), F.coalesce(F.bool_and(passed), F.lit(True)).alias("all_passed"))
+
+
+#: Tiers and the other names that they go by, once in lower case with underscores.
+TIERS = {"routine": ("routine", "tier1"), "compositional": ("compositional", "tier2"), "non-obvious": ("non_obvious", "nonobvious", "tier3")}
+
+
+def tier_of(text: Column) -> Column:
+    """The tier that a name means; null for others."""
+    low = F.translate(F.lower(F.trim(text)), "- ", "__")
+    found = F.lit(None).cast("string")
+    for tier, names in TIERS.items():
+        found = F.when(low.isin(*names), tier).otherwise(found)
+    return found
+
+
+def with_tier(rows: DataFrame, key: str, obligations: DataFrame, obligation: str = "id", tier: str = "tier") -> DataFrame:
+    """rows with the tier of their obligation, ? where there is none."""
+    known = obligations.groupBy(F.col(obligation).alias("__id")).agg(F.min(tier).alias("__tier"))
+    return rows.join(known, rows[key] == known["__id"], "left").select(*rows.columns, F.coalesce("__tier", F.lit("?")).alias("tier"))
+
+
+OBLIGATION = "id string, source string, module string, obligation string, gold string, goldTerm string, hole string, type string, difficulty string, domain string, proofStrategy string, tags array<string>"
+
+
+def obligations(lines: DataFrame, raw: str = "raw") -> tuple[DataFrame, DataFrame]:
+    """(obligations, raw lines that aren't one): domain and strategy default to empty text, tags to none; all other fields and a known tier are needed."""
+    d = lines.select(F.col(raw).alias("raw"), F.from_json(raw, OBLIGATION).alias("r")).withColumn("tier", tier_of(F.col("r.difficulty")))
+    needed = ("id", "source", "module", "obligation", "gold", "goldTerm", "hole", "type")
+    ok = F.col("tier").isNotNull()
+    for c in needed:
+        ok &= F.col(f"r.{c}").isNotNull()
+    ok = F.coalesce(ok, F.lit(False))
+    empty = lambda c: F.coalesce(F.col(f"r.{c}"), F.lit("")).alias(c)
+    good = d.where(ok).select(*[F.col(f"r.{c}").alias(c) for c in needed], "tier", empty("domain"), empty("proofStrategy"), F.coalesce("r.tags", F.array().cast("array<string>")).alias("tags"))
+    return good, d.where(~ok).select("raw")
+
+
+def beam(states: DataFrame, by: str, order: list[Column | str], k: int) -> DataFrame:
+    """The first k states of each search by these keys, in order (place)."""
+    return states.withColumn("place", F.row_number().over(Window.partitionBy(by).orderBy(*order)).cast("long")).where(F.col("place") <= k)

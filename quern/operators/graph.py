@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def _cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame) -> DataFrame:
     """Cuts the lineage between rounds: a written table in the shared folder where one is set."""
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
@@ -52,14 +52,14 @@ def shape(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def longest_path(edges: DataFrame, src: str = "src", dst: str = "dst") -> int | None:
     """Edges on the longest path; None if there is a cycle. Each round relaxes all nodes at once; nodes without a predecessor leave, so a cycle shows as rounds that remove none."""
-    left = _cut(edges.select(F.col(src).alias("s"), F.col(dst).alias("d")).distinct())
+    left = cut(edges.select(F.col(src).alias("s"), F.col(dst).alias("d")).distinct())
     rounds = 0
     while True:
         n = left.count()
         if not n:
             return rounds
         # edges from nodes that nothing leads to any more go together: as many rounds as the longest path has edges
-        after = _cut(left.join(left.select(F.col("d").alias("s")).distinct(), "s", "left_semi").select("s", "d"))
+        after = cut(left.join(left.select(F.col("d").alias("s")).distinct(), "s", "left_semi").select("s", "d"))
         if after.count() == n:
             return None
         left, rounds = after, rounds + 1
@@ -80,13 +80,115 @@ def khop(edges: DataFrame, seeds: DataFrame, hops: int, src: str = "src", dst: s
 def connected_components(edges: DataFrame, nodes: DataFrame, src: str = "src", dst: str = "dst", most_rounds: int = 50) -> DataFrame:
     """(node, component), the smallest node that links reach: labels take the least of their neighbours' and then of their label's own, until none changes."""
     both = edges.select(F.col(src).alias("x"), F.col(dst).alias("y")).unionAll(edges.select(F.col(dst).alias("x"), F.col(src).alias("y"))).distinct()
-    both, labels = _cut(both), _cut(nodes.select("node", F.col("node").alias("component")).distinct())
+    both, labels = cut(both), cut(nodes.select("node", F.col("node").alias("component")).distinct())
     for _ in range(most_rounds):
         near = both.join(labels, both["y"] == labels["node"]).groupBy("x").agg(F.min("component").alias("least"))
         new = labels.join(near, labels["node"] == near["x"], "left").select("node", F.least("component", F.coalesce("least", "component")).alias("component"), F.col("component").alias("old"))
         jump = new.select(F.col("node").alias("j"), F.col("component").alias("further"))
-        new = _cut(new.join(jump, new["component"] == jump["j"], "left").select("node", F.least("component", F.coalesce("further", "component")).alias("component"), "old"))
+        new = cut(new.join(jump, new["component"] == jump["j"], "left").select("node", F.least("component", F.coalesce("further", "component")).alias("component"), "old"))
         labels = new.select("node", "component")
         if new.where(F.col("component") != F.col("old")).isEmpty():
             return labels
     raise RuntimeError("no fixed point")
+
+
+def dependency_edges(df: DataFrame, name: str, kinds: dict[str, str]) -> DataFrame:
+    """(src, token, dep_kind), distinct: tokens of the array columns named by kind, and union for each token of any kind."""
+    parts = [edges_of(df, name, c).withColumn("dep_kind", F.lit(k)) for k, c in kinds.items()]
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionAll(p)
+    return every.unionAll(every.select("src", "token").distinct().withColumn("dep_kind", F.lit("union")))
+
+
+def definition_report(df: DataFrame, name: str, tokens: str, n: int = 20) -> DataFrame:
+    """One row: rows, nodes, collapsed_rows, internal_edges, unresolved_occurrences, unresolved_qualified, distinct_unresolved, self_loops, and as array<struct<key, count>> the n names most depended upon and the n unresolved tokens met most.
+
+    Rows that share a name merge; rows without a name count as collapsed.
+    """
+    from quern.functions.text import looks_qualified
+    from quern.operators.stats import counts_by, top_n
+
+    named = df.where(F.coalesce(F.col(name), F.lit("")) != "")
+    nodes = named.select(F.col(name).alias("node")).distinct()
+    e = edges_of(named, name, tokens)
+    known = nodes.select(F.col("node").alias("__n"))
+    met = e.join(known, F.col("token") == F.col("__n"), "left")
+    of = met.agg(
+        F.count("__n").alias("internal_edges"), F.count_if(F.col("__n").isNull()).alias("unresolved_occurrences"),
+        F.count_if(F.col("__n").isNull() & looks_qualified(F.col("token"))).alias("unresolved_qualified"),
+        F.countDistinct(F.when(F.col("__n").isNull(), F.col("token"))).alias("distinct_unresolved"), F.count_if(F.col("__n") == F.col("src")).alias("self_loops"),
+    )
+    best = lambda d, c: top_n(counts_by(d, "token"), n).agg(F.array_sort(F.collect_list(F.struct((-F.col("count")).alias("c"), "key"))).alias("l")).select(F.transform("l", lambda x: F.struct(x["key"].alias("key"), (-x["c"]).alias("count"))).alias(c))
+    sizes = df.agg(F.count("*").alias("rows")).crossJoin(nodes.agg(F.count("*").alias("nodes")))  # one row each, as the others
+    out = sizes.crossJoin(of).crossJoin(best(internal(e, nodes), "most_depended_upon")).crossJoin(best(unresolved(e, nodes), "most_unresolved"))
+    return out.select("rows", "nodes", (F.col("rows") - F.col("nodes")).alias("collapsed_rows"), "internal_edges", "unresolved_occurrences", "unresolved_qualified", "distinct_unresolved", "self_loops", "most_depended_upon", "most_unresolved")
+
+
+def reverse_index(edges: DataFrame) -> DataFrame:
+    """(token, n, sources): the definitions that mention each token, in order; the lists are what is asked for."""
+    return edges.groupBy("token").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("src")).alias("sources"))
+
+
+def strong_components(edges: DataFrame, nodes: DataFrame, src: str = "src", dst: str = "dst", most_rounds: int = 200) -> DataFrame:
+    """(node, component): the smallest node of each strongly connected component.
+
+    Each round first drops nodes that nothing leads to or that lead nowhere, again and again: each is a component of its
+    own. What is left is coloured forward by the smallest node that reaches a node; the nodes of a colour that lead back
+    to it are its component. No component is held in one place.
+    """
+    left = cut(nodes.select("node").distinct())
+    e = cut(edges.select(F.col(src).alias("s"), F.col(dst).alias("d")).where(F.col(src) != F.col(dst)).distinct())
+    done = None
+    add = lambda found: found if done is None else done.unionAll(found)
+    for _ in range(most_rounds):
+        while True:  # nodes without a way in or out
+            both = e.select(F.col("s").alias("node")).intersect(e.select(F.col("d").alias("node")))
+            alone = cut(left.join(both, "node", "left_anti"))
+            if alone.isEmpty():
+                break
+            done = add(alone.select("node", F.col("node").alias("component")))
+            left = cut(left.join(alone, "node", "left_anti"))
+            e = cut(e.join(left.select(F.col("node").alias("s")), "s", "left_semi").join(left.select(F.col("node").alias("d")), "d", "left_semi").select("s", "d"))
+        if left.isEmpty():
+            return done
+        colour = _spread(e, left.select("node", F.col("node").alias("label")), "s", "d")
+        own = colour.select(F.col("node").alias("s"), F.col("label").alias("ls"))
+        inner = cut(e.join(own, "s").join(colour.select(F.col("node").alias("d"), F.col("label").alias("ld")), "d").where(F.col("ls") == F.col("ld")).select("s", "d"))
+        roots = colour.where(F.col("node") == F.col("label")).select("node", "label")
+        back = cut(_reached(inner, roots))
+        done = add(back.select("node", F.col("label").alias("component")))
+        left = cut(left.join(back, "node", "left_anti"))
+        e = cut(e.join(left.select(F.col("node").alias("s")), "s", "left_semi").join(left.select(F.col("node").alias("d")), "d", "left_semi").select("s", "d"))
+    raise RuntimeError("no fixed point")
+
+
+def _spread(e: DataFrame, labels: DataFrame, a: str, b: str) -> DataFrame:
+    """(node, label): the smallest label that reaches a node along edges from a to b."""
+    labels = cut(labels)
+    while True:
+        near = e.join(labels, e[a] == labels["node"]).groupBy(F.col(b).alias("__b")).agg(F.min("label").alias("__least"))
+        new = cut(labels.join(near, labels["node"] == near["__b"], "left").select("node", F.least("label", F.coalesce("__least", "label")).alias("label"), F.col("label").alias("old")))
+        labels = new.select("node", "label")
+        if new.where(F.col("label") != F.col("old")).isEmpty():
+            return labels
+
+
+def _reached(e: DataFrame, roots: DataFrame) -> DataFrame:
+    """(node, label) of nodes that lead to a root, by the root's label."""
+    found = front = cut(roots)
+    while True:
+        step = front.join(e, front["node"] == e["d"]).select(F.col("s").alias("node"), "label").distinct()
+        front = cut(step.join(found.select("node"), "node", "left_anti"))
+        if front.isEmpty():
+            return found
+        found = cut(found.unionAll(front))
+
+
+def matching_types(trees: DataFrame, key: str, ast: str) -> DataFrame:
+    """(key, group): definitions whose type trees have one shape, names aside; group is the smallest key of the shape."""
+    from quern.functions.ast import shape
+
+    d = trees.where(F.col(ast).isNotNull()).select(F.col(key).alias(key), F.sha1(shape(F.col(ast))).alias("__shape"))
+    least = d.groupBy("__shape").agg(F.min(key).alias("group"))
+    return d.join(least, "__shape").select(key, "group")

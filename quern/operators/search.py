@@ -41,3 +41,11 @@ def expand(tokens: DataFrame, defs: DataFrame) -> DataFrame:
     place = F.row_number().over(Window.partitionBy("ord", "token").orderBy("pretty_qname"))
     short = short.withColumn("place", place).where(F.col("place") <= FALLBACK).drop("place").withColumn("match", F.lit("short"))
     return exact.select("ord", "token", *names.columns, "match").unionByName(short.select("ord", "token", *names.columns, "match"))
+
+
+def definition(defs: DataFrame, qname: str) -> DataFrame:
+    """The definition of exactly this name; LookupError without one."""
+    found = defs.where(F.col("pretty_qname") == qname)
+    if found.isEmpty():
+        raise LookupError(f"no definition is named {qname}")
+    return found

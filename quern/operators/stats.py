@@ -54,3 +54,8 @@ def size_histogram(df: DataFrame, array: str) -> DataFrame:
 
 def self_references(df: DataFrame, array: str, name: str) -> DataFrame:
     return df.agg(F.count_if(F.array_contains(F.col(array), F.col(name))).alias("self_references"))
+
+
+def self_edges(df: DataFrame, name: str, token: str) -> DataFrame:
+    """The same from rows (name, token), repeated or not: only those that name themselves are gathered."""
+    return df.where(F.col(name) == F.col(token)).agg(F.countDistinct(name).alias("self_references"))

@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 #: Keys that a row must have, with and without a file.
 FULL = ("astSize", "file", "kind", "module", "name", "qname", "type")
 HUMAN = ("body", "name", "type")
+#: Errors that a report of one file lists, if not said otherwise.
 MOST_ERRORS = 50
 
 
@@ -19,17 +20,22 @@ def missing_keys(raw: Column) -> Column:
     return F.array_sort(F.array_except(need, keys))
 
 
-def validate_lines(df: DataFrame, raw: str, order: str, by: str | None = None) -> DataFrame:
-    """Rows with an error, at most MOST_ERRORS of a file: (by, order, error). Blank lines don't count."""
+def line_error(raw: Column) -> Column:
+    """What is wrong with a line: no JSON, no object, or missing keys; null if nothing is."""
+    missing = missing_keys(raw)
+    return F.when(F.try_parse_json(raw).isNull(), "JSON parse error").when(missing.isNull(), "not a JSON object").when(F.size(missing) > 0, F.concat(F.lit("missing keys: "), F.array_join(missing, ",")))
+
+
+def validate_lines(df: DataFrame, raw: str, order: str, by: str | None = None, most: int = MOST_ERRORS) -> DataFrame:
+    """Rows with an error, at most so many of a file: (by, order, error). Blank lines don't count."""
     lines = df.where(F.trim(raw) != "")
-    missing = missing_keys(F.col(raw))
-    error = F.when(missing.isNull(), "not a JSON object").when(F.size(missing) > 0, F.concat(F.lit("missing: "), F.array_join(missing, ",")))
+    error = line_error(F.col(raw))
     bad = lines.withColumn("error", error).where(F.col("error").isNotNull())
     cols = [by, order] if by else [order]
     if by is None:
-        return bad.select(*cols, "error").orderBy(order).limit(MOST_ERRORS)
+        return bad.select(*cols, "error").orderBy(order).limit(most)
     place = F.row_number().over(Window.partitionBy(by).orderBy(order))
-    return bad.withColumn("__n", place).where(F.col("__n") <= MOST_ERRORS).select(*cols, "error")
+    return bad.withColumn("__n", place).where(F.col("__n") <= most).select(*cols, "error")
 
 
 def gate(df: DataFrame, version: Column, wanted: str, least_rows: int) -> DataFrame:
@@ -76,3 +82,14 @@ def assert_schema(df: DataFrame, wanted: T.StructType) -> DataFrame:
     if faults := schema_faults(df.schema, wanted):
         raise ValueError("; ".join(faults))
     return df
+
+
+def validate_report(df: DataFrame, raw: str, line_no: str, by: str, most: int = MOST_ERRORS) -> DataFrame:
+    """(by, ok, rows, errors): for each file whether it has no error, how many lines were read, and what is wrong by line. After the last error that is listed no line is read; a file of blank lines is fine and has no rows."""
+    listed = validate_lines(df, raw, line_no, by, most)
+    said = F.concat(F.lit("line "), F.col(line_no).cast("string"), F.lit(": "), F.col("error"))
+    errors = listed.groupBy(by).agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col(line_no).alias("n"), said.alias("e")))), lambda x: x["e"]).alias("errors"), F.max(line_no).alias("__last"))
+    d = df.join(errors.withColumnRenamed(by, "__by"), F.col(by).eqNullSafe(F.col("__by")), "left")
+    read = (F.trim(raw) != "") & ((F.coalesce(F.size("errors"), F.lit(0)) < most) | (F.col(line_no) <= F.col("__last")))
+    out = d.groupBy(by).agg(F.count_if(read).alias("rows"), F.first("errors", True).alias("errors"))
+    return out.select(by, F.col("errors").isNull().alias("ok"), "rows", F.coalesce("errors", F.array().cast("array<string>")).alias("errors"))

@@ -92,3 +92,42 @@ def ports(ast: Column) -> Column:
 def wires(dependencies: Column, body: Column) -> Column:
     """Names that the type or the body mentions, sorted."""
     return F.array_sort(F.array_union(F.coalesce(dependencies, F.array().cast("array<string>")), F.coalesce(X.dependency_tokens(body), F.array().cast("array<string>"))))
+
+
+#: The columns of a feature row, in the order that readers rely on, and the keys of a minimal row.
+CONTRACT = ("file", "module", "name", "qname", "prettyModule", "prettyName", "prettyQname", "type", "typeAstVersion", "typeAst", "defKind", "dependencies", "astSize", "body", "hasBody")
+MINIMAL = (*CONTRACT[:10], "kind", *CONTRACT[10:])
+
+
+def contract_order(df: DataFrame, columns: tuple[str, ...] = CONTRACT) -> DataFrame:
+    """The contract's columns that df has, in the contract's order, and what else it has after them."""
+    first = [c for c in columns if c in df.columns]
+    return df.select(*first, *[c for c in df.columns if c not in first])
+
+
+def minimal(df: DataFrame, keys: tuple[str, ...] = MINIMAL) -> DataFrame:
+    """The columns of the whitelist that df has."""
+    return df.select(*[c for c in keys if c in df.columns])
+
+
+def corpus_entries(df: DataFrame, required: tuple[str, ...] = ("pretty_qname", "pretty_name", "module", "type")) -> DataFrame:
+    """Rows for a search index: without tree and body, of which a flag is left; rows that lack a required field go."""
+    keep = F.lit(True)
+    for c in required:
+        keep &= F.col(c).isNotNull()
+    out = df.where(keep).withColumn("has_body", F.coalesce(F.length("body"), F.lit(0)) > 0)
+    return out.drop("body", "type_ast")
+
+
+def trainer_features(df: DataFrame, type_: str = "type", body: str = "body", label: str = "label") -> DataFrame:
+    """(len_type, len_body, label): lengths, null as empty, and the label, 0 where there is none."""
+    n = lambda c: F.length(F.coalesce(F.col(c), F.lit(""))).cast("long")
+    y = F.coalesce(F.col(label), F.lit(0)) if label in df.columns else F.lit(0)
+    return df.select(n(type_).alias("len_type"), n(body).alias("len_body"), y.cast("long").alias("label"))
+
+
+def file_rows(files: DataFrame, module: str, text: str) -> DataFrame:
+    """(module, size_bytes, num_lines, raw) of source files: a last line counts also without its end."""
+    raw = F.col(text)
+    ends = F.length(raw) - F.length(F.replace(raw, F.lit("\n"), F.lit("")))
+    return files.select(F.col(module).alias("module"), F.octet_length(raw).cast("long").alias("size_bytes"), (ends + F.when((raw == "") | F.endswith(raw, F.lit("\n")), 0).otherwise(1)).cast("long").alias("num_lines"), raw.alias("raw"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -21,6 +22,8 @@ SQL: dict[str, str] = {}
 
 def query(sql: str | None = None):
     def keep(f):
+        if f.__name__ in QUERIES:
+            raise ValueError(f"two queries are named {f.__name__}")
         QUERIES[f.__name__] = f
         if sql:
             SQL[f.__name__] = sql
@@ -107,8 +110,7 @@ def premise_size_histogram(spark, sf):
 
 @query("SELECT count(*) AS self_references FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) WHERE l_orderkey = l_partkey")
 def self_premise_count(spark, sf):
-    li = T.table(spark, sf, "lineitem").groupBy("l_partkey").agg(F.collect_set("l_orderkey").alias("tokens"))
-    return stats.self_references(li, "tokens", "l_partkey")
+    return stats.self_edges(T.table(spark, sf, "lineitem"), "l_partkey", "l_orderkey")
 
 
 # ---- curation
@@ -185,9 +187,11 @@ def edge_list(spark, sf):
     return graph.internal(e, nodes).select("src", "token", F.lit(True).alias("internal")).unionAll(graph.unresolved(e, nodes).select("src", "token", F.lit(False)))
 
 
-@query(f"WITH {GRAPH} SELECT token, count(*) AS n, min(src) AS first, max(src) AS last FROM e GROUP BY token")
+@query(f"WITH {GRAPH} SELECT token, count(*) AS n, array_to_string(list(src ORDER BY src), ' ') AS sources FROM e GROUP BY token")
 def reverse_index(spark, sf):
-    return T.part_graph(spark, sf)[1].groupBy("token").agg(F.count("*").alias("n"), F.min("src").alias("first"), F.max("src").alias("last"))
+    """Every token with the definitions that mention it, in order."""
+    r = graph.reverse_index(T.part_graph(spark, sf)[1])
+    return r.select("token", "n", F.array_join(F.transform("sources", lambda x: x.cast("string")), " ").alias("sources"))
 
 
 @query(f"WITH {GRAPH} SELECT src, token FROM e WHERE token IN (SELECT node FROM nodes)")
@@ -257,7 +261,7 @@ def connected_components(spark, sf):
 
 # ---- retrieval
 
-IDENT = "regexp_extract_all(text, '_[^\\s_()]+_|→|->|[A-Za-z][A-Za-z0-9_'']*|[0-9]+|[^\\sA-Za-z0-9_]+')"
+IDENT = f"regexp_extract_all(text, '_[^{X.WIDE_SPACE}]+_|->|=>|[A-Za-z][A-Za-z0-9_'']*|[0-9]+|[{X.SIGNS}]+')"
 TERMS = f"""toks AS (SELECT doc_id AS doc, unnest(list_transform({IDENT}, lambda t: CASE WHEN regexp_full_match(t, '[A-Za-z][A-Za-z0-9_'']*') THEN lower(t) ELSE t END)) AS token FROM documents),
 terms AS (SELECT doc, token, count(*) AS tf FROM toks GROUP BY doc, token)"""
 VOCAB = f"""{TERMS}, vocab AS (SELECT token, count(*) AS df, ln((1 + (SELECT count(*) FROM documents)) / (1.0::DOUBLE + count(*))) + 1 AS idf FROM terms GROUP BY token)"""
@@ -266,7 +270,8 @@ nrm AS (SELECT doc, sqrt(sum(w * w)) AS norm FROM raw GROUP BY doc), vec AS (SEL
 
 
 def _terms(spark, sf):
-    return retrieval.term_counts(T.table(spark, sf, "documents"), "doc_id", X.retrieval_tokens(F.col("text")))
+    """Term counts of all documents, written down: vocabulary, weights and lengths all read them."""
+    return graph.cut(retrieval.term_counts(T.table(spark, sf, "documents"), "doc_id", X.retrieval_tokens(F.col("text"))))
 
 
 def _vocab(spark, sf, terms):
@@ -276,7 +281,8 @@ def _vocab(spark, sf, terms):
 
 @query(f"WITH {TERMS} SELECT doc, count(*) AS n_distinct, sum(tf)::BIGINT AS n_tokens FROM terms GROUP BY doc")
 def tokenize_docs(spark, sf):
-    return _terms(spark, sf).groupBy("doc").agg(F.count("*").alias("n_distinct"), F.sum("tf").alias("n_tokens"))
+    terms = retrieval.term_counts(T.table(spark, sf, "documents"), "doc_id", X.retrieval_tokens(F.col("text")))
+    return terms.groupBy("doc").agg(F.count("*").alias("n_distinct"), F.sum("tf").alias("n_tokens"))
 
 
 @query(f"WITH {VOCAB} SELECT token, df, round(idf, 6) AS idf FROM vocab")
@@ -291,11 +297,13 @@ def tfidf_vectors(spark, sf):
     return retrieval.tfidf(t, _vocab(spark, sf, t)).select("doc", "token", F.round(F.col("weight") + F.lit(1e-9), 5).alias("weight"))
 
 
-@query(f"WITH {VECTORS} SELECT token, count(*) AS n_docs, min(doc) AS first_doc, max(doc) AS last_doc, round(max(weight) + 1e-9::DOUBLE, 5) AS max_weight FROM vec GROUP BY token")
+@query(f"WITH {VECTORS} SELECT token, count(*) AS n_docs, array_to_string(list(doc || ':' || (round(weight + 1e-9::DOUBLE, 5) * 100000)::BIGINT ORDER BY doc), ' ') AS postings FROM vec GROUP BY token")
 def inverted_postings(spark, sf):
+    """Every token's documents in order, with their weights in units of 0.00001."""
     t = _terms(spark, sf)
     p = retrieval.postings(retrieval.tfidf(t, _vocab(spark, sf, t)))
-    return p.withColumn("max_weight", F.round(F.col("max_weight") + F.lit(1e-9), 5))
+    entry = lambda x: F.concat(x["doc"].cast("string"), F.lit(":"), F.round(F.round(x["weight"] + F.lit(1e-9), 5) * 100000).cast("long").cast("string"))
+    return p.select("token", "n_docs", F.array_join(F.transform("postings", entry), " ").alias("postings"))
 
 
 QTERMS = IDENT.replace("text", "b.text")
@@ -436,17 +444,51 @@ def anon_module_normalize(spark, sf):
     return d.select("qname", X.anonymous(F.col("body")).alias("anonymous"), X.drop_anonymous(F.col("body")).alias("target"))
 
 
-@query(f"WITH {TYPED} SELECT qname, 3::BIGINT AS n_parts, '{{A : ' || p_type || '}}' AS first, p_brand AS last FROM typed")
+#: A type of some shape for each part: nested and mixed brackets, both arrows, arrows at the ends, telescopes of several names.
+SHAPES = (
+    ("{A : ", "p_type", "} → ", "p_name", " -> ", "p_brand"), ("(A] → B → ", "p_brand"), ("[x -> ", "p_type", ") → y] → (", "p_name", " → z) → w"), ("→ ", "p_brand", " → "), ("p_name", ") -> {", "p_type", " → q} --> r"),
+    ("{a b : ", "p_type", "} (x : F (a)) {skip} ", "p_brand", " → C"), ("(x:", "p_name", ")(y : {", "p_brand", "}) → x"), ("plain ", "p_type"),
+)
+
+
+def _shaped(spark, sf):
+    p = T.table(spark, sf, "part")
+    build = lambda shape: F.concat(*[F.col(x) if x.startswith("p_") else F.lit(x) for x in shape])
+    text = F.lit(None).cast("string")
+    for k, shape in enumerate(SHAPES):
+        text = F.when(F.col("p_partkey") % len(SHAPES) == k, build(shape)).otherwise(text)
+    return p.select("p_partkey", "p_type", "p_name", "p_brand", text.alias("type"))
+
+
+def _shaped_sql() -> str:
+    build = lambda shape: " || ".join(x if x.startswith("p_") else f"'{x}'" for x in shape)
+    return "shaped AS (SELECT *, CASE p_partkey % " + str(len(SHAPES)) + " " + " ".join(f"WHEN {k} THEN {build(x)}" for k, x in enumerate(SHAPES)) + " END AS type FROM part)"
+
+
+#: Depth of each kind of bracket up to a character, none below 0, by the least of the running sums so far.
+@query(f"""WITH {_shaped_sql()}, ch AS (SELECT p_partkey, unnest(range(1, length(type) + 1)) AS i, type FROM shaped), c AS (SELECT p_partkey, i, substr(type, i, 1) AS c, substr(type, i + 1, 1) AS n FROM ch),
+s AS (SELECT *, {", ".join(f"sum(CASE c WHEN '{o}' THEN 1 WHEN '{e}' THEN -1 ELSE 0 END) OVER w AS s{k}" for k, (o, e) in enumerate(("()", "{}", "[]")))} FROM c WINDOW w AS (PARTITION BY p_partkey ORDER BY i)),
+d AS (SELECT *, {", ".join(f"s{k} - least(0, min(s{k}) OVER w) AS d{k}" for k in range(3))} FROM s WINDOW w AS (PARTITION BY p_partkey ORDER BY i)),
+a AS (SELECT *, d0 + d1 + d2 = 0 AND (c = '→' OR c = '-' AND n = '>') AS cut FROM d), g AS (SELECT *, sum(cut::INT) OVER (PARTITION BY p_partkey ORDER BY i) AS part, lag(cut AND c = '-') OVER (PARTITION BY p_partkey ORDER BY i) AS tail FROM a),
+t AS (SELECT p_partkey, part, trim(string_agg(CASE WHEN cut OR coalesce(tail, false) THEN '' ELSE c END, '' ORDER BY i)) AS text FROM g GROUP BY p_partkey, part)
+SELECT p_partkey, count(*) AS n_parts, string_agg(text, ' | ' ORDER BY part) AS parts FROM t WHERE text <> '' GROUP BY p_partkey""")
 def arrow_split(spark, sf):
-    d = T.typed_parts(spark, sf).withColumn("p", X.split_arrows(F.col("type")))
-    return d.select("qname", F.size("p").cast("long").alias("n_parts"), F.get("p", F.lit(0)).alias("first"), F.element_at("p", -1).alias("last"))
+    d = _shaped(spark, sf).withColumn("p", X.split_arrows(F.col("type")))
+    return d.where(F.size("p") > 0).select("p_partkey", F.size("p").cast("long").alias("n_parts"), F.array_join("p", " | ").alias("parts"))
+
 
+def _by_shape(*values: str) -> str:
+    return f"CASE p_partkey % {len(SHAPES)} " + " ".join(f"WHEN {k} THEN {v}" for k, v in enumerate(values)) + " END"
 
-@query(f"WITH {TYPED} SELECT qname, 1::BIGINT AS n, 'A' AS name, p_type AS type, 'implicit' AS hiding, '→ ' || p_name || ' -> ' || p_brand AS rest FROM typed")
+
+@query(f"""WITH {_shaped_sql()} SELECT p_partkey, {_by_shape("1", "0", "0", "0", "0", "3", "2", "0")}::BIGINT AS n,
+  {_by_shape("'A:' || p_type || ':implicit'", "''", "''", "''", "''", "'a:' || p_type || ':implicit,b:' || p_type || ':implicit,x:F (a):explicit'", "'x:' || p_name || ':explicit,y:{' || p_brand || '}:explicit'", "''")} AS binders,
+  {_by_shape("'→ ' || p_name || ' -> ' || p_brand", "type", "type", "type", "type", "p_brand || ' → C'", "'→ x'", "type")} AS rest FROM shaped""")
 def telescope(spark, sf):
-    d = T.typed_parts(spark, sf).withColumn("t", S.telescope("type"))
-    b = F.get("t.binders", F.lit(0))
-    return d.select("qname", F.size("t.binders").cast("long").alias("n"), b["name"].alias("name"), b["type"].alias("type"), b["hiding"].alias("hiding"), F.col("t.rest").alias("rest"))
+    """Leading binders of types of eight shapes."""
+    d = _shaped(spark, sf).withColumn("t", S.telescope("type"))
+    said = F.array_join(F.transform("t.binders", lambda b: F.concat(b["name"], F.lit(":"), b["type"], F.lit(":"), b["hiding"])), ",")
+    return d.select("p_partkey", F.size("t.binders").cast("long").alias("n"), said.alias("binders"), F.col("t.rest").alias("rest"))
 
 
 REASON = """CASE WHEN body IS NULL THEN 'no_body' WHEN contains(body, ' ') THEN 'not_simple_body' WHEN NOT has_ast THEN 'output_row:type_ast' WHEN sort = 'Prop' THEN 'output_row:unsupported_sort' END"""
@@ -472,7 +514,7 @@ def ports(spark, sf):
     return T.typed_parts(spark, sf).select("qname", views.ports(F.col("ast")).alias("p")).select("qname", "p.inputs", "p.outputs")
 
 
-WIRE = r"list_filter(regexp_extract_all(coalesce({0}, ''), '[\p{{L}}\p{{N}}_''.]+'), lambda t: length(t) >= 2 AND regexp_matches(t, '^\p{{L}}') AND t NOT IN ('Set','Prop','Type','forall','let','in','where','with','do','of'))"
+WIRE = r"list_filter(regexp_extract_all(coalesce({0}, ''), '[\p{{L}}\p{{N}}_''.]+'), lambda t: length(t) >= 2 AND regexp_matches(t, '^\p{{L}}') AND t NOT IN ('Set','Prop','Type','∀','forall'))"
 
 
 @query(f"WITH {TYPED} SELECT qname, array_to_string(list_sort(list_distinct({WIRE.format('type')} || {WIRE.format('body')})), ' ') AS wires FROM typed")
@@ -502,19 +544,37 @@ def train_records(spark, sf):
     return views.train_records(T.premise_rows(spark, sf).withColumn("type", F.lit(None).cast("string")), "module", "name", "type", "premises")
 
 
-@query("""SELECT p_partkey, array_to_string(list_sort(list_distinct([ 'L.' || p_brand, p_type ])), ';') AS premises FROM part""")
+CLEAN = "trim(regexp_replace(regexp_replace(replace(translate({0}, '<>', ''), '.agda.', '.'), '\\.+$', ''), '\\s+', ' ', 'g'))"
+
+
+@query(f"""WITH g AS (SELECT p_partkey, 'p' || p_partkey AS name, CASE p_partkey % 4 WHEN 0 THEN 'F.agda' WHEN 1 THEN 'a/b/F.agda' WHEN 2 THEN 'a/F' ELSE 'G' END AS file, CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE 'M' END AS module FROM part),
+p AS (SELECT g.*, unnest(['<L>.agda.' || p_brand || '..', '  ' || replace(p_type, ' ', '   '), 'M.' || name, name, '<>', 'F.' || name, 'F.agda.' || name, '.' || name, 'G.<' || name || '>', 'a/F.' || name]) AS given FROM g JOIN part USING (p_partkey)),
+c AS (SELECT p_partkey, {CLEAN.format('given')} AS premise, [{", ".join(CLEAN.format(x) for x in ("replace(split_part(file, '/', -1), '.agda', '') || '.' || name", "coalesce(module, '') || '.' || name", "name"))}] AS own FROM p)
+SELECT p_partkey, array_to_string(list_sort(list_distinct(list(premise) FILTER (premise <> '' AND NOT list_contains(own, premise)))), ';') AS premises FROM c GROUP BY p_partkey""")
 def normalize_premises(spark, sf):
+    """Premises as they are printed, under files with and without folders and rows with and without a module."""
     p = T.table(spark, sf, "part")
-    name = F.concat(F.lit("p"), F.col("p_partkey").cast("string"))
-    given = F.array(F.concat(F.lit("<L>.agda."), "p_brand", F.lit("..")), F.concat(F.lit("  "), F.regexp_replace("p_type", " ", "   ")), F.concat(F.lit("M."), name), name, F.lit("<>"))
-    return p.select("p_partkey", F.array_join(X.clean_premises(given, F.lit("F"), F.lit("M"), name), ";").alias("premises"))
+    k = F.col("p_partkey")
+    name = F.concat(F.lit("p"), k.cast("string"))
+    file = F.when(k % 4 == 0, "F.agda").when(k % 4 == 1, "a/b/F.agda").when(k % 4 == 2, "a/F").otherwise("G")
+    after = lambda x: F.concat(F.lit(x), name)
+    given = F.array(F.concat(F.lit("<L>.agda."), "p_brand", F.lit("..")), F.concat(F.lit("  "), F.regexp_replace("p_type", " ", "   ")), after("M."), name, F.lit("<>"), after("F."), after("F.agda."), after("."), F.concat(F.lit("G.<"), name, F.lit(">")), after("a/F."))
+    return p.select("p_partkey", F.array_join(X.clean_premises(given, file, F.when(k % 5 != 0, "M"), name), ";").alias("premises"))
+
 
+WORDS = ("myLemma", "thmOf", "a_theorem", "Axiom", "recordX", "dataY", "Cons", "plus", "lemmaAxiom", "theThm", "Record", "élan", "Éclair", "x")
 
-@query("""SELECT p_partkey, CASE p_partkey % 7 WHEN 0 THEN 'lemma' WHEN 1 THEN 'theorem' WHEN 2 THEN 'axiom' WHEN 3 THEN 'record' WHEN 4 THEN 'data' WHEN 5 THEN 'constructor' ELSE 'definition' END AS kind FROM part""")
+
+@query(f"""WITH n AS (SELECT p_partkey, ({list(WORDS)})[(p_partkey * 5 % {len(WORDS)} + 1)::INT] || CASE WHEN p_partkey % 3 = 0 THEN split_part(p_type, ' ', 1) ELSE '' END AS name, ['M', 'Data.Record', 'A.axioms', 'Database', '', NULL][(p_partkey % 6 + 1)::INT] AS module FROM part),
+l AS (SELECT *, lower(name) AS low, lower(coalesce(module, '')) AS m FROM n)
+SELECT p_partkey, CASE WHEN contains(low, 'lemma') THEN 'lemma' WHEN starts_with(low, 'thm') OR contains(low, 'theorem') THEN 'theorem' WHEN contains(low, 'axiom') THEN 'axiom' WHEN starts_with(low, 'record') OR contains(m, 'record') THEN 'record'
+  WHEN starts_with(low, 'data') OR contains(m, 'data') THEN 'data' WHEN regexp_matches(name, '^\\p{{Lu}}') THEN 'constructor' ELSE 'definition' END AS kind FROM l""")
 def decl_kind_guess(spark, sf):
     p = T.table(spark, sf, "part")
-    name = F.element_at(F.array(*map(F.lit, ("myLemma", "thm", "Axiom", "recordX", "dataY", "Cons", "plus"))), (F.col("p_partkey") % 7 + 1).cast("int"))
-    return p.select("p_partkey", X.declaration_kind(name, F.lit("T"), F.lit("M")).alias("kind"))
+    k = F.col("p_partkey")
+    name = F.concat(F.element_at(F.array(*map(F.lit, WORDS)), (k * 5 % len(WORDS) + 1).cast("int")), F.when(k % 3 == 0, F.substring_index("p_type", " ", 1)).otherwise(""))
+    module = F.element_at(F.array(*map(F.lit, ("M", "Data.Record", "A.axioms", "Database", "", None))), (k % 6 + 1).cast("int"))
+    return p.select("p_partkey", X.declaration_kind(name, F.lit("T"), module).alias("kind"))
 
 
 @query(f"WITH {DEFS} SELECT qname, len(list_filter(regexp_split_to_array(type, '\\s+'), lambda x: x <> '')) AS size FROM defs")
@@ -522,23 +582,27 @@ def ast_size_estimate(spark, sf):
     return T.definitions(spark, sf).select("qname", X.space_tokens(F.col("type")).cast("long").alias("size"))
 
 
-@query("SELECT p_partkey, 'M' || (p_partkey % 9) || '.f' || p_partkey AS pretty, 'M' || (p_partkey % 9) AS module, 'f' || p_partkey AS name, true AS qualified FROM part")
+NAMES_GIVEN = "CASE p_partkey % 7 WHEN 0 THEN 'f' || p_partkey WHEN 1 THEN '.x' || p_partkey WHEN 2 THEN 'A.B.c' || p_partkey WHEN 3 THEN '_._' WHEN 4 THEN 'M._..f' || p_partkey WHEN 5 THEN 'a..' ELSE p_brand || '.' || p_name END"
+
+
+@query(f"""WITH q AS (SELECT p_partkey, {NAMES_GIVEN} AS q FROM part), n AS (SELECT p_partkey, q, list_filter(string_split(q, '.'), lambda x: x <> '' AND x <> '_') AS s FROM q)
+SELECT p_partkey, array_to_string(s, '.') AS pretty, array_to_string(s[:-2], '.') AS module, coalesce(s[-1], '') AS name, len(string_split(q, '.')) > 1 AND NOT list_contains(string_split(q, '.'), '') AS qualified FROM n""")
 def qualified_names(spark, sf):
-    p = T.table(spark, sf, "part")
-    q = F.concat(F.lit("M"), (F.col("p_partkey") % 9).cast("string"), F.lit("._..f"), F.col("p_partkey").cast("string"))
-    pretty = X.pretty_qname(q)
+    p = T.table(spark, sf, "part").select("p_partkey", F.expr(NAMES_GIVEN).alias("q"))
+    pretty = X.pretty_qname(F.col("q"))
     module, name = X.split_last(pretty)
-    return p.select("p_partkey", pretty.alias("pretty"), module.alias("module"), name.alias("name"), X.looks_qualified(pretty).alias("qualified"))
+    return p.select("p_partkey", pretty.alias("pretty"), module.alias("module"), name.alias("name"), X.looks_qualified(F.col("q")).alias("qualified"))
 
 
 # ---- validation and evaluation
 
 
-@query("""SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'missing: kind,type' WHEN 1 THEN 'missing: body' ELSE 'not a JSON object' END AS error FROM events
+@query("""SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'missing keys: kind,type' WHEN 1 THEN 'missing keys: body' WHEN 2 THEN 'JSON parse error' ELSE 'not a JSON object' END AS error FROM events
 WHERE event_id IN (SELECT event_id FROM (SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events) WHERE n <= 50)""")
 def required_keys_check(spark, sf):
     e = T.table(spark, sf, "events")
-    raw = F.when(F.col("event_id") % 3 == 0, '{"file":1,"module":1,"name":1,"qname":1,"astSize":1}').when(F.col("event_id") % 3 == 1, '{"name":1,"type":1}').otherwise("[1]")
+    k = F.col("event_id") % 4
+    raw = F.when(k == 0, '{"file":1,"module":1,"name":1,"qname":1,"astSize":1}').when(k == 1, '{"name":1,"type":1}').when(k == 2, "{bad").otherwise("[1]")
     return validate.validate_lines(e.select("user_id", "event_id", raw.alias("raw")), "raw", "event_id", "user_id").select("event_id", "error")
 
 
@@ -638,46 +702,89 @@ def tier_stats(spark, sf):
 # ---- line-structured text
 
 
+#: Lines that sources are put together from; {k} is a number from 0 to 2.
+LINES = (
+    "module M where", "-- note f1 : A", "f{k} : <p_brand>", "f{k} = <p_type>", "{- block", "-}", "f{k} x = {!!} <p_brand>", "  f{k}:B {!!}", "open import X : Y", "f{k} : A = b", "{- one line -}", "", "f{k} x : <p_type>", "f{k}  =  {!!}", "-- {- no block", "\tf{k} : C  ",
+)
+N_LINES = 14
+
+
+def _line(k: int):
+    kind, number = (F.col("p_partkey") * 7 + k * k * 3 + k) % len(LINES), ((F.col("p_partkey") + k) % 3).cast("string")
+    out = F.lit(None).cast("string")
+    for j, text in enumerate(LINES):
+        parts = [F.col(x[1:-1]) if x.startswith("<") else F.replace(F.lit(x), F.lit("{k}"), number) for x in re.split(r"(<\w+>)", text) if x] or [F.lit("")]
+        out = F.when(kind == j, F.concat(*parts)).otherwise(out)
+    return out
+
+
 def _sources(spark, sf):
-    p = T.table(spark, sf, "part")
-    n = F.col("p_partkey").cast("string")
-    text = F.concat(F.lit("module M where\n-- note\nf"), n, F.lit(" : "), "p_brand", F.lit("\n{- block\nf"), n, F.lit(" = wrong\n-}\nf"), n, F.lit(" = "), "p_type", F.lit("\ng : T\ng = {!!} {!!}"))
-    return p.select("p_partkey", text.alias("text"))
+    """A source of N_LINES lines for each part."""
+    return T.table(spark, sf, "part").select("p_partkey", "p_brand", "p_type", F.array_join(F.array(*[_line(k) for k in range(N_LINES)]), "\n").alias("text"))
+
 
+def _sources_sql() -> str:
+    quoted = "[" + ", ".join(f"'{x}'" for x in LINES) + "]"
+    return f"""src AS (SELECT p_partkey, list_transform(range({N_LINES}), lambda k: replace(replace(replace(({quoted})[((p_partkey * 7 + k * k * 3 + k) % {len(LINES)} + 1)::INT], '{{k}}', ((p_partkey + k) % 3)::VARCHAR), '<p_brand>', p_brand), '<p_type>', p_type)) AS lines FROM part)"""
 
-@query("SELECT p_partkey, 'module M where' || chr(10) || 'f' || p_partkey || ' : ' || p_brand || chr(10) || 'f' || p_partkey || ' = ' || p_type || chr(10) || 'g : T' || chr(10) || 'g = {!!} {!!}' AS text FROM part")
+
+STRIPPED = f"""{_sources_sql()}, folded AS (SELECT p_partkey, list_reduce(lines, lambda s, l: {{inside: CASE WHEN s.inside THEN NOT contains(l, '-}}') ELSE contains(l, '{{-') AND NOT regexp_matches(l, '^\\s*--') AND NOT contains(l, '-}}') END,
+  kept: CASE WHEN s.inside OR contains(l, '{{-') OR regexp_matches(l, '^\\s*--') THEN s.kept ELSE list_append(s.kept, l) END}}, {{inside: false, kept: []::VARCHAR[]}}).kept AS kept FROM src)"""
+
+
+@query(f"WITH {STRIPPED} SELECT p_partkey, array_to_string(kept, chr(10)) AS text FROM folded")
 def strip_comments(spark, sf):
     return _sources(spark, sf).select("p_partkey", B.strip_comments(F.col("text")).alias("text"))
 
 
-@query("SELECT p_partkey, 'f' || p_partkey AS name, p_brand AS type, p_type AS proof FROM part UNION ALL SELECT p_partkey, 'g', 'T', '{!!} {!!}' FROM part")
+BARE = "regexp_replace(regexp_replace(line, '^\\s+', ''), '\\s+$', '')"
+
+
+@query(f"""WITH {STRIPPED}, l AS (SELECT p_partkey, i, kept[i] AS line FROM (SELECT p_partkey, kept, unnest(range(1, len(kept) + 1)) AS i FROM folded)), b AS (SELECT p_partkey, i, {BARE} AS line FROM l),
+k AS (SELECT *, regexp_matches(line, '^[^\\s:]+\\s*:\\s*.+$') AND regexp_extract(line, '^\\S+') NOT IN ({", ".join(f"'{x}'" for x in B.NO_DECLARATION)}) AS decl FROM b),
+n AS (SELECT *, CASE WHEN decl THEN regexp_extract(line, '^([^\\s:]+)', 1) ELSE rtrim(split_part(line, '=', 1)) END AS name, CASE WHEN decl THEN regexp_extract(line, '^[^\\s:]+\\s*:\\s*(.+)$', 1) ELSE ltrim(substr(line, strpos(line, '=') + 1)) END AS value FROM k WHERE decl OR contains(line, ' = ')),
+w AS (SELECT *, lag(decl) OVER x AS before, lag(value) OVER x AS type, lead(decl) OVER x AS after FROM n WINDOW x AS (PARTITION BY p_partkey, name ORDER BY i))
+SELECT p_partkey, name, CASE WHEN decl THEN value ELSE type END AS type, CASE WHEN NOT decl THEN value END AS proof FROM w WHERE NOT decl AND before OR decl AND after IS NULL""")
 def extract_declarations(spark, sf):
     clean = _sources(spark, sf).select("p_partkey", B.strip_comments(F.col("text")).alias("text"))
     return B.declarations(B.lines_of(clean, "p_partkey", "text"), "p_partkey").select("p_partkey", "name", "type", "proof")
 
 
-@query("""SELECT p_partkey, 2::BIGINT AS holes, 9::BIGINT AS line, 5::BIGINT AS col FROM part""")
+@query(f"""WITH {_sources_sql()}, t AS (SELECT p_partkey, array_to_string(lines, chr(10)) AS text FROM src), a AS (SELECT *, strpos(text, '{{!!}}') AS place FROM t)
+SELECT p_partkey, (length(text) - length(replace(text, '{{!!}}', ''))) // 4 AS holes, CASE WHEN place > 0 THEN len(string_split(substr(text, 1, place - 1), chr(10))) END AS line, CASE WHEN place > 0 THEN length(string_split(substr(text, 1, place - 1), chr(10))[-1]) + 1 END AS col FROM a""")
 def hole_positions(spark, sf):
     d = _sources(spark, sf).select("p_partkey", X.hole_count(F.col("text")).alias("holes"), X.next_hole(F.col("text")).alias("h"))
     return d.select("p_partkey", "holes", F.col("h.line").cast("long").alias("line"), F.col("h.col").cast("long").alias("col"))
 
 
-@query("SELECT p_partkey, p_type AS goal, 2::BIGINT AS n_context, 'x' AS name, p_brand AS type FROM part")
+#: Fixed for the query: what comes before each mark of a report.
+MARK = "XREQ_"
+
+
+@query("""WITH p AS (SELECT p_partkey, p_partkey % 4 AS n, p_type, p_brand FROM part)
+SELECT p_partkey, CASE WHEN p_partkey % 5 = 4 THEN NULL ELSE regexp_replace(p_type || CASE WHEN p_partkey % 3 = 0 THEN ' and more' ELSE '' END, '\\s+', ' ', 'g') END AS goal,
+  CASE WHEN p_partkey % 5 = 4 THEN NULL ELSE array_to_string(list_transform(range(n), lambda i: i || ':' || CASE WHEN i % 2 = 0 THEN 'visible' ELSE 'hidden' END || ':v' || i || ':' || p_brand || CASE WHEN i = 0 THEN ' a : b' ELSE '' END), ';') END AS context FROM p""")
 def goal_context_parse(spark, sf):
+    """Reports as lines, with goals and types over several lines, entries out of order, older reports before them, and some without an end."""
+    k = F.col("p_partkey")
     p = T.table(spark, sf, "part")
-    text = F.concat(F.lit(f"{B.BEGIN}\nGoal: old\n{B.END}\nnoise\n{B.BEGIN}\nGoal: "), "p_type", F.lit("\nx : "), "p_brand", F.lit(f"\ny : T\n{B.END}\n"))
-    d = p.select("p_partkey", B.goal_and_context(text).alias("g"))
-    first = F.get("g.context", F.lit(0))
-    return d.select("p_partkey", "g.goal", F.size("g.context").cast("long").alias("n_context"), first["name"].alias("name"), first["type"].alias("type"))
+    entry = lambda i: F.concat(F.lit(f"{MARK}CTX:"), i.cast("string"), F.lit(":"), F.when(i % 2 == 0, "visible").otherwise("hidden"), F.lit(":v"), i.cast("string"), F.lit(": "), "p_brand", F.when(i == 0, F.lit("\n   a : b")).otherwise(""))
+    n = (k % 4).cast("int")
+    ctx = F.array_join(F.transform(F.reverse(F.filter(F.sequence(F.lit(0), n), lambda i: i < n)), entry), "\n")
+    report = F.concat(F.lit(f"{MARK}REQ_BEGIN\n{MARK}GOAL:  "), F.replace("p_type", F.lit(" "), F.lit("  ")), F.when(k % 3 == 0, "\n  and\n more").otherwise(""), F.lit(f"\n{MARK}CTX_BEGIN\n"), ctx, F.lit(f"\n{MARK}CTX_END\n"), F.when(k % 5 == 4, "cut").otherwise(f"{MARK}REQ_END\n"))
+    text = F.concat(F.lit(f"noise\n{MARK}REQ_BEGIN\n{MARK}GOAL: old\n{MARK}REQ_END\nnoise\n"), report)
+    g = B.goal_and_context(text, MARK)
+    said = F.transform(F.col("g.context"), lambda e: F.concat_ws(":", e["index"].cast("string"), e["visibility"], e["name"], e["type"]))
+    return p.select("p_partkey", g.alias("g")).select("p_partkey", "g.goal", F.array_join(said, ";").alias("context"))
 
 
 @query(r"""WITH l AS (SELECT page_id, i - 1 AS line_no, lines[i] AS line FROM (SELECT page_id, lines, unnest(range(1, len(lines) + 1)) AS i FROM (SELECT page_id, string_split(html, chr(10)) AS lines FROM pages))),
-b AS (SELECT *, sum((ltrim(line) LIKE '<%')::INT) OVER (PARTITION BY page_id ORDER BY line_no) AS block FROM l)
-SELECT page_id, block::BIGINT AS block, min(line_no) AS first_line, count(*) AS n_lines, string_agg(line, chr(10) ORDER BY line_no) AS text FROM b WHERE block > 0 GROUP BY page_id, block""")
+m AS (SELECT *, ltrim(line) LIKE '<%' AS head, starts_with(line, 'Checking ') AS edge FROM l), b AS (SELECT *, sum(head::INT) OVER w AS block, last_value(CASE WHEN head OR edge THEN head END IGNORE NULLS) OVER w AS open FROM m WINDOW w AS (PARTITION BY page_id ORDER BY line_no)),
+t AS (SELECT page_id, block::BIGINT AS block, min(line_no) AS first_line, regexp_replace(string_agg(line, chr(10) ORDER BY line_no), '\n\s*$', '') AS text FROM b WHERE open GROUP BY page_id, block) SELECT page_id, block, first_line, len(string_split(text, chr(10))) AS n_lines, text FROM t""")
 def diagnostic_blocks(spark, sf):
-    """Blocks of page source, each begun by a line that opens with a tag."""
+    """Blocks of page source, each begun by a line that opens with a tag, without the blank lines at its end."""
     lines = B.lines_of(T.table(spark, sf, "pages"), "page_id", "html")
-    return B.blocks(lines, "page_id", F.startswith(F.ltrim("line"), F.lit("<")))
+    return B.blocks(lines, "page_id", F.startswith(F.ltrim("line"), F.lit("<")), F.startswith("line", F.lit("Checking ")))
 
 
 # ---- ledger stream

@@ -9,9 +9,62 @@ from pyspark.sql import types as T
 from quern.functions.text import module_of_path
 
 
-def raw_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(raw) of a text or .gz file."""
-    return spark.read.text(path).withColumnRenamed("value", "raw")
+def raw_lines(spark: SparkSession, *paths: str) -> DataFrame:
+    """(raw) of text or .gz files."""
+    return spark.read.text(list(paths)).withColumnRenamed("value", "raw")
+
+
+def lines_from(spark: SparkSession, stream) -> DataFrame:
+    """(raw) of an open text stream, as standard input is: it has no place of its own that executors could read, so its lines go through the driver."""
+    return spark.createDataFrame([(line.rstrip("\n"),) for line in stream], "raw string")
+
+
+def numbered_lines(spark: SparkSession, *paths: str) -> DataFrame:
+    """(path, line_no, raw), lines from 1: each file is read whole by a task, as numbers within a file need what comes before."""
+    files = spark.read.text(list(paths), wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.split(F.regexp_replace("value", "\n\\z", ""), "\n", -1).alias("rows"))
+    return files.select("path", F.posexplode("rows").alias("at", "raw")).select("path", (F.col("at") + 1).alias("line_no"), "raw")
+
+
+def jsonl_strict(spark: SparkSession, schema: T.StructType, *paths: str) -> DataFrame:
+    """Typed JSON lines; the first bad one stops the read, and the error names its path:line. Blank lines don't count."""
+    wide = T.StructType([*schema.fields, T.StructField("_bad", T.StringType())])
+    d = numbered_lines(spark, *paths).where(F.trim("raw") != "")
+    d = d.withColumn("r", F.from_json("raw", wide, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}))
+    bad = F.col("r").isNull() | F.col("r._bad").isNotNull()
+    stop = F.raise_error(F.concat("path", F.lit(":"), F.col("line_no").cast("string"), F.lit(": not a row: "), F.substring("raw", 1, 200)))
+    checked = F.when(bad, stop.cast(T.StructType(wide.fields))).otherwise(F.col("r"))
+    return d.select(checked.alias("r")).select(*[F.col(f"r.{f.name}") for f in schema])
+
+
+def corpus_index(spark: SparkSession, schema: T.StructType, key: str, *paths: str, samples: int = 3) -> tuple[DataFrame, DataFrame]:
+    """(the last row of each key, one row: bad lines and the first of them as path:line)."""
+    from quern.operators.curate import keep_last
+
+    wide = T.StructType([*schema.fields, T.StructField("_bad", T.StringType())])
+    d = numbered_lines(spark, *paths).where(F.trim("raw") != "")
+    d = d.withColumn("r", F.from_json("raw", wide, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}))
+    bad = F.col("r").isNull() | F.col("r._bad").isNotNull() | F.col(f"r.{key}").isNull()
+    rows = d.where(~bad).select(*[F.col(f"r.{f.name}") for f in schema], "path", "line_no")
+    first = d.where(bad).orderBy("path", "line_no").limit(samples)
+    said = first.agg(F.array_sort(F.collect_list(F.struct("path", "line_no"))).alias("l")).select(F.transform("l", lambda x: F.concat(x["path"], F.lit(":"), x["line_no"].cast("string"))).alias("samples"))
+    report = d.where(bad).agg(F.count("*").alias("bad_lines")).crossJoin(said)  # one row each
+    return keep_last(rows, [key], ["path", "line_no"]).select(*[f.name for f in schema]), report
+
+
+def any_json(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
+    """Rows of one JSON document, an array or an object, or of JSON lines: what the text is as a whole decides, and only then its lines."""
+    whole = spark.read.text(path, wholetext=True).select(F.col("value").alias("raw"))
+    text = schema if isinstance(schema, str) else schema.simpleString()
+    row = text if text.startswith("struct<") else f"struct<{text}>"
+    parsed = F.try_parse_json("raw")
+    lines = F.filter(F.split("raw", "\n"), lambda x: F.trim(x) != "")
+    listed = F.when(F.startswith(F.ltrim("raw"), F.lit("[")) & parsed.isNotNull(), F.from_json("raw", f"array<{row}>")).when(parsed.isNotNull(), F.array(F.from_json("raw", row))).otherwise(F.transform(lines, lambda x: F.from_json(x, row)))
+    return whole.select(F.explode(listed).alias("r")).select("r.*")
+
+
+def inferred(spark: SparkSession, path: str) -> DataFrame:
+    """JSON lines whose columns are found by reading them."""
+    return spark.read.json(path)
 
 
 def jsonl(spark: SparkSession, path: str, schema: T.StructType | str, mode: str = "FAILFAST") -> DataFrame:
@@ -56,9 +109,9 @@ def parquet(spark: SparkSession, path: str) -> DataFrame:
 
 
 def module_list(spark: SparkSession, path: str) -> DataFrame:
-    """(module): trimmed, distinct, without blanks and # lines."""
+    """(module): trimmed, distinct, sorted, without blanks and # lines."""
     m = F.trim("raw")
-    return raw_lines(spark, path).select(m.alias("module")).where((F.col("module") != "") & ~F.startswith("module", F.lit("#"))).distinct()
+    return raw_lines(spark, path).select(m.alias("module")).where((F.col("module") != "") & ~F.startswith("module", F.lit("#"))).distinct().orderBy("module")
 
 
 def dot_graph(lines: DataFrame, exclude: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
@@ -83,11 +136,15 @@ def library(lines: DataFrame) -> DataFrame:
     return lines.agg(F.coalesce(F.max(F.nullif(name, F.lit(""))), F.lit("library")).alias("name"), F.split(F.coalesce(F.max(F.nullif(include, F.lit(""))), F.lit(".")), r"\s+").alias("include"))
 
 
+#: What pins a locked input.
+PINS = ("type", "owner", "repo", "rev", "ref", "narHash", "url")
+
+
 def lock_pins(lines: DataFrame, raw: str = "raw") -> DataFrame:
     """(node, key, value) of a lock file's locked nodes; the root goes."""
     nodes = F.from_json(F.get_json_object(raw, "$.nodes"), "map<string, struct<locked: map<string, string>>>")
     d = lines.select(F.explode(nodes).alias("node", "v")).where((F.col("node") != "root") & F.col("v.locked").isNotNull())
-    return d.select("node", F.explode("v.locked").alias("key", "value")).where(F.col("key").isin("lastModified", "narHash", "owner", "repo", "rev", "type", "url"))
+    return d.select("node", F.explode("v.locked").alias("key", "value")).where(F.col("key").isin(*PINS))
 
 
 def synthetic(spark: SparkSession, n: int, modules: int = 7, premises: int = 4) -> DataFrame:

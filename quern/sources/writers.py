@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import gzip
 import hashlib
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def write_split(train: DataFrame, test: DataFrame, folder: str) -> None:
@@ -55,13 +57,94 @@ def document(df: DataFrame) -> str:
 
 
 def markdown(df: DataFrame, most: int = 200) -> str:
-    """A Markdown table of a small report; `most` rows at most."""
+    """A Markdown table of a small report; of more than `most` rows the last line tells how many aren't shown."""
     cell = lambda v: "" if v is None else str(v).replace("|", "\\|").replace("\n", " ")
     rows = [f"| {' | '.join(df.columns)} |", f"|{'---|' * len(df.columns)}"]
-    return "\n".join(rows + [f"| {' | '.join(map(cell, r))} |" for r in df.limit(most).collect()])
+    shown = df.limit(most + 1).collect()
+    more = df.count() - most if len(shown) > most else 0
+    return "\n".join(rows + [f"| {' | '.join(map(cell, r))} |" for r in shown[:most]] + ([f"\n{more} more rows"] if more else []))
 
 
 def normal_report(df: DataFrame, results: str = "results", time: str = "timestamp", elapsed: str = "elapsedMs") -> DataFrame:
-    """A report without what differs between runs: its time, and the elapsed time of each result."""
+    """A report without what differs between runs: its time, and the elapsed time of each result; columns and fields by name, at every depth."""
     d = df.drop(time)
-    return d.withColumn(results, F.transform(results, lambda r: r.dropFields(elapsed))) if results in d.columns else d
+    if results in d.columns and elapsed in d.schema[results].dataType.elementType.names:
+        d = d.withColumn(results, F.transform(results, lambda r: r.dropFields(elapsed)))
+    return d.select(*[_sorted(F.col(f.name), f.dataType).alias(f.name) for f in sorted(d.schema, key=lambda f: f.name)])
+
+
+def _sorted(c, kind: T.DataType):
+    if isinstance(kind, T.StructType):
+        fields = [_sorted(c[f.name], f.dataType).alias(f.name) for f in sorted(kind, key=lambda f: f.name)]
+        return F.when(c.isNotNull(), F.struct(*fields)) if fields else c
+    return F.transform(c, lambda x: _sorted(x, kind.elementType)) if isinstance(kind, T.ArrayType) else c
+
+
+def write_records(df: DataFrame, path: str) -> None:
+    """JSON lines in Spark's own form: fields without a value are left out, characters beyond ASCII stay as they are."""
+    df.write.mode("overwrite").json(path)
+
+
+def write_atomic(df: DataFrame, path: str, form: str = "parquet") -> None:
+    """Writes beside the path and then renames, so readers see the old table or the new one, never a part; works on any file system whose rename is atomic."""
+    spark = df.sparkSession
+    beside = f"{path.rstrip('/')}.{uuid.uuid4().hex}"
+    df.write.format(form).save(f"{beside}.new")
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    target, new, old = hadoop(path), hadoop(f"{beside}.new"), hadoop(f"{beside}.old")
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.exists(target):
+        fs.rename(target, old)
+    if not fs.rename(new, target):
+        fs.rename(old, target)
+        raise OSError(f"{path} couldn't be replaced")
+    fs.delete(old, True)
+
+
+def concatenate(lines: DataFrame, modules: list[str], path: str, module: str = "module", order: str = "line_no", raw: str = "raw") -> DataFrame:
+    """Writes the lines of these modules as text whose part files, read by name, go by module and line; every line ends once. One row: rows, bytes. A module without lines is an error."""
+    spark = lines.sparkSession
+    wanted = spark.createDataFrame([(m,) for m in modules], f"{module} string").distinct()
+    if missing := [r[0] for r in wanted.join(lines.select(module).distinct(), module, "left_anti").orderBy(module).limit(5).collect()]:
+        raise FileNotFoundError(f"no lines of {', '.join(missing)}")
+    own = lines.join(wanted, module, "left_semi").withColumn("__line", F.regexp_replace(raw, r"[\r\n]+\z", ""))
+    own.orderBy(module, order).select(F.col("__line").alias("value")).write.mode("overwrite").text(path)
+    return own.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.octet_length("__line") + 1), F.lit(0)).cast("long").alias("bytes"))
+
+
+def write_model(path: str, **tables: DataFrame) -> None:
+    """A model as named Parquet tables in one folder."""
+    for name, df in tables.items():
+        df.write.mode("overwrite").parquet(f"{path}/{name}")
+
+
+def read_model(spark, path: str, *names: str) -> dict[str, DataFrame]:
+    return {name: spark.read.parquet(f"{path}/{name}") for name in names}
+
+
+def text_report(title: str, *parts: tuple[str, DataFrame], most: int = 20) -> str:
+    """Small reports as plain text: each frame under its heading, a row a line, columns aligned; rows past `most` are counted."""
+    out = [title, "=" * len(title)]
+    for heading, df in parts:
+        shown = df.limit(most + 1).collect()
+        cells = [df.columns] + [["" if v is None else str(v) for v in r] for r in shown[:most]]
+        wide = [max(len(r[k]) for r in cells) for k in range(len(df.columns))]
+        out += ["", heading] + ["  " + "  ".join(c.ljust(w) for c, w in zip(r, wide, strict=True)).rstrip() for r in cells]
+        if len(shown) > most:
+            out.append(f"  {df.count() - most} more rows")
+    return "\n".join(out) + "\n"
+
+
+def admonitions(text: str, start: str, end: str, title: str) -> str:
+    """Lines between a start mark, start|title@@, and the end mark as an indented note under its title."""
+    out, inside = [], False
+    for line in text.splitlines():
+        bare = line.strip()
+        if bare.startswith(start) and bare.endswith("@@"):
+            out.append(f'\n??? note "{bare[len(start) : -2].lstrip(chr(92)).lstrip("|").strip() or title}"')
+            inside = True
+        elif inside and bare == end:
+            inside = False
+        else:
+            out.append(f"    {line}" if inside else line)
+    return "\n".join(out) + "\n"

@@ -6,6 +6,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from quern.functions import ast as A
+from quern.functions import source
 from quern.functions import text as X
 from quern.functions.telescope import context_and_goal, parse_telescope, telescope
 from quern.operators import blocks, views
@@ -15,7 +16,7 @@ def value(spark, column, **literals):
     return spark.range(1).select(*[F.lit(v).alias(k) for k, v in literals.items()]).select(column.alias("v")).first()["v"]
 
 
-@pytest.mark.parametrize(("text", "parts"), [("A → B → C", ["A", "B", "C"]), ("A -> (B -> C) -> D", ["A", "(B -> C)", "D"]), ("", []), ("→ A", ["A"]), ("A) → B", ["A)", "B"]), ("{x → y} → [a → b]", ["{x → y}", "[a → b]"]), ("(A → B", ["(A → B"])])
+@pytest.mark.parametrize(("text", "parts"), [("A → B → C", ["A", "B", "C"]), ("A -> (B -> C) -> D", ["A", "(B -> C)", "D"]), ("", []), ("→ A", ["A"]), ("A) → B", ["A)", "B"]), ("{x → y} → [a → b]", ["{x → y}", "[a → b]"]), ("(A → B", ["(A → B"]), ("(A] → B", ["(A] → B"]), ("[a) → b] → c", ["[a) → b]", "c"]), ("a --> b", ["a -", "b"])])
 def test_split_arrows(spark, text, parts):
     assert value(spark, X.split_arrows(F.col("t")), t=text) == parts
 
@@ -48,6 +49,12 @@ def test_binders(spark):
     assert value(spark, A.pi_arity(F.col("t")), t="odd") == 0
 
 
+def test_binders_are_followed_to_the_end(spark):
+    tree = '{"tag":"Pi","binder":{"nameHint":"n"},"cod":' * 100 + '{"tag":"Sort"}' + "}" * 100
+    assert value(spark, F.size(A.pi_binders(F.col("t"))), t=tree) == 100 == value(spark, A.pi_arity(F.col("t")), t=tree)
+    assert value(spark, A.shape(F.col("t")) == A.shape(F.replace("t", F.lit('"n"'), F.lit('"other"'))), t=tree)
+
+
 def test_names(spark):
     assert value(spark, X.pretty_qname(F.col("q")), q="A._.b..c") == "A.b.c"
     assert value(spark, X.drop_anonymous(F.col("q")), q=" M . _ . f ") == "M.f"
@@ -56,6 +63,80 @@ def test_names(spark):
     assert [value(spark, X.looks_qualified(F.col("q")), q=q) for q in ("a.b", "a", ".a", "a.")] == [True, False, False, False]
     assert [value(spark, X.head_symbol(F.col("q")), q=q) for q in ("f x", "@0", "(x)", "g{a}")] == ["f", "@0", None, "g"]
     assert value(spark, X.dependency_tokens(F.col("q")), q="Set A → Bc.d' → Bc.d' → x1 → 9z") == ["Bc.d'", "x1"]
+    assert value(spark, X.dependency_tokens(F.col("q")), q="let in where Prop ∀ forall do") == ["do", "in", "let", "where"]
+
+
+def test_retrieval_tokens(spark):
+    tokens = lambda t: value(spark, X.retrieval_tokens(F.col("t")), t=t)
+    assert tokens("_≡_ a -> B => [x.y] 12 ∧∨ +") == ["_≡_", "a", "->", "b", "=>", "x", "y", "12", "∧∨"]
+    assert tokens("_a_b_ _(x)_ __ Foo'") == ["_a_b_", "_(x)_", "foo'"]
+
+
+def test_goals_and_places(spark):
+    goal = lambda t: value(spark, X.plain_goal(F.col("t")), t=t)
+    assert goal("x Data.Bool.∧  y") == "x ∧ y" and goal("foo.bar not (A.b'.C)") == "bar ¬ (C)" and goal("ends a.") == "ends a."
+    places = lambda t: [tuple(p) for p in value(spark, X.unsolved_positions(F.col("t")), t=t)]
+    assert places("x:3,5: error") == [] and places("x:3,5: error\nunsolved METAS at the\nfollowing locations:\n a:7.2-9\n b:8,1") == [(7, 2), (8, 1)]
+
+
+def test_splice_and_application(spark):
+    at = lambda line, col: tuple(value(spark, X.splice(F.col("t"), F.col("l"), F.col("c"), F.lit("refl")), t="a\nf = {!!} {!!}\n", l=line, c=col))
+    assert at(2, 5) == ("a\nf = refl {!!}\n", None) and at(2, 10) == ("a\nf = {!!} refl\n", None)
+    assert at(2, 6)[0] is None and "no {!!}" in at(2, 6)[1] and "out of range" in at(9, 1)[1] and at(2, 0)[0] is None and at(0, 1)[0] is None
+    binders = F.from_json(F.lit('[{"hiding":"implicit"},{"hiding":"explicit"},{"hiding":"instance"},{"hiding":"explicit"}]'), "array<struct<hiding: string>>")
+    assert value(spark, X.application(F.lit("lem"), binders, F.array(F.lit("a")))) == "lem a {!!}"
+    assert value(spark, F.transform(X.remaining_binders(binders, F.lit(1)), lambda b: b["hiding"])) == ["implicit", "instance", "explicit"]
+
+
+def test_fnv64(spark):
+    def fnv(s):
+        h = 0xCBF29CE484222325
+        for b in s.encode():
+            h = (h ^ b) * 0x100000001B3 % 2**64
+        return f"{h:016x}"
+
+    for s in ("", "a", "f|m|n", "é→😀" * 9):
+        assert value(spark, X.fnv1a64(F.col("s")), s=s) == fnv(s)
+
+
+def test_headers_and_names(spark):
+    assert [value(spark, X.module_header(F.col("t"), k), t="x\n module A.b' where open B") for k in X.MODULE_HEADERS] == [None, "A.b'", None]
+    assert [value(spark, X.flat_filename(F.col("t")), t=t) for t in ("a/b/C.lagda.md", "a/Index.agda", "index.md", "x.tar.gz", ".hidden")] == ["a.b.C.md", "a.md", "index.md", "x.tar.md", ".hidden.md"]
+    assert value(spark, X.doc_slug(F.col("t")), t="Éa  b_c -- (d)!") == "éa-b_c-d" and value(spark, X.doc_slug(F.lit("!"))) == "section"
+
+
+FILES = {
+    "markdown": "{!!}\n``` agda\n{!!}\n```agda\nf = {!!}\n```\n? ?\n```haskell\nx = ?\n```\n",
+    "tex": "? \\begin{code}\n-- {!!}\nf = ? \\end{code}\n  \\end{code} ?\n%\\begin{code}\n?\n",
+    "org": "?\n#+BEGIN_SRC agda2 \ng = {! {! a !} ? !}\n #+end_src\n?\n",
+    "rst": ".. c::\n  ?\ntext::\n\n  f = ?\n\n  g = 'x' ? '?'\nout ?\n",
+    "tree": "\\agda{\nf = ?\n } ?\n",
+}
+
+
+@pytest.mark.parametrize(("kind", "places"), [("markdown", [(5, 5)]), ("tex", [(3, 5)]), ("org", [(3, 5)]), ("rst", [(5, 7), (7, 11)]), ("tree", [(2, 5)])])
+def test_holes_of_literate_files(kind, places):
+    text = FILES[kind]
+    assert len(source.mask_prose(text, kind)) == len(text) == len(source.code_only(text, kind))
+    assert [(h["line"], h["col"]) for h in source.find_holes(text, kind)] == places
+
+
+def test_holes_among_other_tokens():
+    found = lambda t: [t[h["start"] : h["end"]] for h in source.find_holes(t)]
+    assert found('op? _≟?_ x--y ? -- ?\n{- {- ? -} ? -} ? "{!!} \\" ?" (?) {-# ? #-} \'?\' ?') == ["?", "?", "?", "?"]
+    assert found("{! a {! b !}") == ["{! a {! b !}"] and found("") == [] and found("{- ?") == [] and found("x' ?") == ["?"] and found("'a'?") == ["?"]
+    assert source.code_only("a {- b -} {! c\n!} d") == "a" + " " * 13 + "\n   d"
+
+
+@given(st.text(alphabet="{!}-#?\"'\\ \nab", max_size=40))
+def test_scans_end(text):
+    spans = list(source.spans(text))
+    assert all(a[2] <= b[1] for a, b in zip(spans, spans[1:])) and len(source.code_only(text)) == len(text)
+
+
+def test_holes_column(spark):
+    d = spark.createDataFrame([("f = ?", "M.agda"), (None, "M.agda"), ("?", "M.lagda")], "t string, p string")
+    assert [None if r["h"] is None else [(x["line"], x["col"]) for x in r["h"]] for r in d.select(source.holes(F.col("t"), F.col("p")).alias("h")).collect()] == [[(1, 5)], None, []]
 
 
 def test_fnv(spark):
@@ -72,20 +153,38 @@ def test_fnv(spark):
 def test_premises(spark):
     got = value(spark, X.clean_premises(F.array(*map(F.lit, ("<lem>", "F.agda.lem", "b..", "a  c", "M.lem", "F.lem", "b"))), F.lit("F"), F.lit("M"), F.lit("lem")))
     assert got == ["a c", "b"]
+    got = value(spark, X.clean_premises(F.array(*map(F.lit, ("F.lem", "a/F.lem", "M.lem"))), F.lit("a/F.agda"), F.lit(None).cast("string"), F.lit("lem")))
+    assert got == ["M.lem", "a/F.lem"]
 
 
-def test_comments_and_declarations(spark):
-    text = "f : A\n-- x : no\n{- g : no\n-}\nf = one\nf = two\nh : B\nimport z : q"
+def pairs(spark, text):
     d = spark.createDataFrame([(1, text)], "k int, t string").select("k", blocks.strip_comments(F.col("t")).alias("t"))
-    got = {r["name"]: (r["type"], r["proof"]) for r in blocks.declarations(blocks.lines_of(d, "k", "t"), "k").collect()}
-    assert got == {"f": ("A", "one"), "h": ("B", None)}
+    return sorted((r["name"], r["type"], r["proof"]) for r in blocks.declarations(blocks.lines_of(d, "k", "t"), "k").collect())
+
+
+def test_comments_and_declarations(spark):
+    assert pairs(spark, "f : A\n-- x : no\n{- g : no\n-}\nf = one\nf = two\nh : B\nimport z : q") == [("f", "A", "one"), ("h", "B", None)]
+    assert pairs(spark, "f : A\nf : B\nf x = one") == [("f", "B", None)]
+    assert pairs(spark, "f:A\nf = one\nf : C\n\tf = two = three") == [("f", "A", "one"), ("f", "C", "two = three")]
+    assert pairs(spark, "-- {-\nf : A\nwhere : B\n{- a -} g : C\nx = y") == [("f", "A", None)]
 
 
 def test_goal_report(spark):
-    text = f"{blocks.BEGIN}\nGoal: A\n{blocks.END}\n{blocks.BEGIN}\nGoal: B\nx : T\n{blocks.END}"
-    r = value(spark, blocks.goal_and_context(F.col("t")), t=text)
-    assert r["goal"] == "B" and [tuple(c) for c in r["context"]] == [("x", "T")]
-    assert value(spark, blocks.last_report(F.col("t")), t="none") is None
+    text = "PREQ_BEGIN\nPGOAL: A\nPREQ_END\nPREQ_BEGIN\nPGOAL: B\n  and\nPCTX_BEGIN\nPCTX:1:hidden:y: U : V\nPCTX:0:visible:x: T\n  more\nPCTX_END\nPREQ_END"
+    r = value(spark, blocks.goal_and_context(F.col("t"), "P"), t=text)
+    assert r["goal"] == "B and" and [tuple(c) for c in r["context"]] == [(0, "visible", "x", "T more"), (1, "hidden", "y", "U : V")]
+    r = value(spark, blocks.goal_and_context(F.col("t")), t='REQ_BEGIN {"goal": "G", "context": [{"name": "x", "type": "T"}]} REQ_END')
+    assert r["goal"] == "G" and r["context"][0]["name"] == "x"
+    assert value(spark, blocks.goal_and_context(F.col("t")), t="none") is None and value(spark, blocks.goal_and_context(F.col("t")), t="REQ_BEGIN\nGOAL: a") is None
+
+
+def test_diagnostics(spark):
+    long = "/a/b:c.agda:1.2: error: [UnequalTerms]\n" + "\n".join(f"l{k}" for k in range(40))
+    text = "before\n" + long + "\n\nerror: [UnequalTerms]\n" + "x" * 3000 + "\n\nwarning: -WFoo\n\nwarning: -WFoo"
+    got = blocks.diagnostics(spark.createDataFrame([(1, text)], "k int, t string"), "k", "t").orderBy("place").collect()
+    assert [(r["severity"], r["code"], r["file"], r["rank"]) for r in got] == [("error", "UnequalTerms", "/a/b:c.agda", 3), ("error", "UnequalTerms", None, 3), ("warning", "Foo", None, 5)]
+    assert got[0]["message"].split("\n")[-1] == "… (17 more lines)" and len(got[0]["message"].split("\n")) == 24
+    assert len(got[1]["message"]) == 2000 and got[1]["message"].endswith("…") and got[2]["message"] == "Foo"
 
 
 def test_holes(spark):

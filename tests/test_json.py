@@ -20,6 +20,6 @@ def test_picks(spark):
 
 
 def test_goals_and_marks(spark):
-    d = spark.createDataFrame([("A.B.foo  not  x", "unsolved at f.x:3,14-20 and g:7.2")], "g string, o string")
+    d = spark.createDataFrame([("A.B.foo  not  x", "f.x:1,2: Unsolved metas at the following locations: f.x:3,14-20 and g:7.2")], "g string, o string")
     r = d.select(X.plain_goal(F.col("g")).alias("g"), X.unsolved_positions(F.col("o")).alias("p")).first()
     assert r["g"] == "foo ¬ x" and [tuple(x) for x in r["p"]] == [(3, 14), (7, 2)]

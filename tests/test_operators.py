@@ -2,6 +2,7 @@
 
 import gzip
 import random
+from datetime import timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -67,7 +68,13 @@ def test_timing_split_has_every_phase(spark):
 def test_validation(spark):
     lines = ['{"file":1,"module":1,"name":1,"qname":1,"type":1,"kind":1,"astSize":1}', '{"name":1}', "bad", "", "[]"]
     d = spark.createDataFrame(list(enumerate(lines)), "n int, raw string")
-    assert {r["n"]: r["error"] for r in validate.validate_lines(d, "raw", "n").collect()} == {1: "missing: body,type", 2: "not a JSON object", 4: "not a JSON object"}
+    assert {r["n"]: r["error"] for r in validate.validate_lines(d, "raw", "n").collect()} == {1: "missing keys: body,type", 2: "JSON parse error", 4: "not a JSON object"}
+    r = validate.validate_report(d.withColumn("file", F.lit("f")).withColumn("no", F.col("n") + 1), "raw", "no", "file").first()
+    assert (r["ok"], r["rows"], r["errors"]) == (False, 4, ["line 2: missing keys: body,type", "line 3: JSON parse error", "line 5: not a JSON object"])
+    r = validate.validate_report(d.withColumn("file", F.lit("f")), "raw", "n", "file", 1).first()
+    assert (r["rows"], len(r["errors"])) == (2, 1)
+    r = validate.validate_report(spark.createDataFrame([(1, "  ", "g")], "n int, raw string, file string"), "raw", "n", "file").first()
+    assert (r["ok"], r["rows"], r["errors"]) == (True, 0, [])
     wanted = T.StructType([T.StructField("n", T.LongType()), T.StructField("x", T.StringType())])
     assert validate.schema_faults(d.schema, wanted) == ["missing x", "n is int, not bigint"]
     with pytest.raises(ValueError):
@@ -93,11 +100,38 @@ def test_sources(spark, tmp_path):
     (tmp_path / "src" / "Deep" / "M.agda").write_text("module M")
     (tmp_path / "src" / "N.lagda.md").write_text("text")
     assert {r["module"] for r in readers.source_modules(spark, str(tmp_path / "src")).collect()} == {"Deep.M", "N"}
-    lock = spark.createDataFrame([('{"nodes":{"root":{},"p":{"locked":{"rev":"r1","x":"y"}}}}',)], "raw string")
-    assert [tuple(r) for r in readers.lock_pins(lock).collect()] == [("p", "rev", "r1")]
+    lock = spark.createDataFrame([('{"nodes":{"root":{},"p":{"locked":{"rev":"r1","lastModified":"y","ref":"main"}}}}',)], "raw string")
+    assert sorted(tuple(r) for r in readers.lock_pins(lock).collect()) == [("p", "ref", "main"), ("p", "rev", "r1")]
     lib = spark.createDataFrame([("name: mylib",), ("include: src test",)], "raw string")
     assert tuple(readers.library(lib).first()) == ("mylib", ["src", "test"])
-    assert readers.synthetic(spark, 10).count() == 10
+    assert readers.synthetic(spark, 10).count() == 10 and readers.synthetic(spark, 10).distinct().count() == 10
+
+
+def test_sources_by_mode(spark, tmp_path):
+    f, g = tmp_path / "a.jsonl", tmp_path / "b.jsonl"
+    f.write_text('{"k":"x","a":1}\n\nbad\n{"k":"x","a":2}')
+    g.write_text('{"k":"y","a":3}\n')
+    schema = T.StructType([T.StructField("k", T.StringType()), T.StructField("a", T.IntegerType())])
+    assert {r["a"] for r in readers.jsonl(spark, str(f), schema, "DROPMALFORMED").collect()} == {1, 2}
+    with pytest.raises(Exception, match=r"a\.jsonl:3"):
+        readers.jsonl_strict(spark, schema, str(f)).collect()
+    assert [tuple(r) for r in readers.jsonl_strict(spark, schema, str(g)).collect()] == [("y", 3)]
+    rows, report = readers.corpus_index(spark, schema, "k", str(f), str(g))
+    assert {tuple(r) for r in rows.collect()} == {("x", 2), ("y", 3)}
+    r = report.first()
+    assert r["bad_lines"] == 1 and r["samples"][0].endswith("a.jsonl:3")
+    for text in ('[{"k":"x","a":1},\n{"k":"y","a":2}]', '{"k":"x","a":1}\n{"k":"y","a":2}\n'):
+        (tmp_path / "c.json").write_text(text)
+        assert {tuple(r) for r in readers.any_json(spark, str(tmp_path / "c.json"), "k string, a int").collect()} == {("x", 1), ("y", 2)}
+    (tmp_path / "c.json").write_text('{"k":"x",\n"a":1}')
+    assert [tuple(r) for r in readers.any_json(spark, str(tmp_path / "c.json"), "k string, a int").collect()] == [("x", 1)]
+    assert set(readers.inferred(spark, str(g)).columns) == {"k", "a"}
+    assert [r["raw"] for r in readers.lines_from(spark, iter(["a\n", "b"])).collect()] == ["a", "b"]
+    (tmp_path / "m.txt").write_text(" B \n# no\n\nA\nB\n")
+    assert [r["module"] for r in readers.module_list(spark, str(tmp_path / "m.txt")).collect()] == ["A", "B"]
+    (tmp_path / "t.csv").write_text("a,b\n1,x\n")
+    assert [tuple(r) for r in readers.csv(spark, str(tmp_path / "t.csv")).collect()] == [("1", "x")]
+    assert readers.json_documents(spark, str(tmp_path / "c.json"), schema).count() == 1
 
 
 def test_sinks(spark, tmp_path):
@@ -108,18 +142,84 @@ def test_sinks(spark, tmp_path):
     assert writers.fingerprint(d).first() == writers.fingerprint(d.repartition(3)).first()
     assert writers.gzip_bytes(b"x") == writers.gzip_bytes(b"x") and gzip.decompress(writers.gzip_bytes(b"x")) == b"x"
     assert writers.markdown(d.orderBy("a")).splitlines()[2] == "| 1 | x |"
+    assert writers.markdown(spark.range(30), 20).splitlines()[-1] == "10 more rows"
     writers.write_split(d, d, str(tmp_path / "s"))
     assert spark.read.parquet(str(tmp_path / "s" / "test")).count() == 2
 
 
+def test_more_sinks(spark, tmp_path):
+    d = spark.createDataFrame([("B", 1, "b1\n"), ("A", 2, "a2"), ("A", 1, "a1"), ("C", 1, "c")], "module string, line_no int, raw string")
+    r = writers.concatenate(d, ["A", "B"], str(tmp_path / "cat")).first()
+    text = "".join(p.read_text() for p in sorted((tmp_path / "cat").glob("part-*")))
+    assert text == "a1\na2\nb1\n" and tuple(r) == (3, len(text))
+    with pytest.raises(FileNotFoundError, match="Z"):
+        writers.concatenate(d, ["A", "Z"], str(tmp_path / "cat2"))
+    for k in (1, 2):
+        writers.write_atomic(spark.range(k), str(tmp_path / "at"))
+    assert spark.read.parquet(str(tmp_path / "at")).count() == 2 and [p.name for p in tmp_path.glob("at*")] == ["at"]
+    writers.write_model(str(tmp_path / "model"), a=spark.range(2), b=spark.range(3))
+    assert {k: v.count() for k, v in writers.read_model(spark, str(tmp_path / "model"), "a", "b").items()} == {"a": 2, "b": 3}
+    writers.write_records(spark.createDataFrame([(1, None, "é")], "a int, b string, c string"), str(tmp_path / "rec"))
+    assert [r["value"] for r in spark.read.text(str(tmp_path / "rec")).collect()] == ['{"a":1,"c":"é"}']
+    writers.write_jsonl(spark.createDataFrame([(1, None)], "a int, b string"), str(tmp_path / "j"), keep_nulls=False)
+    assert [r["value"] for r in spark.read.text(str(tmp_path / "j")).collect()] == ['{"a":1}']
+    report = spark.createDataFrame([("t", [(1.5, "x", {"a": 1})], 3)], "timestamp string, results array<struct<elapsedMs: double, name: string, m: map<string, int>>>, a int")
+    assert writers.document(writers.normal_report(report)) == '{"a":3,"results":[{"m":{"a":1},"name":"x"}]}'
+    said = writers.text_report("Title", ("Rows", spark.range(3).toDF("n")), most=2)
+    assert said == "Title\n=====\n\nRows\n  n\n  0\n  1\n  1 more rows\n"
+    assert writers.admonitions("a\n@@NOTE_START|T @@\nb\n@@NOTE_END@@\nc", "@@NOTE_START", "@@NOTE_END@@", "Note") == 'a\n\n??? note "T"\n    b\nc\n'
+
+
+def test_strong_components(spark):
+    r = random.Random(7)
+    e = {(r.randrange(30), r.randrange(30)) for _ in range(45)} | {(40, 41), (41, 42), (42, 40), (42, 43), (44, 44)}
+    nodes = {x for p in e for x in p}
+    to = {n: {n} for n in nodes}
+    for _ in nodes:
+        for a, b in e:
+            to[a] |= to[b]
+    want = {n: min(m for m in to[n] if n in to[m]) for n in nodes}
+    got = graph.strong_components(spark.createDataFrame(list(e), "src int, dst int"), spark.createDataFrame([(n,) for n in nodes], "node int"))
+    assert {x["node"]: x["component"] for x in got.collect()} == want
+
+
+def test_nearest_of_odd_vectors(spark):
+    rows = [(1, [1.0, 0.0]), (2, [2.0, 0.1]), (3, [0.0, 0.0]), (4, None), (5, [float("nan"), 1.0]), (6, [1.0, 0.0, 0.0]), (7, [0.0, 3.0])]
+    d = spark.createDataFrame(rows, "id long, v array<double>")
+    got = {(x["query"], x["place"]): x["id"] for x in retrieval.nearest(d, d.where("id in (1, 3, 4)"), "id", "v", 2).collect()}
+    assert got == {(1, 1): 2, (1, 2): 7}
+
+
+def test_top_matches_are_those_of_all_products(spark):
+    r = random.Random(2)
+    rows = lambda n, base: [(base + k, f"t{int(r.random() ** 3 * 12)}", r.random() + 0.01) for k in range(n) for _ in range(4)]
+    make = lambda x: spark.createDataFrame(x, "doc long, token string, weight double").groupBy("doc", "token").agg(F.max("weight").alias("weight"))
+    q, d = make(rows(12, 0)), make(rows(80, 100))
+    qs, ds = q.collect(), d.collect()
+    for k in (1, 5):
+        got = {(x["query"], x["place"]): (x["doc"], round(x["score"], 6)) for x in retrieval.top_matches(q, d, k).collect()}
+        want = {}
+        for one in {x["doc"] for x in qs}:
+            score = {}
+            for a in qs:
+                for b in ds:
+                    if a["doc"] == one and a["token"] == b["token"]:
+                        score[b["doc"]] = score.get(b["doc"], 0) + a["weight"] * b["weight"]
+            for place, (doc, s) in enumerate(sorted(score.items(), key=lambda x: (-round(x[1], 9), x[0]))[:k], 1):
+                want[one, place] = (doc, round(s, 6))
+        assert got == want
+
+
 def test_stream_as_batch(spark, tmp_path):
     e = spark.sql("SELECT timestamp_seconds(id * 600) AS ts, IF(id % 2 = 0, 'a', 'b') AS phase, CAST(id AS DOUBLE) AS client_ms FROM range(200)")
     e.repartition(4).write.parquet(str(tmp_path / "in"))
-    s = ledger.windowed(ledger.file_stream(spark, str(tmp_path / "in"), e.schema), late="100 hours")
+    s = ledger.windowed(ledger.file_stream(spark, str(tmp_path / "in"), e.schema), late="2 hours")
     ledger.run_available(s, str(tmp_path / "out"), str(tmp_path / "ck"))
-    batch = {tuple(r) for r in ledger.windowed(e).collect()}
+    top = e.agg(F.max("ts")).first()[0]
+    # windows that the watermark has passed; the others stay open
+    batch = {tuple(r) for r in ledger.windowed(e).collect() if r["start"] + timedelta(hours=3) <= top}
     got = {tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
-    assert got <= batch
+    assert len(got) == 62 and got == batch
 
 
 def test_samples_and_splits(spark):
