@@ -1,8 +1,9 @@
 """Embedding near-duplicates by a forest of random-projection trees with spill overlap.
 
 Each tree splits a bounded sample at the median along a random direction, again and again; points near a cut belong to
-both sides. The trees then route every vector, vectors that share a leaf are compared in double precision, and what
-links is joined to components. Equal vectors are compared once. Within a leaf, links are counted and joined there, so no
+both sides. The trees then route every vector; leaves that are too large for all of them are split on by their own vectors,
+level by level, until they are small or a bundle that cuts don't part. Vectors that share a leaf are compared in double
+precision, and what links is joined to components. Equal vectors are compared once. Within a leaf, links are counted and joined there, so no
 list of pairs is ever made; leaves too large for one task are compared block against block, whole.
 """
 
@@ -11,9 +12,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, lowest, stash
+from .common import bound_batches, components, lowest, stash
 
-#: Vectors that the trees are fitted to, at most: those whose hash comes first. Every vector is routed.
+#: Vectors that the trees' first cuts are fitted to, at most: those whose hash comes first. Every vector is routed.
 SAMPLE = 16_384
 TREES = 6
 #: Vectors of a leaf that a split aims at, and rows of a leaf that one task compares.
@@ -22,77 +23,114 @@ LEAF, BLOCK = 200, 1_024
 SPILL = 0.25
 THRESHOLD = 0.9
 SEED = 7
+#: Random directions that the cuts are taken from.
+DIRECTIONS = 256
+#: Nodes of all trees, at most, 24 bytes each in every task; what is still too large then is compared block by block.
+MOST_NODES = 4_000_000
+#: Cuts in a row that don't part a bundle before it counts as one.
+ATTEMPTS = 4
 
 
-class Tree:
-    """Nodes by number; a node below 0 is leaf -1 - node."""
-
-    def __init__(self, sample, population: int, leaf: int, margin: float, rng):
-        self.cuts, self.low, self.high, self.directions, self.leaves, self.margin = [], [], [], [], 0, margin
-        scale = population / max(1, len(sample))
-
-        def grow(rows) -> int:
-            if len(rows) * scale > leaf and len(rows) >= 16:
-                import numpy as np
-
-                direction = rng.standard_normal(sample.shape[1])
-                direction /= np.linalg.norm(direction)
-                at = rows @ direction
-                cut = float(np.median(at))
-                low, high = rows[at <= cut + margin], rows[at >= cut - margin]
-                if max(len(low), len(high)) <= 0.8 * len(rows):  # else a bundle that a cut doesn't part
-                    k = len(self.cuts)
-                    self.cuts.append(cut)
-                    self.directions.append(direction)
-                    self.low.append(0)
-                    self.high.append(0)
-                    self.low[k] = grow(low)
-                    self.high[k] = grow(high)
-                    return k
-            self.leaves += 1
-            return -self.leaves
-
-        self.root = grow(sample)
-
-    def route(self, vectors):
-        """(row numbers, leaves), a pair for each leaf that a row belongs to."""
+class Forest:
+    """Trees as arrays over nodes: a node's direction, cut and two children; a leaf has none."""
+
+    def __init__(self, sample, population: int, trees: int = TREES, leaf: int = LEAF, spill: float = SPILL, threshold: float = THRESHOLD, seed: int = SEED):
         import numpy as np
 
-        rows, leaves, todo = [], [], [(self.root, np.arange(len(vectors)))]
+        size = sample.shape[1]
+        self.rng = np.random.default_rng(seed)
+        self.directions = self.rng.standard_normal((DIRECTIONS, size))
+        self.directions /= np.linalg.norm(self.directions, axis=1, keepdims=True)
+        self.margin = spill * np.sqrt(2 - 2 * threshold) / np.sqrt(max(1, size))
+        self.way, self.cut, self.low, self.high = [], [], [], []
+        self.roots = [self.leaf() for _ in range(trees)]
+        along, scale = sample @ self.directions.T, population / max(1, len(sample))
+        todo = [(root, np.arange(len(sample))) for root in self.roots]
         while todo:
-            node, own = todo.pop()
-            if not len(own):
-                continue
-            if node < 0:
-                rows.append(own)
-                leaves.append(np.full(len(own), -1 - node))
+            node, rows = todo.pop()
+            if len(rows) * scale <= leaf or len(rows) < 16:
                 continue
-            at = vectors[own] @ self.directions[node]
-            todo.append((self.low[node], own[at <= self.cuts[node] + self.margin]))
-            todo.append((self.high[node], own[at >= self.cuts[node] - self.margin]))
-        return (np.concatenate(rows), np.concatenate(leaves)) if rows else (np.zeros(0, int), np.zeros(0, int))
-
+            at = along[rows, self.way[node]]
+            cut = float(np.median(at))
+            low, high = rows[at <= cut + self.margin], rows[at >= cut - self.margin]
+            if max(len(low), len(high)) <= 0.8 * len(rows):  # else a bundle that a cut doesn't part
+                todo += zip(self.split(node, cut), (low, high), strict=True)
+        self.freeze()
+
+    def leaf(self) -> int:
+        self.way.append(int(self.rng.integers(DIRECTIONS)))
+        self.cut.append(0.0)
+        self.low.append(-1)
+        self.high.append(-1)
+        return len(self.way) - 1
+
+    def split(self, node: int, cut: float) -> tuple[int, int]:
+        self.cut[node], self.low[node], self.high[node] = cut, self.leaf(), self.leaf()
+        return self.low[node], self.high[node]
+
+    def freeze(self) -> None:
+        import numpy as np
 
-def fit_forest(sample, population: int, trees: int = TREES, leaf: int = LEAF, spill: float = SPILL, threshold: float = THRESHOLD, seed: int = SEED) -> list[Tree]:
-    import numpy as np
+        self.table = np.array(self.way, np.int32), np.array(self.cut), np.array(self.low, np.int32), np.array(self.high, np.int32)
 
-    margin = spill * np.sqrt(2 - 2 * threshold) / np.sqrt(max(1, sample.shape[1]))
-    return [Tree(sample, population, leaf, margin, np.random.default_rng((seed, t))) for t in range(trees)]
+    def shared(self):
+        """What routing needs."""
+        return self.table, self.directions, self.roots, self.margin
 
 
-def route_all(forest: list[Tree], vectors):
-    """(row numbers, leaf numbers over all trees), ordered by row."""
+def route(shared, vectors):
+    """(row numbers, leaves, place of the row along the leaf's own direction), ordered by row and leaf: a row for each leaf that a vector belongs to."""
     import numpy as np
 
-    rows, leaves, base = [], [], 0
-    for tree in forest:
-        r, k = tree.route(vectors)
-        rows.append(r)
-        leaves.append(k + base)
-        base += tree.leaves
-    rows, leaves = np.concatenate(rows), np.concatenate(leaves)
-    order = np.lexsort((leaves, rows))
-    return rows[order], leaves[order]
+    (way, cut, low, high), directions, roots, margin = shared
+    along = vectors @ directions.T
+    rows, nodes = np.tile(np.arange(len(vectors)), len(roots)), np.repeat(np.array(roots, np.int64), len(vectors))
+    done = []
+    while len(rows):
+        inner = low[nodes] >= 0
+        done.append((rows[~inner], nodes[~inner]))
+        rows, nodes = rows[inner], nodes[inner]
+        at = along[rows, way[nodes]] - cut[nodes]
+        left, right = at <= margin, at >= -margin
+        rows, nodes = np.concatenate([rows[left], rows[right]]), np.concatenate([low[nodes[left]], high[nodes[right]]])
+    rows, nodes = (np.concatenate(x) for x in zip(*done, strict=True)) if done else (np.zeros(0, int), np.zeros(0, int))
+    order = np.lexsort((nodes, rows))
+    rows, nodes = rows[order], nodes[order].astype(np.int64)
+    return rows, nodes, along[rows, way[nodes]]
+
+
+def grow(forest: Forest, reps: DataFrame, size: int, block: int, most: int) -> dict[int, int]:
+    """Splits leaves of over 2 * block vectors further, at the mean of their own vectors, one level of all trees a pass; gives those that stay so large, and how many vectors they have."""
+    spark, failed = reps.sparkSession, {}
+    while True:
+        shared = spark.sparkContext.broadcast(forest.shared())
+
+        def sums(batches, shared=shared):
+            import numpy as np
+            import pyarrow as pa
+
+            for batch in batches:
+                if batch.num_rows:
+                    _, leaves, at = route(shared.value, unit(batch.column("vec"), size))
+                    found, of, c = np.unique(leaves, return_inverse=True, return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(c, pa.int64()), pa.array(np.bincount(of, at, len(found)))], ["leaf", "c", "s"])
+
+        tally = reps.select("vec").mapInArrow(sums, "leaf long, c long, s double").groupBy("leaf").agg(F.sum("c").alias("c"), F.sum("s").alias("s"))
+        large = {r["leaf"]: (r["c"], r["s"]) for r in tally.where(F.col("c") > 2 * block).collect()}  # as many as nodes at most
+        before = {child: (parent, c, tries) for parent, (c, tries) in failed.items() for child in (forest.low[parent], forest.high[parent])}
+        again = {}
+        for leaf in sorted(large):
+            c, s = large[leaf]
+            _, had, tries = before.get(leaf, (0, 0, 0))
+            tries = tries + 1 if had and c > 0.8 * had else 0
+            if tries < ATTEMPTS and len(forest.way) < most:
+                forest.split(leaf, s / c)
+                again[leaf] = (c, tries)
+        if not again:
+            return {leaf: c for leaf, (c, _) in large.items()}
+        failed = again
+        forest.freeze()
+        shared.unpersist()
 
 
 def unit(column, size: int):
@@ -156,7 +194,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     don't link. Equal vectors link with each other, and rows that repeat an id count each. A row with a null id gets the
     links of its vector but is never a component's id. An empty table gives an empty result.
     """
-    spark = vectors.sparkSession
+    bound_batches(vectors.sparkSession)
     v = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("vec"))
     fine = F.col("vec").isNotNull() & (F.size("vec") > 0) & ~F.exists("vec", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("vec", lambda x: x != 0)
     v = v.withColumn("fine", F.coalesce(fine, F.lit(False)))
@@ -188,20 +226,10 @@ def _links(reps: DataFrame, size: int, n: int, threshold: float, trees: int, lea
     """(id, links, root) of the vectors of one length, a row for each leaf or block in which a vector links."""
     spark = reps.sparkSession
     some = reps.orderBy(F.xxhash64("id"), "id").limit(sample).select("vec").toArrow().column("vec").combine_chunks()
-    forest = spark.sparkContext.broadcast(fit_forest(unit(some, size), n, trees, leaf, spill, threshold, seed))
-
-    def sizes(batches):
-        import numpy as np
-        import pyarrow as pa
-
-        for batch in batches:
-            if batch.num_rows:
-                leaves, c = np.unique(route_all(forest.value, unit(batch.column("vec"), size))[1], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(leaves, pa.int64()), pa.array(c, pa.int64())], ["leaf", "c"])
-
-    # as many rows at most as the trees have leaves, and they were fitted to a bounded sample
-    large = reps.select("vec").mapInArrow(sizes, "leaf long, c long").groupBy("leaf").agg(F.sum("c").alias("c")).where(F.col("c") > 2 * block).collect()
-    blocks = {r["leaf"]: -(-r["c"] // block) for r in large}
+    grown = Forest(unit(some, size), n, trees, leaf, spill, threshold, seed)
+    large = grow(grown, reps, size, block, MOST_NODES)
+    blocks = {k: -(-c // block) for k, c in large.items()}
+    forest = spark.sparkContext.broadcast(grown.shared())
 
     def deal(batches):
         import numpy as np
@@ -211,7 +239,7 @@ def _links(reps: DataFrame, size: int, n: int, threshold: float, trees: int, lea
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
                 ids = batch.column("id").to_numpy()
-                rows, leaves = route_all(forest.value, unit(batch.column("vec"), size))
+                rows, leaves, _ = route(forest.value, unit(batch.column("vec"), size))
                 sets = np.split(leaves, np.cumsum(np.bincount(rows, minlength=len(ids)))[:-1])
                 keys = []
                 for k, leaf_no in zip(rows.tolist(), leaves.tolist(), strict=True):

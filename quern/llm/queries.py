@@ -153,5 +153,38 @@ GROUP BY doc_id, license HAVING count(*) >= {CONTAINED} * any_value(total)
 """
 
 
+#: Every pair of documents with a common shingle, and what links reach.
+NGRAM_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 3], ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= 85 * (x.n + y.n - i)),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r AS (SELECT a AS node, b AS reached FROM e UNION SELECT r.node, e.b FROM r JOIN e ON r.reached = e.a),
+m AS (SELECT node, min(reached) AS least FROM r GROUP BY node)
+SELECT doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(doc_id, coalesce(m.least, doc_id)) AS component_id
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN m ON doc_id = m.node
+"""
+
+#: Every window of 20 words with all others.
+REPEATS_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+  SELECT doc_id, i, array_to_string(w[i:i + 19], ' ') AS k
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d WHERE len(w) >= 20)),
+x AS (SELECT doc_id, i, row_number() OVER (PARTITION BY k ORDER BY doc_id, i) AS r FROM s),
+g AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS p FROM x WHERE r > 1),
+c AS (SELECT doc_id, count(*) AS c FROM g GROUP BY doc_id),
+u AS (SELECT doc_id, unnest(w) AS v, unnest(range(1, len(w) + 1)) AS p FROM d),
+k AS (SELECT u.doc_id, string_agg(v, ' ' ORDER BY u.p) AS t FROM u LEFT JOIN g ON u.doc_id = g.doc_id AND u.p = g.p WHERE g.p IS NULL GROUP BY u.doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(c, 0)::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN c USING (doc_id) LEFT JOIN k USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": MIXING_SQL, "op5_license_scan": _license_sql()}
+    return {"op1_mixing": MIXING_SQL, "op5_license_scan": _license_sql(), "op6_ngram_join": NGRAM_SQL, "op9_substring_dedup": REPEATS_SQL}

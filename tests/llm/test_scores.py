@@ -151,6 +151,42 @@ def test_near_vectors(spark, monkeypatch):
     assert forest.near_duplicates(d.limit(0)).count() == 0
 
 
+def test_leaves_are_split_on(spark):
+    """Pairs just over the threshold are found, and pairs compared a vector don't grow with the table."""
+    r = np.random.default_rng(5)
+    compared = []
+    for n in (2000, 6000):
+        x = r.standard_normal((n, 32))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        side = r.standard_normal((n // 4, 32))
+        base = x[: n // 4]
+        side -= (side * base).sum(1, keepdims=True) * base
+        side /= np.linalg.norm(side, axis=1, keepdims=True)
+        cosine = r.uniform(0.901, 0.92, n // 4)[:, None]
+        x[n // 4 : n // 2] = cosine * base + np.sqrt(1 - cosine**2) * side
+        d = spark.createDataFrame([(i, [float(v) for v in e]) for i, e in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+        got = {k["vec_id"]: k["n_links"] for k in forest.near_duplicates(d, block=64, sample=256).collect()}
+        near = x @ x.T >= 0.9
+        assert sum(got.values()) >= 0.95 * (near.sum() - n)
+        reps = d.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+        f = forest.Forest(x[:256], n)
+        left = forest.grow(f, reps, 32, 64, forest.MOST_NODES)
+        _, leaves, _ = forest.route(f.shared(), x)
+        sizes = np.unique(leaves, return_counts=True)[1]
+        assert not left and sizes.max() <= 128
+        compared.append((sizes.astype(float) ** 2).sum() / n)
+    assert compared[1] < 1.5 * compared[0]
+
+
+def test_a_bundle_stays_whole(spark):
+    """Vectors that no cut parts end the splitting and are compared in blocks."""
+    r = np.random.default_rng(6)
+    x = np.ones((300, 8)) + 0.01 * r.standard_normal((300, 8))
+    d = spark.createDataFrame([(i, [float(v) for v in e]) for i, e in enumerate(x)], "vec_id long, embedding array<double>")
+    got = forest.near_duplicates(d, block=32, sample=64).collect()
+    assert {(k["n_links"], k["component_id"]) for k in got} == {(299, 0)}
+
+
 def test_png_round_trip():
     r = random.Random(1)
     for n in (0, 1, 575, 576, 577, 5000):
