@@ -52,13 +52,13 @@ def corpus_index(spark: SparkSession, schema: T.StructType, key: str, *paths: st
 
 
 def any_json(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
-    """Rows of one JSON document, an array or an object, or of JSON lines: what the text is as a whole decides, and only then its lines."""
+    """Rows of one JSON document, an array or an object, or of JSON lines: a text whose every line is an object is lines, any other one document."""
     whole = spark.read.text(path, wholetext=True).select(F.col("value").alias("raw"))
     text = schema if isinstance(schema, str) else schema.simpleString()
     row = text if text.startswith("struct<") else f"struct<{text}>"
-    parsed = F.try_parse_json("raw")
     lines = F.filter(F.split("raw", "\n"), lambda x: F.trim(x) != "")
-    listed = F.when(F.startswith(F.ltrim("raw"), F.lit("[")) & parsed.isNotNull(), F.from_json("raw", f"array<{row}>")).when(parsed.isNotNull(), F.array(F.from_json("raw", row))).otherwise(F.transform(lines, lambda x: F.from_json(x, row)))
+    by_line = F.forall(lines, lambda x: F.json_object_keys(x).isNotNull())
+    listed = F.when(by_line, F.transform(lines, lambda x: F.from_json(x, row))).when(F.startswith(F.ltrim("raw"), F.lit("[")), F.from_json("raw", f"array<{row}>")).otherwise(F.array(F.from_json("raw", row)))
     return whole.select(F.explode(listed).alias("r")).select("r.*")
 
 
