@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Lookup, bound_batches, scatter, take_lists, text_bytes
+from .common import Lookup, bound_batches, lean, scatter, take_lists, text_bytes
 
 #: Bytes that are merged directly; longer runs are halved.
 LEAF = 32
@@ -245,7 +245,7 @@ def encode_decode(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_
             yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(batch.num_columns - 1)], listed, decoded], [f.name for f in out])
 
     cols = [F.col(c).alias(f"__{i}") for i, c in enumerate((id_col, *keep))]
-    return docs.select(*cols, F.col(text_col).alias("__text")).mapInArrow(run, out)
+    return docs.select(*cols, F.col(text_col).alias("__text")).mapInArrow(lean(run), out)
 
 
 def ids_digest(ids: str = "token_ids"):

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 #: A word is a run of anything but space, tab, line feed, vertical tab, form feed and carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of an Arrow batch, about.
-BATCH = 4 << 20
+BATCH = 2 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -61,6 +61,34 @@ def bound_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH))
 
 
+def give_back() -> None:
+    """Hand what a Python worker has freed back to the machine: workers stay for later tasks, and the allocators of C and Arrow keep what they had at most. Does nothing where there is no such call."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def lean(run):
+    """A function over batches that gives back memory every few batches and when it ends."""
+
+    def lean_run(batches):
+        try:
+            for k, out in enumerate(run(batches), 1):
+                yield out
+                del out
+                if k % 8 == 0:
+                    give_back()
+        finally:
+            give_back()
+
+    return lean_run
+
+
 def texts(batch, name: str) -> list[bytes]:
     """A text column of an Arrow batch as UTF-8 bytes; null counts as empty."""
     import pyarrow as pa

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, components, lowest, stash
+from .common import bound_batches, components, lean, lowest, stash
 
 #: Vectors that the trees' first cuts are fitted to, at most: those whose hash comes first. Every vector is routed.
 SAMPLE = 16_384
@@ -115,7 +115,7 @@ def grow(forest: Forest, reps: DataFrame, size: int, block: int, most: int) -> d
                     found, of, c = np.unique(leaves, return_inverse=True, return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(c, pa.int64()), pa.array(np.bincount(of, at, len(found)))], ["leaf", "c", "s"])
 
-        tally = reps.select("vec").mapInArrow(sums, "leaf long, c long, s double").groupBy("leaf").agg(F.sum("c").alias("c"), F.sum("s").alias("s"))
+        tally = reps.select("vec").mapInArrow(lean(sums), "leaf long, c long, s double").groupBy("leaf").agg(F.sum("c").alias("c"), F.sum("s").alias("s"))
         large = {r["leaf"]: (r["c"], r["s"]) for r in tally.where(F.col("c") > 2 * block).collect()}  # as many as nodes at most
         before = {child: (parent, c, tries) for parent, (c, tries) in failed.items() for child in (forest.low[parent], forest.high[parent])}
         again = {}
@@ -271,5 +271,5 @@ def _links(reps: DataFrame, size: int, n: int, threshold: float, trees: int, lea
         got = compare(leaf_no, ids, weights, x, sets, side if one != two else np.zeros(len(ids), int), threshold)
         return pa.table({"id": pa.array(got[0], pa.int64()), "links": pa.array(got[1], pa.int64()), "root": pa.array(got[2], pa.int64())})
 
-    dealt = reps.select("id", "m", "vec").mapInArrow(deal, "leaf long, one int, two int, side int, id long, m long, sets binary, vec array<double>")
+    dealt = reps.select("id", "m", "vec").mapInArrow(lean(deal), "leaf long, one int, two int, side int, id long, m long, sets binary, vec array<double>")
     return dealt.groupBy("leaf", "one", "two").applyInArrow(judge, "id long, links long, root long")

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections import Counter
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import stash
@@ -21,33 +21,54 @@ CONTAINED = 0.8
 
 #: Wording of public licenses and of the notices that name them.
 TEMPLATES = {
+    "AGPL-notice": ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation",),
     "Apache-2.0": ("Licensed under the Apache License, Version 2.0.",),
     "Apache-2.0-notice": ("Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at",),
-    "BSD-3-Clause": ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",),
+    "BSD": ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",),
+    "BSD-3-Clause": ("Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",),
+    "BSL-1.0": ("Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license",),
     "CC-BY-4.0": ("Licensed under CC BY 4.0.",),
     "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0.",),
+    "CC-BY-NC-SA-4.0": ("Licensed under CC BY-NC-SA 4.0.",),
+    "CC-BY-ND-4.0": ("Licensed under CC BY-ND 4.0.",),
     "CC-BY-SA-4.0": ("Licensed under CC BY-SA 4.0.",),
     "CC-BY-4.0-notice": ("This work is licensed under a Creative Commons Attribution 4.0 International License.",),
     "CC-BY-NC-4.0-notice": ("This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",),
+    "CC-BY-NC-SA-4.0-notice": ("This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.",),
+    "CC-BY-ND-4.0-notice": ("This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",),
     "CC-BY-SA-4.0-notice": ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",),
+    "CC0-1.0": ("To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",),
+    "EPL-2.0": ("This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at",),
     "GPL-2.0": ("This work is licensed under the GNU General Public License, version 2.",),
     "GPL-3.0": ("This work is licensed under the GNU General Public License, version 3.",),
     "GPL-notice": ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",),
+    "ISC": ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",),
     "LGPL-notice": ("This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation",),
     "MIT": ("Released under the MIT License.",),
     "MIT-notice": ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction",),
     "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",),
     "Unlicense": ("This is free and unencumbered software released into the public domain.",),
+    "Zlib": ("This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.",),
+}
+#: Licenses whose wordings share most of their shingles: of those of one family found in a document, the ones of the highest containment count.
+FAMILIES = {
+    "AGPL-notice": "GNU notice", "GPL-notice": "GNU notice", "LGPL-notice": "GNU notice", "GPL-2.0": "GPL", "GPL-3.0": "GPL",
+    "CC-BY-4.0-notice": "CC notice", "CC-BY-NC-4.0-notice": "CC notice", "CC-BY-NC-SA-4.0-notice": "CC notice", "CC-BY-ND-4.0-notice": "CC notice", "CC-BY-SA-4.0-notice": "CC notice",
 }
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_BLANK, _DROPPED = "\t\n\x0b\x0c\r", ".,;:!?\"'()[]"
+_BLANK, _DROPPED = "\t\n\x0b\x0c\r", ".,;:!?\"'()[]*#/"
+#: Comment marks that are words once the others are dropped.
+_MARKS = ("-", "--")
 
 
 def normal_words(text):
-    """Words of a text column: A-Z lower-cased, punctuation dropped, split at white space."""
+    """Words of a text column: A-Z lower-cased, punctuation and comment marks dropped, split at white space."""
     plain = F.trim(F.translate(F.coalesce(text, F.lit("")), _UPPER + _BLANK + _DROPPED, _LOWER + " " * len(_BLANK)))
-    return F.split(plain, " +")
+    words = F.split(plain, " +")
+    for mark in _MARKS:
+        words = F.array_remove(words, mark)
+    return words
 
 
 #: Words beside a shingle that its windows reach to.
@@ -93,8 +114,8 @@ def template_table(spark: SparkSession, templates: dict[str, tuple[str, ...]] =
     return spark.createDataFrame(rows, "license string, text string").select("license", normal_words(F.col("text")).alias("words"))
 
 
-def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, tuple[str, ...]] = TEMPLATES, contained: float = CONTAINED) -> DataFrame:
-    """(id, license, matched, total, containment) for each document and template found in it.
+def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, tuple[str, ...]] = TEMPLATES, contained: float = CONTAINED, families: dict[str, str] = FAMILIES) -> DataFrame:
+    """(id, license, matched, total, containment) for each document and template found in it; of a family only those of the highest containment.
 
     Only the fixed list of templates is broadcast. Null and empty texts and those of fewer than 5 words hold nothing;
     rows that repeat an id count as one document; a null id is an id of its own; an empty table gives none.
@@ -113,4 +134,9 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     exact = spark.createDataFrame([(r["license"], r["shingle"], sizes[r["license"]]) for r in shingles], "license string, shingle string, total long")
     matched = found.join(F.broadcast(exact), ["license", "shingle"]).groupBy("id", "license").agg(F.count("*").alias("matched"), F.first("total").alias("total"))
     out = matched.withColumn("containment", F.col("matched") / F.col("total")).where(F.col("containment") >= contained)
+    family = F.col("license")
+    for name, of in families.items():
+        family = F.when(F.col("license") == name, of).otherwise(family)
+    # a window holds the templates of one family that one document has
+    out = out.withColumn("best", F.max("containment").over(Window.partitionBy("id", family))).where(F.col("containment") == F.col("best"))
     return out.select(F.col("id").alias(id_col), "license", "matched", "total", "containment")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import texts
+from .common import bound_batches, lean, texts
 
 #: Fixed by the PNG format.
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
@@ -105,19 +105,20 @@ def cosine_hash(image) -> str:
     """16 hex digits: which of 64 low-frequency cosine coefficients lie above their median, of the image reduced to 32 x 32 mean values."""
     import numpy as np
 
-    image = image.astype(np.float64)
     tall, wide = image.shape
     rows, cols = np.arange(33) * tall / 32, np.arange(33) * wide / 32
-    # means over 32 equal spans, also where a span is less than a sample
-    total = np.zeros((tall + 1, wide + 1))
-    total[1:, 1:] = image.cumsum(0).cumsum(1)
-
-    def at(table, where):
-        low = np.minimum(where.astype(int), len(table) - 2)
-        part = (where - low).reshape(-1, *[1] * (table.ndim - 1))
-        return table[low] * (1 - part) + table[low + 1] * part
-
-    small = np.diff(np.diff(at(at(total, rows).T, cols).T, axis=0), axis=1) / (tall / 32 * wide / 32)
+    # sums above each of 33 heights and left of each of 33 widths, also where a span is less than a sample; of a tall image only sums are held
+    above, total, done = np.zeros((33, wide)), np.zeros(wide, np.int64), 0
+    for k, where in enumerate(rows):
+        whole = int(where)
+        total += image[done:whole].sum(0, dtype=np.int64)
+        done = whole
+        above[k] = total + (where - whole) * image[whole] if whole < tall else total
+    left = np.zeros((33, wide + 1))
+    left[:, 1:] = above.cumsum(1)
+    whole = np.minimum(cols.astype(int), wide - 1)
+    both = left[:, whole] + (cols - whole) * np.diff(left, axis=1)[:, whole]
+    small = np.diff(np.diff(both, axis=0), axis=1) / (tall / 32 * wide / 32)
     c = _cosines(32, 8)
     low = np.round(c @ small @ c.T, 6).ravel()
     bits = low > np.median(low[1:])
@@ -131,6 +132,7 @@ def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     back from it (payload) and hashed (feature). Equal texts give equal values; null ids stay null; other columns are
     ignored. A narrow map without a shuffle; rows are handed on a few at a time.
     """
+    bound_batches(docs.sparkSession)
     out = T.StructType([docs.schema[id_col]]).add("n_bytes", "long").add("media", "binary").add("payload", "binary").add("feature", "string")
 
     def run(batches):
@@ -149,4 +151,4 @@ def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 cols = [batch.column("__id"), pa.array(sizes, pa.int64()), pa.array(media, pa.binary()), pa.array(payload, pa.binary()), pa.array(feature)]
                 yield pa.RecordBatch.from_arrays(cols, [f.name for f in out])
 
-    return docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).mapInArrow(run, out)
+    return docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).mapInArrow(lean(run), out)

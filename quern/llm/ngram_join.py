@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, components, drop, lists, stash, text_bytes, window_hashes, word_hashes, word_table
+from .common import bound_batches, components, drop, lean, lists, stash, text_bytes, window_hashes, word_hashes, word_table
 
 SHINGLE = 4
 #: Links have 100 * intersection >= PERCENT * union.
@@ -34,7 +34,7 @@ REACH = 5
 #: Of signatures in more sets than this not all pairs are candidates; rounds of centres resolve them.
 SINGLE = 32
 #: Centres of a signature, by round; the last number goes on.
-CENTRES = (4, 16, 64)
+CENTRES = (1, 4, 16, 64)
 
 
 def shingle_sets(batch, name: str, size: int = SHINGLE) -> list:
@@ -149,7 +149,7 @@ def _mapped(docs: DataFrame, make, schema: str, size: int) -> DataFrame:
                 arrays = [lists(c) if hasattr(c[0], "dtype") else pa.array(c, pa.int64()) for c in cols]
                 yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(at)), *arrays], names)
 
-    return docs.select("id", "text").mapInArrow(run, f"id {key}, {schema}")
+    return docs.select("id", "text").mapInArrow(lean(run), f"id {key}, {schema}")
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, percent: int, size: int) -> DataFrame:

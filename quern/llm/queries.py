@@ -133,12 +133,13 @@ FROM o
 
 def _license_sql() -> str:
     """Every shingle of every document against all shingles of all templates."""
-    from .licenses import _BLANK, _DROPPED, _LOWER, _UPPER, CONTAINED, SHINGLE, TEMPLATES
+    from .licenses import _BLANK, _DROPPED, _LOWER, _MARKS, _UPPER, CONTAINED, FAMILIES, SHINGLE, TEMPLATES
 
     quoted = lambda x: "'" + x.replace("'", "''") + "'"
     control = "".join(f" || chr({ord(c)})" for c in _BLANK)
     plain = f"regexp_replace(translate(coalesce(text, ''), {quoted(_UPPER)} || ' '{control} || {quoted(_DROPPED)}, {quoted(_LOWER)} || '{' ' * (len(_BLANK) + 1)}'), ' +', ' ', 'g')"
-    words = lambda: f"string_split(trim({plain}), ' ')"
+    words = lambda: f"list_filter(string_split(trim({plain}), ' '), lambda x: x NOT IN {_MARKS})"
+    family = "CASE license " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in FAMILIES.items()) + " ELSE license END"
     shingle = " || ' ' || ".join(f"w[i + {j}]" for j in range(SHINGLE))
     rows = ", ".join(f"({quoted(k)}, {quoted(' '.join(v))})" for k, v in TEMPLATES.items())
     return f"""
@@ -146,10 +147,12 @@ WITH t AS (SELECT license, {words()} AS w FROM (VALUES {rows}) AS v(license, tex
 ts AS (SELECT DISTINCT license, {shingle} AS shingle FROM (SELECT license, w, unnest(range(1, len(w) - {SHINGLE - 2})) AS i FROM t)),
 n AS (SELECT license, count(*) AS total FROM ts GROUP BY license),
 d AS (SELECT doc_id, {words()} AS w FROM documents),
-ds AS (SELECT DISTINCT doc_id, {shingle} AS shingle FROM (SELECT doc_id, w, unnest(range(1, len(w) - {SHINGLE - 2})) AS i FROM d))
-SELECT doc_id, license, count(*) AS matched, any_value(total) AS total, count(*) / any_value(total)::DOUBLE AS containment
-FROM ds JOIN ts USING (shingle) JOIN n USING (license)
-GROUP BY doc_id, license HAVING count(*) >= {CONTAINED} * any_value(total)
+ds AS (SELECT DISTINCT doc_id, {shingle} AS shingle FROM (SELECT doc_id, w, unnest(range(1, len(w) - {SHINGLE - 2})) AS i FROM d)),
+f AS (
+  SELECT doc_id, license, count(*) AS matched, any_value(total) AS total, count(*) / any_value(total)::DOUBLE AS containment
+  FROM ds JOIN ts USING (shingle) JOIN n USING (license)
+  GROUP BY doc_id, license HAVING count(*) >= {CONTAINED} * any_value(total))
+SELECT * FROM f QUALIFY containment = max(containment) OVER (PARTITION BY doc_id, {family})
 """
 
 

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_words, bound_batches, drop, lists, stash, text_bytes, window_hashes, word_hashes, word_table
+from .common import arrow_words, bound_batches, drop, lean, lists, stash, text_bytes, window_hashes, word_hashes, word_table
 
 WINDOW = 20
 #: Stands for a null id where ids are whole numbers: it comes after every other.
@@ -93,7 +93,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 f1, f2 = zip(*digests, strict=True)
                 yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(again), lists(found)], ["id", "f1", "f2", "again", "found"])
 
-    looked = stash(d.mapInArrow(look, f"id {key}, f1 long, f2 long, again boolean, found array<long>").where(F.size("found") > 0), "looked")
+    looked = stash(d.mapInArrow(lean(look), f"id {key}, f1 long, f2 long, again boolean, found array<long>").where(F.size("found") > 0), "looked")
     texts_of = stash(looked.select("id", "f1", "f2"), "digests")
     first = stash(looked.groupBy("f1", "f2").agg(F.min("id").alias("first"), F.count("*").alias("c"), F.max("again").alias("again")), "texts")
     again = first.where("again").select(F.col("first").alias("id")).distinct()
@@ -124,7 +124,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     found.append(np.unique(twice[lo:end][np.isin(short[lo:end], values[ends[k] : ends[k + 1]])]))
                 yield pa.RecordBatch.from_arrays([batch.column("id"), lists(found)], ["id", "found"])
 
-        extended = d.join(seeds, "id").mapInArrow(extend, f"id {key}, found array<long>")
+        extended = d.join(seeds, "id").mapInArrow(lean(extend), f"id {key}, found array<long>")
         counted = stash(extended.select("id", F.explode("found").alias("h")), "windows", tidy=True)
         drop(seeds)
         drop(several)
@@ -190,4 +190,4 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     cols = [F.col(c).alias(f"k{i}") for i, c in enumerate(names)]
     rows = docs.select(*cols, _key(id_col, docs).alias("id"), F.col(text_col).alias("text"))
     rows = rows.join(marks.withColumn("known", F.lit(True)), "id", "left")
-    return rows.mapInArrow(remove, schema)
+    return rows.mapInArrow(lean(remove), schema)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Lookup, bound_batches, scatter, text_bytes
+from .common import Lookup, bound_batches, lean, scatter, text_bytes
 
 SPACE = "▁"
 #: Characters of a unit that is counted on its own.
@@ -326,7 +326,7 @@ def token_counts(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
                 cols.append(pa.ListArray.from_arrays(pa.array((ends + np.arange(len(ends))).astype(np.int32)), pa.array(with_empty)))
             yield pa.RecordBatch.from_arrays(cols, [f.name for f in out])
 
-    return docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).mapInArrow(run, out)
+    return docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).mapInArrow(lean(run), out)
 
 
 def budget(counted: DataFrame, limit: int, name: str = "fit_chars") -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bound_batches, texts
+from .common import bound_batches, lean, texts
 
 #: Labelled documents of each class that the model is fitted to, at most: those whose hash comes first; longer texts than this, in bytes, aren't learnt from.
 MAX_LABELLED, MAX_BYTES = 2_500, 32_768
@@ -98,7 +98,7 @@ def _sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, labe
     schema = T.StructType([T.StructField("i", docs.schema[id_col].dataType), T.StructField("y", T.IntegerType()), T.StructField("words", strings), T.StructField("sentences", T.ArrayType(strings))])
     text = F.col(text_col)
     d = docs.select(F.col(id_col).alias("__i"), text.alias("__text")).where(text.isNull() | (F.octet_length(text) <= MAX_BYTES))
-    return d.join(F.broadcast(picked), "__i").mapInArrow(run, schema), counts
+    return d.join(F.broadcast(picked), "__i").mapInArrow(lean(run), schema), counts
 
 
 class _Table:
@@ -234,4 +234,4 @@ def score_texts(docs: DataFrame, model: tuple[dict[str, float], float], id_col:
             yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(names))], pa.array(scores, pa.float64())], [f.name for f in out])
 
     cols = [F.col(c).alias(f"__{i}") for i, c in enumerate([*names, text_col][: max(len(names), text_at + 1)])]
-    return docs.select(*cols).mapInArrow(run, out)
+    return docs.select(*cols).mapInArrow(lean(run), out)

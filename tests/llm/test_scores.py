@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quern.llm import forest, media, mixing, quality, toxicity
 from quern.llm.common import components
-from quern.llm.licenses import license_scan
+from quern.llm.licenses import TEMPLATES, license_scan
 
 from .brute import link_components
 
@@ -220,12 +220,24 @@ def test_png_all_filters():
     assert (media.decode_png(data) == image).all()
 
 
+def test_cosine_hash():
+    """Against mean values and coefficients from plain loops."""
+    r = np.random.default_rng(2)
+    for tall in (1, 5, 32, 70):
+        image = r.integers(0, 256, (tall, 576)).astype(np.uint8)
+        fine = np.repeat(image.astype(float), 32, axis=0).reshape(32, tall, 576).mean(1).reshape(32, 32, 18).mean(2)
+        basis = np.array([[np.cos(np.pi * (2 * x + 1) * k / 64) for x in range(32)] for k in range(8)])
+        low = np.round(basis @ fine @ basis.T, 6).ravel()
+        assert media.cosine_hash(image) == np.packbits(low > np.median(low[1:])).tobytes().hex()
+
+
 def test_media_rows(spark):
     d = spark.createDataFrame([(1, "abc"), (2, "abc"), (3, None), (4, ""), (5, "q" * 100_000)], "doc_id long, text string").withColumn("media", F.lit(1))
     got = {r["doc_id"]: r for r in media.media_columns(d).collect()}
     assert bytes(got[1]["media"]) == bytes(got[2]["media"]) and got[1]["feature"] == got[2]["feature"]
     assert bytes(got[3]["payload"]) == bytes(got[4]["payload"]) == b"\xff" * 576 and got[3]["n_bytes"] == 0
     assert bytes(got[5]["payload"]).rstrip(b"\xff") == b"q" * 100_000
+    assert media.media_columns(d.limit(0)).count() == 0
 
 
 def test_licenses(spark):
@@ -233,6 +245,13 @@ def test_licenses(spark):
     docs = [(1, f"{filler}\nReleased under the MIT License.\n{filler}"), (2, filler), (3, None), (4, ""), (5, "LICENSED under CC BY-NC 4.0"), (6, f"{filler} This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; {filler}"), (1, "Released under the MIT License"), (7, "Released under the BSD License")]
     d = spark.createDataFrame(docs, "doc_id long, text string").withColumn("license", F.lit("x"))
     assert {(r["doc_id"], r["license"]) for r in license_scan(d).collect()} == {(1, "MIT"), (5, "CC-BY-NC-4.0"), (6, "GPL-notice")}
+    wrap = lambda text, mark: "\n".join(mark + " ".join(text.split()[k : k + 7]) for k in range(0, len(text.split()), 7))
+    texts = [(f"{name}{k}", filler + "\n" + wrap(lines[0], mark) + "\n" + filler) for name, lines in TEMPLATES.items() for k, mark in enumerate((" * ", "# ", "// ", "-- ", ";; "))] + [("both", TEMPLATES["GPL-2.0"][0] + " " + TEMPLATES["GPL-3.0"][0]), ("long", "word " * 60_000 + TEMPLATES["MIT"][0])]
+    got = {}
+    for r in license_scan(spark.createDataFrame(texts, "doc_id string, text string")).collect():
+        got.setdefault(r["doc_id"], set()).add(r["license"])
+    also = {"Apache-2.0-notice": {"Apache-2.0"}}  # the line begins the notice
+    assert got == {i: {i[:-1]} | also.get(i[:-1], set()) for i, _ in texts[:-2]} | {"both": {"GPL-2.0", "GPL-3.0"}, "long": {"MIT"}}
     assert license_scan(d.limit(0)).count() == 0
 
 
@@ -249,6 +268,12 @@ def test_quality_model(spark):
     got = {x["doc_id"]: x["kept"] for x in quality.quality_filter(docs, labels).collect()}
     assert all(got[i] for i in range(60)) and sum(got[i] for i in range(60, 80)) >= 17 and not any(got[100 + i] for i in range(10))
     assert got[200] is False and got[201] is False
+    # an empty table, and a text over several slices
+    assert quality.quality_filter(docs.limit(0), labels).count() == 0
+    long = "the house of green trees and " * 6000
+    table = quality.fit_quality(docs, labels)
+    whole = quality.perplexities(spark.createDataFrame([(1, long)], "doc_id long, text string"), table).first()["log_perplexity"]
+    assert whole == pytest.approx(-float(table[quality.gram_ids(long)].astype(float).mean()), rel=1e-6)
 
 
 def test_quality_counts_all_trusted_text(spark):

@@ -33,7 +33,7 @@ def tiktoken_library():
 
 def test_bpe_as_the_library():
     library, c = tiktoken_library(), codec(P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN)
-    for text in strange():
+    for text in strange() + ["x" * 100_000, "日本語" * 20_000, "aab" * 20_000, "it's b 's o", "a  b \u00a0c", "ab é \u3000d e\u00e9 \u00e9f"]:
         ids = c.encode(text)
         assert ids == library.encode_ordinary(text)
         assert c.decode(ids) == text.encode()
@@ -53,6 +53,9 @@ def test_bpe_rows(spark):
     ids = tiktoken_library().encode_ordinary("Hello world")
     assert len(got) == 5
     assert all(r["h"] == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest() and bytes(r["decoded"]) == b"Hello world" for r in got if r["doc_id"] == 1)
+    assert encode_decode(d.limit(0), P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN).count() == 0
+    with pytest.raises(ValueError):
+        encode_decode(d, P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN, keep=("decoded",))
     assert all(r["n"] == 0 and bytes(r["decoded"]) == b"" and r["h"] == hashlib.sha256(b"").hexdigest() for r in got if r["doc_id"] in (2, 3))
 
 
@@ -113,6 +116,35 @@ def test_ngram_join_with_frequent_shingles(spark, monkeypatch):
     assert {r["doc_id"]: r["component_id"] for r in got} == comps
 
 
+def test_ngram_join_joins_what_an_id_has(spark):
+    """Rows that repeat an id with other texts tie what these link with; ids may be text."""
+    one, two = " ".join(f"a{k}" for k in range(40)), " ".join(f"b{k}" for k in range(40))
+    rows = [("3", one), ("4", two), ("5", one), ("5", two), ("6", "other words than these all")]
+    got = sorted((r["doc_id"], r["component_id"]) for r in jaccard_components(spark.createDataFrame(rows, "doc_id string, text string")).collect())
+    assert got == [("3", "3"), ("4", "3"), ("5", "3"), ("5", "3"), ("6", "6")]
+
+
+def test_prefixes_hold_a_common_signature():
+    """Any two sets that link, however their shingles are frequent, have a signature in common."""
+    import numpy as np
+
+    from quern.llm import ngram_join as n
+
+    r = np.random.default_rng(3)
+    for trial in range(400):
+        size, percent = int(r.integers(2, 60)), int(r.choice([55, 80, 85, 95]))
+        a = np.unique(r.integers(-(2**62), 2**62, size))
+        b = np.unique(np.concatenate([a[r.random(len(a)) > r.random() * 0.2], r.integers(-(2**62), 2**62, int(r.integers(0, 4)))]))
+        same = len(np.intersect1d(a, b))
+        if 100 * same < percent * (len(a) + len(b) - same) or len(a) == len(b) == same:
+            continue
+        every = np.unique(np.concatenate([a, b]))
+        known = every[r.random(len(every)) < r.choice([0.0, 0.3, 0.9, 1.0])]
+        grade = r.integers(0, 4, len(known)).astype(np.uint8)
+        (_, ra, ta), (_, rb, tb) = n.signatures(a, known, grade, percent), n.signatures(b, known, grade, percent)
+        assert len(np.intersect1d(ra, rb)) or len(np.intersect1d(ta, tb)), (trial, len(a), len(b), same, percent)
+
+
 def test_ngram_join_odd_rows(spark):
     rows = [(None, "a b c d e"), (5, "a b c d e"), (5, "a b c d e"), (6, "A B c d e"), (7, None), (8, "")]
     got = sorted((r["doc_id"] or 0, r["n_shingles"], r["component_id"]) for r in jaccard_components(spark.createDataFrame(rows, DOCS)).collect())
@@ -127,6 +159,9 @@ def test_repeats(spark, seed):
     rows = remove_repeats(d).collect()
     got = {r["doc_id"]: (r["n_words"], r["n_removed"], hashlib.sha256(r["kept_text"].encode()).hexdigest()) for r in rows}
     assert got == removed_words(docs)
+    # three levels, and one only
+    for start in (5, 20) if seed == 1 else ():
+        assert {r["doc_id"]: r["n_removed"] for r in remove_repeats(d, start=start).collect()} == {i: g[1] for i, g in got.items()}
     assert all(r["n_removed"] == sum(s["end"] - s["start"] for s in r["removed"]) for r in rows)
 
 
@@ -135,4 +170,8 @@ def test_repeats_odd_rows(spark):
     rows = [(None, text), (4, text), (4, text), (9, text), (10, None), (11, "short one")]
     got = sorted((r["doc_id"] or 99, r["n_words"], r["n_removed"]) for r in remove_repeats(spark.createDataFrame(rows, DOCS)).collect())
     assert got == [(4, 30, 0), (4, 30, 0), (9, 30, 30), (10, 0, 0), (11, 2, 0), (99, 30, 30)]
+    named = sorted((r["doc_id"] or "~", r["n_removed"]) for r in remove_repeats(spark.createDataFrame([(None, text), ("b", text), ("a", text)], "doc_id string, text string")).collect())
+    assert named == [("a", 0), ("b", 30), ("~", 30)]
+    with pytest.raises(ValueError):
+        remove_repeats(spark.createDataFrame([], DOCS).withColumn("n_words", F.lit(1)), keep=("n_words",))
     assert remove_repeats(spark.createDataFrame([], DOCS)).count() == 0
