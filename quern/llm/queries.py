@@ -110,6 +110,19 @@ def op12_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(restored(), 256).alias("restored_sha256"))
 
 
+def op13_personal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's personal data: plain matches, and what the labelers' classifier adds."""
+    from .personal import KINDS, fit_personal, personal_data
+
+    docs = _table(spark, sf_dir, "documents")
+    found = personal_data(docs, fit_personal(docs))
+    plain = F.filter("found", lambda s: s["plain"])
+    listed = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    of_kind = lambda k: F.filter("found", lambda s: s["plain"] & (s["kind"] == k))
+    counts = [F.size(of_kind(k)).cast("long").alias(f"n_{k}") for k in KINDS]
+    return found.select("doc_id", *counts, F.sha2(listed(plain), 256).alias("base_sha256"), listed(F.col("found")).alias("spans"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
     return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
