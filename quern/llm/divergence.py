@@ -21,8 +21,9 @@ LETTERS = bytes(range(0x41, 0x5B)) + bytes(range(0x61, 0x7B)) + bytes(range(0x80
 FOLD = bytes(c + 32 if 0x41 <= c <= 0x5A else c if c in LETTERS else 0x20 for c in range(256))
 #: Fixed by the report's definition.
 UNIT, ADDED = 1_000_000_000, 2
-#: Bytes of kept terms that one automaton pass holds at most; a larger vocabulary takes more passes, each over its own languages' texts.
-MOST_BYTES = 4_000_000
+#: Bytes of kept terms, with 24 a term, that one automaton pass holds at most (its automata then take about five times that); a
+#: larger vocabulary takes more passes, each over its own languages' texts.
+MOST_BYTES = 24_000_000
 #: Entries that a task counts before it hands them on.
 ENTRIES = 500_000
 #: Terms and sources that one block of the pair sums holds.
@@ -88,15 +89,15 @@ def _automaton(name: str, lang: str, ids, terms):
         _AUTOMATA["name"] = name
     if ("lang", lang) not in _AUTOMATA:
         made = ahocorasick.Automaton()
-        for i, t in zip(ids, terms, strict=True):
-            made.add_word(" " + t.encode().decode("latin-1") + " ", i)
+        for i, t in zip(ids.tolist(), terms.split(b" "), strict=True):
+            made.add_word(" " + t.decode("latin-1") + " ", i)
         made.make_automaton()
         _AUTOMATA["lang", lang] = made
     return _AUTOMATA["lang", lang]
 
 
 def _recount(rows: DataFrame, vocabulary: dict) -> DataFrame:
-    """(source, id, n): occurrences of the terms of one pass, counted a task at a time. vocabulary: lang to (ids, terms)."""
+    """(source, id, n): occurrences of the terms of one pass, counted a task at a time. vocabulary: lang to (ids, terms in one line)."""
     held, name = rows.sparkSession.sparkContext.broadcast(vocabulary), uuid.uuid4().hex
 
     def run(batches):
@@ -143,6 +144,8 @@ def _passes(kept: DataFrame, most: int) -> tuple[DataFrame, int]:
 
 def term_counts(rows: DataFrame, kept: DataFrame, most: int = MOST_BYTES) -> DataFrame:
     """(id, source, n): how often each kept term (id, lang, term) occurs in each source of its language."""
+    import numpy as np
+
     dealt, n = _passes(kept, most)
     if n > 1:
         dealt = stash(dealt, "passes")
@@ -153,8 +156,9 @@ def term_counts(rows: DataFrame, kept: DataFrame, most: int = MOST_BYTES) -> Dat
         for i, lang, term in zip(*(held.column(c).to_pylist() for c in held.column_names), strict=True):
             ids, terms = vocabulary.setdefault(lang, ([], []))
             ids.append(i)
-            terms.append(term)
+            terms.append(term.encode())
         if vocabulary:
+            vocabulary = {lang: (np.array(ids), b" ".join(terms)) for lang, (ids, terms) in vocabulary.items()}
             own = rows.where(F.col("lang").isin(list(vocabulary))) if n > 1 and len(vocabulary) <= 100 else rows
             part = _recount(own, vocabulary)
             found = part if found is None else found.unionAll(part)
