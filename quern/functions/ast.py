@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quern.functions.variants import descend
+
+
 def _get(node: Column, path: str) -> Column:
     return F.get_json_object(node, path)
 
@@ -60,7 +63,31 @@ def sort_tag(ast: Column) -> Column:
     return _get(ast, "$.sort.tag")
 
 
-def shape(ast: Column) -> Column:
-    """A type tree without names and hints, as text: trees of one shape have one text, so types are matched by structure."""
-    bare = F.regexp_replace(ast, r"\s+(?=(?:[^\"]*\"[^\"]*\")*[^\"]*$)", "")
-    return F.regexp_replace(F.regexp_replace(bare, r'"(nameHint|name|hint)":"(?:[^"\\\\]|\\\\.)*",?', ""), r",(?=})", "")
+#: Keys whose strings (or nulls) are names that people chose, not structure.
+NAMES = ("nameHint", "name", "hint")
+#: In a pattern: any type or term.
+ANY = '{"tag":"*"}'
+
+
+def canonical(ast: Column) -> Column:
+    """A type tree as text without names and white space, members by name: equal for trees of one structure. Null for what is no JSON.
+
+    The parser has sorted members and undone white space and escapes. Escaped quotes are then put aside as control
+    characters, which JSON text can't hold, so a string is a run without quotes, and no pattern here repeats a group.
+    """
+    text = F.replace(F.replace(F.to_json(F.try_parse_json(ast)), F.lit("\\\\"), F.lit("\x01")), F.lit('\\"'), F.lit("\x02"))
+    member = rf'"(?:{"|".join(NAMES)})":(?:null|"[^"]*+")'
+    text = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, member + ",", ""), "," + member + r"(?=\})", ""), member + r"(?=\})", "")
+    return F.replace(F.replace(text, F.lit("\x02"), F.lit('\\"')), F.lit("\x01"), F.lit("\\\\"))
+
+
+def subtrees(ast: Column) -> Column:
+    """array<struct<path, hash, label, size>> of a type tree's objects and lists, the outer ones first.
+
+    hash stands for the whole subtree, names aside; label for its own level: the members' names, scalars, and which of them are
+    objects or lists of how many items. size is the length of the subtree's text. Paths are as $.cod.term.elims[0].
+    """
+    mark = lambda m: F.when(F.startswith(m["json"], F.lit("{")), F.lit("{")).when(F.startswith(m["json"], F.lit("[")), F.lit("[")).otherwise(m["json"])
+    label = lambda o: F.concat(F.substring(o["json"], 1, 1), F.array_join(F.transform(o["members"], lambda m: F.concat(m["step"], F.lit(":"), mark(m))), ","))
+    say = lambda o: F.array(F.struct(o["context"].alias("path"), F.sha1(o["json"]).alias("hash"), F.sha1(label(o)).alias("label"), F.length(o["json"]).alias("size")))
+    return descend(F.try_parse_json(canonical(ast)), F.lit("$"), lambda o, m, _: F.concat(o["context"], m["step"]), say, "struct<path:string,hash:string,label:string,size:int>")

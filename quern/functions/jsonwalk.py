@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quern.functions.variants import descend
+
 #: Keys under which a rendered form is kept.
 RENDERED = ("pretty", "pp", "rendered", "shown")
 DECLARATION = T.ArrayType(T.StructType([T.StructField("file", T.StringType()), T.StructField("module", T.StringType()), T.StructField("name", T.StringType()), T.StructField("type", T.StringType())]))
@@ -25,28 +25,26 @@ def names_under(node: Column, *keys: str) -> Column:
     return F.array_distinct(F.concat(*[F.coalesce(F.from_json(F.get_json_object(node, f"$.{k}"), "array<string>"), empty) for k in keys]))
 
 
-def walk(text: str | None) -> list[dict]:
-    """Objects with a name and a type, at any depth; file and module come from the nearest object around that has them."""
-    try:
-        todo = [(json.loads(text or ""), None, None)]
-    except ValueError:
-        return []
-    found = []
-    while todo:
-        node, file, module = todo.pop()
-        if isinstance(node, dict):
-            text_of = lambda k, other, node=node: node[k] if isinstance(node.get(k), str) else other
-            file, module = text_of("file", file), text_of("module", module)
-            if isinstance(node.get("name"), str) and isinstance(node.get("type"), str):
-                found.append({"file": file, "module": module, "name": node["name"], "type": node["type"]})
-        inner = list(node.values()) if isinstance(node, dict) else node if isinstance(node, list) else []
-        todo += [(x, file, module) for x in reversed(inner)]
-    return found
-
-
-@F.pandas_udf(DECLARATION)
-def declarations(texts):
-    """Such objects of each document; the depth is unknown, so no path expression reaches them."""
-    import pandas as pd
-
-    return pd.Series([walk(t) for t in texts])
+def declarations(text: Column | str) -> Column:
+    """array<struct<file, module, name, type>>: objects with a name and a type, at any depth; file and module come from the nearest object around that has them.
+
+    They are in the order of the text's lists, and of members by name. Text that is no JSON gives none. A fold over the
+    levels of each document, without Python.
+    """
+    is_text = lambda m: F.startswith(m["json"], F.lit('"'))
+    own = lambda members, key: F.get(F.filter(members, lambda m: (m["key"] == key) & is_text(m)), F.lit(0))["node"].cast("string")
+    context = lambda file, module, at: F.struct(file.alias("file"), module.alias("module"), at.alias("at"))
+
+    # an object's own file and module hold for itself as for what it holds
+    here = lambda o: context(F.coalesce(own(o["members"], "file"), o["context"]["file"]), F.coalesce(own(o["members"], "module"), o["context"]["module"]), o["context"]["at"])
+    below = lambda o, m, k: context(here(o)["file"], here(o)["module"], F.concat(o["context"]["at"], F.array(k)))
+
+    def found(o):
+        name, kind = own(o["members"], "name"), own(o["members"], "type")
+        said = F.array(F.struct(o["context"]["at"].alias("at"), here(o)["file"].alias("file"), here(o)["module"].alias("module"), name.alias("name"), kind.alias("type")))
+        return F.filter(said, lambda x: x["name"].isNotNull() & x["type"].isNotNull())
+
+    nothing = F.lit(None).cast("string")
+    root = F.try_parse_json(F.col(text) if isinstance(text, str) else text)
+    every = descend(root, context(nothing, nothing, F.array().cast("array<int>")), below, found, "struct<at:array<int>,file:string,module:string,name:string,type:string>")
+    return F.transform(F.array_sort(every), lambda d: F.struct(d["file"], d["module"], d["name"], d["type"])).cast(DECLARATION)

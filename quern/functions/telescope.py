@@ -6,46 +6,51 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quern.functions.variants import let
+
 BINDERS = T.ArrayType(T.StructType([T.StructField("name", T.StringType()), T.StructField("type", T.StringType()), T.StructField("hiding", T.StringType())]))
 PARSED = T.StructType([T.StructField("binders", BINDERS), T.StructField("rest", T.StringType())])
-_CLOSES = {")": "(", "}": "{"}
-
-
-def _block_end(s: str, at: int) -> int:
-    """The place of the bracket that closes the one at `at`; -1 if none does."""
-    opened = []
-    for k in range(at, len(s)):
-        c = s[k]
-        if c in "({":
-            opened.append(c)
-        elif c in _CLOSES and opened and opened[-1] == _CLOSES[c]:
-            opened.pop()
-            if not opened:
-                return k
-    return -1
-
-
-def parse_telescope(s: str | None) -> dict:
-    """Blocks {a b : T} and (x : U) at the start of a type; a block without a colon is passed over."""
-    s, at, found = s or "", 0, []
-    while True:
-        while at < len(s) and s[at].isspace():
-            at += 1
-        if at >= len(s) or s[at] not in "({" or (end := _block_end(s, at)) < 0:
-            return {"binders": found, "rest": s[at:]}
-        names, colon, kind = s[at + 1 : end].partition(":")
-        if colon:
-            hiding = "implicit" if s[at] == "{" else "explicit"
-            found += [{"name": n, "type": kind.strip(), "hiding": hiding} for n in names.split()]
-        at = end + 1
-
-
-@F.pandas_udf(PARSED)
-def telescope(types):
-    """struct(binders, rest) of each type string; bracket matching needs a stack, so this is an Arrow-batched function."""
-    import pandas as pd
-
-    return pd.DataFrame([parse_telescope(s) for s in types], columns=["binders", "rest"])
+BLOCKS = "array<struct<opens:string,first:int,last:int>>"
+#: Where a scan is: the next character's place, the brackets open in the block, where the block and the unread rest begin, whether the rest has begun.
+SCAN = f"struct<i:int,open:string,block:int,rest:int,over:boolean,blocks:{BLOCKS}>"
+BLANK = " \t\n\r\f\v"
+
+
+def _scan(s, c):
+    """One more character: between blocks white space is passed over and a bracket opens a block, anything else begins the rest; in a block brackets are pushed, and popped by their own kind only."""
+    top = F.right(s["open"], F.lit(1))
+    between, opens = s["open"] == "", c.isin("(", "{")
+    closes = ((c == ")") & (top == "(")) | ((c == "}") & (top == "{"))
+    ends = ~between & closes & (F.length(s["open"]) == 1)
+    opened = F.when(opens, F.concat(s["open"], c)).when(closes, F.left(s["open"], F.length(s["open"]) - 1)).otherwise(s["open"])
+    block = F.struct(F.left(s["open"], F.lit(1)).alias("opens"), s["block"].alias("first"), s["i"].alias("last"))
+    blank = F.instr(F.lit(BLANK), c) > 0
+    return F.struct(
+        (s["i"] + 1).alias("i"), F.when(between & ~opens, "").otherwise(opened).alias("open"), F.when(between & opens, s["i"]).otherwise(s["block"]).alias("block"),
+        F.when(ends | (between & blank), s["i"] + 1).otherwise(s["rest"]).alias("rest"), (between & ~opens & ~blank).alias("over"),
+        F.when(ends, F.concat(s["blocks"], F.array(block))).otherwise(s["blocks"]).alias("blocks"),
+    ).cast(SCAN)
+
+
+def telescope(types: Column | str) -> Column:
+    """struct(binders, rest) of a type string: blocks {a b : T} and (x : U) at its start; a block without a colon is passed over, one that isn't closed is rest.
+
+    A fold over the characters whose state holds the stack of open brackets; once the rest has begun nothing is computed.
+    """
+    text = F.coalesce(F.col(types) if isinstance(types, str) else types, F.lit(""))
+    start = F.struct(F.lit(0).alias("i"), F.lit("").alias("open"), F.lit(0).alias("block"), F.lit(0).alias("rest"), F.lit(False).alias("over"), F.array().cast(BLOCKS).alias("blocks")).cast(SCAN)
+    scanned = F.aggregate(F.split(text, ""), start, lambda s, c: F.when(s["over"] | (c == ""), s).otherwise(_scan(s, c)), lambda s: F.struct(s["blocks"].alias("blocks"), s["rest"].alias("rest")))
+
+    def binders(b):
+        inner = F.substring(text, b["first"] + 2, b["last"] - b["first"] - 1)
+        colon = F.locate(":", inner)
+        names = F.filter(F.split(F.substring(inner, F.lit(1), colon - 1), r"\s+"), lambda n: n != "")
+        kind = F.trim(F.substring(inner, colon + 1, F.length(inner)), F.lit(BLANK))
+        made = F.transform(names, lambda n: F.struct(n.alias("name"), kind.alias("type"), F.when(b["opens"] == "{", "implicit").otherwise("explicit").alias("hiding")))
+        return F.when(colon > 0, made).otherwise(F.filter(made, lambda _: F.lit(False)))
+
+    read = lambda s: F.struct(F.flatten(F.transform(s["blocks"], binders)).alias("binders"), F.substring(text, s["rest"] + 1, F.length(text)).alias("rest"))
+    return let(scanned, read).cast(PARSED)
 
 
 def context_and_goal(parsed: Column, parts: Column, names: Column) -> Column:

@@ -183,12 +183,3 @@ def _reached(e: DataFrame, roots: DataFrame) -> DataFrame:
         if front.isEmpty():
             return found
         found = cut(found.unionAll(front))
-
-
-def matching_types(trees: DataFrame, key: str, ast: str) -> DataFrame:
-    """(key, group): definitions whose type trees have one shape, names aside; group is the smallest key of the shape."""
-    from quern.functions.ast import shape
-
-    d = trees.where(F.col(ast).isNotNull()).select(F.col(key).alias(key), F.sha1(shape(F.col(ast))).alias("__shape"))
-    least = d.groupBy("__shape").agg(F.min(key).alias("group"))
-    return d.join(least, "__shape").select(key, "group")

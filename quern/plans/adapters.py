@@ -102,3 +102,31 @@ TYPED = """typed AS (SELECT 'P.' || p_partkey AS qname, '{A : ' || p_type || '}
   CASE WHEN p_partkey % 11 = 0 THEN 'Prop' ELSE 'Set' END AS sort, p_partkey % 2 = 0 AS implicit, 'b' || p_partkey AS hint, p_size % 5 AS n,
   CASE p_partkey % 7 WHEN 0 THEN NULL WHEN 1 THEN 'M._.f' || p_partkey WHEN 2 THEN 'two words' ELSE '@' || (p_partkey % 4) END AS body,
   p_partkey AS ord, p_brand, p_type, p_name FROM part)"""
+
+
+def type_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(qname, ast) of part: type trees of 0 to 3 binders over terms of three forms, written unlike one another: names that are there, null, escaped or missing, white space, members in two orders."""
+    p = table(spark, sf_dir, "part")
+    k, n = F.col("p_partkey"), (F.col("p_size") % 4).cast("int")
+    gap = F.when(k % 3 == 0, F.lit("\n    ")).when(k % 3 == 1, F.lit("")).otherwise(F.lit(" \t"))
+    hint = F.when(k % 5 == 0, F.lit(',"nameHint":null')).when(k % 5 == 1, F.concat(F.lit(',"nameHint":"b'), k.cast("string"), F.lit('"'))).when(k % 5 == 2, F.lit(',"nameHint":"q\\\\\\"{,u"')).when(k % 5 == 3, F.lit(',"nameHint":"\\u00e9 :}"')).otherwise(F.lit(""))
+    say = lambda *xs: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in xs])
+    kind = lambda *term: say('{"tag":"Type",', gap, '"sort":{"tag":"Set"},"term":', *term, gap, "}")
+    known = lambda name, *elims: say('{"elims":[', *elims, '],"tag":"Def",', gap, '"qname":"', name, '"}')
+    put = lambda *term: say('{"tag":"Apply",', gap, '"hiding":"explicit","term":', *term, "}")
+    var = lambda i: say('{"tag":"Var","ix":', i, ',"elims":[]}')
+    form = k % 4
+    term = F.when(form == 0, known(F.col("p_brand"), put(var("0")))).when(form == 1, var(n.cast("string"))).otherwise(known("Pair", put(known(F.col("p_brand"))), ",", put(var("1"))))
+    binder = say('{"hiding":"', F.when(k % 2 == 0, "implicit").otherwise("explicit"), '"', hint, gap, "}")
+    before = say('{"tag":"Pi","binder":', binder, ',"dom":', kind(known(F.col("p_brand"))), ',"cod":{"tag":"Type","sort":{"tag":"Set"},"term":')
+    after = F.when(k % 7 == 0, say("}", gap, "}")).otherwise(F.lit("}}"))
+    return p.select(F.concat(F.lit("P."), k.cast("string")).alias("qname"), kind(F.repeat(before, n), term, F.repeat(after, n)).alias("ast"))
+
+
+#: The same trees without names and white space, members in one order.
+TREES = """known AS (SELECT *, '{"tag":"Def","qname":"' || p_brand || '","elims":[]}' AS d FROM part),
+terms AS (SELECT *, CASE p_partkey % 4 WHEN 0 THEN '{"tag":"Def","qname":"' || p_brand || '","elims":[{"tag":"Apply","hiding":"explicit","term":{"tag":"Var","ix":0,"elims":[]}}]}'
+  WHEN 1 THEN '{"tag":"Var","ix":' || (p_size % 4) || ',"elims":[]}'
+  ELSE '{"tag":"Def","qname":"Pair","elims":[{"tag":"Apply","hiding":"explicit","term":' || d || '},{"tag":"Apply","hiding":"explicit","term":{"tag":"Var","ix":1,"elims":[]}}]}' END AS term FROM known),
+trees AS (SELECT 'P.' || p_partkey AS qname, '{"tag":"Type","sort":{"tag":"Set"},"term":' || repeat('{"tag":"Pi","binder":{"hiding":"' || CASE WHEN p_partkey % 2 = 0 THEN 'implicit' ELSE 'explicit' END
+  || '"},"dom":{"tag":"Type","sort":{"tag":"Set"},"term":' || d || '},"cod":{"tag":"Type","sort":{"tag":"Set"},"term":', p_size % 4) || term || repeat('}}', p_size % 4) || '}' AS tree FROM terms)"""

@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quern.functions import jsonwalk
 from quern.functions import source as C
 from quern.functions import text as X
 from quern.operators import blocks as B
-from quern.operators import curate, evaluate, graph, validate, views, wire
+from quern.operators import curate, evaluate, graph, types, validate, views, wire
 from quern.plans import adapters as T
-from quern.plans.adapters import CORPUS, DEFS, TURNS, TYPED
+from quern.plans.adapters import CORPUS, DEFS, TREES, TURNS, TYPED
 from quern.plans.catalogue import _sources, _sources_sql, query
 from quern.sources import readers
+from quern.sources.shared import new_path
 
 
 def _n(c: str = "p_partkey"):
@@ -250,10 +252,49 @@ def dependency_kinds(spark, sf):
     return graph.dependency_edges(c, "pretty_qname", {"type": "dependencies", "body": "body_deps"})
 
 
-@query(f"WITH {TYPED} SELECT qname, min(qname) OVER (PARTITION BY sort, n, CASE WHEN n > 0 THEN implicit END) AS \"group\" FROM typed WHERE has_ast")
+@query(f"WITH {TREES} SELECT qname, min(qname) OVER (PARTITION BY tree) AS \"group\" FROM trees")
 def matching_types(spark, sf):
-    """Definitions whose type trees have one shape, names of binders aside."""
-    return graph.matching_types(T.typed_parts(spark, sf), "qname", "ast")
+    """Definitions whose type trees have one structure, however they are written."""
+    return types.matching_types(T.type_trees(spark, sf), "qname", "ast")
+
+
+def _type_index(spark, sf):
+    folder = new_path(spark, "types")
+    types.write_type_index(T.type_trees(spark, sf), "qname", "ast", folder)
+    return types.read_type_index(spark, folder)
+
+
+@query(f"WITH {TREES} SELECT qname, fullkey AS path FROM trees, json_tree(tree) WHERE value = '{{\"tag\":\"Def\",\"qname\":\"Brand#12\",\"elims\":[]}}'")
+def types_with_term(spark, sf):
+    """Where types hold one term, looked up by its hash in the index of all sub-terms."""
+    return types.find_types(_type_index(spark, sf), '{"tag":"Def","elims":[],"qname":"Brand#12"}').withColumnRenamed("key", "qname")
+
+
+@query(f"""WITH {TREES} SELECT qname, fullkey AS path FROM trees, json_tree(tree) WHERE value->>'$.tag' = 'Pi' AND value->>'$.binder.hiding' = 'implicit' AND value->>'$.cod.term.qname' = 'Pair'""")
+def types_of_pattern(spark, sf):
+    """Where types are functions into pairs, whatever is taken and paired."""
+    pattern = '{"tag":"Pi","binder":{"hiding":"implicit","nameHint":"any"},"dom":{"tag":"*"},"cod":{"tag":"Type","sort":{"tag":"Set"},"term":{"tag":"Def","qname":"Pair","elims":[{"tag":"*"},{"tag":"*"}]}}}'
+    return types.find_types(_type_index(spark, sf), pattern).withColumnRenamed("key", "qname")
+
+
+#: Documents whose declarations lie at several depths; file and module of some objects around them.
+NESTED = """nested AS (SELECT p_partkey, '{"file":"F' || (p_size % 9) || '","decls":[{"name":"' || p_name || '","type":"' || p_type || '"},{"module":"M' || (p_partkey % 5) || '","kids":[[{"name":"k","type":"' || p_brand || '","inner":{"file":"G","name":"deep","type":"T' || p_size || '"}}]]},{"name":7,"type":"no"},'
+  || repeat('[', p_size % 6) || '{"name":"end","type":"E"}' || repeat(']', p_size % 6) || ']}' AS doc FROM part)"""
+
+
+@query(f"""WITH RECURSIVE {NESTED}, n AS (SELECT p_partkey, id, parent, value, type FROM nested, json_tree(doc)),
+w AS (SELECT p_partkey, id, value->>'$.file' AS file, value->>'$.module' AS module, value, type FROM n WHERE parent IS NULL
+  UNION ALL SELECT n.p_partkey, n.id, CASE WHEN n.type = 'OBJECT' THEN coalesce(n.value->>'$.file', w.file) ELSE w.file END, CASE WHEN n.type = 'OBJECT' THEN coalesce(n.value->>'$.module', w.module) ELSE w.module END, n.value, n.type
+  FROM w JOIN n ON n.p_partkey = w.p_partkey AND n.parent = w.id)
+SELECT p_partkey, file, module, value->>'$.name' AS name, value->>'$.type' AS type FROM w WHERE type = 'OBJECT' AND json_type(value, '$.name') = 'VARCHAR' AND json_type(value, '$.type') = 'VARCHAR'""")
+def nested_declarations(spark, sf):
+    """Declarations at any depth of a document, with the file and module around them."""
+    p = T.table(spark, sf, "part")
+    deep = (F.col("p_size") % 6).cast("int")
+    say = lambda *xs: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in xs])
+    doc = say('{"file":"F', (F.col("p_size") % 9).cast("string"), '","decls":[{"name":"', F.col("p_name"), '","type":"', F.col("p_type"), '"},{"module":"M', (F.col("p_partkey") % 5).cast("string"), '","kids":[[{"name":"k","type":"', F.col("p_brand"), '","inner":{"file":"G","name":"deep","type":"T', F.col("p_size").cast("string"), '"}}]]},{"name":7,"type":"no"},',
+              F.repeat(F.lit("["), deep), '{"name":"end","type":"E"}', F.repeat(F.lit("]"), deep), "]}")
+    return p.select("p_partkey", F.inline(jsonwalk.declarations(doc)))
 
 
 LOOPS = """lo AS (SELECT conv_id, max(turn) AS top FROM conversations GROUP BY conv_id)"""

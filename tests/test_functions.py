@@ -1,5 +1,7 @@
 """Text, type and tree functions on the cases that matter."""
 
+import random
+
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
@@ -8,7 +10,7 @@ from pyspark.sql import functions as F
 from quern.functions import ast as A
 from quern.functions import source
 from quern.functions import text as X
-from quern.functions.telescope import context_and_goal, parse_telescope, telescope
+from quern.functions.telescope import context_and_goal, telescope
 from quern.operators import blocks, views
 
 
@@ -21,17 +23,38 @@ def test_split_arrows(spark, text, parts):
     assert value(spark, X.split_arrows(F.col("t")), t=text) == parts
 
 
-def test_telescope():
-    got = parse_telescope("{a b : Set} (x : A (b)) {skip} → C")
-    assert got["binders"] == [{"name": "a", "type": "Set", "hiding": "implicit"}, {"name": "b", "type": "Set", "hiding": "implicit"}, {"name": "x", "type": "A (b)", "hiding": "explicit"}]
-    assert got["rest"] == "→ C"
-    assert parse_telescope("(open → C") == {"binders": [], "rest": "(open → C"}
-    assert parse_telescope(None) == {"binders": [], "rest": ""}
-
-
-@given(st.text(alphabet="(){}: aB→", max_size=40))
-def test_telescope_keeps_the_rest(text):
-    assert text.endswith(parse_telescope(text)["rest"])
+def plain_telescope(s):
+    """The same by a walk with a list as the stack."""
+    at, found = 0, []
+    while True:
+        while at < len(s) and s[at] in " \t\n\r\f\v":
+            at += 1
+        if at == len(s) or s[at] not in "({":
+            return found, s[at:]
+        stack, end = [], None
+        for k in range(at, len(s)):
+            if s[k] in "({":
+                stack.append(s[k])
+            elif stack and s[k] in ")}" and stack[-1] == {")": "(", "}": "{"}[s[k]]:
+                stack.pop()
+                if not stack:
+                    end = k
+                    break
+        if end is None:
+            return found, s[at:]
+        names, colon, kind = s[at + 1 : end].partition(":")
+        found += [(n, kind.strip(), "implicit" if s[at] == "{" else "explicit") for n in names.split() if colon]
+        at = end + 1
+
+
+def test_telescope(spark):
+    r = random.Random(6)
+    texts = ["{a b : Set} (x : A (b)) {skip} → C", "(open → C", "", None, "  ", "{a : (x } y)} (b : ∀ {c} → d) e", "(:T)", "(a b:)(c : d : e) ", "{" * 300 + "x : y" + "}" * 300 + "→"]
+    texts += ["".join(r.choice("(){}: aB→\n") for _ in range(r.randint(0, 40))) for _ in range(400)] + ["(x : " + "A → " * 20_000 + ") B"]
+    d = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, type string").select("k", telescope("type").alias("p"))
+    for k, p in d.collect():
+        assert ([tuple(b) for b in p["binders"]], p["rest"]) == plain_telescope(texts[k] or ""), texts[k]
+    assert "Python" not in d._jdf.queryExecution().toString()
 
 
 def test_context_and_goal(spark):
@@ -52,7 +75,7 @@ def test_binders(spark):
 def test_binders_are_followed_to_the_end(spark):
     tree = '{"tag":"Pi","binder":{"nameHint":"n"},"cod":' * 100 + '{"tag":"Sort"}' + "}" * 100
     assert value(spark, F.size(A.pi_binders(F.col("t"))), t=tree) == 100 == value(spark, A.pi_arity(F.col("t")), t=tree)
-    assert value(spark, A.shape(F.col("t")) == A.shape(F.replace("t", F.lit('"n"'), F.lit('"other"'))), t=tree)
+    assert value(spark, A.canonical(F.col("t")) == A.canonical(F.replace("t", F.lit('"n"'), F.lit('"other"'))), t=tree)
 
 
 def test_names(spark):

@@ -13,6 +13,17 @@ def test_walk(spark):
     assert got == [[(None, "M", "a", "T"), ("f", "M", "b", "U"), ("f", "M", "c", "V")], [], []]
 
 
+def test_walk_goes_to_the_bottom_in_order(spark):
+    deep = '{"name":"n","type":"t"}'
+    for k in range(120):
+        deep = f'[{deep},{{"name":"n{k}","type":"t"}}]' if k % 2 else f'{{"a":{deep}' + (',"module":"M%d"}' % k if k % 10 == 0 else "}")
+    d = spark.createDataFrame([(deep,), ("3",), ('[{"type":"t","name":"a \\"q","file":"F"},{"name":"b","type":null},[[{"file":"G","x":{"name":"c","type":"u"}}]]]',)], "t string").select(J.declarations("t").alias("v"))
+    assert "Python" not in d._jdf.queryExecution().toString()
+    first, second, third = ([tuple(x) for x in r["v"]] for r in d.collect())
+    assert len(first) == 61 and first[0] == (None, "M0", "n", "t") and first[-1] == (None, None, "n119", "t") and second == []
+    assert third == [("F", None, 'a "q', "t"), ("G", None, "c", "u")]
+
+
 def test_picks(spark):
     d = spark.createDataFrame([('"x"',), ('{"pp":"y","shown":"z"}',), ('{"q":1}',), ('{"a":["m","n"],"b":["n","o"]}',)], "t string")
     rows = d.select(J.rendered(F.col("t")).alias("r"), J.names_under(F.col("t"), "a", "b").alias("n")).collect()
