@@ -199,8 +199,8 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     fine = F.col("vec").isNotNull() & (F.size("vec") > 0) & ~F.exists("vec", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("vec", lambda x: x != 0)
     v = v.withColumn("fine", F.coalesce(fine, F.lit(False)))
     keyed = v.withColumn("k1", F.when(F.col("fine"), F.xxhash64("vec"))).withColumn("k2", F.when(F.col("fine"), F.hash("vec")))
-    reps = keyed.where("fine").groupBy("k1", "k2").agg(F.min("id").alias("id"), F.count("*").alias("m"), F.first("vec").alias("vec")).where(F.col("id").isNotNull())
-    reps = stash(reps, "vectors")
+    reps = keyed.where("fine").groupBy("k1", "k2").agg(F.min("id").alias("id"), F.count("*").alias("m"), F.first("vec").alias("vec")).withColumnRenamed("id", "own")
+    reps, nameless = _numbered(reps)
     links = [
         _links(reps.where(F.size("vec") == r["size"]), r["size"], r["n"], threshold, trees, leaf, spill, sample, block, seed)
         for r in reps.groupBy(F.size("vec").alias("size")).agg(F.count("*").alias("n")).orderBy("size").collect()
@@ -213,15 +213,32 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
         counts = found.groupBy(F.col("id").alias("i")).agg(F.sum("links").alias("links"))
         comps = components(found.select(F.col("id").alias("a"), F.col("root").alias("b"))).select(F.col("node").alias("c"), "component")
         reps = reps.join(counts, F.col("id") == F.col("i"), "left").join(comps, F.col("id") == F.col("c"), "left")
-        reps = reps.select("k1", "k2", (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("n"), F.coalesce("component", "id").alias("root"))
+        reps = reps.select("k1", "k2", "own", (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("n"), F.coalesce("component", "id").alias("root"))
     else:
-        reps = reps.select("k1", "k2", (F.col("m") - 1).alias("n"), F.col("id").alias("root"))
+        reps = reps.select("k1", "k2", "own", (F.col("m") - 1).alias("n"), F.col("id").alias("root"))
+    if nameless:  # a component is named by its smallest id that a row has, none where no row has one
+        least = reps.groupBy("root").agg(F.min("own").alias("least"))
+        reps = reps.join(least, "root").select("k1", "k2", "n", F.col("least").alias("root"))
+    reps = reps.select("k1", "k2", "n", "root")
     # the rows on the left are many, one class of equal vectors on the right each: Spark splits a hot class's rows
     out = keyed.select("id", "k1", "k2").join(reps.withColumnsRenamed({"k1": "r1", "k2": "r2"}), (F.col("k1") == F.col("r1")) & (F.col("k2") == F.col("r2")), "left")
     root = F.coalesce("root", "id")
     return out.select(F.col("id").alias(id_col), F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), root.alias("component_id"), F.coalesce(F.col("id") == root, F.lit(False)).alias("kept"))
 
 
+def _numbered(reps: DataFrame) -> tuple[DataFrame, bool]:
+    """reps, written, with id: own, or for classes of rows that all have a null id a hash that is no other's id; and whether there are such classes."""
+    for salt in range(64):
+        made = F.xxhash64("k1", "k2", F.lit(salt))
+        out = stash(reps.withColumn("id", F.coalesce("own", made)), "vectors")
+        if out.where(F.col("own").isNull()).isEmpty():
+            return out, False
+        if out.groupBy("id").agg(F.count("*").alias("c")).where(F.col("c") > F.lit(1)).join(out.where(F.col("own").isNull()).select("id"), "id", "left_semi").isEmpty():
+            return out, True
+        drop(out)
+    raise RuntimeError("no free numbers for vectors without an id")
+
+
 def _links(reps: DataFrame, size: int, n: int, threshold: float, trees: int, leaf: int, spill: float, sample: int, block: int, seed: int) -> DataFrame:
     """(id, links, root) of the vectors of one length, a row for each leaf or block in which a vector links."""
     spark = reps.sparkSession

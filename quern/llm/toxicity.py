@@ -52,7 +52,8 @@ def features(words) -> set[str]:
     return words | {w[:4] + "*" for w in words if len(w) > 4} | {w[:5] + "*" for w in words if len(w) > 5}
 
 
-KIN = {t: [x for x in group if x != t] for group in IDENTITY for t in group}
+#: All that a term may be swapped for: a term of two languages has the others of both its groups.
+KIN = {t: [x for group in IDENTITY if t in group for x in group if x != t] for every in IDENTITY for t in every}
 
 
 def swapped(sentence: list[str]) -> list[tuple[set[str], set[str]]]:

@@ -63,6 +63,16 @@ def test_near_copies_of_odd_rows(spark):
     assert {x[1] for x in got if x[0] is None} == {"same text here", None}
 
 
+def test_near_copies_of_repeated_ids(spark):
+    """Unlike texts of one id all stay, copies among them go, whatever the order of the rows."""
+    w, z = (" ".join(f"{c}{k}" for k in range(30)) for c in "wz")
+    rows = [(5, z, "a"), (5, w, "b"), (5, w, "a"), (6, z, "c"), (6, z + " end", "c"), (4, "v " + w, "d"), (7, None, "e"), (7, None, "e"), (7, "", "e"), (8, "v", "f")]
+    kept = [(4, "v " + w, "d"), (5, z, "a"), (7, "", "e"), (7, None, "e"), (7, None, "e"), (8, "v", "f")]
+    for order in (rows, rows[::-1], rows[5:] + rows[:5]):
+        got = corpus_pipeline.near_copies(spark, spark.createDataFrame(order, "doc_id long, text string, source string").repartition(3), "").collect()
+        assert sorted(map(tuple, got), key=repr) == sorted(kept, key=repr)
+
+
 def test_stages_of_odd_and_empty_tables(spark, tmp_path):
     labels = [(900, 0, 0), (None, 1, 1)]
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")

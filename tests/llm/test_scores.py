@@ -304,3 +304,15 @@ def test_quality_threshold_with_an_odd_trusted_text(spark):
     labels = spark.createDataFrame([(i, 1) for i in range(201)] + [(i, 0) for i in range(201, 211)], "doc_id long, quality int")
     got = {x["doc_id"]: x["kept"] for x in quality.quality_filter(docs, labels).collect()}
     assert not any(got[i] for i in range(201, 211)) and sum(got[i] for i in range(200)) >= 195
+
+
+def test_near_vectors_of_rows_without_an_id(spark):
+    """Their vectors link as any other, whether or not a row with an id has the same one; they name no component."""
+    rows = [(None, [1.0, 0.01]), (1, [1.0, 0.0]), (None, [0.0, 1.0]), (None, [0.01, 1.0]), (None, [0.0, 1.0]), (9, [-1.0, 0.0]), (None, [-1.0, 0.0])]
+    got = forest.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted(((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in got), key=repr) == sorted(
+        [(None, 1, 1, False), (1, 1, 1, True), (None, 2, None, False), (None, 2, None, False), (None, 2, None, False), (9, 1, 9, True), (None, 1, 9, False)], key=repr)
+
+
+def test_a_term_of_two_languages_has_the_kin_of_both():
+    assert set(toxicity.KIN["hindus"]) == {"muslims", "christians", "jews", "buddhists", "sikhs", "atheists", "muslime", "christen", "juden", "buddhisten", "atheisten"}
