@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm.byte_bpe import encode_decode, ids_digest
-from quern.llm.common import stash
+from quern.llm.common import WORD, stash
 from quern.llm.mixing import mix
 from quern.llm.ngram_join import jaccard_components
 from quern.llm.repeats import remove_repeats
@@ -26,20 +26,31 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return scored.where(F.col("__score") < 0.5).select(docs.columns)
 
 
+def _one_of_each(rows: DataFrame, *by: str) -> DataFrame:
+    """One row of each group: the first by its JSON text. A partial aggregate, so no group lies in one place."""
+    row = F.struct(*[F.col(c) for c in rows.columns])
+    return rows.groupBy(*by).agg(F.min_by(row, F.to_json(row)).alias("__row")).select("__row.*")
+
+
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents that share 80 percent of their 5-word shingles one stays.
+    """Of each group of documents that share 80 percent of their 5-word shingles one stays, that of the smallest id.
 
-    It is that of the smallest id; of rows that repeat this id one. Null and empty texts are in no group; rows without an id are
-    held against one another by their texts alone, and one of each stays. An empty table stays empty.
+    Rows are judged by their texts: where ids repeat, each text of an id is a document of its own, after its id by the text's digest, so
+    unlike texts all stay; of rows that repeat id and text one stays, the first by its JSON text. Null and empty texts are in no
+    group. Rows without an id are held against one another by their whole texts alone, and one of each stays. An empty
+    table stays empty.
     """
-    found = jaccard_components(docs, percent=80, size=5).where(F.col(DOC_ID).isNotNull())
-    ids = found.groupBy(DOC_ID).agg(F.min("component_id").alias("__first"), F.count("*").alias("__rows"), F.max("n_shingles").alias("__n"))
-    judged = stash(ids.where((F.col("__first") != F.col(DOC_ID)) | (F.col("__rows") > 1)), "judged")
-    repeated = judged.where((F.col("__first") == F.col(DOC_ID)) & (F.col("__n") > 0))
-    out = docs.where(F.col(DOC_ID).isNotNull()).join(judged.where((F.col("__first") != F.col(DOC_ID)) | (F.col("__n") > 0)), DOC_ID, "left_anti")
-    if not repeated.isEmpty():
-        out = out.unionByName(docs.join(repeated.select(DOC_ID), DOC_ID, "left_semi").dropDuplicates([DOC_ID]))
-    return out.select(docs.columns).unionByName(docs.where(F.col(DOC_ID).isNull()).dropDuplicates([TEXT]))
+    named = docs.where(F.col(DOC_ID).isNotNull())
+    repeats = not named.groupBy(DOC_ID).agg(F.count("*").alias("__n")).where(F.col("__n") > 1).isEmpty()
+    digest = F.md5(F.coalesce(F.col(TEXT), F.lit("")))
+    nodes = named.withColumn("__node", F.struct(F.col(DOC_ID).alias("id"), digest.alias("text")) if repeats else F.col(DOC_ID))
+    found = jaccard_components(nodes, id_col="__node", percent=80, size=5)
+    gone = stash(found.where(F.col("component_id") != F.col("__node")).select("__node").distinct(), "judged")
+    out = nodes.join(gone, "__node", "left_anti").select(*docs.columns)
+    if repeats:
+        filled = F.coalesce(F.col(TEXT).rlike(WORD), F.lit(False))
+        out = _one_of_each(out.where(filled), DOC_ID, TEXT).unionByName(out.where(~filled))
+    return out.unionByName(_one_of_each(docs.where(F.col(DOC_ID).isNull()), TEXT))
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
