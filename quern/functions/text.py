@@ -109,6 +109,32 @@ def clean_premises(premises: Column, file: Column, module: Column, name: Column)
     return F.array_sort(F.array_distinct(F.array_except(F.filter(F.transform(premises, clean_premise), lambda p: p != ""), own)))
 
 
+def normal_row(file: Column, module: Column, name: Column, type_: Column, proof: Column, premises: Column) -> Column:
+    """struct(file, module, name, type, proof, premises) of a whole row, normalised: white space collapsed, an empty module is null, premises cleaned by the row's own cleaned names. A type or proof that is empty stays so."""
+    file, name = (collapse_space(F.coalesce(c, F.lit(""))) for c in (file, name))
+    module = F.nullif(collapse_space(module), F.lit(""))
+    cleaned = clean_premises(F.coalesce(premises, F.array().cast("array<string>")), file, module, name)
+    return F.struct(file.alias("file"), module.alias("module"), name.alias("name"), collapse_space(type_).alias("type"), collapse_space(proof).alias("proof"), cleaned.alias("premises"))
+
+
+def noted(text: Column, start: str, end: str, title: str) -> Column:
+    """text in which the lines between a start mark (start|title@@) and the end mark are an indented note under its title; marks go.
+
+    How many marks of each kind lie above a line tells whether it is in a note: each opens or closes one, and repeated marks change nothing.
+    """
+    mark = lambda l: F.when(F.startswith(F.trim(l), F.lit(start)) & F.endswith(F.trim(l), F.lit("@@")), F.lit(1)).when(F.trim(l) == end, F.lit(0))
+    named = lambda l: F.coalesce(F.nullif(F.trim(F.regexp_replace(F.regexp_replace(F.trim(l), "@@$", ""), r"^.{%d}\\?\|?" % len(start), "")), F.lit("")), F.lit(title))
+    opened = F.struct(F.lit(0).alias("inside"), F.array().cast("array<string>").alias("out"))
+
+    def step(s, line):
+        return F.struct(
+            F.coalesce(mark(line), s["inside"]).alias("inside"),
+            F.concat(s["out"], F.when(mark(line) == 1, F.array(F.lit(""), F.concat(F.lit('??? note "'), named(line), F.lit('"')))).when((mark(line) == 0) & (s["inside"] == 1), F.array().cast("array<string>")).otherwise(F.array(F.concat(F.repeat(F.lit("    "), s["inside"]), line)))).alias("out"),
+        )
+
+    return F.concat(F.array_join(F.aggregate(F.split(F.regexp_replace(text, r"\r?\n\z", ""), r"\r?\n"), opened, step, lambda s: s["out"]), "\n"), F.lit("\n"))
+
+
 def declaration_kind(name: Column, type_: Column, module: Column) -> Column:
     """The kind that a name and module suggest; the first rule that holds decides."""
     low, mod = F.lower(name), F.lower(F.coalesce(module, F.lit("")))

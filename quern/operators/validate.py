@@ -93,3 +93,11 @@ def validate_report(df: DataFrame, raw: str, line_no: str, by: str, most: int =
     read = (F.trim(raw) != "") & ((F.coalesce(F.size("errors"), F.lit(0)) < most) | (F.col(line_no) <= F.col("__last")))
     out = d.groupBy(by).agg(F.count_if(read).alias("rows"), F.first("errors", True).alias("errors"))
     return out.select(by, F.col("errors").isNull().alias("ok"), "rows", F.coalesce("errors", F.array().cast("array<string>")).alias("errors"))
+
+
+def in_manifest_order(results: DataFrame, module: str = "module") -> DataFrame:
+    """A manifest's results, or its modules, by module in code point order; each with its place from 1. Rows of one module, which a whole manifest doesn't have, go by their JSON text."""
+    from quern.operators.ordinals import numbered
+
+    rest = F.to_json(F.struct(*results.columns))
+    return numbered(results.withColumn("__text", rest), module, "__text").withColumn("place", F.col("row") + 1).drop("row", "__text")

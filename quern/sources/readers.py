@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quern.functions.text import module_of_path
+from quern.operators.ordinals import numbered_in_splits
+from quern.sources.shared import hadoop_path
 
 
 def raw_lines(spark: SparkSession, *paths: str) -> DataFrame:
@@ -19,10 +21,24 @@ def lines_from(spark: SparkSession, stream) -> DataFrame:
     return spark.createDataFrame([(line.rstrip("\n"),) for line in stream], "raw string")
 
 
+#: Splits of files whose counts may go to every task: some 100 bytes each.
+MOST_SPLITS = 200_000
+
+
+def split_lines(lines: DataFrame) -> DataFrame:
+    """(path, block, raw) of a text read, batch or stream: each line's file, and where its split begins."""
+    return lines.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.col("value").alias("raw"))
+
+
 def numbered_lines(spark: SparkSession, *paths: str) -> DataFrame:
-    """(path, line_no, raw), lines from 1: each file is read whole by a task, as numbers within a file need what comes before."""
-    files = spark.read.text(list(paths), wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.split(F.regexp_replace("value", "\n\\z", ""), "\n", -1).alias("rows"))
-    return files.select("path", F.posexplode("rows").alias("at", "raw")).select("path", (F.col("at") + 1).alias("line_no"), "raw")
+    """(path, line_no, raw), lines from 1 in each file.
+
+    Files are read in splits, by many tasks each: the lines of a split are counted, and the counts before it give its first
+    number. The text is read twice, once to count; its splits are planned once for both. Compressed files are one split.
+    """
+    lines = split_lines(spark.read.text(list(paths)))
+    small = len(lines.inputFiles()) + lines.rdd.getNumPartitions() <= MOST_SPLITS  # no more splits than that, known without a job
+    return numbered_in_splits(lines, small=small).select("path", "line_no", "raw")
 
 
 def jsonl_strict(spark: SparkSession, schema: T.StructType, *paths: str) -> DataFrame:
@@ -36,30 +52,78 @@ def jsonl_strict(spark: SparkSession, schema: T.StructType, *paths: str) -> Data
     return d.select(checked.alias("r")).select(*[F.col(f"r.{f.name}") for f in schema])
 
 
+def corpus_rows(spark: SparkSession, schema: T.StructType, *paths: str) -> DataFrame:
+    """Typed rows of a corpus: a bad line is an error that names its path:line, and so is a corpus without rows."""
+    rows = jsonl_strict(spark, schema, *paths)
+    if rows.isEmpty():
+        raise ValueError(f"no rows in {', '.join(paths)}")
+    return rows
+
+
+def judged(lines: DataFrame, schema: T.StructType, key: str) -> DataFrame:
+    """(path, line_no, r, bad) of numbered lines that aren't blank: r as the schema says, bad where a line is no row or lacks its key."""
+    wide = T.StructType([*schema.fields, T.StructField("_bad", T.StringType())])
+    d = lines.where(F.trim("raw") != "").withColumn("r", F.from_json("raw", wide, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}))
+    bad = F.col("r").isNull() | F.col("r._bad").isNotNull() | F.col(f"r.{key}").isNull()
+    return d.select("path", "line_no", "r", bad.alias("bad"))
+
+
 def corpus_index(spark: SparkSession, schema: T.StructType, key: str, *paths: str, samples: int = 3) -> tuple[DataFrame, DataFrame]:
     """(the last row of each key, one row: bad lines and the first of them as path:line)."""
     from quern.operators.curate import keep_last
 
-    wide = T.StructType([*schema.fields, T.StructField("_bad", T.StringType())])
-    d = numbered_lines(spark, *paths).where(F.trim("raw") != "")
-    d = d.withColumn("r", F.from_json("raw", wide, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}))
-    bad = F.col("r").isNull() | F.col("r._bad").isNotNull() | F.col(f"r.{key}").isNull()
-    rows = d.where(~bad).select(*[F.col(f"r.{f.name}") for f in schema], "path", "line_no")
-    first = d.where(bad).orderBy("path", "line_no").limit(samples)
+    d = judged(numbered_lines(spark, *paths), schema, key)
+    rows = d.where(~F.col("bad")).select(*[F.col(f"r.{f.name}") for f in schema], "path", "line_no")
+    first = d.where("bad").orderBy("path", "line_no").limit(samples)
     said = first.agg(F.array_sort(F.collect_list(F.struct("path", "line_no"))).alias("l")).select(F.transform("l", lambda x: F.concat(x["path"], F.lit(":"), x["line_no"].cast("string"))).alias("samples"))
-    report = d.where(bad).agg(F.count("*").alias("bad_lines")).crossJoin(said)  # one row each
+    report = d.where("bad").agg(F.count("*").alias("bad_lines")).crossJoin(said)  # one row each
     return keep_last(rows, [key], ["path", "line_no"]).select(*[f.name for f in schema]), report
 
 
+def files_under(spark: SparkSession, path: str) -> list[str]:
+    """The files that a read of this path takes."""
+    return sorted(spark.read.text(path).inputFiles())
+
+
+def first_line(spark: SparkSession, path: str, step: int = 1 << 16) -> str:
+    """The first line of a file that isn't blank, from its first bytes; unpacked if need be. Longer ones are read to their end."""
+    fs, p = hadoop_path(spark, path)
+    codec = spark.sparkContext._jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(spark.sparkContext._jsc.hadoopConfiguration()).getCodec(p)
+    stream = fs.open(p) if codec is None else codec.createInputStream(fs.open(p))
+    try:
+        read = b""
+        while True:
+            more = bytes(stream.readNBytes(step))
+            read = (read + more).lstrip(b" \t\r\n\xef\xbb\xbf")
+            if b"\n" in read or len(more) < step:
+                return read.split(b"\n", 1)[0].decode("utf-8", "replace")
+    finally:
+        stream.close()
+
+
 def any_json(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
-    """Rows of one JSON document, an array or an object, or of JSON lines: a text whose every line is an object is lines, any other one document."""
-    whole = spark.read.text(path, wholetext=True).select(F.col("value").alias("raw"))
-    text = schema if isinstance(schema, str) else schema.simpleString()
-    row = text if text.startswith("struct<") else f"struct<{text}>"
-    lines = F.filter(F.split("raw", "\n"), lambda x: F.trim(x) != "")
-    by_line = F.forall(lines, lambda x: F.json_object_keys(x).isNotNull())
-    listed = F.when(by_line, F.transform(lines, lambda x: F.from_json(x, row))).when(F.startswith(F.ltrim("raw"), F.lit("[")), F.from_json("raw", f"array<{row}>")).otherwise(F.array(F.from_json("raw", row)))
-    return whole.select(F.explode(listed).alias("r")).select("r.*")
+    """Rows of files that are each one JSON document, an array or an object, or JSON lines.
+
+    A file's first line decides: a whole object by itself begins JSON lines (or is a document of one line, which is the same), anything else
+    a document. Lines are read in splits, by many tasks; a document is one value, as its parts can't be told without the whole.
+    """
+    order_mark = F.lit("\ufeff")
+    files = files_under(spark, path)
+    first = spark.createDataFrame([(f, first_line(spark, f)) for f in files], "path string, line string")
+    lined = {r["path"] for r in first.where(F.json_object_keys("line").isNotNull()).collect()}
+    documents = [f for f in files if f not in lined]
+    row = schema if isinstance(schema, T.StructType) else T._parse_datatype_string(schema)
+    text = row.simpleString()
+    parts = []
+    if lined:
+        lines = spark.read.text(sorted(lined)).where(F.trim("value") != "")
+        parts.append(lines.select(F.from_json(F.ltrim("value", order_mark), row).alias("r")))
+    if documents or not parts:
+        whole = spark.read.text(documents or path, wholetext=True).select(F.ltrim("value", order_mark).alias("raw"))
+        listed = F.when(F.startswith(F.ltrim("raw"), F.lit("[")), F.from_json("raw", f"array<{text}>")).otherwise(F.array(F.from_json("raw", text)))
+        parts.append(whole.select(F.explode(listed).alias("r")))
+    out = parts[0] if len(parts) == 1 else parts[0].unionAll(parts[1])
+    return out.select("r.*")
 
 
 def inferred(spark: SparkSession, path: str) -> DataFrame:
@@ -130,6 +194,17 @@ def source_modules(spark: SparkSession, root: str, exclude: tuple[str, ...] = ()
     return files.select(module_of_path(inner, root).alias("module"), inner.alias("path")).where(~F.col("module").isin(*exclude) if exclude else F.lit(True))
 
 
+def is_source_path(path):
+    """Whether a path column names a source file: it ends in .agda, or its last part holds .lagda."""
+    return F.endswith(path, F.lit(".agda")) | F.contains(F.substring_index(path, "/", -1), F.lit(".lagda"))
+
+
+def sources_among(paths: DataFrame, folder: str, path: str = "path") -> DataFrame:
+    """The source files under a folder (a relative one; "" is all) among rows of paths, in order."""
+    prefix = F.lit(folder.rstrip("/") + "/" if folder else "")
+    return paths.where(F.startswith(path, prefix) & is_source_path(F.col(path))).orderBy(path)
+
+
 def library(lines: DataFrame) -> DataFrame:
     """One row of a library descriptor: its name (default library) and include folders (default .)."""
     name, include = F.regexp_extract("raw", r"^name:\s*(\S+)", 1), F.regexp_extract("raw", r"^\s*include:\s*(.+?)\s*$", 1)

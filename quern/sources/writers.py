@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-import gzip
 import hashlib
 import uuid
+from itertools import pairwise
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quern.operators.ordinals import numbered
+from quern.sources.shared import forget, hadoop_path, written
+
 
 def write_split(train: DataFrame, test: DataFrame, folder: str) -> None:
     train.write.mode("overwrite").parquet(f"{folder}/train")
@@ -31,14 +34,28 @@ def write_ordered(df: DataFrame, path: str, *order: str) -> None:
     ordered.select(json_line(df).alias("value")).write.mode("overwrite").text(path)
 
 
+#: Lines of a block that is digested as one value.
+BLOCK = 4096
+
+
 def digest(df: DataFrame, *order: str) -> dict:
-    """Rows, bytes and SHA-256 of the ordered JSON lines. The hash needs all bytes in order, so they stream through the driver a partition at a time."""
-    sha, rows, size = hashlib.sha256(), 0, 0
-    for r in df.orderBy(*order).select(json_line(df).alias("v")).toLocalIterator():
-        line = r["v"].encode() + b"\n"
-        sha.update(line)
-        rows, size = rows + 1, size + len(line)
-    return {"rows": rows, "bytes": size, "sha256": sha.hexdigest()}
+    """Rows, bytes and SHA-256 of the JSON lines in order (equal ones by their text).
+
+    A tree of digests: of each line, of the digests of every BLOCK lines, and of those again until one is left. Blocks are cut by
+    row number, so it doesn't depend on partitions, and no task or driver sees more than a block.
+    """
+    lines = numbered(df.select(*order, json_line(df).alias("__line")), *order, "__line").select("row", F.sha2(F.concat("__line", F.lit("\n")), 256).alias("sha"), (F.octet_length("__line") + 1).alias("bytes"))
+    level = written(lines, "digests")
+    rows, size = level.agg(F.count("*"), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+    n = rows
+    while n > 1:
+        listed = F.transform(F.array_sort(F.collect_list(F.struct("row", "sha"))), lambda x: x["sha"])
+        above = written(level.groupBy(F.floor(F.col("row") / BLOCK).alias("up")).agg(F.sha2(F.array_join(listed, ""), 256).alias("sha")).select(F.col("up").alias("row"), "sha"), "digests")
+        forget(level)
+        level, n = above, -(-n // BLOCK)
+    top = level.first()
+    forget(level)
+    return {"rows": rows, "bytes": size, "sha256": top["sha"] if top else hashlib.sha256(b"").hexdigest()}
 
 
 def fingerprint(df: DataFrame) -> DataFrame:
@@ -46,9 +63,37 @@ def fingerprint(df: DataFrame) -> DataFrame:
     return df.agg(F.count("*").alias("rows"), F.coalesce(F.bit_xor(F.xxhash64(*df.columns)), F.lit(0)).alias("checksum"))
 
 
-def gzip_bytes(data: bytes) -> bytes:
-    """The same bytes for the same data: no name, no time."""
-    return gzip.compress(data, mtime=0)
+def write_gzip(df: DataFrame, folder: str, *order: str, rows: int = 1_000_000) -> None:
+    """JSON lines in order as gzip members, a file of so many rows each, whose concatenation by name is a gzip file of all lines.
+
+    Members are cut by row number and their headers hold neither time nor name, so the bytes are the same on every run and for
+    any number of partitions; equal keys go by their line's text. Each member is written by one task as it reads it.
+    """
+    lines = numbered(df.select(*order, json_line(df).alias("__line")), *order, "__line")
+    member = F.lpad(F.floor(F.col("row") / rows).cast("string"), 9, "0").alias("member")
+    dealt = lines.select(member, "row", "__line").repartition("member").sortWithinPartitions("member", "row")
+    dealt.select("member", F.col("__line").alias("value")).write.mode("overwrite").partitionBy("member").option("compression", "gzip").text(folder)
+
+
+def gzip_members(spark, folder: str) -> list[str]:
+    """The members of write_gzip in order."""
+    return sorted(f for f in spark.read.text(folder).inputFiles() if f.endswith(".gz"))
+
+
+def join_gzip(spark, folder: str, target: str) -> int:
+    """One gzip file of the members in order, and its bytes: copied from file to file in small pieces, nothing is unpacked."""
+    copy = spark.sparkContext._jvm.org.apache.hadoop.io.IOUtils.copyBytes
+    fs, path = hadoop_path(spark, target)
+    out = fs.create(path, True)
+    try:
+        for f in gzip_members(spark, folder):
+            source, p = hadoop_path(spark, f)
+            stream = source.open(p)
+            copy(stream, out, 1 << 16, False)
+            stream.close()
+    finally:
+        out.close()
+    return fs.getFileStatus(path).getLen()
 
 
 def document(df: DataFrame) -> str:
@@ -85,20 +130,45 @@ def write_records(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
-def write_atomic(df: DataFrame, path: str, form: str = "parquet") -> None:
-    """Writes beside the path and then renames, so readers see the old table or the new one, never a part; works on any file system whose rename is atomic."""
+def write_atomic(df: DataFrame, path: str, form: str = "parquet", keep_hours: float = 24.0) -> str:
+    """A new version of a table that readers (read_atomic) see whole or not at all; the name of the version.
+
+    The version is written to a folder of its own, where nothing moves it any more; then an empty file whose name is a number one higher and
+    the version's makes it the current one. Creating a file is atomic on every file system, object stores too. A writer
+    that dies leaves a folder that nobody reads. Of two at once both succeed, and the later name holds. Versions that were replaced
+    more than keep_hours ago are deleted, so a reader has that long.
+    """
     spark = df.sparkSession
-    beside = f"{path.rstrip('/')}.{uuid.uuid4().hex}"
-    df.write.format(form).save(f"{beside}.new")
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    target, new, old = hadoop(path), hadoop(f"{beside}.new"), hadoop(f"{beside}.old")
-    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if fs.exists(target):
-        fs.rename(target, old)
-    if not fs.rename(new, target):
-        fs.rename(old, target)
-        raise OSError(f"{path} couldn't be replaced")
-    fs.delete(old, True)
+    name = uuid.uuid4().hex
+    df.write.format(form).save(f"{path}/versions/{name}")
+    marks = _marks(spark, path)
+    number = 1 + max((n for n, _, _ in marks), default=0)
+    fs, mark = hadoop_path(spark, f"{path}/current/{number:012d}.{name}")
+    if not fs.createNewFile(mark):
+        raise OSError(f"{mark} couldn't be made")
+    now = fs.getFileStatus(mark).getModificationTime()
+    for (n, old, _), (_, _, replaced) in pairwise([*marks, (number, name, now)]):
+        if now - replaced > keep_hours * 3_600_000:
+            for gone in (f"{path}/current/{n:012d}.{old}", f"{path}/versions/{old}"):
+                fs.delete(hadoop_path(spark, gone)[1], True)
+    return name
+
+
+def _marks(spark, path: str) -> list[tuple[int, str, int]]:
+    """(number, version, when) of each version that became current, in order."""
+    fs, folder = hadoop_path(spark, f"{path}/current")
+    if not fs.exists(folder):
+        return []
+    found = [(s.getPath().getName(), s.getModificationTime()) for s in fs.listStatus(folder)]
+    return sorted((int(n.split(".")[0]), n.split(".")[1], t) for n, t in found if n[0].isdigit())
+
+
+def read_atomic(spark, path: str, form: str = "parquet") -> DataFrame:
+    """The current version of a table that write_atomic wrote."""
+    marks = _marks(spark, path)
+    if not marks:
+        raise FileNotFoundError(f"{path} has no version")
+    return spark.read.format(form).load(f"{path}/versions/{marks[-1][1]}")
 
 
 def concatenate(lines: DataFrame, modules: list[str], path: str, module: str = "module", order: str = "line_no", raw: str = "raw") -> DataFrame:
@@ -133,18 +203,3 @@ def text_report(title: str, *parts: tuple[str, DataFrame], most: int = 20) -> st
         if len(shown) > most:
             out.append(f"  {df.count() - most} more rows")
     return "\n".join(out) + "\n"
-
-
-def admonitions(text: str, start: str, end: str, title: str) -> str:
-    """Lines between a start mark, start|title@@, and the end mark as an indented note under its title."""
-    out, inside = [], False
-    for line in text.splitlines():
-        bare = line.strip()
-        if bare.startswith(start) and bare.endswith("@@"):
-            out.append(f'\n??? note "{bare[len(start) : -2].lstrip(chr(92)).lstrip("|").strip() or title}"')
-            inside = True
-        elif inside and bare == end:
-            inside = False
-        else:
-            out.append(f"    {line}" if inside else line)
-    return "\n".join(out) + "\n"

@@ -140,7 +140,6 @@ def test_sinks(spark, tmp_path):
     assert sorted(r["value"] for r in spark.read.text(str(tmp_path / "o")).collect()) == ['{"a":1,"b":"x"}', '{"a":2,"b":null}']
     assert writers.digest(d, "a") == writers.digest(d.repartition(3), "a") and writers.digest(d, "a")["rows"] == 2
     assert writers.fingerprint(d).first() == writers.fingerprint(d.repartition(3)).first()
-    assert writers.gzip_bytes(b"x") == writers.gzip_bytes(b"x") and gzip.decompress(writers.gzip_bytes(b"x")) == b"x"
     assert writers.markdown(d.orderBy("a")).splitlines()[2] == "| 1 | x |"
     assert writers.markdown(spark.range(30), 20).splitlines()[-1] == "10 more rows"
     writers.write_split(d, d, str(tmp_path / "s"))
@@ -154,9 +153,6 @@ def test_more_sinks(spark, tmp_path):
     assert text == "a1\na2\nb1\n" and tuple(r) == (3, len(text))
     with pytest.raises(FileNotFoundError, match="Z"):
         writers.concatenate(d, ["A", "Z"], str(tmp_path / "cat2"))
-    for k in (1, 2):
-        writers.write_atomic(spark.range(k), str(tmp_path / "at"))
-    assert spark.read.parquet(str(tmp_path / "at")).count() == 2 and [p.name for p in tmp_path.glob("at*")] == ["at"]
     writers.write_model(str(tmp_path / "model"), a=spark.range(2), b=spark.range(3))
     assert {k: v.count() for k, v in writers.read_model(spark, str(tmp_path / "model"), "a", "b").items()} == {"a": 2, "b": 3}
     writers.write_records(spark.createDataFrame([(1, None, "é")], "a int, b string, c string"), str(tmp_path / "rec"))
@@ -167,7 +163,6 @@ def test_more_sinks(spark, tmp_path):
     assert writers.document(writers.normal_report(report)) == '{"a":3,"results":[{"m":{"a":1},"name":"x"}]}'
     said = writers.text_report("Title", ("Rows", spark.range(3).toDF("n")), most=2)
     assert said == "Title\n=====\n\nRows\n  n\n  0\n  1\n  1 more rows\n"
-    assert writers.admonitions("a\n@@NOTE_START|T @@\nb\n@@NOTE_END@@\nc", "@@NOTE_START", "@@NOTE_END@@", "Note") == 'a\n\n??? note "T"\n    b\nc\n'
 
 
 def test_strong_components(spark):
