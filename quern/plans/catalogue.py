@@ -15,6 +15,7 @@ from quern.operators import blocks as B
 from quern.operators import curate, evaluate, graph, retrieval, search, stats, validate, views
 from quern.plans import adapters as T
 from quern.plans.adapters import CORPUS, DEFS, GRAPH, LEDGER, PREMISES, TURNS, TYPED
+from quern.sources.shared import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -271,7 +272,7 @@ nrm AS (SELECT doc, sqrt(sum(w * w)) AS norm FROM raw GROUP BY doc), vec AS (SEL
 
 def _terms(spark, sf):
     """Term counts of all documents, written down: vocabulary, weights and lengths all read them."""
-    return graph.cut(retrieval.term_counts(T.table(spark, sf, "documents"), "doc_id", X.retrieval_tokens(F.col("text"))))
+    return written(retrieval.term_counts(T.table(spark, sf, "documents"), "doc_id", X.retrieval_tokens(F.col("text"))))
 
 
 def _vocab(spark, sf, terms):
