@@ -12,7 +12,7 @@ _PART = 1 << 33
 
 
 def numbered(df: DataFrame, *order, name: str = "row") -> DataFrame:
-    """df with row, from 0 in the given order: sorted by range and written, then the counts of the partitions before are added to each row's place in its own. The counts, one for each partition, are all that meets in one place. The written table stays until the session's folder is cleared."""
+    """df with row, from 0 in the given order: sorted by range and written, then the counts of the partitions before are added to each row's place in its own. The counts, one for each partition, are all that meets in one place. The result reads a written table: forget it when it is done with."""
     ordered = written(df.orderBy(*order).withColumn("__at", F.monotonically_increasing_id()), "ordered")
     part = F.shiftright("__at", 33)
     counts = ordered.groupBy(part.alias("p")).agg(F.count("*").alias("n")).orderBy("p").collect()
@@ -21,9 +21,13 @@ def numbered(df: DataFrame, *order, name: str = "row") -> DataFrame:
         starts[r["p"]] = before
         before += r["n"]
     if not starts:
-        return ordered.withColumn(name, F.lit(0).cast("long")).drop("__at")
+        out = ordered.withColumn(name, F.lit(0).cast("long")).drop("__at")
+        out.written_at = ordered.written_at
+        return out
     first = ordered.sparkSession.createDataFrame(list(starts.items()), "__p long, __first long")
-    return ordered.withColumn("__p", part.cast("long")).join(F.broadcast(first), "__p").withColumn(name, F.col("__at") - F.col("__p") * _PART + F.col("__first")).drop("__at", "__p", "__first")
+    out = ordered.withColumn("__p", part.cast("long")).join(F.broadcast(first), "__p").withColumn(name, F.col("__at") - F.col("__p") * _PART + F.col("__first")).drop("__at", "__p", "__first")
+    out.written_at = ordered.written_at
+    return out
 
 
 def numbered_in_splits(lines: DataFrame, path: str = "path", block: str = "block", small: bool = False) -> DataFrame:

@@ -6,10 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-#: Of what a query's tokens can add up to, what those add that look for its candidates.
-SHARE = 0.85
-
-
 def term_counts(docs: DataFrame, doc: str, tokens: Column) -> DataFrame:
     """(doc, token, tf)."""
     return docs.select(F.col(doc).alias("doc"), F.explode(tokens).alias("token")).groupBy("doc", "token").agg(F.count("*").alias("tf"))
@@ -28,40 +24,17 @@ def tfidf(terms: DataFrame, vocab: DataFrame) -> DataFrame:
     return raw.withColumn("norm", norm).where(F.col("norm") > 0).select("doc", "token", (F.col("w") / F.col("norm")).alias("weight"))
 
 
-def postings(vectors: DataFrame) -> DataFrame:
-    """(token, n_docs, postings array<struct<doc, weight>>): the documents of each token in order. A frequent token's list is as long as it is frequent; joins read the long table instead."""
-    listed = F.array_sort(F.collect_list(F.struct("doc", "weight")))
-    return vectors.groupBy("token").agg(F.count("*").alias("n_docs"), listed.alias("postings"))
-
-
-def top_matches(queries: DataFrame, docs: DataFrame, k: int, a: str = "weight", b: str = "weight") -> DataFrame:
-    """(query, doc, score, place): the k best by the sparse product of (doc, token, weight) tables, joined on tokens, ties by document.
-
-    Weights are positive. Tokens are first taken in order of what they can add to a query at most (its weight times the
-    token's greatest in any document). The k-th best score from a query's best tokens alone, those that make SHARE of all it
-    can get, is a bound: a document that holds none of them scores at most the rest. Only where the rest could reach
-    the bound, all tokens look for candidates; else the other tokens only complete the scores of those found.
-    """
+def all_matches(queries: DataFrame, docs: DataFrame, k: int, a: str = "weight", b: str = "weight") -> DataFrame:
+    """(query, doc, score, place): the k best by the sparse product of (doc, token, weight) tables, joined on tokens, ties by document. For short documents, whose weights are much alike: no bound would leave anything out."""
     q = queries.select(F.col("doc").alias("query"), "token", F.col(a).alias("wq"))
     d = docs.select("doc", "token", F.col(b).alias("wd"))
-    most = d.groupBy("token").agg(F.max("wd").alias("most"))
-    up = Window.partitionBy("query").orderBy((F.col("wq") * F.col("most")).desc(), "token")
-    q = q.join(most, "token").withColumn("can", F.col("wq") * F.col("most"))
-    q = q.withColumn("before", F.sum("can").over(up) - F.col("can")).withColumn("all", F.sum("can").over(Window.partitionBy("query")))
-    q = q.withColumn("best", F.col("before") < F.col("all") * SHARE)
-    rest = q.groupBy("query").agg(F.coalesce(F.sum(F.when(~F.col("best"), F.col("can"))), F.lit(0.0)).alias("rest"))
-    scores = lambda which: which.join(d, "token").groupBy("query", "doc").agg(F.sum(F.col("wq") * F.col("wd")).alias("score"))
-    by_score = Window.partitionBy("query").orderBy(F.round("score", 9).desc(), "doc")
-    first = scores(q.where("best"))
-    kth = first.withColumn("n", F.row_number().over(by_score)).where(F.col("n") == k).select("query", F.col("score").alias("kth"))
-    bound = rest.join(kth, "query", "left").withColumn("whole", F.coalesce(F.col("rest") * (1 + 1e-9) + 1e-8 >= F.col("kth"), F.lit(True))).select("query", "whole", "rest", F.coalesce("kth", F.lit(0.0)).alias("kth"))
-    whole = scores(q.join(bound.where("whole").select("query"), "query", "left_semi"))
-    # a candidate needs what the k-th has, less what the other tokens can add
-    near = first.join(bound.where(~F.col("whole")), "query").where(F.col("score") + F.col("rest") * (1 + 1e-9) + 1e-8 >= F.col("kth")).select("query", "doc", "score")
-    more = q.where(~F.col("best")).join(near.select("query", "doc"), "query").join(d, ["token", "doc"]).groupBy("query", "doc").agg(F.sum(F.col("wq") * F.col("wd")).alias("more"))
-    done = near.join(more, ["query", "doc"], "left").select("query", "doc", (F.col("score") + F.coalesce("more", F.lit(0.0))).alias("score"))
-    every = whole.unionAll(done).where(F.col("score") > 0)
-    return every.withColumn("place", F.row_number().over(by_score)).where(F.col("place") <= k)
+    return best_of(q.join(d, "token").groupBy("query", "doc").agg(F.sum(F.col("wq") * F.col("wd")).alias("score")), k)
+
+
+def best_of(scores: DataFrame, k: int) -> DataFrame:
+    """(query, doc, score, place): the k best of each query's positive scores, ties by document."""
+    place = F.row_number().over(Window.partitionBy("query").orderBy(F.round("score", 9).desc(), "doc"))
+    return scores.where(F.col("score") > 0).select("query", "doc", "score").withColumn("place", place).where(F.col("place") <= k)
 
 
 def ranking(rows: DataFrame, premises: str, *by: str) -> DataFrame:
@@ -85,52 +58,3 @@ def macro_scores(rows: DataFrame, gold: str, predicted: str) -> DataFrame:
               F.coalesce(F.avg((F.col("tp") > 0).cast("double")), F.lit(0.0)).alias("c"), F.count("*").alias("n"))
     f1 = F.when(F.col("p") + F.col("r") > 0, 2 * F.col("p") * F.col("r") / (F.col("p") + F.col("r"))).otherwise(0.0)
     return r.select(F.round("p", 6).alias("precision"), F.round("r", 6).alias("recall"), F.round(f1, 6).alias("f1"), F.round("c", 6).alias("coverage"), F.col("n").alias("support"))
-
-
-#: Queries that a task compares its vectors with at once.
-BLOCK = 4096
-
-
-def nearest(vectors: DataFrame, queries: DataFrame, id_col: str, vec_col: str, k: int) -> DataFrame:
-    """(query, id, cosine, place): the k nearest of all vectors for each query. Null vectors and those of length 0 or with null or non-finite parts are near nothing.
-
-    All queries meet all vectors, block against block: a task holds BLOCK of each, about, and hands on k rows for a query.
-    """
-    v = F.col(vec_col).cast("array<double>")
-    fine = v.isNotNull() & (F.size(v) > 0) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(v, lambda x: x != 0)
-    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
-    unit = lambda df: df.where(F.coalesce(fine, F.lit(False))).select(F.col(id_col).alias("id"), F.transform(v, lambda x: x / norm).alias("v"))
-    n_blocks, n_parts = (max(1, -(-df.count() // BLOCK)) for df in (queries, vectors))
-    number = lambda n, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    asked = unit(queries).withColumn("block", number(n_blocks, 1)).withColumn("part", every(n_parts))
-    dealt = unit(vectors).withColumn("part", number(n_parts, 2)).withColumn("block", every(n_blocks))
-    key = vectors.schema[id_col].dataType.simpleString()
-
-    def near(left, right):
-        import numpy as np
-        import pyarrow as pa
-
-        out, kind = {"query": [], "id": [], "cosine": []}, left.schema.field("id").type
-        if left.num_rows and right.num_rows:
-            ids, vecs, tables = np.array(left.column("id").to_pylist()), left.column("v").to_pylist(), {}
-            for query, one in zip(right.column("id").to_pylist(), right.column("v").to_pylist(), strict=True):
-                if len(one) not in tables:
-                    own = np.flatnonzero([len(x) == len(one) for x in vecs])
-                    tables[len(one)] = (ids[own], np.array([vecs[x] for x in own]).reshape(len(own), len(one)))
-                i, matrix = tables[len(one)]
-                if not len(i):
-                    continue
-                s = matrix @ np.array(one)
-                least = np.partition(np.round(s, 9), max(0, len(s) - k - 1))[max(0, len(s) - k - 1)]
-                best = np.flatnonzero(np.round(s, 9) >= least)  # with all ties
-                best = best[i[best] != query]
-                best = best[np.lexsort((i[best], -np.round(s[best], 9)))[:k]]
-                out["query"] += [query] * len(best)
-                out["id"] += i[best].tolist()
-                out["cosine"] += s[best].tolist()
-        return pa.table({"query": pa.array(out["query"], kind), "id": pa.array(out["id"], kind), "cosine": pa.array(out["cosine"], pa.float64())})
-
-    found = dealt.groupBy("part", "block").cogroup(asked.groupBy("part", "block")).applyInArrow(near, f"query {key}, id {key}, cosine double")
-    place = F.row_number().over(Window.partitionBy("query").orderBy(F.round("cosine", 9).desc(), "id"))
-    return found.withColumn("place", place).where(F.col("place") <= k).select("query", "id", F.round("cosine", 6).alias("cosine"), F.col("place").cast("long").alias("place"))

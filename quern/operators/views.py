@@ -38,16 +38,27 @@ def row_summary(df: DataFrame) -> DataFrame:
                      F.coalesce("ast_size", F.length("type")).cast("long").alias("ast_size"), F.coalesce("has_body", F.coalesce(F.length("body"), F.lit(0)) > 0).alias("has_body"))
 
 
+def theories(rows: DataFrame, by: list[str], name: str, type_: str, order: str) -> DataFrame:
+    """(*by, lines array<struct<ord, name, line>>): what each group's rows with a type say, once, in order."""
+    line = F.struct(F.col(order).alias("ord"), F.col(name).alias("name"), F.concat(name, F.lit(" : "), type_).alias("line"))
+    return rows.where(F.col(type_).isNotNull()).groupBy(*by).agg(F.array_sort(F.collect_list(line)).alias("lines"))
+
+
+def context_of(lines: Column, name: Column) -> Column:
+    """A row's context, read from its group's lines: all but those of its own name."""
+    return F.transform(F.filter(lines, lambda x: x["name"] != name), lambda x: x["line"])
+
+
 def proof_contexts(rows: DataFrame, by: list[str], name: str, type_: str, order: str) -> DataFrame:
-    """(goal, goal_type, context): for each row with a type the other names of its group with theirs, in order.
+    """(*by, goal, goal_type, context): for each row with a type the other names of its group with theirs, in order.
 
-    A self join on the group, so no group is gathered but into the context lists that are asked for.
+    A group's lines are stored once (theories) and met by each of its rows, one row of theirs for each; a context is made where it is read.
+    As long as a context is asked for whole, one group's lines are a value of a row.
     """
-    goal = rows.where(F.col(type_).isNotNull()).select(*by, F.col(name).alias("goal"), F.col(type_).alias("goal_type"), F.col(order).alias("goal_ord"))
-    other = rows.where(F.col(type_).isNotNull()).select(*[F.col(c).alias(f"__{c}") for c in by], F.col(order).alias("ord"), F.col(name).alias("name"), F.concat(name, F.lit(" : "), type_).alias("line"))
-    on = [goal[c].eqNullSafe(other[f"__{c}"]) for c in by]
-    lines = F.collect_list(F.when(F.col("name") != F.col("goal"), F.struct("ord", "line")))
-    return goal.join(other, on).groupBy(*by, "goal", "goal_type", "goal_ord").agg(F.transform(F.array_sort(lines), lambda s: s["line"]).alias("context"))
+    goal = rows.where(F.col(type_).isNotNull()).select(*[F.col(c).alias(f"__{c}") for c in by], F.col(name).alias("goal"), F.col(type_).alias("goal_type"), F.col(order).alias("goal_ord"))
+    told = theories(rows, by, name, type_, order)
+    met = goal.join(told, [goal[f"__{c}"].eqNullSafe(told[c]) for c in by])
+    return met.select(*by, "goal", "goal_type", "goal_ord", context_of(F.col("lines"), F.col("goal")).alias("context"))
 
 
 def skip_reason(raw_ok: Column, has_body: Column, body: Column, ast: Column) -> Column:

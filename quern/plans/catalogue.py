@@ -12,10 +12,10 @@ from quern.functions import ast as A
 from quern.functions import telescope as S
 from quern.functions import text as X
 from quern.operators import blocks as B
-from quern.operators import curate, evaluate, graph, retrieval, search, stats, validate, views
+from quern.operators import blockmax, curate, evaluate, graph, neighbours, retrieval, search, stats, trigrams, validate, views
 from quern.plans import adapters as T
 from quern.plans.adapters import CORPUS, DEFS, GRAPH, LEDGER, PREMISES, TURNS, TYPED
-from quern.sources.shared import written
+from quern.sources.shared import new_path, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -161,6 +161,43 @@ def search_by_type(spark, sf):
     return search.by_type(T.corpus(spark, sf), "BRAND#1", 30)
 
 
+def _trigrams(spark, sf):
+    folder = new_path(spark, "trigrams")
+    trigrams.write_trigrams(T.corpus(spark, sf), folder)
+    return trigrams.Trigrams(spark, folder)
+
+
+#: What is searched for by name and by type: of one to twenty characters, common and rare, and none that is there.
+ASKED = {"name": ("M3.N1", "n12", "9", "m7.n33.99", "zzz"), "type": ("BRAND#1", "}", "→ b", "a : promo brushed ", "nowhere at all")}
+
+
+def _asked_sql(field: str, where: str) -> str:
+    return f"WITH {CORPUS}, asked AS (SELECT unnest({list(ASKED[field])}) AS asked), r AS (SELECT asked, pretty_qname, type, row_number() OVER (PARTITION BY asked ORDER BY pretty_qname) AS place FROM corpus, asked WHERE {where}) SELECT * FROM r WHERE place <= 20"
+
+
+def _asked(spark, sf, field):
+    index, parts = _trigrams(spark, sf), []
+    for text in ASKED[field]:
+        found = index.search(field, text).select(F.lit(text).alias("asked"), "pretty_qname", "type")
+        parts.append(found.withColumn("place", F.row_number().over(Window.partitionBy("asked").orderBy("pretty_qname")).cast("long")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionAll(p)
+    return out
+
+
+@query(_asked_sql("name", "contains(lower(pretty_qname), lower(asked)) OR contains(lower(pretty_name), lower(asked))"))
+def indexed_search_by_name(spark, sf):
+    """Names that hold each of some texts, by the stored trigram index."""
+    return _asked(spark, sf, "name")
+
+
+@query(_asked_sql("type", "contains(lower(type), lower(asked))"))
+def indexed_search_by_type(spark, sf):
+    """Types that hold each of some texts, by the stored trigram index."""
+    return _asked(spark, sf, "type")
+
+
 @query(f"WITH {CORPUS} SELECT i - 1 AS ord, dependencies[i] AS token FROM (SELECT dependencies, unnest(range(1, len(dependencies) + 1)) AS i FROM corpus WHERE ord = 42)")
 def get_dependencies(spark, sf):
     d = search.dependencies(T.corpus(spark, sf), "m2.n14.42")
@@ -276,8 +313,7 @@ def _terms(spark, sf):
 
 
 def _vocab(spark, sf, terms):
-    n = T.table(spark, sf, "documents").count()
-    return retrieval.vocabulary(terms, F.lit(n))
+    return retrieval.vocabulary(terms, T.table(spark, sf, "documents").select(F.count("*")).scalar())
 
 
 @query(f"WITH {TERMS} SELECT doc, count(*) AS n_distinct, sum(tf)::BIGINT AS n_tokens FROM terms GROUP BY doc")
@@ -288,7 +324,7 @@ def tokenize_docs(spark, sf):
 
 @query(f"WITH {VOCAB} SELECT token, df, round(idf, 6) AS idf FROM vocab")
 def vocab_df_idf(spark, sf):
-    v = _vocab(spark, sf, _terms(spark, sf))
+    v = _vocab(spark, sf, retrieval.term_counts(T.table(spark, sf, "documents"), "doc_id", X.retrieval_tokens(F.col("text"))))
     return v.select("token", "df", F.round("idf", 6).alias("idf"))
 
 
@@ -302,9 +338,20 @@ def tfidf_vectors(spark, sf):
 def inverted_postings(spark, sf):
     """Every token's documents in order, with their weights in units of 0.00001."""
     t = _terms(spark, sf)
-    p = retrieval.postings(retrieval.tfidf(t, _vocab(spark, sf, t)))
+    p = blockmax.posting_blocks(retrieval.tfidf(t, _vocab(spark, sf, t)))
     entry = lambda x: F.concat(x["doc"].cast("string"), F.lit(":"), F.round(F.round(x["weight"] + F.lit(1e-9), 5) * 100000).cast("long").cast("string"))
-    return p.select("token", "n_docs", F.array_join(F.transform("postings", entry), " ").alias("postings"))
+    whole = p.groupBy("token").agg(F.sum("n").alias("n_docs"), F.array_sort(F.flatten(F.collect_list("postings"))).alias("postings"))
+    return whole.select("token", "n_docs", F.array_join(F.transform("postings", entry), " ").alias("postings"))
+
+
+@query(f"""WITH {VECTORS}, w AS (SELECT doc, token, (round(weight + 1e-9::DOUBLE, 5) * 100000)::BIGINT AS w FROM vec), r AS (SELECT *, (row_number() OVER (ORDER BY token, w DESC, doc) - 1) // 256 AS block FROM w WHERE w > 0)
+SELECT token, block, count(*) AS n, max(w) AS top, array_to_string(list(doc || ':' || w ORDER BY doc), ' ') AS postings FROM r GROUP BY token, block""")
+def posting_blocks(spark, sf):
+    """Posting lists in blocks by falling weight, in units of 0.00001: no row is longer than a block."""
+    t = _terms(spark, sf)
+    v = retrieval.tfidf(t, _vocab(spark, sf, t)).withColumn("weight", F.round(F.round(F.col("weight") + F.lit(1e-9), 5) * 100000).cast("long"))
+    entry = lambda x: F.concat(x["doc"].cast("string"), F.lit(":"), x["weight"].cast("string"))
+    return blockmax.posting_blocks(v).select("token", "block", F.col("n").cast("long").alias("n"), "top", F.array_join(F.transform("postings", entry), " ").alias("postings"))
 
 
 QTERMS = IDENT.replace("text", "b.text")
@@ -319,7 +366,9 @@ def tfidf_topk(spark, sf):
     t = _terms(spark, sf)
     v = _vocab(spark, sf, t)
     q = retrieval.term_counts(T.table(spark, sf, "benchmark"), "item_id", X.retrieval_tokens(F.col("text")))
-    m = retrieval.top_matches(retrieval.tfidf(q, v), retrieval.tfidf(t, v), 10)
+    folder = new_path(spark, "postings")
+    blockmax.write_postings(retrieval.tfidf(t, v), folder)
+    m = blockmax.top_matches(blockmax.read_postings(spark, folder), retrieval.tfidf(q, v), 10)
     return m.select("query", "doc", F.round("score", 5).alias("score"), F.col("place").cast("long").alias("place"))
 
 
@@ -330,7 +379,7 @@ SCORED = """SELECT round(avg(CASE WHEN p > 0 THEN tp / p::DOUBLE ELSE 0 END), 6)
 
 
 def _train_test(spark, sf):
-    d = curate.hash_split(T.premise_rows(spark, sf), F.col("file"), F.col("module"), F.col("name"))
+    d = written(curate.hash_split(T.premise_rows(spark, sf), F.col("file"), F.col("module"), F.col("name")), "split")
     return d.where("split = 'train'"), d.where("split = 'test'")
 
 
@@ -362,9 +411,9 @@ SELECT count(*) AS support, round(avg(hit::INT), 6) AS recall FROM h""")
 def tf_dot_retrieval_recall(spark, sf):
     """Whether the eight nearest parts by term products hold a goal's own brand."""
     p = T.table(spark, sf, "part").withColumn("text", F.concat_ws(" ", "p_name", "p_type"))
-    tf = retrieval.term_counts(p, "p_partkey", X.letter_tokens(F.col("text"))).withColumnRenamed("tf", "weight")
+    tf = written(retrieval.term_counts(p, "p_partkey", X.letter_tokens(F.col("text"))).withColumnRenamed("tf", "weight"))
     goal = F.col("doc") % 50 == 0
-    m = retrieval.top_matches(tf.where(goal), tf.where(~goal), 8)
+    m = retrieval.all_matches(tf.where(goal), tf.where(~goal), 8)
     gold = p.select(F.col("p_partkey").alias("query"), F.col("p_brand").alias("gold"))
     have = p.select(F.col("p_partkey").alias("doc"), F.col("p_brand").alias("premise"))
     hits = m.join(gold, "query").join(have, "doc").groupBy("query").agg(F.bool_or(F.col("premise") == F.col("gold")).alias("hit"))
@@ -375,7 +424,19 @@ def tf_dot_retrieval_recall(spark, sf):
 r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(cosine, 9) DESC, id) AS place FROM s) SELECT query, id, round(cosine, 6) AS cosine, place FROM r WHERE place <= 10""")
 def embedding_topk(spark, sf):
     v = T.table(spark, sf, "embeddings")
-    return retrieval.nearest(v, v.where(F.col("vec_id") % 50 == 0), "vec_id", "embedding", 10)
+    return neighbours.nearest(v, v.where(F.col("vec_id") % 50 == 0), "vec_id", "embedding", 10)
+
+
+@query()
+def embedding_lists_topk(spark, sf):
+    """The same by lists around learnt centres, as many as find nine tenths of the exact neighbours of these queries; with how many vectors a query is compared with on average."""
+    v, folder = T.table(spark, sf, "embeddings"), new_path(spark, "lists")
+    asked = v.where(F.col("vec_id") % 50 == 0)
+    neighbours.write_lists(v, "vec_id", "embedding", folder)
+    index = neighbours.read_lists(spark, folder)
+    probes, _ = neighbours.probes_for(index, v, asked, "vec_id", "embedding", 10)
+    met = neighbours.compared(index, asked, "vec_id", "embedding", probes)
+    return neighbours.nearest_by_lists(index, asked, "vec_id", "embedding", 10, probes).withColumns({"probes": F.lit(probes), "compared": F.lit(met)})
 
 
 # ---- ranks
@@ -535,6 +596,13 @@ def proof_context_rows(spark, sf):
     return views.proof_contexts(d, ["region"], "n_name", "type", "n_nationkey").select("goal", "region", F.array_join("context", ";").alias("context"))
 
 
+@query(f"""WITH {DEFS} SELECT a.name AS goal, a.module, a.type AS goal_type, coalesce(array_to_string(list(b.name || ' : ' || b.type ORDER BY b.ord) FILTER (b.name <> a.name), chr(10)), '') AS context
+FROM defs a JOIN defs b ON a.module = b.module GROUP BY a.name, a.module, a.type""")
+def proof_contexts_by_module(spark, sf):
+    """Every definition's context: what the others of its module say, from one list a module."""
+    return views.proof_contexts(T.definitions(spark, sf), ["module"], "name", "type", "ord").select("goal", "module", "goal_type", F.array_join("context", "\n").alias("context"))
+
+
 @query(f"WITH {DEFS} SELECT 'Complete the proof.' AS instruction, 'module ' || module || chr(10) || 'lemma ' || name || chr(10) || chr(10) || trim(type) AS input, coalesce(trim(body), '') AS output FROM defs")
 def instruction_triples(spark, sf):
     return views.instruction_triples(T.definitions(spark, sf), "module", "name", "type", "body")

@@ -44,8 +44,9 @@ def digest(df: DataFrame, *order: str) -> dict:
     A tree of digests: of each line, of the digests of every BLOCK lines, and of those again until one is left. Blocks are cut by
     row number, so it doesn't depend on partitions, and no task or driver sees more than a block.
     """
-    lines = numbered(df.select(*order, json_line(df).alias("__line")), *order, "__line").select("row", F.sha2(F.concat("__line", F.lit("\n")), 256).alias("sha"), (F.octet_length("__line") + 1).alias("bytes"))
-    level = written(lines, "digests")
+    lines = numbered(df.select(*order, json_line(df).alias("__line")), *order, "__line")
+    level = written(lines.select("row", F.sha2(F.concat("__line", F.lit("\n")), 256).alias("sha"), (F.octet_length("__line") + 1).alias("bytes")), "digests")
+    forget(lines)
     rows, size = level.agg(F.count("*"), F.coalesce(F.sum("bytes"), F.lit(0))).first()
     n = rows
     while n > 1:
@@ -73,6 +74,7 @@ def write_gzip(df: DataFrame, folder: str, *order: str, rows: int = 1_000_000) -
     member = F.lpad(F.floor(F.col("row") / rows).cast("string"), 9, "0").alias("member")
     dealt = lines.select(member, "row", "__line").repartition("member").sortWithinPartitions("member", "row")
     dealt.select("member", F.col("__line").alias("value")).write.mode("overwrite").partitionBy("member").option("compression", "gzip").text(folder)
+    forget(lines)
 
 
 def gzip_members(spark, folder: str) -> list[str]:

@@ -178,33 +178,6 @@ def test_strong_components(spark):
     assert {x["node"]: x["component"] for x in got.collect()} == want
 
 
-def test_nearest_of_odd_vectors(spark):
-    rows = [(1, [1.0, 0.0]), (2, [2.0, 0.1]), (3, [0.0, 0.0]), (4, None), (5, [float("nan"), 1.0]), (6, [1.0, 0.0, 0.0]), (7, [0.0, 3.0])]
-    d = spark.createDataFrame(rows, "id long, v array<double>")
-    got = {(x["query"], x["place"]): x["id"] for x in retrieval.nearest(d, d.where("id in (1, 3, 4)"), "id", "v", 2).collect()}
-    assert got == {(1, 1): 2, (1, 2): 7}
-
-
-def test_top_matches_are_those_of_all_products(spark):
-    r = random.Random(2)
-    rows = lambda n, base: [(base + k, f"t{int(r.random() ** 3 * 12)}", r.random() + 0.01) for k in range(n) for _ in range(4)]
-    make = lambda x: spark.createDataFrame(x, "doc long, token string, weight double").groupBy("doc", "token").agg(F.max("weight").alias("weight"))
-    q, d = make(rows(12, 0)), make(rows(80, 100))
-    qs, ds = q.collect(), d.collect()
-    for k in (1, 5):
-        got = {(x["query"], x["place"]): (x["doc"], round(x["score"], 6)) for x in retrieval.top_matches(q, d, k).collect()}
-        want = {}
-        for one in {x["doc"] for x in qs}:
-            score = {}
-            for a in qs:
-                for b in ds:
-                    if a["doc"] == one and a["token"] == b["token"]:
-                        score[b["doc"]] = score.get(b["doc"], 0) + a["weight"] * b["weight"]
-            for place, (doc, s) in enumerate(sorted(score.items(), key=lambda x: (-round(x[1], 9), x[0]))[:k], 1):
-                want[one, place] = (doc, round(s, 6))
-        assert got == want
-
-
 def test_stream_as_batch(spark, tmp_path):
     e = spark.sql("SELECT timestamp_seconds(id * 600) AS ts, IF(id % 2 = 0, 'a', 'b') AS phase, CAST(id AS DOUBLE) AS client_ms FROM range(200)")
     e.repartition(4).write.parquet(str(tmp_path / "in"))
