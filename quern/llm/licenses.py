@@ -23,6 +23,9 @@ CONTAINED = 0.8
 TEMPLATES = {
     "AGPL-notice": ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation",),
     "Apache-2.0": ("Licensed under the Apache License, Version 2.0.",),
+    "AGPL-3.0-text": ("GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007",),
+    "Apache-2.0-text": ("Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION",),
+    "Artistic-text": ("The intent of this document is to state the conditions under which a Package may be copied, such that the Copyright Holder maintains some semblance of artistic control over the development of the package",),
     "Apache-2.0-notice": ("Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at",),
     "BSD": ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",),
     "BSD-3-Clause": ("Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",),
@@ -41,25 +44,38 @@ TEMPLATES = {
     "EPL-2.0": ("This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at",),
     "GPL-2.0": ("This work is licensed under the GNU General Public License, version 2.",),
     "GPL-3.0": ("This work is licensed under the GNU General Public License, version 3.",),
+    "GFDL-1.3-text": ("GNU Free Documentation License Version 1.3, 3 November 2008",),
+    "GPL-2.0-text": ("GNU GENERAL PUBLIC LICENSE Version 2, June 1991",),
+    "GPL-3.0-text": ("GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007",),
+    "LGPL-2.0-text": ("GNU LIBRARY GENERAL PUBLIC LICENSE Version 2, June 1991",),
+    "LGPL-2.1-text": ("GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999",),
+    "LGPL-3.0-text": ("GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007",),
     "GPL-notice": ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",),
     "ISC": ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",),
     "LGPL-notice": ("This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation",),
     "MIT": ("Released under the MIT License.",),
+    "MIT-grant": ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",),
+    "MIT-text": ("including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",),
     "MIT-notice": ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction",),
     "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",),
+    "MPL-1.1-text": ("MOZILLA PUBLIC LICENSE Version 1.1 1. Definitions.",),
+    "MPL-2.0-text": ("Mozilla Public License Version 2.0 1. Definitions",),
     "Unlicense": ("This is free and unencumbered software released into the public domain.",),
     "Zlib": ("This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.",),
 }
 #: Licenses whose wordings share most of their shingles: of those of one family found in a document, the ones of the highest containment count.
 FAMILIES = {
+    "AGPL-3.0-text": "GNU text", "GPL-2.0-text": "GNU text", "GPL-3.0-text": "GNU text", "LGPL-2.0-text": "GNU text", "LGPL-2.1-text": "GNU text", "LGPL-3.0-text": "GNU text",
     "AGPL-notice": "GNU notice", "GPL-notice": "GNU notice", "LGPL-notice": "GNU notice", "GPL-2.0": "GPL", "GPL-3.0": "GPL",
     "CC-BY-4.0-notice": "CC notice", "CC-BY-NC-4.0-notice": "CC notice", "CC-BY-NC-SA-4.0-notice": "CC notice", "CC-BY-ND-4.0-notice": "CC notice", "CC-BY-SA-4.0-notice": "CC notice",
 }
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _BLANK, _DROPPED = "\t\n\x0b\x0c\r", ".,;:!?\"'()[]*#/"
-#: Comment marks that are words once the others are dropped.
-_MARKS = ("-", "--")
+#: Comment marks and underlines that are words once the others are dropped.
+_MARKS = ("-", "--", "---------------", "==================================")
+#: Fixed: how a file names its license by an identifier of the public list.
+TAG = r"SPDX-License-Identifier:[ \t]*([A-Za-z0-9][A-Za-z0-9.+-]*)"
 
 
 def normal_words(text):
@@ -115,7 +131,8 @@ def template_table(spark: SparkSession, templates: dict[str, tuple[str, ...]] =
 
 
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, tuple[str, ...]] = TEMPLATES, contained: float = CONTAINED, families: dict[str, str] = FAMILIES) -> DataFrame:
-    """(id, license, matched, total, containment) for each document and template found in it; of a family only those of the highest containment.
+    """(id, license, matched, total, containment) for each document and template found in it; of a family only those of the highest containment. An
+    identifier line is a license of its own, SPDX- and the identifier, found whole.
 
     Only the fixed list of templates is broadcast. Null and empty texts and those of fewer than 5 words hold nothing;
     rows that repeat an id count as one document; a null id is an id of its own; an empty table gives none.
@@ -139,4 +156,7 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         family = F.when(F.col("license") == name, of).otherwise(family)
     # a window holds the templates of one family that one document has
     out = out.withColumn("best", F.max("containment").over(Window.partitionBy("id", family))).where(F.col("containment") == F.col("best"))
-    return out.select(F.col("id").alias(id_col), "license", "matched", "total", "containment")
+    tags = docs.select(F.col(id_col).alias("id"), F.explode(F.regexp_extract_all(F.col(text_col), F.lit(TAG), 1)).alias("tag")).distinct()
+    one = F.lit(1).cast("long")
+    tagged = tags.select("id", F.concat(F.lit("SPDX-"), "tag").alias("license"), one.alias("matched"), one.alias("total"), F.lit(1.0).alias("containment"))
+    return out.select("id", "license", "matched", "total", "containment").unionAll(tagged).withColumnRenamed("id", id_col)

@@ -161,7 +161,7 @@ FROM o
 
 def _license_sql() -> str:
     """Every shingle of every document against all shingles of all templates."""
-    from .licenses import _BLANK, _DROPPED, _LOWER, _MARKS, _UPPER, CONTAINED, FAMILIES, SHINGLE, TEMPLATES
+    from .licenses import _BLANK, _DROPPED, _LOWER, _MARKS, _UPPER, CONTAINED, FAMILIES, SHINGLE, TAG, TEMPLATES
 
     quoted = lambda x: "'" + x.replace("'", "''") + "'"
     control = "".join(f" || chr({ord(c)})" for c in _BLANK)
@@ -180,7 +180,8 @@ f AS (
   SELECT doc_id, license, count(*) AS matched, any_value(total) AS total, count(*) / any_value(total)::DOUBLE AS containment
   FROM ds JOIN ts USING (shingle) JOIN n USING (license)
   GROUP BY doc_id, license HAVING count(*) >= {CONTAINED} * any_value(total))
-SELECT * FROM f QUALIFY containment = max(containment) OVER (PARTITION BY doc_id, {family})
+(SELECT * FROM f QUALIFY containment = max(containment) OVER (PARTITION BY doc_id, {family}))
+UNION ALL SELECT DISTINCT doc_id, 'SPDX-' || unnest(regexp_extract_all(text, '{TAG}', 1)), 1, 1, 1.0::DOUBLE FROM documents
 """
 
 

@@ -250,11 +250,90 @@ def test_licenses(spark):
     got = {}
     for r in license_scan(spark.createDataFrame(texts, "doc_id string, text string")).collect():
         got.setdefault(r["doc_id"], set()).add(r["license"])
-    also = {"Apache-2.0-notice": {"Apache-2.0"}}  # the line begins the notice
+    also = {"Apache-2.0-notice": {"Apache-2.0"}, "MIT-notice": {"MIT-grant"}}  # the line begins the notice
     assert got == {i: {i[:-1]} | also.get(i[:-1], set()) for i, _ in texts[:-2]} | {"both": {"GPL-2.0", "GPL-3.0"}, "long": {"MIT"}}
     assert license_scan(d.limit(0)).count() == 0
 
 
+def test_heads_of_license_files(spark):
+    """As files begin: titles, years, holders and underlines between the wordings; and lines that name an identifier."""
+    heads = {
+        "MIT": "MIT License\n\nCopyright (c) 2024 A Person\n\nPermission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell\ncopies of the Software, and to permit persons to whom the Software is\nfurnished to do so, subject to the following conditions:",
+        "Apache": "                                 Apache License\n                           Version 2.0, January 2004\n                        http://www.apache.org/licenses/\n\n   TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION\n\n   1. Definitions.",
+        "GPL2": "                    GNU GENERAL PUBLIC LICENSE\n                       Version 2, June 1991\n\n Copyright (C) 1989, 1991 Free Software Foundation, Inc.,",
+        "GPL3": "                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/>",
+        "LGPL3": "                   GNU LESSER GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007",
+        "LGPL21": "                  GNU LESSER GENERAL PUBLIC LICENSE\n                       Version 2.1, February 1999",
+        "MPL": "Mozilla Public License Version 2.0\n==================================\n\n1. Definitions\n--------------",
+        "tag": "// SPDX-License-Identifier: MIT\n/* SPDX-License-Identifier:\tApache-2.0 */ x SPDX-License-Identifier: MIT",
+        "mention": "this module is under the MIT terms, see the GNU General Public License or the Mozilla Public License elsewhere",
+    }
+    want = {"MIT": {"MIT-grant", "MIT-notice", "MIT-text"}, "Apache": {"Apache-2.0-text"}, "GPL2": {"GPL-2.0-text"}, "GPL3": {"GPL-3.0-text"}, "LGPL3": {"LGPL-3.0-text"}, "LGPL21": {"LGPL-2.1-text"}, "MPL": {"MPL-2.0-text"}, "tag": {"SPDX-MIT", "SPDX-Apache-2.0"}}
+    got = {}
+    for r in license_scan(spark.createDataFrame([*heads.items(), ("none", None), ("tag", heads["tag"])], "doc_id string, text string")).collect():
+        assert r["license"] not in got.setdefault(r["doc_id"], set())
+        got[r["doc_id"]].add(r["license"])
+    assert got == want
+
+
+def plain_kneser_ney(sequences, size, order):
+    """p(context, symbol) of an interpolated modified Kneser-Ney model, by dictionaries and recursion."""
+    from collections import Counter
+
+    counts = {order: Counter(tuple(q[k : k + order]) for q in sequences for k in range(len(q) - order + 1))}
+    for k in range(order - 1, 0, -1):
+        counts[k] = Counter(g[1:] for g in counts[k + 1])
+    discounts = {}
+    for k, c in counts.items():
+        n = [max(sum(x == j for x in c.values()), 1) for j in range(5)]
+        y = n[1] / (n[1] + 2 * n[2])
+        discounts[k] = [min(max(j - (j + 1) * y * n[j + 1] / n[j], 0.05), j) for j in (1, 2, 3)]
+    after = {k: {} for k in counts}
+    for k, c in counts.items():
+        for g, n in c.items():
+            after[k].setdefault(g[:-1], {})[g[-1]] = n
+
+    def p(context, symbol):
+        k = len(context) + 1
+        lower = p(context[1:], symbol) if context else 1 / size
+        seen = after[k].get(context)
+        if not seen:
+            return lower
+        d = lambda n: discounts[k][min(n, 3) - 1]
+        total, own = sum(seen.values()), seen.get(symbol, 0)
+        return ((own - d(own) if own else 0) + sum(map(d, seen.values())) * lower) / total
+
+    return p
+
+
+def test_quality_probabilities_as_plain(spark):
+    """The table, built from joins of count tables, against recursion over dictionaries: seen and unseen n-grams, Latin and other scripts."""
+    r = random.Random(3)
+    texts = [" ".join(r.choice(["the", "thé", "Haus", "δέντρο", "δρόμος", "日本語", "7", "a.b"]) for _ in range(r.randint(1, 30))) for _ in range(25)]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    table = quality.fit_quality(docs, spark.createDataFrame([(i, 1) for i in range(20)], "doc_id long, quality int"))
+    start = quality.symbols("\n" * (quality.ORDER - 1)).tolist()
+    p = plain_kneser_ney([start + quality.symbols(t).tolist() for t in texts[:20]], quality.ALPHABET, quality.ORDER)
+    places = set(quality.gram_ids(texts[20]).tolist()) | set(quality.gram_ids("ξένος дом xyz").tolist()) | {r.randrange(quality.ALPHABET**4) for _ in range(300)} | set(quality.gram_ids(texts[0]).tolist())
+    for g in places:
+        s = [g // quality.ALPHABET**k % quality.ALPHABET for k in (3, 2, 1, 0)]
+        assert float(table[g]) == pytest.approx(np.log(p(tuple(s[:3]), s[3])), abs=0.01)
+
+
+def test_other_scripts_are_told_apart(spark):
+    """Words of a script that isn't Latin are likelier than its letters at random, and characters keep their own symbols."""
+    r = random.Random(9)
+    words = ["δέντρο", "σπίτι", "θάλασσα", "και", "το", "πόλη"]
+    clean = [(i, " ".join(r.choice(words) for _ in range(40)), "el") for i in range(60)]
+    noise = [(100 + i, "".join(r.choice("".join(words) + " ") for _ in range(200)), "el") for i in range(10)]
+    docs = spark.createDataFrame(clean + noise, "doc_id long, text string, lang string")
+    got = {x["doc_id"]: x["kept"] for x in quality.quality_filter(docs, spark.createDataFrame([(i, 1) for i in range(60)], "doc_id long, quality int")).collect()}
+    assert not any(got[100 + i] for i in range(10)) and sum(got[i] for i in range(60)) >= 55
+    assert len({tuple(quality.symbols(c).tolist()) for c in "αβγдеж日本語"}) == 9 and len(quality.symbols("aα b")) == 6
+    long = "αb" * 100_000
+    assert len(quality.gram_ids(long)) == 400_000 == sum(len(x) for x in quality._pieces(long))
+
+
 def test_quality_model(spark):
     """Probabilities of each context sum to 1, and trusted text is likelier than noise."""
     r = random.Random(6)
