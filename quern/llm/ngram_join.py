@@ -11,10 +11,10 @@ The number of bins follows the size of the smaller set of a pair (in powers of t
 signatures of two numbers of bins); it keeps a prefix's combinations within about twice its shingles.
 
 Signatures of few sets give candidates, which positions filter: common rare shingles, and the rare ones that no other
-prefix holds, bound the intersection. Signatures of many sets are resolved in rounds, each with some of a signature's
-sets outside the largest component as centres that the others are held against; sets that links have joined by then aren't compared any more. Rounds go
-on until the sets of every signature lie in one component, or all of their pairs were looked at, so no link between
-components is missed and no group is ever in one place. Equal sets are joined first, and only one of them goes on.
+prefix holds, bound the intersection. Signatures of many sets whose sets links haven't joined yet are groups that are compared
+within, block against block, as products of matrices; signatures of the same near copies go as one group. So no link
+between components is missed, no group is ever in one place, and pairs that don't link are no rows. Equal sets are joined
+first, and only one of them goes on.
 """
 
 from __future__ import annotations
@@ -31,10 +31,10 @@ PERCENT = 85
 FREQUENT, MOST_FREQUENT = 32, 2_000_000
 #: How far shingles are counted to find the frequent ones, in quarters of a prefix; sets that hold so many of these that a prefix goes on are counted whole.
 REACH = 5
-#: Of signatures in more sets than this not all pairs are candidates; rounds of centres resolve them.
+#: Of signatures in more sets than this not all pairs are candidates; their sets are compared in blocks.
 SINGLE = 32
-#: Centres of a signature, by round; the last number goes on.
-CENTRES = (1, 4, 16, 64)
+#: Sets of a large group that one block holds, about, and shingles of them all; shingles that are counted at once.
+BLOCK, BLOCK_SHINGLES, COLUMNS = 256, 1_000_000, 4096
 
 
 def shingle_sets(batch, name: str, size: int = SHINGLE) -> list:
@@ -274,32 +274,107 @@ def _links(docs: DataFrame, heads: DataFrame, reps: DataFrame, percent: int, siz
     drop(pairs)
     drop(kept)
 
-    # 2. Signatures of many sets whose components still differ. A pair lies in two components, so one of its sets lies outside the
-    # largest: those sets are the centres, and when all of them have been, all pairs have been looked at.
-    large, turn = large.where(F.col("id") != F.col("first")).select("key", "two", "id", "n", "u"), 0
-    while not large.isEmpty():
-        comps = components(linked).withColumnRenamed("node", "id")
-        placed = large.join(comps, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        counted = placed.groupBy("key", "component").agg(F.count("*").alias("c"), F.min("n").alias("n"))
-        of = counted.groupBy("key").agg(F.count("*").alias("parts"), F.max_by("component", "c").alias("main"), F.min("n").alias("least_n")).where(F.col("parts") > 1).drop("parts")
-        # the most that a set can share with the smallest of the others, or with one that holds nothing else
-        smallest = F.greatest("least_n", F.col("n") - F.col("u"))
-        able = ~F.col("two") | (100 * (F.col("n") - F.col("u")) >= percent * (smallest + F.col("u")))
-        large = stash(placed.join(of, "key").where(able), "mixed")
-        parts = CENTRES[min(turn, len(CENTRES) - 1)]
-        turn += 1
-        others = large.where(F.col("component") != F.col("main")).withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)))
-        first = F.min(F.struct(F.floor(1000 * F.col("u") / F.col("n")), F.col("id"), F.col("n"), F.col("u"), F.col("component"))).alias("centre")
-        centres = stash(others.groupBy("key", "part").agg(first).select("key", *[F.col("centre")[c].alias(c + "b") for c in ("id", "n", "u", "component")]), "centres")
-        if centres.isEmpty():
-            break
-        held = large.select("key", "two", *[F.col(c).alias(c + "a") for c in ("id", "n", "u", "component")]).join(centres, "key")
-        held = held.where((F.col("componenta") != F.col("componentb")) & fits(F.col("na"), F.col("nb")) & (~F.col("two") | reachable()))
-        pairs = stash(held.select(F.least("ida", "idb").alias("a"), F.greatest("ida", "idb").alias("b")).distinct(), "pairs")
-        if not pairs.isEmpty():
-            linked = stash(linked.unionAll(_verified(docs, pairs, percent, size)), "linked")
-        done, before = centres.select("key", F.col("idb").alias("id"), F.col("nb").alias("n")), large
-        large = stash(large.select("key", "two", "id", "n", "u").join(done, ["key", "id", "n"], "left_anti"), "large")
-        for table in (pairs, centres, before):
-            drop(table)
-    return linked
+    # 2. Signatures of many sets whose components still differ.
+    comps = stash(components(linked), "parts", tidy=True)
+    drop(linked)
+    placed = large.join(comps.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    of = placed.groupBy("key").agg(F.min("n").alias("least_n"), F.min("component").alias("lo"), F.max("component").alias("hi")).where(F.col("lo") != F.col("hi"))
+    # the most that a set can share with the smallest of the others, or with one that holds nothing else
+    smallest = F.greatest("least_n", F.col("n") - F.col("u"))
+    able = ~F.col("two") | (100 * (F.col("n") - F.col("u")) >= percent * (smallest + F.col("u")))
+    mixed = stash(placed.join(of, "key").where(able).select("key", "id", "n", "component"), "mixed", tidy=True)
+    drop(large)
+    ends = comps.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    if mixed.isEmpty():
+        return ends
+    whole = stash(_mapped(docs.join(mixed.select("id").distinct(), "id", "left_semi"), lambda s: (s,) if len(s) else None, "set array<long>", size), "whole", tidy=True)
+    found = stash(_compared(_groups(mixed), whole, percent), "found", tidy=True)
+    drop(mixed)
+    drop(whole)
+    return ends.unionAll(found)
+
+
+def _groups(mixed: DataFrame) -> DataFrame:
+    """(id, group, n, component): groups within which all pairs that share a signature meet.
+
+    Sets that signatures tie, one after the other, are one group if that takes no more comparisons than all their signatures each
+    do, as among near copies that share many; else each signature is a group.
+    """
+    first = mixed.groupBy("key").agg(F.min("id").alias("b"), F.count("*").alias("c"))
+    ties = mixed.join(first.select("key", "b"), "key").select(F.col("id").alias("a"), "b")
+    tied = stash(components(ties).withColumnsRenamed({"node": "id", "component": "tied"}), "tied")
+    rows = mixed.join(first.select("key", "c"), "key").join(tied, "id")  # a signature of one set alone compares nothing
+    once = rows.groupBy("tied", "id").agg(F.count("*").alias("keys"), F.sum("c").alias("met"))
+    worth = once.groupBy("tied").agg((F.count("*").cast("double") * F.count("*") <= F.sum("met").cast("double")).alias("whole"))
+    worth = stash(worth, "worth")
+    each = mixed.join(tied, "id").join(worth, "tied")
+    together = each.where("whole").groupBy("id", "tied").agg(F.max("n").alias("n"), F.min("component").alias("component"))
+    apart = each.where(~F.col("whole")).select("id", F.xxhash64("key", F.lit("key")).alias("group"), "n", "component")
+    return together.select("id", F.xxhash64("tied", F.lit("tied")).alias("group"), "n", "component").unionAll(apart)
+
+
+def _compared(members: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
+    """(a, b): what links join in each group of (id, group, n, component), as edges between members of a component of each block; sets of one component aren't compared.
+
+    A group is cut into blocks by its sets and shingles, and every two blocks meet in one task, which counts common shingles
+    as a matrix product; no pair is a row but those that come out, fewer than a block has sets.
+    """
+    sizes = members.groupBy("group").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    rows = members.join(sizes, "group").select("id", "group", "component", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    rows = rows.select("id", "group", "component", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"), (F.col("own") > F.col("other")).cast("int").alias("side"))
+    key = members.schema["id"].dataType.simpleString()
+
+    def judge(_, table):
+        import pyarrow as pa
+
+        pairs = linked_within(table.column("set"), list(map(repr, table.column("component").to_pylist())), table.column("side").to_numpy(), percent)
+        ids = table.column("id")
+        return pa.table({"a": ids.take(pa.array(pairs[0], pa.int64())), "b": ids.take(pa.array(pairs[1], pa.int64()))})
+
+    return rows.join(whole, "id").groupBy("group", "one", "two").applyInArrow(judge, f"a {key}, b {key}")
+
+
+def linked_within(sets, component: list, side, percent: int):
+    """(a, b), places of sets that links tie, enough for the components of all links between sets of unlike components; where there are two sides, of unlike sides."""
+    import numpy as np
+
+    offsets = np.concatenate([[0], np.cumsum([len(c) for c in sets.chunks], dtype=np.int64)]) if hasattr(sets, "chunks") else None
+    parts = sets.chunks if offsets is not None else [sets]
+    n = np.concatenate([np.diff(p.offsets.to_numpy()) for p in parts]) if parts else np.zeros(0, np.int64)
+    flat = np.concatenate([p.flatten().to_numpy(zero_copy_only=False) for p in parts]) if parts else np.zeros(0, np.int64)
+    m = len(n)
+    code = np.unique(component, return_inverse=True)[1] if m else np.zeros(0, int)
+    across = bool(m) and side.min() != side.max()
+    left, right = (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if across else (np.arange(m), np.arange(m))
+    if not m or code.min() == code.max():
+        return [], []
+    row = np.repeat(np.arange(m), n)
+    token, column, times = np.unique(flat, return_inverse=True, return_counts=True)
+    kept = times[column] > 1  # shingles of one set are common to none
+    row, column = row[kept], (np.cumsum(times > 1) - 1)[column[kept]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    common = np.zeros((len(left), len(right)), np.float32)
+    for at in range(0, int((times > 1).sum()), COLUMNS):
+        lo, hi = np.searchsorted(column, [at, at + COLUMNS])
+        dense = np.zeros((m, COLUMNS), np.float32)
+        dense[row[lo:hi], column[lo:hi] - at] = 1
+        common += dense[left] @ dense[right].T
+    common = common.astype(np.int64)
+    link = (100 * common >= percent * (n[left][:, None] + n[right][None, :] - common)) & (code[left][:, None] != code[right][None, :])
+    up = np.arange(m)
+
+    def top(x):
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    out = []
+    for x, y in zip(*np.nonzero(link), strict=True):
+        a, b = top(left[x]), top(right[y])
+        if a != b:
+            up[max(a, b)] = min(a, b)
+            out.append((int(left[x]), int(right[y])))
+    return [a for a, _ in out], [b for _, b in out]

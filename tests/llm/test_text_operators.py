@@ -12,7 +12,7 @@ from quern.llm.ngram_join import jaccard_components
 from quern.llm.repeats import remove_repeats
 from quern.llm.token_counts import budget, counter, fit, token_counts
 
-from .brute import corpus, ngram_components, removed_words
+from .brute import corpus, link_components, ngram_components, removed_words
 
 P = pytest.importorskip("public_tokenizers")
 DOCS = "doc_id long, text string"
@@ -175,3 +175,48 @@ def test_repeats_odd_rows(spark):
     with pytest.raises(ValueError):
         remove_repeats(spark.createDataFrame([], DOCS).withColumn("n_words", F.lit(1)), keep=("n_words",))
     assert remove_repeats(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_sets_of_a_large_group_are_compared_in_blocks(spark, monkeypatch):
+    """Near copies of which few link: by blocks of a few sets, as one group and signature by signature, with the links of all pairs."""
+    from quern.llm import ngram_join
+
+    r = random.Random(12)
+    base = [f"w{k}" for k in range(80)]
+    docs = []
+    for i in range(150):
+        w = list(base)
+        for _ in range(r.choice([1, 1, 2, 2, 3])):
+            w[r.randrange(80)] = f"x{i}-{r.randrange(40)}"
+        docs.append((i, " ".join(w)))
+    docs += [(200 + k, " ".join(base[k : k + 60] + [f"tail{k}-{j}" for j in range(6)])) for k in range(20)]
+    sizes, want = ngram_components(docs)
+    assert len(set(want.values())) > 20
+    d = spark.createDataFrame(docs, DOCS)
+    monkeypatch.setattr(ngram_join, "BLOCK", 20)
+    got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in jaccard_components(d).collect()}
+    assert got == {i: (sizes[i], want[i]) for i in want}
+    real = ngram_join.F.xxhash64
+    grouped = ngram_join._groups
+    monkeypatch.setattr(ngram_join, "_groups", lambda mixed: mixed.select("id", real("key").alias("group"), "n", "component"))
+    assert {x["doc_id"]: x["component_id"] for x in jaccard_components(d).collect()} == want
+    monkeypatch.setattr(ngram_join, "_groups", grouped)
+
+
+def test_links_within_a_block():
+    import numpy as np
+    import pyarrow as pa
+
+    from quern.llm.ngram_join import linked_within
+
+    r = np.random.default_rng(4)
+    sets = [np.unique(r.integers(0, 60, r.integers(1, 50))) for _ in range(60)]
+    component, side = [str(k % 7) for k in range(60)], r.integers(0, 2, 60)
+    column = pa.array([s.tolist() for s in sets], pa.list_(pa.int64()))
+    for table, sides in ((column, side), (pa.chunked_array([column.slice(0, 25), column.slice(25)]), np.zeros(60, int))):
+        linked = [(a, b) for a in range(60) for b in range(a) if (sides[a] != sides[b] or sides.max() == 0) and component[a] != component[b]
+                  and 100 * len(np.intersect1d(sets[a], sets[b])) >= 40 * len(np.union1d(sets[a], sets[b]))]
+        got = list(zip(*linked_within(table, component, sides, 40)))
+        assert len(linked) > 5 and {frozenset(p) for p in got} <= {frozenset(p) for p in linked}
+        assert link_components(range(60), got) == link_components(range(60), linked)
+    assert linked_within(column.slice(0, 0), [], np.zeros(0, int), 40) == ([], [])
