@@ -13,8 +13,8 @@ from quern.sources.shared import forget
 CHUNK = 4096
 #: Of a query's trigrams the rarest so many look for candidates; the rest only verify.
 RAREST = 8
-#: Candidates that are fetched at once, for each row of the limit.
-AHEAD = 4
+#: Chunks that are looked into first; four times as many after each round. Candidates that are fetched at once.
+AHEAD, MOST_FETCHED = 2, 256
 FIELDS = {"name": ("pretty_qname", "pretty_name"), "type": ("type",)}
 
 
@@ -54,36 +54,52 @@ class Trigrams:
         """As the engine lower-cases columns."""
         return self.spark.sparkContext._jvm.org.apache.spark.unsafe.types.UTF8String.fromString(text).toLowerCase().toString()
 
-    def candidates(self, field: str, text: str) -> DataFrame | None:
-        """(row): definitions that hold the rarest trigrams of a text, a superset of those that hold it; None for texts of less than three characters."""
+    def _asked(self, text: str) -> list[str]:
         low = self._lower(text)
-        asked = sorted({low[k : k + 3] for k in range(len(low) - 2)})
+        return sorted({low[k : k + 3] for k in range(len(low) - 2)})
+
+    def candidates(self, field: str, text: str) -> DataFrame | None:
+        """(row): all definitions that hold a text's trigrams, a superset of those that hold it; None for texts of less than three characters."""
+        asked = self._asked(text)
         if not asked:
             return None
         listed = self.grams.where((F.col("field") == field) & F.col("gram").isin(asked))
-        if len(asked) > RAREST:  # one small column tells how common they are
-            counts = {r["gram"]: r["n"] for r in listed.groupBy("gram").agg(F.sum("n").alias("n")).collect()}
-            asked = sorted(asked, key=lambda g: (counts.get(g, 0), g))[:RAREST]
-            listed = self.grams.where((F.col("field") == field) & F.col("gram").isin(asked))
         # a chunk of numbers is met in the same chunk of the other trigrams only
         met = listed.groupBy("chunk").agg(F.collect_list("rows").alias("lists")).where(F.size("lists") == len(asked))
         return met.select(F.explode(F.aggregate(F.slice("lists", 2, len(asked)), F.get("lists", F.lit(0)), F.array_intersect)).alias("row"))
 
     def search(self, field: str, text: str, limit: int | None = None) -> DataFrame:
-        """What search.by_name or search.by_type finds, in order: candidates in the order of results are fetched by number, a few more than asked for at a time, and verified. Shorter texts than a trigram scan."""
+        """What search.by_name or search.by_type finds, in order.
+
+        The chunks that hold all trigrams are found by three small columns, a number for each trigram and CHUNK definitions; then the rarest trigrams' numbers are
+        read for the first chunks, met, and the definitions of these numbers read and verified, and so on until the limit is
+        reached: lookups without a shuffle. Texts shorter than a trigram scan.
+        """
+        import numpy as np
+
         scan = by_name if field == "name" else by_type
-        found = self.candidates(field, text)
-        if found is None:
+        asked = self._asked(text)
+        if not asked:
             return scan(self.rows, text, limit)
-        limit = max(1, 20 if limit is None else limit)
-        hits, after, ahead = [], -1, AHEAD * limit
-        while len(hits) < limit:
-            rows = [r["row"] for r in found.where(F.col("row") > after).orderBy("row").limit(ahead).collect()]
-            if rows:
-                own = self.rows.where(F.col("row").between(rows[0], rows[-1]) & F.col("row").isin(rows)).drop("row")
-                hits += scan(own, text, limit - len(hits)).collect()
-                after = rows[-1]
-            if len(rows) < ahead:
-                break
+        limit, found = max(1, 20 if limit is None else limit), {g: {} for g in asked}
+        listed = self.grams.where((F.col("field") == field) & F.col("gram").isin(asked))
+        for r in listed.select("gram", "chunk", "n").collect():
+            found[r["gram"]][r["chunk"]] = r["n"]
+        rarest = sorted(asked, key=lambda g: (sum(found[g].values()), g))[:RAREST]
+        chunks = sorted(set.intersection(*(set(found[g]) for g in asked)))
+        hits, at, ahead = [], 0, AHEAD
+        while at < len(chunks) and len(hits) < limit:
+            now, at = chunks[at : at + ahead], at + ahead
+            lists = listed.where(F.col("gram").isin(rarest) & F.col("chunk").isin(now)).select("chunk", "rows").toArrow()
+            met: dict = {}
+            for chunk, rows in zip(lists.column("chunk").to_pylist(), lists.column("rows"), strict=True):
+                own = rows.values.to_numpy()
+                met[chunk] = np.intersect1d(met[chunk], own, assume_unique=True) if chunk in met else own
+            numbers = np.concatenate([met[c] for c in now])
+            for k in range(0, len(numbers), MOST_FETCHED):
+                some = numbers[k : k + MOST_FETCHED].tolist()
+                if some and len(hits) < limit:
+                    own = self.rows.where(F.col("row").between(some[0], some[-1]) & F.col("row").isin(some)).drop("row")
+                    hits += scan(own, text, limit - len(hits)).collect()
             ahead *= 4
         return self.spark.createDataFrame(hits, self.rows.drop("row").schema)
