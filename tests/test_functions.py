@@ -157,6 +157,72 @@ def test_scans_end(text):
     assert all(a[2] <= b[1] for a, b in zip(spans, spans[1:])) and len(source.code_only(text)) == len(text)
 
 
+def plain_spans(text):
+    """Holes, comments and pragmas by a walk over characters that knows no patterns."""
+    breaks, out, i, free = " \t\n\r\x0b\x0c(){};.@\"", [], 0, True
+
+    def nested(at, opens, closes):
+        depth, k = 1, at + 2
+        while k < len(text):
+            two = text[k : k + 2]
+            if two in (opens, closes):
+                depth += 1 if two == opens else -1
+                k += 2
+                if not depth:
+                    return k
+            else:
+                k += 1
+        return len(text)
+
+    while i < len(text):
+        two = text[i : i + 2]
+        if two == "{!":
+            end = nested(i, "{!", "!}")
+            out.append(("hole", i, end))
+            i, free = end, True
+        elif text[i : i + 3] == "{-#":
+            end = text.find("#-}", i)
+            end = len(text) if end < 0 else end + 3
+            out.append(("pragma", i, end))
+            i, free = end, True
+        elif two == "{-":
+            end = nested(i, "{-", "-}")
+            out.append(("comment", i, end))
+            i, free = end, True
+        elif text[i] == '"':
+            k = i + 1
+            while k < len(text) and text[k] not in '"\n':
+                k += 2 if text[k] == "\\" else 1
+            i = min(len(text), k + 1)
+            free = text[i - 1] in breaks
+        elif free and two == "--":
+            end = text.find("\n", i)
+            end = len(text) if end < 0 else end
+            out.append(("comment", i, end))
+            i, free = end, False
+        elif free and text[i] == "?" and (i + 1 == len(text) or text[i + 1] in breaks):
+            out.append(("hole", i, i + 1))
+            i, free = i + 1, False
+        elif free and text[i] == "'":
+            k = i + 1
+            while k < len(text) and text[k] not in "'\n":
+                k += 2 if text[k] == "\\" else 1
+            closed = k < len(text) and text[k] == "'"
+            i, free = (k + 1, True) if closed else (i + 1, False)
+        else:
+            free = text[i] in breaks
+            i += 1
+    return out
+
+
+def test_spans_as_a_walk_over_characters():
+    r = random.Random(17)
+    pieces = ["{!", "!}", "{-", "-}", "{-#", "#-}", "--", "?", "'", '"', "\\", "\n", " ", "a", "(", ")", ".", "{", "}", "!", "-", "x'", "'a'", "'\\''", "é"]
+    for _ in range(20_000):
+        text = "".join(r.choice(pieces) for _ in range(r.randint(0, 14)))
+        assert list(source.spans(text)) == plain_spans(text), text
+
+
 def test_holes_column(spark):
     d = spark.createDataFrame([("f = ?", "M.agda"), (None, "M.agda"), ("?", "M.lagda")], "t string, p string")
     assert [None if r["h"] is None else [(x["line"], x["col"]) for x in r["h"]] for r in d.select(source.holes(F.col("t"), F.col("p")).alias("h")).collect()] == [[(1, 5)], None, []]
