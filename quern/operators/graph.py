@@ -7,6 +7,7 @@ import math
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
+from quern.operators.ordinals import numbered
 from quern.sources.shared import forget, written
 
 
@@ -192,6 +193,15 @@ def reverse_index(edges: DataFrame) -> DataFrame:
     return edges.groupBy("token").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("src")).alias("sources"))
 
 
+def reverse_blocks(edges: DataFrame, size: int = 1024) -> DataFrame:
+    """(token, block, n, sources): the same in rows of at most size definitions, cut where the number of an edge among all, by token and definition,
+    passes a multiple of size. For tokens that a large share of all definitions mention. The result reads a written table: forget it when it is done with."""
+    rows = numbered(edges.select("token", "src").distinct(), "token", "src")
+    out = rows.groupBy("token", F.floor(F.col("row") / size).alias("block")).agg(F.count("*").alias("n"), F.array_sort(F.collect_list("src")).alias("sources"))
+    out.written_at = rows.written_at
+    return out
+
+
 def strong_components(edges: DataFrame, nodes: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """(node, component): the smallest node of each strongly connected component.
 

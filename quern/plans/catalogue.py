@@ -232,6 +232,13 @@ def reverse_index(spark, sf):
     return r.select("token", "n", F.array_join(F.transform("sources", lambda x: x.cast("string")), " ").alias("sources"))
 
 
+@query(f"WITH {GRAPH}, r AS (SELECT token, src, (row_number() OVER (ORDER BY token, src) - 1) // 16 AS block FROM e) SELECT token, block, count(*) AS n, array_to_string(list(src ORDER BY src), ' ') AS sources FROM r GROUP BY token, block")
+def reverse_index_blocks(spark, sf):
+    """What mentions each token, in rows of at most sixteen: a list of a frequent token is many rows."""
+    r = graph.reverse_blocks(T.part_graph(spark, sf)[1], 16)
+    return r.select("token", "block", "n", F.array_join(F.transform("sources", lambda x: x.cast("string")), " ").alias("sources"))
+
+
 @query(f"WITH {GRAPH} SELECT src, token FROM e WHERE token IN (SELECT node FROM nodes)")
 def internal_edges(spark, sf):
     nodes, e = T.part_graph(spark, sf)
