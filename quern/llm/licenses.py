@@ -134,7 +134,7 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(id, license, matched, total, containment) for each document and template found in it; of a family only those of the highest containment. An
     identifier line is a license of its own, SPDX- and the identifier, found whole.
 
-    Only the fixed list of templates is broadcast. Null and empty texts and those of fewer than 5 words hold nothing;
+    Templates of one family that are equally contained are all kept. Only the fixed list of templates is broadcast. Null and empty texts and those of fewer than 5 words hold nothing;
     rows that repeat an id count as one document; a null id is an id of its own; an empty table gives none.
     """
     spark = docs.sparkSession

@@ -29,7 +29,7 @@ def water_fill(sources: DataFrame, share: float = 1.5, epochs: float = 2.0, weig
 
     share of all sizes is dealt by weight; a source is clamped at epochs times its size and the excess goes to the others
     by weight until none is above its clamp. Sources in order of clamp / weight are clamped one after another, so one
-    pass of running sums over the sources (one row each, whatever the corpus) finds the level.
+    pass of running sums over the sources finds the level: one row each in one task, which holds for millions of sources.
     """
     rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (rank % len(weights) + 1).cast("int"))

@@ -60,7 +60,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     removed: spans of words, the end excluded; kept_text: the other words joined by one space. The first occurrence of a
     window is the one in the smallest id (null: after all others), and there the earliest. A null or empty text has no
-    words. Rows that repeat an id are judged each on its own against other ids. Ids are of any type that Spark orders.
+    words. Rows that repeat an id are judged each on its own against other ids. Ids are of any type that Spark orders; of
+    whole numbers the largest, 2**63 - 1, counts as null.
     Columns that keep doesn't name are ignored, whatever their names; an empty table gives an empty result. start: the
     first level's length, half of size if not given; size is start doubled some times.
     """
