@@ -194,9 +194,13 @@ def source_modules(spark: SparkSession, root: str, exclude: tuple[str, ...] = ()
     return files.select(module_of_path(inner, root).alias("module"), inner.alias("path")).where(~F.col("module").isin(*exclude) if exclude else F.lit(True))
 
 
+#: How names of plain source files end, and what names of literate ones hold.
+PLAIN_END, LITERATE = ".agda", ".lagda"
+
+
 def is_source_path(path):
-    """Whether a path column names a source file: it ends in .agda, or its last part holds .lagda."""
-    return F.endswith(path, F.lit(".agda")) | F.contains(F.substring_index(path, "/", -1), F.lit(".lagda"))
+    """Whether a path column names a source file, plain or literate."""
+    return F.endswith(path, F.lit(PLAIN_END)) | F.contains(F.substring_index(path, "/", -1), F.lit(LITERATE))
 
 
 def sources_among(paths: DataFrame, folder: str, path: str = "path") -> DataFrame:
