@@ -301,13 +301,13 @@ def _groups(mixed: DataFrame) -> DataFrame:
     do, as among near copies that share many; else each signature is a group.
     """
     first = mixed.groupBy("key").agg(F.min("id").alias("b"), F.count("*").alias("c"))
-    ties = mixed.join(first.select("key", "b"), "key").select(F.col("id").alias("a"), "b")
-    tied = stash(components(ties).withColumnsRenamed({"node": "id", "component": "tied"}), "tied")
-    rows = mixed.join(first.select("key", "c"), "key").join(tied, "id")  # a signature of one set alone compares nothing
-    once = rows.groupBy("tied", "id").agg(F.count("*").alias("keys"), F.sum("c").alias("met"))
+    tagged = stash(mixed.join(first, "key"), "tagged")
+    tied = components(tagged.select(F.col("id").alias("a"), "b")).withColumnsRenamed({"node": "id", "component": "tied"})
+    rows = stash(tagged.join(tied, "id"), "tied")  # a signature of one set alone compares nothing
+    drop(tagged)
+    once = rows.groupBy("tied", "id").agg(F.sum("c").alias("met"))
     worth = once.groupBy("tied").agg((F.count("*").cast("double") * F.count("*") <= F.sum("met").cast("double")).alias("whole"))
-    worth = stash(worth, "worth")
-    each = mixed.join(tied, "id").join(worth, "tied")
+    each = rows.join(worth, "tied")
     together = each.where("whole").groupBy("id", "tied").agg(F.max("n").alias("n"), F.min("component").alias("component"))
     apart = each.where(~F.col("whole")).select("id", F.xxhash64("key", F.lit("key")).alias("group"), "n", "component")
     return together.select("id", F.xxhash64("tied", F.lit("tied")).alias("group"), "n", "component").unionAll(apart)
