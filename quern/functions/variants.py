@@ -48,15 +48,19 @@ def descend(root: Column, first: Column, inherit: Callable[[Column, Column, Colu
     inherit(the container around it, its member, the member's place). There are as many rounds as the value is deep. A scalar
     root or null finds nothing. A value deeper than the JSON parser goes (1,000 levels) is no variant in the first place.
     """
-    text = F.to_json(root)
     opened = lambda context, node, json: F.struct(context.alias("context"), json.alias("json"), members(node, json).alias("members"))
     below = lambda o: F.transform(F.filter(o["members"], lambda m: is_container(m["json"])), lambda m, k: opened(inherit(o, m, k), m["node"], m["json"]))
     say = lambda level: F.flatten(F.transform(level, found)).cast(f"array<{kind}>")
-    top = F.when(is_container(text), F.array(opened(first, root, text))).otherwise(F.filter(F.array(opened(first, root, text)), lambda _: F.lit(False)))
-    start = let(top, lambda level: F.struct(level.alias("level"), say(level).alias("out")))
+    start = lambda top: let(top, lambda level: F.struct(level.alias("level"), say(level).alias("out")))
 
     def step(s, _):
         further = let(F.flatten(F.transform(s["level"], below)), lambda level: F.struct(level.alias("level"), F.concat(s["out"], say(level)).alias("out")))
         return F.when(F.size(s["level"]) == 0, s).otherwise(further)
 
-    return F.aggregate(F.sequence(F.lit(1), F.greatest(depth(text), F.lit(1))), start, step, lambda s: s["out"])
+    def walk(read):
+        node, text = read["node"], read["text"]
+        top = let(F.array(opened(first, node, text)), lambda one: F.filter(one, lambda _: is_container(text)))
+        return F.aggregate(F.sequence(F.lit(1), F.greatest(depth(text), F.lit(1))), start(top), step, lambda s: s["out"])
+
+    # the value is parsed and printed once, however often the walk names it
+    return let(let(root, lambda r: F.struct(r.alias("node"), F.to_json(r).alias("text"))), walk)

@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions.ast import ANY, canonical, subtrees
+from quern.sources.shared import forget, written
 
 
 def matching_types(trees: DataFrame, key: str, ast: str) -> DataFrame:
     """(key, group): definitions whose type trees have one structure, names aside; group is the smallest key of the structure. Rows without a tree, or whose tree is no JSON, are in no group."""
-    d = trees.select(F.col(key).alias("__key"), F.sha1(canonical(F.col(ast))).alias("__tree")).where(F.col("__tree").isNotNull())
+    d = written(trees.select(F.col(key).alias("__key"), F.sha1(canonical(F.col(ast))).alias("__tree")), "trees").where(F.col("__tree").isNotNull())
     least = d.groupBy("__tree").agg(F.min("__key").alias("group"))
     return d.join(least, "__tree").select(F.col("__key").alias(key), "group")
 
@@ -23,10 +24,11 @@ def type_index(trees: DataFrame, key: str, ast: str) -> DataFrame:
 
 
 def write_type_index(trees: DataFrame, key: str, ast: str, folder: str) -> None:
-    """The index as two Parquet tables, by hash and by label, each in ranges of its column: a lookup reads the files, and of them the row groups, that can hold the value."""
-    index = type_index(trees, key, ast)
+    """The index as two Parquet tables, by hash and by label, each in ranges of its column: a lookup reads the files, and of them the row groups, that can hold the value. Trees are walked once: ranges are found, and both tables made, from the written sub-terms."""
+    index = written(type_index(trees, key, ast), "subtrees")
     for by in ("hash", "label"):
         index.select("key", "path", by).repartitionByRange(by).sortWithinPartitions(by, "key").write.mode("overwrite").parquet(f"{folder}/{by}")
+    forget(index)
 
 
 def read_type_index(spark: SparkSession, folder: str) -> dict[str, DataFrame]:

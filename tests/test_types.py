@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import ast as A
 from quern.operators import types
+from quern.plans import adapters
 
 
 def var(i, *elims):
@@ -81,3 +82,15 @@ def test_large_trees_with_white_space(spark):
     assert got == {**{f"{k}{i}": f"{k}3" for k in ("deep", "wide") for i in (None, 3)}, **{f"{k}{i}": "name3" for k in ("name", "short") for i in (None, 3)}}
     found = types.type_index(spark.createDataFrame(data[2:4], "k string, ast string"), "k", "ast")
     assert found.where("path = '$.term.elims[3999].term'").count() == 2 and found.count() == 2 * (4 + 4000 * 6)
+
+
+def test_a_tree_is_parsed_once_for_its_form_and_once_for_the_walk(spark):
+    plan = spark.range(1).select(F.lit("{}").alias("ast")).select(A.subtrees(F.col("ast")).alias("s"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("parse_json(") == 2
+
+
+def test_trees_of_a_small_file_are_dealt_to_all_cores(spark, tmp_path):
+    spark.range(50).selectExpr("id AS p_partkey", "cast(id AS int) AS p_size", "'Brand#1' AS p_brand", "'n' AS p_name", "'t' AS p_type").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    for rows in (adapters.type_trees(spark, str(tmp_path)), adapters.typed_parts(spark, str(tmp_path))):
+        assert rows.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+        assert rows.count() == 50
