@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quern.functions.variants import descend
+from quern.functions.variants import descend, let
 
 
 def _get(node: Column, path: str) -> Column:
@@ -28,8 +28,8 @@ def pi_binders(ast: Column) -> Column:
         node = s["node"]
         binder = F.struct(F.coalesce(_get(node, "$.binder.hiding"), F.lit("explicit")).alias("hiding"), F.nullif(F.trim(_get(node, "$.binder.nameHint")), F.lit("")).alias("hint"))
         after = F.when(_get(node, "$.cod.tag") == "Type", F.coalesce(_get(node, "$.cod.term"), _get(node, "$.cod"))).otherwise(_get(node, "$.cod"))
-        pi = _get(node, "$.tag") == "Pi"
-        return F.struct(F.when(pi, after).alias("node"), F.when(pi, F.concat(s["found"], F.array(binder))).otherwise(s["found"]).alias("found"))
+        on = F.struct(after.alias("node"), F.concat(s["found"], F.array(binder)).alias("found"))
+        return F.when(_get(node, "$.tag") == "Pi", on).otherwise(F.struct(F.lit(None).cast("string").alias("node"), s["found"].alias("found")))
 
     return F.aggregate(_steps(ast), start, step, lambda s: s["found"])
 
@@ -48,15 +48,20 @@ def pi_arity(ast: Column) -> Column:
 
 def binder_names(binders: Column) -> Column:
     """Each binder's hint, else i (implicit) or x and how many binders are further in."""
-    n = F.size(binders)
-    return F.transform(binders, lambda b, p: F.coalesce(b["hint"], F.concat(F.when(b["hiding"] == "implicit", "i").otherwise("x"), (n - 1 - p).cast("string"))))
+    name = lambda b, left: F.coalesce(b["hint"], F.concat(F.when(b["hiding"] == "implicit", "i").otherwise("x"), left.cast("string")))
+    return let(binders, lambda all_: F.transform(all_, lambda b, p: name(b, F.size(all_) - 1 - p)))
 
 
 def resolve_index(body: Column, names: Column) -> Column:
     """The binder that "@i" counts to from the innermost; null if the body isn't one or there is none."""
     i = F.try_cast(F.regexp_extract(F.trim(body), r"^@(\d+)$", 1), "bigint") if hasattr(F, "try_cast") else F.regexp_extract(F.trim(body), r"^@(\d+)$", 1).try_cast("bigint")
-    inside = (i >= 0) & (i < F.size(names))
-    return F.when(inside, F.get(names, (F.size(names) - 1 - F.when(inside, i).otherwise(0)).cast("int")))
+
+    def named(x):
+        i, names = x["i"], x["names"]
+        inside = (i >= 0) & (i < F.size(names))
+        return F.when(inside, F.get(names, (F.size(names) - 1 - F.when(inside, i).otherwise(0)).cast("int")))
+
+    return let(F.struct(i.alias("i"), names.alias("names")), named)
 
 
 def sort_tag(ast: Column) -> Column:
