@@ -36,15 +36,14 @@ def declarations(text: Column | str) -> Column:
     context = lambda file, module, at: F.struct(file.alias("file"), module.alias("module"), at.alias("at"))
 
     # an object's own file and module hold for itself as for what it holds
-    here = lambda o: context(F.coalesce(own(o["members"], "file"), o["context"]["file"]), F.coalesce(own(o["members"], "module"), o["context"]["module"]), o["context"]["at"])
-    below = lambda o, m, k: context(here(o)["file"], here(o)["module"], F.concat(o["context"]["at"], F.array(k)))
+    enter = lambda c, members: context(F.coalesce(own(members, "file"), c["file"]), F.coalesce(own(members, "module"), c["module"]), c["at"])
+    below = lambda o, m, k: context(o["context"]["file"], o["context"]["module"], F.concat(o["context"]["at"], F.array(k)))
 
     def found(o):
-        name, kind = own(o["members"], "name"), own(o["members"], "type")
-        said = F.array(F.struct(o["context"]["at"].alias("at"), here(o)["file"].alias("file"), here(o)["module"].alias("module"), name.alias("name"), kind.alias("type")))
+        said = F.array(F.struct(o["context"]["at"].alias("at"), o["context"]["file"].alias("file"), o["context"]["module"].alias("module"), own(o["members"], "name").alias("name"), own(o["members"], "type").alias("type")))
         return F.filter(said, lambda x: x["name"].isNotNull() & x["type"].isNotNull())
 
     nothing = F.lit(None).cast("string")
     root = F.try_parse_json(F.col(text) if isinstance(text, str) else text)
-    every = descend(root, context(nothing, nothing, F.array().cast("array<int>")), below, found, "struct<at:array<int>,file:string,module:string,name:string,type:string>")
+    every = descend(root, context(nothing, nothing, F.array().cast("array<int>")), below, found, "struct<at:array<int>,file:string,module:string,name:string,type:string>", enter)
     return F.transform(F.array_sort(every), lambda d: F.struct(d["file"], d["module"], d["name"], d["type"])).cast(DECLARATION)

@@ -41,14 +41,16 @@ def depth(json: Column) -> Column:
     return F.coalesce(F.aggregate(F.split(brackets, ""), start, step, lambda s: s["most"]), F.lit(0))
 
 
-def descend(root: Column, first: Column, inherit: Callable[[Column, Column, Column], Column], found: Callable[[Column], Column], kind: str) -> Column:
+def descend(root: Column, first: Column, inherit: Callable[[Column, Column, Column], Column], found: Callable[[Column], Column], kind: str, enter: Callable[[Column, Column], Column] | None = None) -> Column:
     """array<kind>: what found says of each container (object or list) of a variant, the outer ones first.
 
     found takes struct(context, json, members) and gives an array; the root's context is first, a container's is
-    inherit(the container around it, its member, the member's place). There are as many rounds as the value is deep. A scalar
+    inherit(the container around it, its member, the member's place); enter, of this and its own members, is taken instead where it is given. There are as many rounds as the value is deep. A scalar
     root or null finds nothing. A value deeper than the JSON parser goes (1,000 levels) is no variant in the first place.
     """
-    opened = lambda context, node, json: F.struct(context.alias("context"), json.alias("json"), members(node, json).alias("members"))
+    plain = lambda context, node, json: F.struct(context.alias("context"), json.alias("json"), members(node, json).alias("members"))
+    own = lambda o: F.struct(enter(o["context"], o["members"]).alias("context"), o["json"].alias("json"), o["members"].alias("members"))
+    opened = plain if enter is None else lambda context, node, json: let(plain(context, node, json), own)
     below = lambda o: F.transform(F.filter(o["members"], lambda m: is_container(m["json"])), lambda m, k: opened(inherit(o, m, k), m["node"], m["json"]))
     say = lambda level: F.flatten(F.transform(level, found)).cast(f"array<{kind}>")
     start = lambda top: let(top, lambda level: F.struct(level.alias("level"), say(level).alias("out")))

@@ -289,7 +289,7 @@ w AS (SELECT p_partkey, id, value->>'$.file' AS file, value->>'$.module' AS modu
 SELECT p_partkey, file, module, value->>'$.name' AS name, value->>'$.type' AS type FROM w WHERE type = 'OBJECT' AND json_type(value, '$.name') = 'VARCHAR' AND json_type(value, '$.type') = 'VARCHAR'""")
 def nested_declarations(spark, sf):
     """Declarations at any depth of a document, with the file and module around them."""
-    p = T.table(spark, sf, "part")
+    p = T.spread(T.table(spark, sf, "part"))
     deep = (F.col("p_size") % 6).cast("int")
     say = lambda *xs: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in xs])
     doc = say('{"file":"F', (F.col("p_size") % 9).cast("string"), '","decls":[{"name":"', F.col("p_name"), '","type":"', F.col("p_type"), '"},{"module":"M', (F.col("p_partkey") % 5).cast("string"), '","kids":[[{"name":"k","type":"', F.col("p_brand"), '","inner":{"file":"G","name":"deep","type":"T', F.col("p_size").cast("string"), '"}}]]},{"name":7,"type":"no"},',
