@@ -172,21 +172,22 @@ def fnv1a32(s: Column) -> Column:
 def split_arrows(type_: Column) -> Column:
     """Parts of a type string between its top-level arrows, trimmed, without empty ones.
 
-    One fold over the characters keeps the depth of each of the three kinds of brackets (none below 0) and the open part.
+    One fold over brackets, arrows and the runs between keeps the depth of each of the three kinds of brackets (none below 0) and the open part.
     """
-    chars = F.split(F.coalesce(type_, F.lit("")), "")
+    runs = F.regexp_extract_all(F.coalesce(type_, F.lit("")), F.lit(r"->|[→\-(){}\[\]]|[^→\-(){}\[\]]+"), F.lit(0))
     kinds = ("()", "{}", "[]")
     start = F.struct(*[F.lit(0).alias(f"d{k}") for k in range(3)], F.lit("").alias("part"), F.array().cast("array<string>").alias("parts"))
 
     def step(s, c):
-        depths = [F.greatest(F.lit(0), s[f"d{k}"] + F.when(c == pair[0], 1).when(c == pair[1], -1).otherwise(0)) for k, pair in enumerate(kinds)]
-        top = (depths[0] == 0) & (depths[1] == 0) & (depths[2] == 0)
-        long, short = (c == "→") & top, (c == ">") & top & F.endswith(s["part"], F.lit("-"))
-        whole = F.when(short, F.substr(s["part"], F.lit(1), F.length(s["part"]) - 1)).otherwise(s["part"])
-        part = F.when(long | short, "").otherwise(F.concat(s["part"], c))
-        return F.struct(*[d.alias(f"d{k}") for k, d in enumerate(depths)], part.alias("part"), F.when(long | short, F.concat(s["parts"], F.array(whole))).otherwise(s["parts"]).alias("parts"))
-
-    return F.filter(F.aggregate(chars, start, step, lambda s: F.transform(F.concat(s["parts"], F.array(s["part"])), lambda x: F.trim(x))), lambda p: p != "")
+        at = lambda part, parts, **depths: F.struct(*[depths.get(f"d{k}", s[f"d{k}"]).alias(f"d{k}") for k in range(3)], part.alias("part"), parts.alias("parts"))
+        longer = F.concat(s["part"], c)
+        top = (s["d0"] == 0) & (s["d1"] == 0) & (s["d2"] == 0)
+        out = F.when(c.isin("→", "->") & top, at(F.lit(""), F.concat(s["parts"], F.array(s["part"]))))
+        for k, (opening, closing) in enumerate(kinds):
+            out = out.when(c == opening, at(longer, s["parts"], **{f"d{k}": s[f"d{k}"] + 1})).when(c == closing, at(longer, s["parts"], **{f"d{k}": F.greatest(F.lit(0), s[f"d{k}"] - 1)}))
+        return out.otherwise(at(longer, s["parts"]))
+
+    return F.filter(F.aggregate(runs, start, step, lambda s: F.transform(F.concat(s["parts"], F.array(s["part"])), lambda x: F.trim(x))), lambda p: p != "")
 
 
 def path_stem(path: Column) -> Column:
