@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.functions.variants import let
+
 #: First words of a line that can't be a declaration.
 NO_DECLARATION = ("postulate", "open", "import", "module", "data", "record", "mutual", "where", "infix", "infixl", "infixr", "syntax", "pragma", "private")
 #: Codes of errors that keep a file from being loaded, of warnings that explain an error below them, of errors of scope, and of what is left open.
@@ -59,9 +61,10 @@ def declarations(lines: DataFrame, key: str) -> DataFrame:
     A proof closes its declaration; a name that is declared again before its proof takes the new type. What comes before a line's
     first = is its left side, whole.
     """
-    trimmed = _strip(F.col("line"))
-    decl = is_declaration(F.col("line"))
-    d = lines.where(decl | is_proof(F.col("line"))).withColumn("decl", decl)
+    read = lambda line: F.struct(line.alias("line"), is_declaration(line).alias("decl"), is_proof(line).alias("proof"))
+    some = F.filter(F.transform(F.transform(F.array("line"), _strip), read), lambda x: x["decl"] | x["proof"])
+    d = lines.select(key, "line_no", F.inline(some))  # a line is trimmed and told once: no filter is moved into an inline
+    trimmed = F.col("line")
     split = F.instr(trimmed, "=")
     d = d.withColumns({
         "name": F.when(F.col("decl"), F.regexp_extract(trimmed, _DECLARED, 1)).otherwise(_strip(F.substr(trimmed, F.lit(1), split - 1))),
@@ -97,11 +100,13 @@ def goal_and_context(text: Column, prefix: str = "") -> Column:
     squeeze = lambda c: _strip(F.regexp_replace(c, r"\s+", " "))
     start = F.struct(F.lit("").alias("mode"), F.lit(None).cast("string").alias("goal"), F.array().cast(f"array<{entry}>").alias("ctx"))
 
-    def step(s, raw):
-        line = _strip(raw)
-        parts = F.split(F.substr(line, F.lit(len(m["ctx"]) + 1)), ":", 4)
-        index = _strip(F.get(parts, F.lit(0))).try_cast("int")
-        goal, ctx = F.startswith(line, F.lit(m["goal"])), F.startswith(line, F.lit(m["ctx"])) & (F.size(parts) == 4) & index.isNotNull()
+    def read_line(line):
+        parts = F.when(F.startswith(line, F.lit(m["ctx"])), F.split(F.substr(line, F.lit(len(m["ctx"]) + 1)), ":", 4))
+        return let(parts, lambda p: F.struct(line.alias("line"), p.alias("parts"), F.when(F.size(p) == 4, _strip(F.get(p, F.lit(0))).try_cast("int")).alias("index")))
+
+    def step(s, read):
+        line, parts, index = read["line"], read["parts"], read["index"]
+        goal, ctx = F.startswith(line, F.lit(m["goal"])), index.isNotNull()
         marks, skip = line.rlike("^(" + "|".join(rf"\Q{m[k]}\E" for k in ("begin", "end", "goal", "ctx")) + ")"), (line == "") | line.isin(m["ctx_begin"], m["ctx_end"])
         new = F.struct(index.alias("index"), *[_strip(F.get(parts, F.lit(k))).alias(n) for k, n in ((1, "visibility"), (2, "name"), (3, "type"))])
         last = F.get(s["ctx"], F.size(s["ctx"]) - 1)
@@ -112,11 +117,16 @@ def goal_and_context(text: Column, prefix: str = "") -> Column:
         listed = F.when(ctx, F.concat(s["ctx"], F.array(new))).when(on & (s["mode"] == "ctx"), longer).otherwise(s["ctx"])
         return F.struct(mode.alias("mode"), told.alias("goal"), listed.cast(f"array<{entry}>").alias("ctx"))
 
-    read = F.aggregate(F.split(block, "\n"), start, step)
-    placed = F.array_sort(F.transform(read["ctx"], lambda e, i: F.struct(e["index"].alias("index"), i.alias("i"), e.alias("e"))))
-    by_lines = F.when(read["goal"].isNotNull(), F.struct(squeeze(read["goal"]).alias("goal"), F.transform(placed, lambda x: x["e"].withField("type", squeeze(x["e"]["type"]))).alias("context")))
-    by_json = F.from_json(block, f"struct<goal: string, context: array<{entry}>>")
-    return F.when(F.json_object_keys(block).isNotNull(), by_json).otherwise(by_lines)
+    def by_lines(read):
+        placed = F.array_sort(F.transform(read["ctx"], lambda e, i: F.struct(e["index"].alias("index"), i.alias("i"), e.alias("e"))))
+        return F.when(read["goal"].isNotNull(), F.struct(squeeze(read["goal"]).alias("goal"), F.transform(placed, lambda x: x["e"].withField("type", squeeze(x["e"]["type"]))).alias("context")))
+
+    def read_block(block):
+        lines = F.transform(F.transform(F.split(block, "\n"), _strip), read_line)
+        by_json = F.from_json(block, f"struct<goal: string, context: array<{entry}>>")
+        return F.when(F.json_object_keys(block).isNotNull(), by_json).otherwise(let(F.aggregate(lines, start, step), by_lines))
+
+    return let(block, read_block)
 
 
 def blocks(lines: DataFrame, key: str, header: Column, boundary: Column | None = None) -> DataFrame:
