@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.sources.shared import written
+
 
 def term_counts(docs: DataFrame, doc: str, tokens: Column) -> DataFrame:
     """(doc, token, tf)."""
@@ -25,10 +27,27 @@ def tfidf(terms: DataFrame, vocab: DataFrame) -> DataFrame:
 
 
 def all_matches(queries: DataFrame, docs: DataFrame, k: int, a: str = "weight", b: str = "weight") -> DataFrame:
-    """(query, doc, score, place): the k best by the sparse product of (doc, token, weight) tables, joined on tokens, ties by document. For short documents, whose weights are much alike: no bound would leave anything out."""
-    q = queries.select(F.col("doc").alias("query"), "token", F.col(a).alias("wq"))
-    d = docs.select("doc", "token", F.col(b).alias("wd"))
-    return best_of(q.join(d, "token").groupBy("query", "doc").agg(F.sum(F.col("wq") * F.col("wd")).alias("score")), k)
+    """(query, doc, score, place): the k best by the sparse product of (doc, token, weight) tables, joined on tokens, ties by document. For short documents, whose weights are much alike: no bound would leave anything out.
+
+    Documents of the same tokens and weights score alike: one for each such bag is compared, and of a bag only its k first documents
+    can come in. So pairs grow with the number of different bags, not of copies.
+    """
+    q, d = _bags(queries, a), _bags(docs, b)
+    asked = q.groupBy("bag").agg(F.min("doc").alias("query"))
+    first = Window.partitionBy("bag").orderBy("doc")
+    members = written(d.withColumn("at", F.row_number().over(first)).where(F.col("at") <= k).withColumn("class", F.first("doc").over(first)), "members")
+    qt = asked.select("query", F.inline("bag")).withColumnRenamed("weight", "wq")
+    dt = members.where(F.col("at") == 1).select("class", F.inline("bag")).withColumnRenamed("weight", "wd")
+    scores = qt.join(dt, "token").groupBy("query", F.col("class").alias("doc")).agg(F.sum(F.col("wq") * F.col("wd")).alias("score"))
+    # a bag past the k-th has k documents before its own first one
+    near = best_of(scores, k).select("query", F.col("doc").alias("class"), "score").join(members.select("class", "doc"), "class")
+    each = asked.withColumnRenamed("query", "one").join(q.withColumnRenamed("doc", "query"), "bag").select("one", "query")
+    return best_of(near, k).withColumnRenamed("query", "one").join(each, "one").select("query", "doc", "score", "place")
+
+
+def _bags(vectors: DataFrame, weight: str) -> DataFrame:
+    """(doc, bag): each document's tokens with their weights, in order."""
+    return vectors.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("token", F.col(weight).alias("weight")))).alias("bag"))
 
 
 def best_of(scores: DataFrame, k: int) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from quern.functions import ast as A
 from quern.functions import text as X
-from quern.plans import catalogue
+from quern.operators import retrieval
 
 SF = os.environ.get("QUERN_SF_DIR", "/root/testdata/sf0.001")
 
@@ -23,7 +23,7 @@ def test_rows_of_a_small_file_are_dealt_to_all_cores(spark, name):
 
 
 def test_matching_types_reads_each_tree_once(spark):
-    assert "parse_json" not in plan_of(entry.queries()["matching_types"](spark, SF), "optimizedPlan")
+    assert "regexp_replace" not in plan_of(entry.queries()["matching_types"](spark, SF), "optimizedPlan")
 
 
 def test_an_index_is_resolved_from_names_that_are_found_once(spark):
@@ -38,6 +38,22 @@ def test_arrows_between_runs(spark):
     assert {r["t"]: r["p"] for r in d.collect()} == cases
 
 
-def test_declarations_trim_a_line_before_it_is_dealt_out(spark):
-    d = catalogue.extract_declarations(spark, SF)
-    assert plan_of(d, "optimizedPlan").count(r"\A\s+|\s+\z") < 20
+def test_copies_are_compared_once_a_bag(spark):
+    words = [("a b", 4), ("a", 3), ("b c c", 5), ("z", 2)]
+    docs = [(100 + 7 * k, w) for k, w in enumerate([w for w, n in words for _ in range(n)])]
+    table = lambda rows: retrieval.term_counts(spark.createDataFrame(rows, "id int, text string"), "id", X.letter_tokens(F.col("text"))).withColumnRenamed("tf", "weight")
+    asked = [(1, "a b"), (2, "c"), (3, "b a"), (4, "q")]
+    got = {(r["query"], r["place"]): (r["doc"], r["score"]) for r in retrieval.all_matches(table(asked), table(docs), 6).collect()}
+    want = {}
+    for q, text in asked:
+        scores = sorted((-sum(text.split().count(t) * w.split().count(t) for t in set(text.split())), d) for d, w in docs)
+        want |= {(q, k + 1): (d, -s) for k, (s, d) in enumerate([x for x in scores if x[0] < 0][:6])}
+    assert got == want
+
+
+def test_a_score_joins_bags_not_documents(spark):
+    same = spark.range(500).select(F.col("id").alias("doc"), F.lit("a").alias("token"), F.lit(1).alias("weight"))
+    found = retrieval.all_matches(same.where("doc < 100"), same, 3)
+    assert found.count() == 300
+    assert {r["doc"] for r in found.collect()} == {0, 1, 2}
+    assert "collect_list" in plan_of(found)
