@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from quern.functions import ast as A
 from quern.functions import text as X
-from quern.operators import retrieval
+from quern.operators import neighbours, retrieval
 
 SF = os.environ.get("QUERN_SF_DIR", "/root/testdata/sf0.001")
 
@@ -57,3 +57,34 @@ def test_a_score_joins_bags_not_documents(spark):
     assert found.count() == 300
     assert {r["doc"] for r in found.collect()} == {0, 1, 2}
     assert "collect_list" in plan_of(found)
+
+
+def test_a_block_product_is_held_in_slices(monkeypatch):
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    schema = pa.schema([("query", pa.int64()), ("id", pa.int64()), ("cosine", pa.float64())])
+    x = np.random.default_rng(1).normal(size=(3000, 8))
+    table = lambda ids, v: pa.table({"id": pa.array(ids), "v": pa.array(list(v), pa.list_(pa.float64()))})
+    asked, every = table(np.arange(2000), x[:2000]), table(np.arange(3000), x)
+    tracemalloc.start()
+    got = neighbours._best(asked, every, 5, schema)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40_000_000  # the whole product takes 48 MB, and its copies
+    scores = x[:2000] @ x.T
+    scores[np.arange(2000), np.arange(2000)] = -np.inf
+    want = np.argsort(-scores, axis=1)[:, :5]
+    assert (got.column("id").to_numpy().reshape(2000, 5) == want).all() and (got.column("query").to_numpy() == np.repeat(np.arange(2000), 5)).all()
+
+
+def test_tokens_are_counted_in_one_shuffle_without_a_row_for_each(spark, tmp_path):
+    rows = [(1, "Aa aA λ Λ -> _X y_ {b 12"), (1, "aa new"), (2, "   "), (3, None), (4, "Z'z _Q_")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    d = entry.queries()["tokenize_docs"](spark, str(tmp_path))
+    terms = retrieval.term_counts(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", X.retrieval_tokens(F.col("text")))
+    want = {r["doc"]: (r["d"], r["n"]) for r in terms.groupBy("doc").agg(F.count("*").alias("d"), F.sum("tf").alias("n")).collect()}
+    assert {r["doc"]: (r["n_distinct"], r["n_tokens"]) for r in d.collect()} == want
+    assert plan_of(d, "optimizedPlan").count("Aggregate") == 1
