@@ -76,7 +76,7 @@ def dependency_tokens(text: Column) -> Column:
 def retrieval_tokens(text: Column) -> Column:
     """Names between underscores as they are, two-sign arrows, ASCII words in lower case, numbers, and runs of SIGNS; the first of these that fits at a place."""
     pattern = f"_[^{WIDE_SPACE}]+_|->|=>|[A-Za-z][A-Za-z0-9_']*|[0-9]+|[{SIGNS}]+"
-    return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda t: F.when(t.rlike(r"^[A-Za-z][A-Za-z0-9_']*$"), F.lower(t)).otherwise(t))
+    return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda t: F.when((t >= "A") & (t < "["), F.lower(t)).when((t >= "a") & (t < "{"), F.lower(t)).otherwise(t))
 
 
 def query_text(goal: Column, context: Column) -> Column:
