@@ -48,7 +48,7 @@ def chains(edges: DataFrame) -> DataFrame | None:
     """
     out = edges.groupBy(F.col("s").alias("node")).agg(F.count("*").alias("o"), F.min("d").alias("end"), F.min("w").alias("w"))
     into = edges.groupBy(F.col("d").alias("node")).agg(F.count("*").alias("i"))
-    alone = out.join(into, "node").where((F.col("o") == 1) & (F.col("i") == 1))
+    alone = out.join(into.hint("merge"), "node").where((F.col("o") == 1) & (F.col("i") == 1))
     t = written(alone.select("node", "end", "w", F.col("node").alias("least")), "chains")
     left = n = t.count()
     for _ in range(math.ceil(math.log2(max(n, 1))) + 1):
@@ -56,14 +56,14 @@ def chains(edges: DataFrame) -> DataFrame | None:
             break
         on = t.select(F.col("node").alias("end"), F.col("end").alias("__end"), F.col("w").alias("__w"), F.col("least").alias("__least"))
         seen = Observation()
-        far = t.join(on, "end", "left").select("node", F.coalesce("__end", "end").alias("end"), (F.col("w") + F.coalesce("__w", F.lit(0))).alias("w"), F.least("least", F.coalesce("__least", "least")).alias("least"), F.col("__end").isNotNull().alias("open"))
+        far = t.join(on.hint("merge"), "end", "left").select("node", F.coalesce("__end", "end").alias("end"), (F.col("w") + F.coalesce("__w", F.lit(0))).alias("w"), F.least("least", F.coalesce("__least", "least")).alias("least"), F.col("__end").isNotNull().alias("open"))
         new = written(far.observe(seen, F.count_if("open").alias("open")).drop("open"), "chains")
         forget(t)
         t, left = new, seen.get["open"]
     if not n:
         forget(t)
         return None
-    ring = t.join(t.select(F.col("node").alias("end"), F.lit(True).alias("ring")), "end", "left") if left else t.withColumn("ring", F.lit(False))
+    ring = t.join(t.select(F.col("node").alias("end"), F.lit(True).alias("ring")).hint("merge"), "end", "left") if left else t.withColumn("ring", F.lit(False))
     out = written(ring.select("node", "end", "w", "least", F.coalesce("ring", F.lit(False)).alias("ring")), "chains")
     forget(t)
     return out
@@ -209,7 +209,7 @@ def strong_components(edges: DataFrame, nodes: DataFrame, src: str = "src", dst:
     in that one; a chain that closes upon itself is a component. Of the rest each round drops nodes that nothing leads to
     or that lead nowhere, again and again: each is a component of its own. What is left is coloured forward by the
     smallest node that reaches a node; the nodes of a colour that lead back to it are its component. Every round settles some nodes, so it ends;
-    no component is held in one place.
+    no component is held in one place. Tables are joined by shuffles at any size: small ones that are broadcast in each round add up at the driver.
     """
     every = nodes.select("node").distinct()
     ends = edges.where(F.col(src).isNotNull() & F.col(dst).isNotNull())
@@ -217,22 +217,22 @@ def strong_components(edges: DataFrame, nodes: DataFrame, src: str = "src", dst:
     whole = written(edges.select(F.col(src).alias("s"), F.col(dst).alias("d"), F.lit(1).alias("w")).where(F.col(src).isNotNull() & F.col(dst).isNotNull() & (F.col(src) != F.col(dst))).distinct(), "edges")
     line = chains(whole)
     if line is None:
-        return every.join(_strong(whole.select("s", "d"), known), "node")
+        return every.join(_strong(whole.select("s", "d"), known).hint("merge"), "node")
     back = chains(whole.select(F.col("d").alias("s"), F.col("s").alias("d"), "w")).select("node", F.col("end").alias("start"))
-    outer = whole.join(line.select(F.col("node").alias("s")), "s", "left_anti").join(line.select(F.col("node").alias("d"), "end"), "d", "left")
+    outer = whole.join(line.select(F.col("node").alias("s")).hint("merge"), "s", "left_anti").join(line.select(F.col("node").alias("d"), "end").hint("merge"), "d", "left")
     short = written(outer.select("s", F.coalesce("end", "d").alias("d")).where(F.col("s") != F.col("d")).distinct(), "edges")
     forget(whole)
-    rest = written(_strong(short, known.join(line.select("node"), "node", "left_anti")), "components")
-    at = lambda c: rest.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}"))
-    placed = line.where(~F.col("ring")).join(back, "node").join(at("start"), "start", "left").join(at("end"), "end", "left")
+    rest = written(_strong(short, known.join(line.select("node").hint("merge"), "node", "left_anti")), "components")
+    at = lambda c: rest.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}")).hint("merge")
+    placed = line.where(~F.col("ring")).join(back.hint("merge"), "node").join(at("start"), "start", "left").join(at("end"), "end", "left")
     inner = placed.select("node", F.when(F.col("of_start") == F.col("of_end"), F.col("of_start")).alias("of"))
     rings = line.where("ring").select("node", F.col("least").alias("component"))
     alone = inner.where(F.col("of").isNull()).select("node", F.col("node").alias("component"))
     # a component is named anew where one of its chains holds a smaller node
     tied = rest.select("node", F.col("component").alias("of")).unionAll(inner.where(F.col("of").isNotNull()))
     least = tied.groupBy("of").agg(F.min("node").alias("component"))
-    found = tied.join(least, "of").select("node", "component").unionAll(alone).unionAll(rings)
-    return every.join(found, "node")
+    found = tied.join(least.hint("merge"), "of").select("node", "component").unionAll(alone).unionAll(rings)
+    return every.join(found.hint("merge"), "node")
 
 
 def _strong(e: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -240,7 +240,7 @@ def _strong(e: DataFrame, nodes: DataFrame) -> DataFrame:
     left, e = written(nodes, "nodes"), written(e, "edges")
     done = None
     add = lambda found: found if done is None else done.unionAll(found)
-    inside = lambda: e.join(left.select(F.col("node").alias("s")), "s", "left_semi").join(left.select(F.col("node").alias("d")), "d", "left_semi").select("s", "d")
+    inside = lambda: e.join(left.select(F.col("node").alias("s")).hint("merge"), "s", "left_semi").join(left.select(F.col("node").alias("d")).hint("merge"), "d", "left_semi").select("s", "d")
 
     def swap(old: DataFrame, new: DataFrame, name: str) -> DataFrame:
         new = written(new, name)
@@ -249,23 +249,23 @@ def _strong(e: DataFrame, nodes: DataFrame) -> DataFrame:
 
     while True:
         while True:  # nodes without a way in or out
-            both = e.select(F.col("s").alias("node")).intersect(e.select(F.col("d").alias("node")))
-            alone = written(left.join(both, "node", "left_anti"), "alone")
+            both = e.select(F.col("s").alias("node")).distinct().join(e.select(F.col("d").alias("node")).hint("merge"), "node", "left_semi")
+            alone = written(left.join(both.hint("merge"), "node", "left_anti"), "alone")
             if alone.isEmpty():
                 break
             done = add(alone.select("node", F.col("node").alias("component")))
-            left = swap(left, left.join(alone, "node", "left_anti"), "nodes")
+            left = swap(left, left.join(alone.hint("merge"), "node", "left_anti"), "nodes")
             e = swap(e, inside(), "edges")
         if left.isEmpty():
             forget(left, e)
             return done if done is not None else nodes.select("node", F.col("node").alias("component"))
         colour = _spread(e, left.select("node", F.col("node").alias("label")), "s", "d")
         own = colour.select(F.col("node").alias("s"), F.col("label").alias("ls"))
-        inner = written(e.join(own, "s").join(colour.select(F.col("node").alias("d"), F.col("label").alias("ld")), "d").where(F.col("ls") == F.col("ld")).select("s", "d"), "inner")
+        inner = written(e.join(own.hint("merge"), "s").join(colour.select(F.col("node").alias("d"), F.col("label").alias("ld")).hint("merge"), "d").where(F.col("ls") == F.col("ld")).select("s", "d"), "inner")
         back = _reached(inner, colour.where(F.col("node") == F.col("label")).select("node", "label"))
         forget(inner, colour)
         done = add(back.select("node", F.col("label").alias("component")))
-        left = swap(left, left.join(back, "node", "left_anti"), "nodes")
+        left = swap(left, left.join(back.hint("merge"), "node", "left_anti"), "nodes")
         e = swap(e, inside(), "edges")
 
 
@@ -273,11 +273,11 @@ def _spread(e: DataFrame, labels: DataFrame, a: str, b: str) -> DataFrame:
     """(node, label), written: the smallest label that reaches a node along edges from a to b. Each round a label goes one edge on, and then to where its own node's label has come."""
     labels = written(labels, "labels")
     while True:
-        near = e.join(labels, e[a] == labels["node"]).groupBy(F.col(b).alias("__b")).agg(F.min("label").alias("__least"))
+        near = e.join(labels.hint("merge"), e[a] == labels["node"]).groupBy(F.col(b).alias("__b")).agg(F.min("label").alias("__least"))
         seen = Observation()
-        step = labels.join(near, labels["node"] == near["__b"], "left").select("node", F.least("label", F.coalesce("__least", "label")).alias("label"), F.col("label").alias("old"))
+        step = labels.join(near.hint("merge"), labels["node"] == near["__b"], "left").select("node", F.least("label", F.coalesce("__least", "label")).alias("label"), F.col("label").alias("old"))
         jump = labels.select(F.col("node").alias("__j"), F.col("label").alias("__further"))
-        step = step.join(jump, step["label"] == jump["__j"], "left").select("node", F.least("label", F.coalesce("__further", "label")).alias("label"), "old")
+        step = step.join(jump.hint("merge"), step["label"] == jump["__j"], "left").select("node", F.least("label", F.coalesce("__further", "label")).alias("label"), "old")
         new = written(step.observe(seen, F.count_if(F.col("label") != F.col("old")).alias("moved")).select("node", "label"), "labels")
         forget(labels)
         labels = new
@@ -289,8 +289,8 @@ def _reached(e: DataFrame, roots: DataFrame) -> DataFrame:
     """(node, label), written, of nodes that lead to a root, by the root's label."""
     found, front = written(roots, "found"), written(roots, "front")
     while True:
-        step = front.join(e, front["node"] == e["d"]).select(F.col("s").alias("node"), "label").distinct()
-        new = written(step.join(found.select("node"), "node", "left_anti"), "front")
+        step = front.join(e.hint("merge"), front["node"] == e["d"]).select(F.col("s").alias("node"), "label").distinct()
+        new = written(step.join(found.select("node").hint("merge"), "node", "left_anti"), "front")
         forget(front)
         front = new
         if front.isEmpty():

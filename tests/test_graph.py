@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from quern.operators import graph
 
@@ -100,3 +101,15 @@ def test_empty_graphs(spark):
     assert graph.longest_path(none) == 0 and graph.longest_path(spark.createDataFrame([(1, 1)], EDGES)) is None
     for f in (graph.strong_components, graph.connected_components):
         assert sorted(map(tuple, f(none, nodes).collect())) == [(1, 1), (2, 2)] and f(none, nodes.limit(0)).count() == 0
+
+
+def test_strong_components_send_no_table_through_the_driver(spark):
+    executions = spark._jsparkSession.sharedState().statusStore()
+    before = executions.executionsCount()
+    e = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 4), (4, 5), (5, 6), (6, 4), (6, 7), (2, 9), (9, 2)], EDGES)
+    nodes = e.select(F.col("src").alias("node")).union(e.select("dst")).distinct()
+    got = {x["node"]: x["component"] for x in graph.strong_components(e, nodes).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 9: 1, 4: 4, 5: 4, 6: 4, 7: 7}
+    ran = executions.executionsList(before, executions.executionsCount() - before)
+    assert ran.size() > 3
+    assert not any("BroadcastExchange" in ran.apply(k).physicalPlanDescription() for k in range(ran.size()))
