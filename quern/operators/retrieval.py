@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.sources.shared import written
+from quern.sources.shared import written, written_by
+
+#: Tokens whose weights are broadcast, at most: the most frequent ones, about 20 MB. The others are joined by shuffle.
+HEAD = 200_000
 
 
 def term_counts(docs: DataFrame, doc: str, tokens: Column) -> DataFrame:
@@ -13,6 +16,13 @@ def term_counts(docs: DataFrame, doc: str, tokens: Column) -> DataFrame:
     return docs.select(F.col(doc).alias("doc"), F.explode(tokens).alias("token")).groupBy("doc", "token").agg(F.count("*").alias("tf"))
 
 
+def term_table(docs: DataFrame, doc: str, tokens: Column) -> DataFrame:
+    """(doc, token, tf), written in buckets of documents: texts are shuffled, which takes less than their tokens, and what follows by document is not."""
+    n = max(4 * docs.rdd.getNumPartitions(), 2 * docs.sparkSession.sparkContext.defaultParallelism)
+    text = docs.repartition(n, F.col(doc)).select(F.col(doc).alias("doc"), F.explode(tokens).alias("token"))
+    return written_by(text.groupBy("doc", "token").agg(F.count("*").alias("tf")), "doc", n, "terms")
+
+
 def vocabulary(terms: DataFrame, n_docs: Column) -> DataFrame:
     """(token, df, idf): idf = ln((1 + n) / (1 + df)) + 1."""
     df = terms.groupBy("token").agg(F.count("*").alias("df"))
@@ -26,6 +36,25 @@ def tfidf(terms: DataFrame, vocab: DataFrame) -> DataFrame:
     return raw.withColumn("norm", norm).where(F.col("norm") > 0).select("doc", "token", (F.col("w") / F.col("norm")).alias("weight"))
 
 
+def tfidf_table(terms: DataFrame, vocab: DataFrame, head: int = HEAD) -> DataFrame:
+    """The same of a term_table and a written vocabulary, without a shuffle of all terms.
+
+    Terms of the head most frequent tokens meet their weights where they lie; only the others are shuffled, by token and by document. Lengths
+    are sums of both, one row a document, and meet the terms in their buckets.
+    """
+    idf = vocab.select("token", "df", "idf")
+    top = written(idf.orderBy(F.desc("df"), "token").limit(head).select("token", "idf"), "head")
+    w = (F.log1p("tf") * F.col("idf")).alias("w")
+    often = terms.join(F.broadcast(top), "token").select("doc", "token", w)
+    rest = terms.join(F.broadcast(top), "token", "left_anti").join(idf.join(F.broadcast(top), "token", "left_anti").hint("merge"), "token")
+    rest = written(rest.select("doc", "token", w), "rest")
+    square = F.sum(F.col("w") * F.col("w")).alias("s")
+    parts = often.groupBy("doc").agg(square).unionAll(rest.groupBy("doc").agg(square))
+    norms = written(parts.groupBy("doc").agg(F.sqrt(F.sum("s")).alias("norm")).where(F.col("norm") > 0), "norms")
+    weight = (F.col("w") / F.col("norm")).alias("weight")
+    return often.join(norms.hint("merge"), "doc").select("doc", "token", weight).unionAll(rest.join(norms, "doc").select("doc", "token", weight))
+
+
 def all_matches(queries: DataFrame, docs: DataFrame, k: int, a: str = "weight", b: str = "weight") -> DataFrame:
     """(query, doc, score, place): the k best by the sparse product of (doc, token, weight) tables, joined on tokens, ties by document. For short documents, whose weights are much alike: no bound would leave anything out.
 

@@ -39,6 +39,16 @@ def written(df: DataFrame, name: str = "table") -> DataFrame:
     return out
 
 
+def written_by(df: DataFrame, by: str, n: int, name: str = "table") -> DataFrame:
+    """df, dealt to n partitions by the hash of a column, written as n buckets and read again: what is grouped or joined by that column afterwards isn't shuffled."""
+    spark, path, table = df.sparkSession, new_path(df.sparkSession, name), f"{name}_{uuid.uuid4().hex}"
+    df.write.bucketBy(n, by).option("path", path).saveAsTable(table)
+    out = spark.table(table)
+    spark.sql(f"DROP TABLE {table}")  # the name only: the files lie outside the warehouse
+    out.written_at = path
+    return out
+
+
 def forget(*tables: DataFrame) -> None:
     """Delete the files of written tables that nothing reads any more."""
     for df in tables:

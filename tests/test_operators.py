@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quern.operators import curate, evaluate, graph, retrieval, stats, validate
+from quern.sources.shared import written
 from quern.sources import readers, writers
 from quern.streaming import ledger
 
@@ -197,3 +198,20 @@ def test_samples_and_splits(spark):
     capped = curate.hash_sample_capped(d, "q", "m", 6, 2, "s").collect()
     assert len(capped) == 6 and max(sum(r["m"] == m for r in capped) for m in ("m0", "m1", "m2")) == 2
     assert len(curate.random_split(d, (0.9, 0.1))) == 2
+
+
+def test_tfidf_of_buckets_is_that_of_rows(spark):
+    """Few or many tokens broadcast, rows that repeat an id, texts without tokens: the same weights, and the terms aren't shuffled by document."""
+    rows = [(k % 40, " ".join(f"t{(k * j) % 23 + j % 3}" for j in range(k % 9))) for k in range(90)] + [(41, None), (42, "once")]
+    docs = spark.createDataFrame(rows, "doc int, t string")
+    tokens = F.filter(F.split("t", " "), lambda x: x != "")
+    terms = retrieval.term_table(docs, "doc", tokens)
+    assert "Exchange" not in terms.groupBy("doc").agg(F.sum("tf"))._jdf.queryExecution().executedPlan().toString()
+    vocab = written(retrieval.vocabulary(terms, F.lit(43)))
+    key = lambda d: sorted((r["doc"], r["token"], round(r["weight"], 9)) for r in d.collect())
+    plain = retrieval.term_counts(docs, "doc", tokens)
+    want = key(retrieval.tfidf(plain, retrieval.vocabulary(plain, F.lit(43))))
+    assert len(want) > 100 and {len(want)} == {len(set(w[:2] for w in want))}
+    for head in (1, 5, 1000):
+        assert key(retrieval.tfidf_table(terms, vocab, head)) == want
+    assert not spark.catalog.listTables()
