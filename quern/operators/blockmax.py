@@ -22,19 +22,21 @@ def posting_blocks(vectors: DataFrame, size: int = SIZE) -> DataFrame:
     multiple of size. A frequent token's list is many rows, and no task sorts it alone. postings are in order of
     documents, top is the greatest weight. The result reads a written table: forget it when it is done with.
     """
-    rows = numbered(vectors.where(F.col("weight") > 0).select("doc", "token", "weight"), "token", F.desc("weight"), "doc")
+    rows = numbered(vectors.where((F.col("weight") > 0) & F.col("doc").isNotNull()).select("doc", "token", "weight"), "token", F.desc("weight"), "doc")
     block = F.floor(F.col("row") / size).alias("block")
-    out = rows.groupBy("token", block).agg(F.count("*").cast("int").alias("n"), F.max("weight").alias("top"), F.array_sort(F.collect_list(F.struct("doc", "weight"))).alias("postings"))
+    # two lists of numbers take a third less than one of pairs; neither column has nulls, so they are in step
+    lists = rows.groupBy("token", block).agg(F.count("*").cast("int").alias("n"), F.max("weight").alias("top"), F.collect_list("doc").alias("doc"), F.collect_list("weight").alias("weight"))
+    out = lists.select("token", "block", "n", "top", F.array_sort(F.arrays_zip("doc", "weight")).alias("postings"))
     out.written_at = rows.written_at
     return out
 
 
 def write_postings(vectors: DataFrame, folder: str, size: int = SIZE) -> None:
-    """The blocks in ranges of (token, block), so a lookup reads the row groups of its tokens, and the vectors in ranges of documents, to complete scores."""
-    blocks = posting_blocks(vectors, size)
+    """The blocks in ranges of (token, block), so a lookup reads the row groups of its tokens, and the vectors as they come, to complete scores."""
+    vectors.where(F.col("weight") > 0).select("doc", "token", "weight").write.mode("overwrite").parquet(f"{folder}/vectors")
+    blocks = posting_blocks(vectors.sparkSession.read.parquet(f"{folder}/vectors"), size)
     blocks.repartitionByRange("token", "block").sortWithinPartitions("token", "block").write.mode("overwrite").parquet(f"{folder}/blocks")
     forget(blocks)
-    vectors.where(F.col("weight") > 0).select("doc", "token", "weight").repartitionByRange("doc").sortWithinPartitions("doc").write.mode("overwrite").parquet(f"{folder}/vectors")
 
 
 def read_postings(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
@@ -88,6 +90,8 @@ def top_matches(index: dict[str, DataFrame], queries: DataFrame, k: int) -> Data
     able = some.join(bound, "query").where((F.col("left") <= 0) | (F.col("score") + F.col("left") * (1 + 1e-9) + SLACK >= F.col("least")))
     done = able.where(F.col("left") <= 0).select("query", "doc", "score")
     q = queries.select(F.col("doc").alias("query"), "token", F.col("weight").alias("wq"))
-    whole = able.where(F.col("left") > 0).select("query", "doc").join(index["vectors"], "doc").join(q, ["query", "token"])
+    # only what some query asks for is dealt out, by document; a written table of queries is known to be small and met where its candidates lie
+    vectors = index["vectors"].join(q.select("token").distinct(), "token", "left_semi")
+    whole = able.where(F.col("left") > 0).select("query", "doc").join(vectors, "doc").join(q, ["query", "token"])
     whole = whole.groupBy("query", "doc").agg(F.sum(F.col("wq") * F.col("weight")).alias("score"))
     return best_of(done.unionAll(whole), k)

@@ -61,6 +61,17 @@ def test_blocks_that_cannot_matter_are_not_read(spark, tmp_path):
     assert got == plain_top(queries, docs, 10)
 
 
+def test_only_asked_tokens_complete_scores(spark, tmp_path):
+    """Candidates' documents hold many tokens that no query has: these rows go before the join by document. Postings without a document are none."""
+    docs = [(d, f"t{t}", 1.0 + (d * t) % 7) for d in range(30) for t in range(20)] + [(None, "t1", 9.0)]
+    queries = [(0, "t1", 1.0), (0, "t2", 0.5)]
+    blockmax.write_postings(table(spark, docs), str(tmp_path), size=4)
+    index = blockmax.read_postings(spark, str(tmp_path))
+    found = blockmax.top_matches(index, table(spark, queries), 3)
+    assert "LeftSemi" in found._jdf.queryExecution().optimizedPlan().toString()
+    assert {(x["query"], x["place"]): (x["doc"], round(x["score"], 6)) for x in found.collect()} == plain_top(queries, docs[:-1], 3)
+
+
 def names(n=3000, seed=3):
     r = random.Random(seed)
     part = lambda: "".join(r.choice("abcαβ_∘Ä") for _ in range(r.randint(1, 5)))
