@@ -25,6 +25,13 @@ def unresolved(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return edges.join(nodes.select(F.col("node").alias("token")), "token", "left_anti")
 
 
+def marked(edges: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
+    """(src, token, internal), distinct: whether an edge's token is a node, by one join in n partitions; nodes are distinct. Edges are shuffled once, by token."""
+    dealt = edges.select("src", "token").repartition(n, "token").distinct()
+    known = nodes.select(F.col("node").alias("__node")).repartition(n, "__node").withColumn("__known", F.lit(True))
+    return dealt.join(known.hint("merge"), F.col("token") == F.col("__node"), "left").select("src", "token", F.coalesce("__known", F.lit(False)).alias("internal"))
+
+
 def degrees(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, out_degree, in_degree): out counts all tokens, in the internal edges; nodes without either have 0."""
     out = edges.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("out_degree"))

@@ -113,3 +113,12 @@ def test_strong_components_send_no_table_through_the_driver(spark):
     ran = executions.executionsList(before, executions.executionsCount() - before)
     assert ran.size() > 3
     assert not any("BroadcastExchange" in ran.apply(k).physicalPlanDescription() for k in range(ran.size()))
+
+
+def test_marked_edges_are_shuffled_once(spark):
+    """Edges and what they say of their tokens, as by two joins; they lie in the partitions that were asked for."""
+    rows = [(k % 50, (k * 7) % 90) for k in range(400)] + [(1, None), (None, 3)]
+    e = spark.createDataFrame(rows, "src int, token int")
+    found = graph.marked(e, e.where("src IS NOT NULL").select(F.col("src").alias("node")).distinct(), 21)
+    assert found.rdd.getNumPartitions() == 21
+    assert sorted(found.collect(), key=str) == sorted(((s, t, t is not None and t < 50) for s, t in set(rows)), key=str)
