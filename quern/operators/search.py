@@ -32,12 +32,20 @@ def dependencies(defs: DataFrame, qname: str) -> DataFrame:
     return defs.where(F.col("pretty_qname") == qname).select(F.posexplode("dependencies").alias("ord", "token"))
 
 
-def expand(tokens: DataFrame, defs: DataFrame) -> DataFrame:
-    """Definitions that (ord, token) rows name: those of exactly that name, else the first few whose short name it is."""
+def expand(tokens: DataFrame, defs: DataFrame, n: int | None = None) -> DataFrame:
+    """Definitions that (ord, token) rows name: those of exactly that name, else the first few whose short name it is. n: into how many partitions tokens and names are dealt, if not by the planner's sizes."""
+    by = lambda d, *cols: d.repartition(n, *cols) if n else d
     names = defs.select("pretty_qname", "pretty_name", "module", "def_kind")
-    exact = tokens.join(names, tokens["token"] == names["pretty_qname"]).withColumn("match", F.lit("exact"))
-    missed = tokens.join(names.select(F.col("pretty_qname").alias("token")).distinct(), "token", "left_anti")
-    short = missed.select("ord", "token").join(names, F.col("token") == names["pretty_name"])
+    tokens = by(tokens, "token")
+    whole = by(names, "pretty_qname")
+    if n:
+        whole = whole.hint("merge")
+    exact = tokens.join(whole, tokens["token"] == whole["pretty_qname"]).withColumn("match", F.lit("exact"))
+    known = by(names.select(F.col("pretty_qname").alias("token")), "token").distinct()
+    missed = tokens.join(known.hint("merge") if n else known, "token", "left_anti")
+    brief = by(names, "pretty_name")
+    short = missed.select("ord", "token").join(brief.hint("merge") if n else brief, F.col("token") == brief["pretty_name"])
+    short = by(short, "ord", "token")
     place = F.row_number().over(Window.partitionBy("ord", "token").orderBy("pretty_qname"))
     short = short.withColumn("place", place).where(F.col("place") <= FALLBACK).drop("place").withColumn("match", F.lit("short"))
     return exact.select("ord", "token", *names.columns, "match").unionByName(short.select("ord", "token", *names.columns, "match"))

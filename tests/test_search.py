@@ -72,6 +72,16 @@ def test_only_asked_tokens_complete_scores(spark, tmp_path):
     assert {(x["query"], x["place"]): (x["doc"], round(x["score"], 6)) for x in found.collect()} == plain_top(queries, docs[:-1], 3)
 
 
+def test_expansion_in_dealt_partitions(spark):
+    """The same rows as by the planner's sizes, repeated tokens and short names of more than five definitions too; each branch lies in the partitions that were asked for."""
+    defs = spark.createDataFrame([(f"m.n{k % 4}.{k}", f"n{k % 4}", "m", "def") for k in range(30)] + [(None, None, None, None)], "pretty_qname string, pretty_name string, module string, def_kind string")
+    tokens = spark.createDataFrame([(k, t) for k in range(6) for t in ("n1", "n1", "m.n2.6", "n9", "m.n1.1")[: k + 1]] + [(9, None)], "ord int, token string")
+    found = search.expand(tokens, defs, 7)
+    assert found.rdd.getNumPartitions() == 14
+    got, want = (sorted(map(tuple, d.collect())) for d in (found, search.expand(tokens, defs)))
+    assert got == want and len(got) == 5 * 6 + 4 + 2
+
+
 def names(n=3000, seed=3):
     r = random.Random(seed)
     part = lambda: "".join(r.choice("abcαβ_∘Ä") for _ in range(r.randint(1, 5)))
