@@ -1,8 +1,9 @@
-"""Quality by an interpolated modified Kneser-Ney n-gram model over characters; those outside the Latin alphabets are spelled by three symbols.
+"""Quality by an interpolated modified Kneser-Ney n-gram model over characters (`characters`), counted from all trusted documents.
 
-The model is counted from all trusted documents. N-grams, contexts and continuation counts are tables
-dealt out by key; joins of these shards give every observed n-gram's probability and every context's back-off weight.
-Documents are scored by perplexity a character and held against quantiles of their own language.
+Documents are scored by perplexity a character and held against quantiles of their own language: `quality_filter`.
+
+Beside it, `fit_quality` and `perplexities` are a model of fixed size, over a closed alphabet of 64 symbols that
+characters share, as one dense table. The filter doesn't use it.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .characters import discounts, fit_characters, score_characters, strings
 from .common import bound_batches, lean, stash
 
 ORDER = 4
@@ -86,10 +88,6 @@ def gram_ids(text: str):
     return np.concatenate([np.zeros(0, np.int32), *_pieces(text)])
 
 
-def _strings(batch, name: str) -> list[str]:
-    return [x or "" for x in batch.column(name).to_pylist()]
-
-
 def count_grams(texts_df: DataFrame, text_col: str = "text") -> DataFrame:
     """(gram, c) of the highest order; TOGETHER characters or a few more hand on one row for each of their n-grams."""
 
@@ -103,7 +101,7 @@ def count_grams(texts_df: DataFrame, text_col: str = "text") -> DataFrame:
 
         ids, held = [], 0
         for batch in batches:
-            for x in _strings(batch, text_col):
+            for x in strings(batch, text_col):
                 for piece in _pieces(x):
                     ids.append(piece)
                     held += len(piece)
@@ -116,14 +114,6 @@ def count_grams(texts_df: DataFrame, text_col: str = "text") -> DataFrame:
     return texts_df.select(text_col).mapInArrow(lean(run), "gram int, c long").groupBy("gram").agg(F.sum("c").alias("c"))
 
 
-def _discounts(counts: DataFrame) -> list[float]:
-    """Modified discounts for counts of 1, 2 and over 2, from how many n-grams occur 1 to 4 times."""
-    n = {r["c"]: r["n"] for r in counts.where(F.col("c") <= 4).groupBy("c").agg(F.count("*").alias("n")).collect()}
-    n = [max(n.get(k, 0), 1) for k in range(5)]
-    y = n[1] / (n[1] + 2 * n[2])
-    return [min(max(k - (k + 1) * y * n[k + 1] / n[k], 0.05), k) for k in (1, 2, 3)]
-
-
 def kneser_ney(counts: DataFrame, order: int = ORDER) -> list[tuple[DataFrame, DataFrame]]:
     """For each order from 1: (gram, p) of the observed n-grams and (context, gamma) of the contexts.
 
@@ -135,7 +125,7 @@ def kneser_ney(counts: DataFrame, order: int = ORDER) -> list[tuple[DataFrame, D
     out, lower = [], None
     for k in range(1, order + 1):
         grams = tables[k].withColumn("context", F.floor(F.col("gram") / ALPHABET).cast("int"))
-        d1, d2, d3 = _discounts(tables[k])
+        d1, d2, d3 = discounts(tables[k])
         discount = F.when(F.col("c") == 1, d1).when(F.col("c") == 2, d2).otherwise(d3)
         contexts = stash(grams.groupBy("context").agg(F.sum("c").alias("total"), F.sum(discount).alias("held")), "contexts")
         joined = grams.join(contexts, "context").withColumn("gamma", F.col("held") / F.col("total"))
@@ -188,7 +178,7 @@ def perplexities(docs: DataFrame, table, id_col: str = "doc_id", text_col: str =
 
         for batch in batches:
             sizes, values = [], []
-            for x in _strings(batch, "__text"):
+            for x in strings(batch, "__text"):
                 sizes.append(len(x))
                 total = sum(float(model.value[ids].sum(dtype=np.float64)) for ids in _pieces(x))
                 values.append(-total / len(x) if x else None)
@@ -208,7 +198,8 @@ def quality_filter(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     repeated rows are judged alike, and count as often as they come where they are trusted.
     """
     bound_batches(docs.sparkSession)
-    scored = stash(perplexities(docs, fit_quality(docs, labels, id_col, text_col, label_col), id_col, text_col, (lang_col,)), "perplexity")
+    levels = fit_characters(docs, labels, id_col, text_col, label_col)
+    scored = stash(score_characters(docs, levels, id_col, text_col, (lang_col,)), "perplexity")
     trusted = labels.where(F.col(label_col) == 1).select(F.col(id_col).alias("__t")).distinct()
     known = scored.join(trusted, scored[id_col] == trusted["__t"], "left_semi").where(F.col("log_perplexity").isNotNull())
     cut = F.percentile_approx("log_perplexity", F.array(F.lit(low), F.lit(high)), F.lit(10_000)).alias("q")

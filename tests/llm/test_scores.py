@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quern.llm import forest, media, mixing, quality, toxicity
+from quern.llm import characters, forest, media, mixing, quality, toxicity
 from quern.llm.common import components
 from quern.llm.licenses import TEMPLATES, license_scan
 
@@ -320,6 +320,42 @@ def test_quality_probabilities_as_plain(spark):
         assert float(table[g]) == pytest.approx(np.log(p(tuple(s[:3]), s[3])), abs=0.01)
 
 
+def test_character_model_as_plain(spark, monkeypatch):
+    """Perplexities over code points against recursion over dictionaries: with all n-grams broadcast, some and none, in pieces, of texts with unseen characters, repeats and nulls."""
+    r = random.Random(5)
+    some = ["the", "The", "THE", "thé", "Haus", "δέντρο", "日本語", "😀", "𠀀7", "42", "a.b", "(x)"]
+    texts = [" ".join(r.choice(some) for _ in range(r.randint(1, 30))) for _ in range(30)] + ["ξένος дом XYZ 98", "😁", "\n", "", None, "the", "the"]
+    docs = spark.createDataFrame([(i % 34, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, n_chars string").repartition(3)
+    labels = spark.createDataFrame([(i, 1) for i in range(20)] + [(None, 1), (25, 0)], "doc_id long, quality int")
+    code = lambda t: [ord(c) for c in "\n" * 3 + t]
+    p = plain_kneser_ney([code(t) for i, t in enumerate(texts) if i % 34 < 20 and t], 0x110000, 4)
+
+    def plain(t):
+        q = code(t)
+        return -sum(np.log(p(tuple(q[k : k + 3]), q[k + 3])) for k in range(len(t))) / len(t)
+
+    want = sorted((i % 34, len(t or ""), plain(t) if t else None) for i, t in enumerate(texts))
+    levels = characters.fit_characters(docs, labels, "doc_id", "text", "quality")
+    for most, piece in ((10**6, 10**6), (60, 7), (0, 50)):
+        monkeypatch.setattr(characters, "SLICE", piece)
+        monkeypatch.setattr(characters, "HELD", piece)
+        rows = characters.score_characters(docs.withColumnRenamed("n_chars", "met"), levels, keep=("met",), most=most).collect()
+        got = sorted((x["doc_id"], x["n_chars"], x["log_perplexity"]) for x in rows)
+        assert [x[:2] for x in got] == [x[:2] for x in want] and all(x["met"] == "x" for x in rows)
+        assert all(a[2] == b[2] if b[2] is None else a[2] == pytest.approx(b[2], abs=1e-6) for a, b in zip(got, want, strict=True))
+
+
+def test_characters_are_symbols_of_their_own(spark):
+    """Texts that differ from trusted ones in capitals, digits or marks alone aren't kept."""
+    r = random.Random(12)
+    clean = [" ".join(r.choice(["AB", "12", "(x)", "the", "😀"]) for _ in range(60)) for _ in range(60)]
+    swaps = [str.maketrans("AB", "QX"), str.maketrans("12", "79"), str.maketrans("()", "%$"), str.maketrans("😀", chr(0x1F600 + 4096))]
+    odd = [t.translate(s) for s in swaps for t in clean[:5]]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(clean + odd)], "doc_id long, text string, lang string")
+    got = {x["doc_id"]: x["kept"] for x in quality.quality_filter(docs, spark.createDataFrame([(i, 1) for i in range(60)], "doc_id long, quality int")).collect()}
+    assert sum(got[i] for i in range(60)) >= 55 and not any(got[60 + k] for k in range(len(odd)))
+
+
 def test_other_scripts_are_told_apart(spark):
     """Words of a script that isn't Latin are likelier than its letters at random, and characters keep their own symbols."""
     r = random.Random(9)
