@@ -176,3 +176,15 @@ def test_contexts_are_read_from_one_list_a_group(spark):
     assert have == want
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join") == 1 and "explode" not in plan.lower()  # of rows with one list a group
+
+
+def test_contexts_of_a_large_group_are_made_in_many_tasks(spark):
+    """The rows of one group are dealt out, however few bytes they are, and each meets its group's lines once."""
+    rows = [("M", f"n{k}", f"T{k % 7}", k // 2) for k in range(1000)] + [(None, f"n{k}", "U", None) for k in range(70)] + [("N", None, "V", 1), ("N", "x", "W", 2)]
+    d = spark.createDataFrame(rows, "module string, name string, type string, ord int")
+    got = views.proof_contexts(d, ["module"], "name", "type", "ord").withColumn("task", F.spark_partition_id()).collect()
+    lines = lambda m, n: sorted(f"{b} : {u}" for w, b, u, _ in rows if w == m and n and b and b != n)
+    assert sorted((x["module"] or "", x["goal"] or "", sorted(x["context"])) for x in got if x["goal"]) == sorted((m or "", n, lines(m, n)) for m, n, _, _ in rows if n)
+    assert len(got) == len(rows)
+    tasks = [x["task"] for x in got if x["module"] == "M"]
+    assert len(set(tasks)) > 1 and max(map(tasks.count, set(tasks))) < 1000
