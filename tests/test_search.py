@@ -188,3 +188,34 @@ def test_contexts_of_a_large_group_are_made_in_many_tasks(spark):
     assert len(got) == len(rows)
     tasks = [x["task"] for x in got if x["module"] == "M"]
     assert len(set(tasks)) > 1 and max(map(tasks.count, set(tasks))) < 1000
+
+
+def test_copies_of_lines_are_shuffled_once(spark):
+    """Rows are shuffled by group and to their unit, lines likewise, whatever columns name the group."""
+    d = spark.createDataFrame([("f", "M", f"n{k}", "T", k) for k in range(200)] + [("f", None, "n0", "U", 1), ("f", None, "n1", "V", 2)], "file string, module string, name string, type string, ord int")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = views.proof_contexts(d, ["file", "module"], "name", "type", "ord")
+        have = {(x["module"], x["goal"]): x["context"] for x in got.collect()}
+        plan = got._jdf.queryExecution().sparkPlan().toString(), got._jdf.queryExecution().executedPlan().initialPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert len(have) == 202 and have[None, "n0"] == ["n1 : V"] and have["M", "n7"] == [f"n{k} : T" for k in range(200) if k != 7]
+    assert "SortMergeJoin" in plan[0] and plan[1].count("Exchange ") == 4
+
+
+def test_long_contexts_are_written_in_small_pages(spark, tmp_path):
+    """Parquet's writer holds about a context, not a hundred of them."""
+    d = spark.createDataFrame([("M", f"n{k}", f"{k} " * 1500, k) for k in range(80)], "module string, name string, type string, ord int")
+    got = views.proof_contexts(d, ["module"], "name", "type", "ord").select("goal", F.array_join("context", "\n").alias("context"))
+    got.write.parquet(str(tmp_path / "out"))
+    assert spark.read.parquet(str(tmp_path / "out")).where("length(context) > 250000").count() == 80  # over 20 MB in all
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    pages = 0
+    for f in (tmp_path / "out").glob("*.parquet"):
+        reader = jvm.org.apache.parquet.hadoop.ParquetFileReader.open(jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromPath(jvm.org.apache.hadoop.fs.Path(str(f)), conf))
+        for block in reader.getFooter().getBlocks():
+            pages += sum(reader.readOffsetIndex(c).getPageCount() for c in block.getColumns() if c.getPath().toDotString() == "context")
+        reader.close()
+    assert pages >= 16
